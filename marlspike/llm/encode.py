@@ -8,7 +8,8 @@ import numpy as np
 
 from marlspike.llm.token_count import LONGEST_KEPT, PLAIN
 
-KEPT_CHUNKS = 600_000
+#: Chunks that a worker keeps, about 300 MB.
+KEPT_CHUNKS = 1_500_000
 
 
 class ChunkEncoder:

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlspike.llm.language_id import identify
+from marlspike.llm.packing import pack
+from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import scan_secrets
 from marlspike.llm.token_count import count_tokens
+from marlspike.llm.wavelet import encode_and_read
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +24,32 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary())
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary())
+
+
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(documents(spark, sf_dir), vocabulary())
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_packing, op6_wavelet, op9_quality_rules, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
