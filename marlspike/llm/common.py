@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Fixed: ASCII white space, the only separators of words in these operators.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch; texts may be long, so a batch holds few of them.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; texts may be long, so a batch holds few of them.
+BATCH_ROWS, BATCH_BYTES = 1000, "32m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

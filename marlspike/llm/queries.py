@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspike.llm.language_id import identify
+from marlspike.llm.mixing import SQL as MIX_SQL
+from marlspike.llm.mixing import mix
 from marlspike.llm.packing import pack
 from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import scan_secrets
@@ -36,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(documents(spark, sf_dir), vocabulary())
 
@@ -49,8 +55,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_packing, op6_wavelet, op9_quality_rules, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_packing, op5_mixing, op6_wavelet, op9_quality_rules, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": MIX_SQL}
