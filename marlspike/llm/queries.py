@@ -10,6 +10,7 @@ from marlspike.llm.language_id import identify
 from marlspike.llm.mixing import SQL as MIX_SQL
 from marlspike.llm.mixing import mix
 from marlspike.llm.packing import pack
+from marlspike.llm.pii import find_pii
 from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import scan_secrets
 from marlspike.llm.token_count import count_tokens
@@ -34,6 +35,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary())
 
@@ -55,7 +60,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_packing, op5_mixing, op6_wavelet, op9_quality_rules, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pii, op4_packing, op5_mixing, op6_wavelet, op9_quality_rules, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
