@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspike.llm.ann import search
+from marlspike.llm.jaccard_join import jaccard_join
 from marlspike.llm.language_id import identify
 from marlspike.llm.mixing import SQL as MIX_SQL
 from marlspike.llm.mixing import mix
@@ -52,6 +53,10 @@ def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(documents(spark, sf_dir), vocabulary())
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -65,7 +70,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pii, op4_packing, op5_mixing, op6_wavelet, op8_nearest_neighbours, op9_quality_rules, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pii, op4_packing, op5_mixing, op6_wavelet, op7_jaccard_join, op8_nearest_neighbours, op9_quality_rules, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
