@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspike.llm.common import map_batches, materialize, prepare, text_rows, words_of
@@ -323,3 +323,16 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     grouped = whole.join(least, "label").select("sig", "component_id")
     named = nodes.join(grouped, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
     return index.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with the smallest doc_id of each component, and each of its distinct texts once.
+
+    Documents without doc_id can't be named by a component: each of their distinct texts stays once.
+    """
+    joined = jaccard_join(docs, size, percent)
+    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
+    rows = text_rows(docs, "lang", "source", "n_chars")
+    stay = rows.join(kept, "doc_id", "left_semi").unionByName(rows.where("doc_id is null")).withColumn("text_hash", F.xxhash64("text"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("source", "lang"))
+    return stay.withColumn("again", again).where("again = 1").drop("again", "text_hash")

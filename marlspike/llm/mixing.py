@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import WORD, materialize, prepare
+from marlspike.llm.common import WORD, materialize, prepare, text_rows
 
 #: Weights of the sources in code point order, repeating; share of all sizes that the mix takes; times a source is used at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -80,6 +80,24 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return out.withColumn("taken", F.col("epochs") * F.col("size") + extra).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself: docs (doc_id, text, lang, source, n_chars) with each document as often as it is taken.
+
+    Whole repeats come as rows; a part of a document is its first words, joined by blanks. Rows that share doc_id and size get the
+    least of what is taken of them.
+    """
+    plan = mix(docs, seed).groupBy("doc_id", "size").agg(F.min("taken").alias("taken")).where("taken > 0").withColumnsRenamed({"doc_id": "key", "size": "key_size"})
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = text_rows(docs, "lang", "source", "n_chars").withColumn("size", words)
+    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("size") == F.col("key_size")))
+    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
+    taken = taken.withColumn("repeat", repeats)
+    part = F.col("taken") - (F.col("repeat") - 1) * F.col("size")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part.cast("int")), " ")
+    taken = taken.withColumn("text", F.when(part < F.col("size"), first).otherwise(F.col("text")))
+    return taken.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
 #: The same mix in DuckDB.
 SQL = rf"""
 WITH d AS (
