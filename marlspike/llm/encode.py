@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from marlspike.llm.token_count import LONGEST_KEPT, PLAIN
+#: Case, composition and classes of other characters are left to the library.
+UNUSUAL = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
+MARKS = ".,;:!?"
+#: Token that ends each document.
+END = 1
 
 #: Chunks that a worker keeps, about 300 MB.
 KEPT_CHUNKS = 1_500_000
@@ -15,8 +22,9 @@ KEPT_CHUNKS = 1_500_000
 class ChunkEncoder:
     """The library's ids for batches of texts.
 
-    White space never joins two tokens of the vocabulary, so a plain text's ids are those of its chunks in order. Chunks that are
-    not known yet go to the library together; texts with special strings or unusual characters go to it whole.
+    White space never joins two tokens of the vocabulary, so a plain text's ids are those of its chunks in order. A batch is split and its
+    chunks are numbered by Arrow; only distinct ones are looked up, and those not known yet go to the library together. Texts with
+    special strings or unusual characters go to it whole.
     """
 
     def __init__(self, path: str):
@@ -30,15 +38,15 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.n_flat = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.flat, self.starts, self.sizes, self.n_flat = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
-    def add(self, chunks: list[str], ids: list[np.ndarray]) -> None:
-        if not chunks:
-            return
-        flat, sizes = np.concatenate(ids), np.fromiter(map(len, ids), np.int32, len(ids))
+    def add(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         first, n = len(self.place), len(chunks)
         while len(self.starts) < first + n:
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
@@ -50,41 +58,61 @@ class ChunkEncoder:
         self.n_flat += len(flat)
         self.place.update(zip(chunks, range(first, first + n), strict=True))
 
-    def of(self, chunk: str) -> np.ndarray:
-        i = self.place[chunk]
-        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
-
-    def learn(self, chunks: set[str]) -> None:
-        """A mark after a letter is a token of its own, so the chunk before it is encoded without it."""
-        stems = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in ".,;:!?" and c[-2].isalpha()}
-        new = sorted(({*chunks} - stems.keys() | {*stems.values()} | {c[-1] for c in stems}) - self.place.keys())
-        self.add(new, self.whole(new))
-        made = [c for c in stems if c not in self.place]
-        self.add(made, [np.concatenate([self.of(stems[c]), self.of(c[-1])]) for c in made])
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of known chunks in a row."""
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(int(ends[-1]) if len(at) else 0) + np.repeat(self.starts[at] - (ends - n), n)]
+
+    def learn(self, chunks: list[str]) -> None:
+        """A mark after a letter is a token of its own, so such a chunk's ids are those of the rest and the mark."""
+        marked = [c for c in chunks if len(c) > 1 and c[-1] in MARKS and c[-2].isalpha()]
+        stems = [c[:-1] for c in marked]
+        new = [c for c in dict.fromkeys([*chunks, *stems, *MARKS]) if c not in self.place]
+        own = {*marked}
+        new = [c for c in new if c not in own]
+        self.add(new, *self.whole(new))
+        if marked:
+            pairs = [x for c, s in zip(marked, stems, strict=True) for x in (self.place[s], self.place[c[-1]])]
+            at = np.array(pairs, np.int64)
+            self.add(marked, self.gather(at), self.sizes[at].reshape(-1, 2).sum(1))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of all texts in a row, and how many each has; a null text has none."""
         if len(self.place) > KEPT_CHUNKS:
             self.forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain, odd = [], []
-        for i, x in enumerate(texts):
-            (plain if "<|" not in x and PLAIN.fullmatch(x) else odd).append(i)
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        chunks = {i: texts[i].lower().split() for i in plain}
-        self.learn({c for i in plain for c in {*chunks[i]}.difference(self.place) if len(c) <= LONGEST_KEPT})
-        for i in plain:
-            words = chunks.pop(i)
-            try:
-                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            except KeyError:
-                out[i] = self.whole([texts[i]])[0]
-                continue
-            n = self.sizes[at].astype(np.int64)
-            total, ends = int(n.sum()), np.cumsum(n)
-            out[i] = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - n), n)]
-        return out
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, UNUSUAL), pc.match_substring(texts, "<|"))
+        chunks = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        words = chunks.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        known = self.place.get
+        at = [known(c, -1) for c in names]
+        if new := [c for c, i in zip(names, at, strict=True) if i < 0]:
+            if len(new) + len(self.place) > 2 * KEPT_CHUNKS:  # a batch of nothing but new chunks
+                self.forget()
+                new = names
+            self.learn(new)
+            at = [self.place[c] for c in names]
+        at = np.array(at, np.int64)[words.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(self.sizes[at])])
+        bounds = before[chunks.offsets.to_numpy()]
+        flat, sizes = self.gather(at), np.diff(bounds)
+        if len(rows := np.flatnonzero(odd.to_numpy(zero_copy_only=False))):
+            more, n = self.whole(texts.take(rows).to_pylist())
+            flat = np.insert(flat, np.repeat(bounds[rows], n), more)
+            sizes[rows] = n
+        return flat, sizes
+
+
+def ended(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids of each document of a batch, with the end token."""
+    ends = np.cumsum(sizes + 1)
+    out = np.full(len(flat) + len(sizes), END, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[ends - 1] = False
+    out[inner] = flat
+    return np.split(out, ends[:-1]) if len(ends) else []
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -11,10 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from marlspike.llm.common import map_batches, prepare, text_rows
-from marlspike.llm.encode import encoder
+from marlspike.llm.encode import END, ended, encoder
 
-#: Token that ends each document.
-END = 1
 #: Padding tokens that a cut is worth: at a document's end, at a sentence's end, anywhere else; and a sequence more.
 AT_DOCUMENT, AT_SENTENCE, ELSEWHERE, SEQUENCE = 0, 4, 48, 1
 #: Tokens that are planned together, tokens between two sentence cuts at least, and between two cuts at most.
@@ -130,7 +128,8 @@ def sentence_ends(vocabulary: str) -> np.ndarray:
     """For each token id, whether it ends a sentence; the end token isn't one, as the document's end is a better cut."""
     size = encoder(vocabulary).library.get_vocab_size()
     flags = np.zeros(max(size, END + 1), bool)
-    for ids in encoder(vocabulary).whole(list(SENTENCE_ENDS)):
+    for mark in SENTENCE_ENDS:
+        ids, _ = encoder(vocabulary).whole([mark])
         if len(ids) == 1:
             flags[ids[0]] = True
     return flags
@@ -161,8 +160,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, with_ids: bool =
 
         for b in batches:
             pieces = []
-            for key, ids in zip(b["doc_id"].to_pylist(), encode.batch([x or "" for x in b["text"].to_pylist()]), strict=True):
-                pieces += packer.add(key, np.append(ids, np.uint32(END)))
+            for key, ids in zip(b["doc_id"].to_pylist(), ended(*encode.batch(b["text"])), strict=True):
+                pieces += packer.add(key, ids)
             if pieces:
                 yield table(pieces)
         if pieces := [*packer.flush(last=True)]:

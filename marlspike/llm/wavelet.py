@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.llm.common import map_batches, materialize, prepare, scratch, text_rows
-from marlspike.llm.encode import encoder
+from marlspike.llm.encode import ended, encoder
 
 MAGIC = b"WVLTMTX1"
-#: Token that ends each document.
-END = 1
 #: Bits of a compressed block of a plane; a rank is stored for each block.
 BLOCK_BITS = 1 << 16
 #: Tokens of a shard file at least, when its partition has as many.
@@ -183,10 +181,10 @@ def write_shards(docs: DataFrame, vocabulary: str, out: str, shard_tokens: int =
 
         fs.create_dir(folder, recursive=True)
         for b in batches:
-            for key, ids in zip(b["doc_id"].to_pylist(), encode.batch([x or "" for x in b["text"].to_pylist()]), strict=True):
+            for key, ids in zip(b["doc_id"].to_pylist(), ended(*encode.batch(b["text"])), strict=True):
                 keys.append(key)
-                held.append(np.append(ids, np.uint32(END)))
-                size += len(ids) + 1
+                held.append(ids)
+                size += len(ids)
                 if size >= shard_tokens:
                     yield store()
                     keys, held, size, shard = [], [], 0, shard + 1
