@@ -36,12 +36,15 @@ def build(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> byt
     seq = ids.astype(np.uint16 if width <= 16 else np.uint32)
     zeros, sections = [], []
     for k in range(width - 1, -1, -1):
-        bits = ((seq >> k) & 1).astype(bool)
-        blocks = [packer.compress(np.packbits(bits[a : a + BLOCK_BITS]).tobytes()) for a in range(0, n, BLOCK_BITS)]
-        ones = np.add.reduceat(bits, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
+        bits = ((seq >> k) & 1).view(np.uint8)[:: seq.itemsize].view(bool)  # the low byte of little-endian numbers
+        packed = np.packbits(bits)
+        blocks = [packer.compress(packed[a : a + BLOCK_BITS // 8]) for a in range(0, len(packed), BLOCK_BITS // 8)]
+        full = np.zeros(len(blocks) * BLOCK_BITS // 8, np.uint8)
+        full[: len(packed)] = packed
+        ones = np.bitwise_count(full.view(np.uint64)).reshape(len(blocks), -1).sum(1, dtype=np.int64)
         sections += [np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<i8").tobytes(), b"".join(blocks)]
         zeros.append(n - int(ones.sum()))
-        seq = np.concatenate([seq[~bits], seq[bits]])
+        seq = np.concatenate([np.compress(~bits, seq), np.compress(bits, seq)])
     head = [
         packer.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes()),
         packer.compress(np.array([x is not None for x in doc_ids], np.uint8).tobytes()),
@@ -138,7 +141,7 @@ class Shard:
         for k in range(self.width - 1, -1, -1):
             bits = np.concatenate([self.bits(k, b) for b in range(len(self.planes[k][1]) - 1)] or [np.zeros(0, np.uint8)]).view(bool)
             above = np.empty_like(seq)
-            above[~bits], above[bits] = seq[: self.zeros[k]], seq[self.zeros[k] :]
+            above[np.flatnonzero(~bits)], above[np.flatnonzero(bits)] = seq[: self.zeros[k]], seq[self.zeros[k] :]
             above |= bits.astype(seq.dtype) << (self.width - 1 - k)
             seq = above
         return seq
