@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -47,7 +48,7 @@ class HashingEmbedder:
 def embed(leafs: DataFrame, embedder: Embedder) -> DataFrame:
     """leafs with embedding, made in Arrow batches; the embedder travels as a broadcast."""
     shared = leafs.sparkSession.sparkContext.broadcast(embedder)
-    schema = leafs.drop("embedding").schema.add("embedding", "array<float>")
+    schema = leafs.drop("embedding").schema.add("embedding", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONE = F.lit(None).cast("string")
-
 
 def text(value: Column | str | None) -> Column:
     """A string without null: null and absent become ''."""
