@@ -21,7 +21,7 @@ MAGIC = b"WVLTMTX1"
 #: Bits of a compressed block of a plane; a rank is stored for each block.
 BLOCK_BITS = 1 << 16
 #: Tokens of a shard file at least, when its partition has as many.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 
 
 def build(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> bytes:
@@ -44,7 +44,8 @@ def build(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> byt
         ones = np.bitwise_count(full.view(np.uint64)).reshape(len(blocks), -1).sum(1, dtype=np.int64)
         sections += [np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<i8").tobytes(), b"".join(blocks)]
         zeros.append(n - int(ones.sum()))
-        seq = np.concatenate([np.compress(~bits, seq), np.compress(bits, seq)])
+        if k:
+            seq = np.concatenate([np.compress(~bits, seq), np.compress(bits, seq)])
     head = [
         packer.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes()),
         packer.compress(np.array([x is not None for x in doc_ids], np.uint8).tobytes()),
@@ -140,9 +141,12 @@ class Shard:
         seq = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for k in range(self.width - 1, -1, -1):
             bits = np.concatenate([self.bits(k, b) for b in range(len(self.planes[k][1]) - 1)] or [np.zeros(0, np.uint8)]).view(bool)
-            above = np.empty_like(seq)
-            above[np.flatnonzero(~bits)], above[np.flatnonzero(bits)] = seq[: self.zeros[k]], seq[self.zeros[k] :]
-            above |= bits.astype(seq.dtype) << (self.width - 1 - k)
+            above = bits.astype(seq.dtype)
+            if k + 1 < self.width:
+                above <<= self.width - 1 - k
+                one, zero = np.flatnonzero(bits), np.flatnonzero(~bits)
+                above[zero] = seq[: len(zero)]
+                above[one] |= seq[len(zero) :]
             seq = above
         return seq
 
