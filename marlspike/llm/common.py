@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: Fixed: ASCII white space, the only separators of words in these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch; texts may be long, so a batch holds few of them.
-BATCH_ROWS, BATCH_BYTES = 4000, "32m"
+BATCH_ROWS, BATCH_BYTES = 4000, "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -61,10 +63,17 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], sc
         named = (dict(zip(b.schema.names, b.columns, strict=True)) for b in batches if b.num_rows)
         for out in f(named):
             yield pa.RecordBatch.from_arrays([as_arrow(out[x.name], x.type) for x in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system, as a worker outlives its task and may idle beside the next one's."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +12,23 @@ import pyarrow.compute as pc
 
 #: Case, composition and classes of other characters are left to the library.
 UNUSUAL = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
-MARKS = ".,;:!?"
+LETTERED = r"^[a-z\x{e0}-\x{f6}\x{f8}-\x{24f}]+$"
+MARKED = r"^([a-z\x{e0}-\x{f6}\x{f8}-\x{24f}]+)[.,;:!?]$"
+#: Chunks that a worker keeps, about 160 MB; it starts afresh beyond that.
+KEPT_CHUNKS = 800_000
+#: Words that are encoded as one text.
+TOGETHER = 4000
 #: Token that ends each document.
 END = 1
 
-#: Chunks that a worker keeps, about 300 MB.
-KEPT_CHUNKS = 1_500_000
-
 
 class ChunkEncoder:
     """The library's ids for batches of texts.
 
     White space never joins two tokens of the vocabulary, so a plain text's ids are those of its chunks in order. A batch is split and its
-    chunks are numbered by Arrow; only distinct ones are looked up, and those not known yet go to the library together. Texts with
-    special strings or unusual characters go to it whole.
+    chunks are numbered by Arrow; distinct ones are looked up, and those not known yet are encoded. A mark after letters is a token of its own, so such chunks
+    share the ids of the rest. Words of letters alone are one pre-token each; they are encoded many at a time and parted after the
+    tokens that end a word. Texts with special strings or unusual characters go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -34,70 +38,77 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or ""
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.parted = bool(suffix)
         self.forget()
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.n_flat = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
-    def add(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = len(self.place), len(chunks)
-        while len(self.starts) < first + n:
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), of words of letters."""
+        if not self.parted or not words:
+            return self.whole(words)
+        ids, _ = self.whole([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)])
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.n_flat = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def learn(self, names: list[str], lettered: np.ndarray) -> None:
+        """Encode and keep chunks; lettered: those of letters alone."""
+        order = np.argsort(~lettered, kind="stable").tolist()
+        names, n = [names[i] for i in order], int(lettered.sum())
+        (a, a_sizes), (b, b_sizes) = self.words(names[:n]), self.whole(names[n:])
+        flat, sizes, first = np.concatenate([a, b]), np.concatenate([a_sizes, b_sizes]), len(self.place)
+        while len(self.starts) < first + len(names):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
         while len(self.flat) < self.n_flat + len(flat):
             self.flat = np.concatenate([self.flat, self.flat])
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
-        self.sizes[first : first + n] = sizes
-        self.starts[first : first + n] = self.n_flat + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(names)] = sizes
+        self.starts[first : first + len(names)] = self.n_flat + np.cumsum(sizes) - sizes
         self.n_flat += len(flat)
-        self.place.update(zip(chunks, range(first, first + n), strict=True))
-
-    def gather(self, at: np.ndarray) -> np.ndarray:
-        """The ids of known chunks in a row."""
-        n = self.sizes[at]
-        ends = np.cumsum(n)
-        return self.flat[np.arange(int(ends[-1]) if len(at) else 0) + np.repeat(self.starts[at] - (ends - n), n)]
-
-    def learn(self, chunks: list[str]) -> None:
-        """A mark after a letter is a token of its own, so such a chunk's ids are those of the rest and the mark."""
-        marked = [c for c in chunks if len(c) > 1 and c[-1] in MARKS and c[-2].isalpha()]
-        stems = [c[:-1] for c in marked]
-        new = [c for c in dict.fromkeys([*chunks, *stems, *MARKS]) if c not in self.place]
-        own = {*marked}
-        new = [c for c in new if c not in own]
-        self.add(new, *self.whole(new))
-        if marked:
-            pairs = [x for c, s in zip(marked, stems, strict=True) for x in (self.place[s], self.place[c[-1]])]
-            at = np.array(pairs, np.int64)
-            self.add(marked, self.gather(at), self.sizes[at].reshape(-1, 2).sum(1))
+        self.place.update(zip(names, range(first, first + len(names)), strict=True))
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """uint32 ids of all texts in a row, and how many each has; a null text has none."""
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), of distinct plain lower-case chunks."""
+        rest = pc.replace_substring_regex(chunks, MARKED, r"\1").dictionary_encode()
+        names = rest.dictionary.to_pylist()
         if len(self.place) > KEPT_CHUNKS:
             self.forget()
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int32, len(names))
+        if len(missing := np.flatnonzero(at < 0)):
+            new = rest.dictionary.take(missing)
+            self.learn(new.to_pylist(), pc.match_substring_regex(new, LETTERED).to_numpy(zero_copy_only=False))
+            at[missing] = [*map(self.place.__getitem__, new.to_pylist())]
+        at = at[rest.indices.to_numpy()]
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(chunks), pc.binary_length(rest.dictionary.take(rest.indices))).to_numpy(zero_copy_only=False))
+        out, n_out = gathered(self.flat, self.starts, self.sizes, at, marked)
+        if len(marked):
+            marks = pc.utf8_slice_codeunits(chunks.take(marked), -1).dictionary_encode()
+            mark_ids, _ = self.whole(marks.dictionary.to_pylist())
+            out[np.cumsum(n_out)[marked] - 1] = mark_ids[marks.indices.to_numpy()]
+        return out, n_out
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of all texts in a row, and how many each has; a null text has none."""
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.match_substring_regex(texts, UNUSUAL), pc.match_substring(texts, "<|"))
         chunks = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
         words = chunks.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        known = self.place.get
-        at = [known(c, -1) for c in names]
-        if new := [c for c, i in zip(names, at, strict=True) if i < 0]:
-            if len(new) + len(self.place) > 2 * KEPT_CHUNKS:  # a batch of nothing but new chunks
-                self.forget()
-                new = names
-            self.learn(new)
-            at = [self.place[c] for c in names]
-        at = np.array(at, np.int64)[words.indices.to_numpy()] if names else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(self.sizes[at])])
-        bounds = before[chunks.offsets.to_numpy()]
-        flat, sizes = self.gather(at), np.diff(bounds)
+        flat, sizes = self.chunks(words.dictionary)
+        at = words.indices.to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes[at])])[chunks.offsets.to_numpy()]
+        flat, sizes = gathered(flat, np.cumsum(sizes) - sizes, sizes, at)[0], np.diff(bounds)
         if len(rows := np.flatnonzero(odd.to_numpy(zero_copy_only=False))):
             more, n = self.whole(texts.take(rows).to_pylist())
             flat = np.insert(flat, np.repeat(bounds[rows], n), more)
@@ -105,6 +116,21 @@ class ChunkEncoder:
         return flat, sizes
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, wider: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat numbered by at, in a row, and their sizes; those at wider end in one more place."""
+    if not len(at):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    n, starts = sizes[at], starts[at]
+    if wider is not None:
+        n = n.copy()
+        n[wider] += 1
+    ends = np.cumsum(n)
+    kind = np.int32 if ends[-1] < 1 << 30 and len(flat) < 1 << 30 else np.int64
+    places = np.repeat((starts - (ends - n)).astype(kind), n)
+    places += np.arange(int(ends[-1]), dtype=kind)
+    return flat.take(places, mode="clip"), n
+
+
 def ended(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """The ids of each document of a batch, with the end token."""
     ends = np.cumsum(sizes + 1)
