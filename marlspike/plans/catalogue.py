@@ -137,10 +137,10 @@ def retry_delay(spark, d):
     return table(spark, d, "events").select("event_id", X.retry_delay(F.col("event_id") % 15, 0.5, 60.0).alias("delay"))
 
 
-@query("SELECT vec_id, len(embedding)::BIGINT AS dim, 256::BIGINT AS padded, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings")
+@query("SELECT vec_id, len(embedding)::BIGINT AS dim, 256::BIGINT AS padded, round(list_sum(embedding::DOUBLE[]), 3) + 0.0::DOUBLE AS total FROM embeddings")
 def pad_embedding(spark, d):
     p = X.padded(F.col("embedding"), 256)
-    total = F.round(F.aggregate(p, F.lit(0.0), lambda a, v: a + v.cast("double")), 3)
+    total = F.round(F.aggregate(p, F.lit(0.0), lambda a, v: a + v.cast("double")), 3) + 0.0  # no negative zero
     return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"), F.size(p).cast("long").alias("padded"), total.alias("total"))
 
 
