@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Fixed: ASCII white space, the only separators of words in these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch; texts may be long, so a batch holds few of them.
-BATCH_ROWS, BATCH_BYTES = 4000, "16m"
+BATCH_ROWS, BATCH_BYTES = 8000, "24m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -63,10 +63,10 @@ class ChunkEncoder:
         self.place: dict[str, int] = {}
         self.flat, self.starts, self.sizes, self.n_flat = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def learn(self, names: list[str], lettered: np.ndarray) -> None:
-        """Encode and keep chunks; lettered: those of letters alone."""
-        order = np.argsort(~lettered, kind="stable").tolist()
-        names, n = [names[i] for i in order], int(lettered.sum())
+    def learn(self, names: list[str], lettered: np.ndarray) -> np.ndarray:
+        """Encode and keep chunks, and return where; lettered: those of letters alone."""
+        order = np.argsort(~lettered, kind="stable")
+        names, n = [names[i] for i in order.tolist()], int(lettered.sum())
         (a, a_sizes), (b, b_sizes) = self.words(names[:n]), self.whole(names[n:])
         flat, sizes, first = np.concatenate([a, b]), np.concatenate([a_sizes, b_sizes]), len(self.place)
         while len(self.starts) < first + len(names):
@@ -78,6 +78,9 @@ class ChunkEncoder:
         self.starts[first : first + len(names)] = self.n_flat + np.cumsum(sizes) - sizes
         self.n_flat += len(flat)
         self.place.update(zip(names, range(first, first + len(names)), strict=True))
+        at = np.empty(len(names), np.int32)
+        at[order] = np.arange(first, first + len(names))
+        return at
 
     def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As whole(), of distinct plain lower-case chunks."""
@@ -88,8 +91,7 @@ class ChunkEncoder:
         at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int32, len(names))
         if len(missing := np.flatnonzero(at < 0)):
             new = rest.dictionary.take(missing)
-            self.learn(new.to_pylist(), pc.match_substring_regex(new, LETTERED).to_numpy(zero_copy_only=False))
-            at[missing] = [*map(self.place.__getitem__, new.to_pylist())]
+            at[missing] = self.learn([names[i] for i in missing.tolist()], pc.match_substring_regex(new, LETTERED).to_numpy(zero_copy_only=False))
         at = at[rest.indices.to_numpy()]
         marked = np.flatnonzero(pc.not_equal(pc.binary_length(chunks), pc.binary_length(rest.dictionary.take(rest.indices))).to_numpy(zero_copy_only=False))
         out, n_out = gathered(self.flat, self.starts, self.sizes, at, marked)
