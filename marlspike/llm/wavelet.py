@@ -41,7 +41,7 @@ def build(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> byt
         blocks = [packer.compress(packed[a : a + BLOCK_BITS // 8]) for a in range(0, len(packed), BLOCK_BITS // 8)]
         full = np.zeros(len(blocks) * BLOCK_BITS // 8, np.uint8)
         full[: len(packed)] = packed
-        ones = np.bitwise_count(full.view(np.uint64)).reshape(len(blocks), -1).sum(1, dtype=np.int64)
+        ones = np.bitwise_count(full.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(1, dtype=np.int64)
         sections += [np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<i8").tobytes(), b"".join(blocks)]
         zeros.append(n - int(ones.sum()))
         if k:
