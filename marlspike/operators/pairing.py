@@ -56,6 +56,18 @@ def word_pairs(left: DataFrame, right: DataFrame, label: str, name: str) -> Data
     return a.join(b, "_w").drop("_w").distinct()
 
 
+def token_matches(orgs: DataFrame, companies: DataFrame) -> DataFrame:
+    """orgs (org, label) with the first company (company) by name that contains one of the label's significant words."""
+    pairs = contains_any(orgs.withColumn("needles", words(F.col("label"))), companies, "needles", "company")
+    return pairs.groupBy("org").agg(F.min("company").alias("company"))
+
+
+def project_matches(companies: DataFrame, projects: DataFrame) -> DataFrame:
+    """Companies (company) and projects (project, parent) where one's name contains the other's parent."""
+    p = projects.where(F.trim("parent") != "").withColumn("needles", F.array(F.lower(F.trim("parent"))))
+    return contains_any(p, companies, "needles", "company").select("company", "project")
+
+
 def unmatched(orgs: DataFrame, matches: DataFrame, by: str = "org") -> DataFrame:
     return orgs.join(matches, by, "left_anti")
 

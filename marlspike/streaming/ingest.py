@@ -52,3 +52,31 @@ def drain(spark: SparkSession, df: DataFrame, name: str, mode: str = "complete")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def wave(steps: list[tuple[str, Callable[[], object] | None]], quiesce: Callable[[], None] = lambda: None) -> dict[str, str]:
+    """Run steps in order: ok, skipped (no callable) or failed; one failure doesn't stop the rest."""
+    out: dict[str, str] = {}
+    quiesce()
+    for name, step in steps:
+        if step is None:
+            out[name] = "skipped"
+            continue
+        try:
+            step()
+            out[name] = "ok"
+        except Exception as e:  # noqa: BLE001  the next source must still be read
+            out[name] = f"failed: {e}"
+    return out
+
+
+def retried(call: Callable[[], object], attempts: int, base: float, most: float, sleep: Callable[[float], None], transient: Callable[[Exception], bool] = lambda e: True) -> object:
+    """call, again after growing delays while it fails for a passing reason."""
+    for n in range(1, attempts + 1):
+        try:
+            return call()
+        except Exception as e:
+            if n == attempts or not transient(e):
+                raise
+            sleep(min(base * 2 ** min(n - 1, 10), most))
+    return None

@@ -149,3 +149,37 @@ def test_hops(spark):
     hits = spark.createDataFrame([("l",), ("m",)], "id string")
     got = {r["id"]: [(h["label"], h["name"], h["depth"]) for h in r["hops"]] for r in R.attach_hops(hits, R.hops(hits, edges, 3)).collect()}
     assert got == {"l": [("File", "F", 1), ("Commit", "C", 2), ("Commit", "D", 2), ("Person", "P", 3)], "m": []}
+
+
+def test_reports(spark):
+    from marlspike.operators import reports as P
+
+    body = '{"choices": [{"message": {"tool_calls": [{"function": {"name": "search", "arguments": "{}"}}], "content": "x"}}]}'
+    leak = '{"choices": [{"message": {"content": "<tool_call name=search>"}}]}'
+    calls = P.tool_calls(spark.createDataFrame([("a", body), ("b", leak)], "prompt string, body string"))
+    wanted = spark.createDataFrame([("a", "search"), ("b", "get"), ("c", "get")], "prompt string, wanted string")
+    assert tuple(P.tool_report(calls, wanted).first()) == (3, 1, 1)
+    assert P.process_memory(spark.createDataFrame([('{"models": [{"name": "m", "size": 3145728}]}',)], "value string")).first()["mib"] == 3
+    values = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
+    assert [r["stretched"] for r in P.stretched(values, "v").orderBy("v").collect()] == [0.0, 128.0, 255.0]
+    picked = P.weighted_pick(values, {"a": 1, "b": 1}, F.col("v") / 4).orderBy("v").collect()
+    assert [r["endpoint"] for r in picked] == ["a", "b", "b"]
+    rows = spark.createDataFrame([("s", i) for i in range(5)] + [("t", 1)], "source string, n int")
+    assert P.per_source(rows, 1, 2, "n").count() == 2 and P.per_source(rows, 1, 0, "n").count() == 4
+
+
+def test_rendering(spark):
+    from marlspike.functions import render as W
+
+    df = spark.createDataFrame([("a: b", "x\ny", ["1", "2"])], "source string, text string, mails array<string>")
+    assert df.select(W.leaf_yaml("source", "text").alias("y")).first()["y"] == '  - source: "a: b"\n    text: |-\n      x\n      y'
+    assert W.as_csv(df, "source", "mails").first()["value"] == "a: b,1;2" and W.as_json(df, "source").first()["value"] == '{"source":"a: b"}'
+    assert W.to_yaml({"q": "a", "hits": [{"id": 1}], "none": [], "s": "yes"}) == 'q: a\nhits:\n  -\n    id: 1\nnone: []\ns: "yes"\n'
+
+
+def test_tokens_and_parents(spark):
+    orgs = spark.createDataFrame([("x", "The Quantum (Labs)"), ("y", "ab cd")], "org string, label string")
+    companies = spark.createDataFrame([("megaquantumcorp",), ("other",)], "company string")
+    assert [tuple(r) for r in J.token_matches(orgs, companies).collect()] == [("x", "megaquantumcorp")]
+    projects = spark.createDataFrame([("p", "Other"), ("q", "")], "project string, parent string")
+    assert [tuple(r) for r in J.project_matches(companies, projects).collect()] == [("other", "p")]

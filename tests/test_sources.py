@@ -159,3 +159,48 @@ def test_stream_into_store(spark, tmp_path):
         df.write.mode("append").json(str(src))
         ingest.start(ingest.stream(spark, str(src), df.schema, "json"), ingest.into_store(store, lambda: "2024-01-01T00:00:00Z"), str(tmp_path / "cp"), None).awaitTermination()
     assert store.read().count() == 2
+
+
+def test_listing_source_reads_and_streams_pages(spark, tmp_path):
+    from marlspike.sources.listing import Listing
+
+    spark.dataSource.register(Listing)
+    write(tmp_path / "p/inbox/1.json", json.dumps({"folder": "inbox", "value": [{"id": "1"}, {"id": "2", "@removed": {"reason": "deleted"}}]}))
+    assert [(r["folder"], r["id"]) for r in spark.read.format("mail-listing").load(str(tmp_path / "p")).collect()] == [("inbox", "1")]
+    seen = []
+
+    def run():
+        q = spark.readStream.format("mail-listing").load(str(tmp_path / "p")).writeStream.foreachBatch(lambda b, _: seen.extend(r["id"] for r in b.collect()))
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    write(tmp_path / "p/inbox/2.json", json.dumps({"folder": "inbox", "value": [{"id": "3"}]}))
+    run()
+    assert seen == ["1", "3"]
+
+
+def test_waves_and_retries():
+    calls, slept = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("timeout")
+        return 7
+
+    assert ingest.retried(flaky, 5, 1.0, 1.5, slept.append) == 7 and slept == [1.0, 1.5]
+    assert ingest.wave([("a", lambda: 1), ("b", None), ("c", lambda: 1 / 0)]) == {"a": "ok", "b": "skipped", "c": "failed: division by zero"}
+
+
+def test_sql_guard(spark):
+    import pytest
+
+    from marlspike.sources import sql
+
+    for bad in ("drop table x", "select 1; delete from x"):
+        with pytest.raises(ValueError):
+            sql.query(spark, "jdbc:none", bad)
+    with pytest.raises(ValueError):
+        sql.sample(spark, "jdbc:none", "a; drop table b")
