@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 from marlspike.llm.common import map_batches, materialize, prepare, text_rows, words_of
 from marlspike.llm.components import components
 
-#: Cells of the shingle frequency sketch that orders shingles (16 MB as broadcast), sent in CHUNKS pieces.
-CELL_BITS, CHUNKS = 22, 64
+#: Cells of the frequency sketches of shingles and of words that order shingles (2 bytes each before compression, as broadcast), sent in CHUNKS pieces.
+SHINGLE_BITS, WORD_BITS, CHUNKS = 22, 23, 96
+#: Partitions by which sets are compared before they are fetched.
+BINS = 128
+#: Bits of the filter that tells which documents' sets are needed.
+FILTER_BITS = 25
 #: Members and shingles of a block of a posting list; lists beyond are compared block by block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 19
 #: Live prefix shingles that a member carries to tell which list owns a pair.
 OWN = 8
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -31,29 +36,58 @@ class Shingler:
     def __init__(self, size: int):
         self.size, self.words = size, {}
 
-    def hash(self, word: bytes) -> int:
-        h = self.words.get(word)
-        if h is None:
-            h = self.words[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def __call__(self, text: str | None) -> np.ndarray:
+    def word_hashes(self, text: str | None) -> np.ndarray:
         words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint64)
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        known, n = self.words, min(self.size, len(words))
+        known = self.words
         for w in {*words}.difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def shingles(self, at: np.ndarray) -> np.ndarray:
+        """A hash for each shingle of a sequence of word hashes, in order."""
+        if not len(at):
+            return at
+        n = min(self.size, len(at))
         h = np.full(len(at) - n + 1, n, np.uint64)  # shorter sequences are hashed unlike the shingles of longer ones
         for k in range(n):
             h = (h ^ at[k : len(at) - n + 1 + k]) * _A
             h ^= h >> np.uint64(29)
         h = (h ^ (h >> np.uint64(32))) * _B
-        h ^= h >> np.uint64(31)
-        return np.unique(h)
+        return h ^ (h >> np.uint64(31))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.unique(self.shingles(self.word_hashes(text)))
+
+    def rarities(self, text: str | None, frequent: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+        """The set, and for each member the least of the counts that bound its documents: its own and its words'."""
+        at = self.word_hashes(text)
+        found, first = np.unique(self.shingles(at), return_index=True)
+        if not len(found):
+            return found, np.zeros(0, np.uint32)
+        bound, words = frequent.shingles[cell(found, SHINGLE_BITS)], frequent.words[cell(at, WORD_BITS)]
+        for k in range(min(self.size, len(at))):
+            bound = np.minimum(bound, words[first + k])
+        return found, bound
+
+
+class Frequencies(NamedTuple):
+    """Occurrences by cell, up to 65,535; a cell's count is no less than that of any shingle or word in it, if that is no more."""
+
+    shingles: np.ndarray
+    words: np.ndarray
+
+    def packed(self) -> tuple[bytes, ...]:
+        return tuple(zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in self)
+
+    @classmethod
+    def of(cls, packed: tuple[bytes, ...]) -> Frequencies:
+        return cls(*(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint16) for x in packed))
+
+
+def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def signature(s: np.ndarray) -> int:
@@ -74,16 +108,24 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents by shingle cell over all documents: tasks count into cells, cells are summed as they stream in, in CHUNKS pieces."""
+def spread(s: np.ndarray) -> np.ndarray:
+    """Members of the set in each of BINS partitions of the hash range, 127 at most: two sets differ in at least as many members as these
+    counts do."""
+    return np.minimum(np.bincount((s >> np.uint64(20) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 127).astype(np.int8)
+
+
+def frequencies(docs: DataFrame, size: int) -> Frequencies:
+    """Shingles and words of all documents by cell: tasks count, and the counts are added up as they stream in, in CHUNKS pieces."""
     spark = docs.sparkSession
+    n_shingle, n_all = 1 << SHINGLE_BITS, (1 << SHINGLE_BITS) + (1 << WORD_BITS)
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles, cells = Shingler(size), np.zeros(1 << CELL_BITS, np.uint32)
+        shingler, cells = Shingler(size), np.zeros(n_all, np.uint32)
         for b in batches:
-            sets = [shingles(x) for x in b["text"].to_pylist()]
-            at = (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            cells += np.bincount(at, minlength=1 << CELL_BITS).astype(np.uint32)
+            for x in b["text"].to_pylist():
+                at = shingler.word_hashes(x)
+                np.add.at(cells, cell(np.unique(shingler.shingles(at)), SHINGLE_BITS), np.uint32(1))
+                np.add.at(cells, n_shingle + cell(at, WORD_BITS), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
         for k, part in enumerate(np.split(cells, CHUNKS)):
             if part.any():
@@ -97,68 +139,132 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
                 part = np.frombuffer(read(x), np.uint32).astype(np.uint64)
                 total[k] = total[k] + part if k in total else part
         for k, x in total.items():
-            yield {"chunk": [k], "cells": [np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes()]}
+            yield {"chunk": [k], "cells": [np.minimum(x, 0xFFFF).astype(np.uint16).tobytes()]}
 
     schema = "chunk int, cells binary"
-    counted = map_batches(map_batches(text_rows(docs).select("text"), count, schema).repartition(min(CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk"), add, schema)
-    out = np.zeros((CHUNKS, (1 << CELL_BITS) // CHUNKS), np.uint32)
+    counted = map_batches(text_rows(docs).select("text"), count, schema)
+    counted = map_batches(counted.repartition(min(CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk"), add, schema)
+    out = np.zeros((CHUNKS, n_all // CHUNKS), np.uint16)
     for r in counted.toLocalIterator():
-        out[r["chunk"]] = np.frombuffer(r["cells"], np.uint32)
-    return out.ravel()
+        out[r["chunk"]] = np.frombuffer(r["cells"], np.uint16)
+    return Frequencies(out.ravel()[:n_shingle], out.ravel()[n_shingle:])
 
 
 def indexed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Stored rows doc_id, n, sig, prefix: the first n - least_share + 1 shingles, rarest first.
+    """Stored rows doc_id, n, sig, bins (spread()), prefix (array<struct<pos, token>>): of the first n - least_share + 1 shingles, rarest first, those that
+    more than one document may have.
 
-    prefix is null where the same task has sent the same set before; sig is null for empty sets.
+    bins and prefix are null where the same task has sent the same set before; sig is null for empty sets.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size).packed())
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles, cells, seen = Shingler(size), shared.value, set()
+        shingler, frequent, seen = Shingler(size), Frequencies.of(shared.value), set()
         for b in batches:
-            out = {"doc_id": b["doc_id"], "n": [], "sig": [], "prefix": []}
+            out = {"doc_id": b["doc_id"], "n": [], "sig": [], "bins": [], "pos": [], "token": []}
             for x in b["text"].to_pylist():
-                s = shingles(x)
+                s, bound = shingler.rarities(x, frequent)
                 sig = signature(s) if len(s) else None
-                prefix = None
+                bins = pos = token = None
                 if sig is not None and sig not in seen:
                     seen.add(sig)
-                    rarity = (cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
+                    bins = spread(s)
+                    rarity = (bound.astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
                     first = np.argsort(rarity, kind="stable")[: len(s) - least_share(len(s), percent) + 1]
-                    prefix = s[first].view(np.int64).tolist()
+                    pos = np.flatnonzero(bound[first] > 1)
+                    token = s[first[pos]].view(np.int64)
                 out["n"].append(len(s))
                 out["sig"].append(sig)
-                out["prefix"].append(prefix)
+                out["bins"].append(bins)
+                out["pos"].append(pos)
+                out["token"].append(token)
             yield out
 
-    return materialize(map_batches(text_rows(docs), run, "doc_id long, n long, sig long, prefix array<long>"), "jaccard-index")
+    rows = map_batches(text_rows(docs), run, "doc_id long, n long, sig long, bins array<tinyint>, pos array<int>, token array<long>")
+    out = materialize(rows.select("doc_id", "n", "sig", "bins", F.arrays_zip("pos", "token").alias("prefix")), "jaccard-index")
+    shared.destroy()
+    return out
+
+
+class Filter:
+    """2 ** FILTER_BITS bits, one set for each key that is wanted; others pass by chance."""
 
+    def __init__(self, keys: DataFrame, name: str):
+        """Bits are gathered in words, which are combined before the shuffle: the driver gets the filter's size at most."""
+        bit = Filter.bit(name)
+        words = keys.select((bit / 64).cast("int").alias("word"), F.lit(1).cast("long").alias("one"), (bit % 64).cast("int").alias("shift"))
+        words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "shift")).alias("bits")).toArrow()
+        bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+        bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.packed = zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
 
-def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """Stored rows of the sets that share a prefix shingle with another: sig, n, live (array<struct<pos, token>> in order), home, parity, shingles.
+    @staticmethod
+    def bit(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).cast("int")
 
-    home is the longest of the posting lists that a set is in.
+    def bytes(self) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed), np.uint8)
+
+
+def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def size_range(percent: int) -> Column:
+    """Sets whose ranges aren't the same or neighbours differ too much in size to link."""
+    return F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+
+
+def fitting(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (low, high) whose sizes and partition counts leave room for a link.
+
+    Most lists of two sets are chance meetings of large documents, which grow faster than the input; this ends them while they are pairs of
+    numbers.
+    """
+    one = lambda name: index.where("bins is not null").groupBy(F.col("sig").alias(name)).agg(F.first("n").alias(f"{name}_n"), F.first("bins").alias(f"{name}_bins"))
+    both = pairs.join(one("low"), "low").join(one("high"), "high")
+    differ = F.aggregate(F.zip_with("low_bins", "high_bins", lambda a, b: F.abs(a - b)), F.lit(0), lambda t, x: t + x)
+    small, large = F.least("low_n", "high_n"), F.greatest("low_n", "high_n")
+    return both.where((100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (small + large))).select("low", "high")
+
+
+def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Stored rows of the sets that share a prefix shingle with another of fitting size: sig, n, live (array<struct<pos, token>> in order),
+    home, keys, parity, shingles.
+
+    home is the longest of the posting lists that a set is in, keys the blocks of it that the set belongs to. Texts are read again for
+    the sets; those of other documents are left out by a filter of bounded size before anything is made of them.
     """
-    postings = index.where("prefix is not null").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = index.where("prefix is not null").select("sig", "n", F.explode("prefix").alias("x")).select("sig", "n", "x.pos", "x.token")
     lists = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
-    live = postings.join(lists, "token").groupBy("sig", "n").agg(
+    # length filter: sets link only within a size range or between neighbouring ones, so a posting must meet another there
+    keyed = postings.join(lists, "token").withColumn("range", F.explode(F.array(size_range(percent), size_range(percent) + 1)))
+    keyed = materialize(keyed, "jaccard-postings")
+    met = keyed.groupBy("token", "range").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    met = materialize(met, "jaccard-lists")
+    fit = fitting(met.where("rows = 2").select("low", "high").distinct(), index, percent)
+    lists = met.where("rows > 2").select("token", "range").union(met.where("rows = 2").join(fit, ["low", "high"]).select("token", "range"))
+    live = keyed.join(lists, ["token", "range"], "left_semi").groupBy("sig", "n").agg(
         F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("live"), F.max_by("token", F.struct("df", "token")).alias("home")
     )
     live = materialize(live, "jaccard-live")
-    wanted = live.join(nodes, "sig").select(F.col("rep").alias("doc_id"))
-    rows = text_rows(docs)
-    found = rows.where("doc_id is not null").join(wanted.distinct(), "doc_id", "left_semi").union(rows.where("doc_id is null"))
+    wanted = Filter(live.join(nodes, "sig").where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    rows = text_rows(docs).select("text", Filter.bit("doc_id").alias("bit"), F.isnull("doc_id").alias("unnamed"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles = Shingler(size)
+        shingler, bits, seen = Shingler(size), shared.value.bytes(), set()
         for b in batches:
-            sets = [s for x in b["text"].to_pylist() if len(s := shingles(x))]
+            rows = np.flatnonzero(b["unnamed"].to_numpy(zero_copy_only=False) | passes(bits, b["bit"].to_numpy()))
+            sets = [s for x in b["text"].take(rows).to_pylist() if len(s := shingler(x))]
+            sets = [(g, s) for s in sets if (g := signature(s)) not in seen and not seen.add(g)]
             if sets:
-                yield {"sig": [signature(s) for s in sets], "parity": [parities(s).tolist() for s in sets], "shingles": [s.tobytes() for s in sets]}
+                yield {"sig": [g for g, _ in sets], "parity": [parities(s) for _, s in sets], "shingles": [s.tobytes() for _, s in sets]}
 
-    sets = map_batches(found.select("text"), run, "sig long, parity array<long>, shingles binary")
-    return materialize(live.join(sets, "sig").dropDuplicates(["sig"]), "jaccard-members")
+    sets = map_batches(rows, run, "sig long, parity array<long>, shingles binary")
+    out = materialize(blocks(live, percent).join(sets, "sig").dropDuplicates(["sig"]), "jaccard-members")
+    shared.destroy()
+    return out
 
 
 class Members:
@@ -199,20 +305,20 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def home_links(found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already.
+def blocks(live: DataFrame, percent: int) -> DataFrame:
+    """live (sig, n, home, …) with keys: the pairs of blocks of its home list that a set belongs to; none where it would be alone.
 
-    Members are dealt by size range, as sets whose sizes are further apart can't link, and beyond a block's bounds by hash.
+    Members are dealt by size range, as sets whose sizes are further apart can't link, and beyond a block's bounds by hash. A key
+    names its two blocks (two: of neighbouring ranges, low: the lower range, i and j) and the side that the set is on.
     """
-    step = math.log(100 / percent)
-    rows = found.withColumn("range", F.floor(F.log("n") / step).cast("int"))
+    rows = live.withColumn("range", size_range(percent))
     sizes = rows.groupBy("home", "range").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     sizes = materialize(sizes.select("home", "range", parts.alias("parts"), "members"), "jaccard-ranges")
     near = lambda k, name: sizes.select("home", (F.col("range") + k).alias("range"), F.col("parts").alias(name))
     sizes = sizes.join(near(-1, "after"), ["home", "range"], "left").join(near(1, "before"), ["home", "range"], "left")
-    sizes = sizes.where("members > 1 or after is not null or before is not null")
-    rows = rows.join(sizes.drop("members"), ["home", "range"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    sizes = sizes.select("home", "range", "parts", "after", "before", F.when(F.col("members") > 1, F.col("parts")).alias("inside"))
+    rows = rows.join(sizes, ["home", "range"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
 
     def key(two: int, low: Column, a: Column, b: Column, side: Column) -> Column:
         return F.struct(F.lit(two).alias("two"), low.alias("low"), a.alias("i"), b.alias("j"), side.cast("int").alias("side"))
@@ -224,12 +330,17 @@ def home_links(found: DataFrame, percent: int) -> DataFrame:
 
     own, r = F.col("part"), F.col("range")
     keys = F.concat(
-        each("parts", lambda k: key(0, r, F.least(own, k), F.greatest(own, k), own > k)),
+        each("inside", lambda k: key(0, r, F.least(own, k), F.greatest(own, k), own > k)),
         each("after", lambda k: key(1, r, own, k, F.lit(0))),
         each("before", lambda k: key(1, r - 1, k, own, F.lit(1))),
     )
+    return rows.withColumn("keys", keys).select(*live.columns, "keys")
+
+
+def home_links(found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already."""
     by = ("home", "two", "low", "i", "j")
-    dealt = rows.select("home", "sig", "parity", "shingles", F.explode(keys).alias("k")).select("home", "k.*", "sig", "parity", "shingles")
+    dealt = found.select("home", "sig", "parity", "shingles", F.explode("keys").alias("k")).select("home", "k.*", "sig", "parity", "shingles")
     dealt = dealt.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -287,7 +398,16 @@ def other_links(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
     pairs = a.join(b, meet).select(F.least("a.sig", "b.sig").alias("a"), F.greatest("a.sig", "b.sig").alias("b")).distinct()
     pairs = materialize(pairs, "jaccard-pairs")
-    sets = lambda name: found.select(F.col("sig").alias(name), F.col("shingles").alias(f"{name}_set"))
+    shared = found.sparkSession.sparkContext.broadcast(Filter(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), "sig"))
+
+    def wanted(batches: Iterator[dict]) -> Iterator[dict]:
+        bits = shared.value.bytes()
+        for c in batches:
+            rows = np.flatnonzero(passes(bits, c["bit"].to_numpy()))
+            yield {k: c[k].take(rows) for k in ("sig", "shingles")}
+
+    kept = map_batches(found.select("sig", "shingles", Filter.bit("sig").alias("bit")), wanted, "sig long, shingles binary")
+    sets = lambda name: kept.select(F.col("sig").alias(name), F.col("shingles").alias(f"{name}_set"))
     checked = pairs.join(sets("a"), "a").join(sets("b"), "b")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -296,7 +416,9 @@ def other_links(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             ok = [linked(x, y, percent) for x, y in zip(read(c["a_set"]), read(c["b_set"]), strict=True)]
             yield {k: [v for v, x in zip(c[k].to_pylist(), ok, strict=True) if x] for k in ("a", "b")}
 
-    return materialize(map_batches(checked, run, "a long, b long"), "jaccard-other-links")
+    out = materialize(map_batches(checked, run, "a long, b long"), "jaccard-other-links")
+    shared.destroy()
+    return out
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -304,16 +426,16 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
 
     Two documents link when 100 * intersection >= percent * union of their sets of `size`-word shingles (A-Z lower-cased; a
     shorter text is one shingle; null, empty and blank texts have none and link with nothing, so component_id is doc_id). Equal sets
-    are one node, known by a 64-bit hash of the set, and are never compared. Prefixes hold each set's rarest shingles by a
-    frequency sketch of all documents; an inexact count changes the order alone, which is the same for every set, and so no link
-    is lost. Sets that share a prefix shingle are compared in the longest list that each is in, block by block; the other
+    are one node, known by a 64-bit hash of the set, and are never compared. Prefixes hold each set's rarest shingles: a
+    shingle's documents are bounded by the counts, over all documents, of its cell and of its words' cells. A bound that is
+    too high changes the order alone, which is the same for every set, and so no link is lost. Sets that share a prefix shingle are compared in the longest list that each is in, block by block; the other
     pairs follow if they aren't joined by then. A null doc_id takes part and gets its component's smallest doc_id, if any; repeated
     rows are equal sets; other columns are ignored; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     index = indexed(docs, size, percent)
     nodes = materialize(index.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-nodes")
-    found = members(docs, index, nodes, size)
+    found = members(docs, index, nodes, size, percent)
     near = home_links(found, percent)
     labels = components(near)
     links = near.union(other_links(found, labels, percent))
