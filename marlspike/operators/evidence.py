@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +107,3 @@ def claims_of(payload: DataFrame, column: str = "value") -> DataFrame:
         F.coalesce(F.from_json(v, f"struct<claims:array<{one}>>")["claims"], F.array(F.from_json(v, one)))
     )
     return payload.select(F.explode(listed).alias("c")).select("c.*").where("text is not null")
-
-
-def merge_conditions(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
