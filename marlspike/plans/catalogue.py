@@ -218,11 +218,20 @@ def asof_boundaries(spark, d):
     return intervals(spark, d).where("vf <> ''").select("o_orderkey", P.active_at(f, t, f).alias("at_start"), P.active_at(f, t, end).alias("at_end"), P.active_at(f, t, after).alias("after_end"), P.active_at(f, t, "").alias("no_day"))
 
 
+PRIVATE = ("Personalnummer of x", "the KV-Nr", "my Versichertennummer", "Hauptstraße 5", "geb. 1.2.1990", "kvnrx übermutter")
+
+
 @query(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\d{6,}') THEN 'a run of six or more digits looks like an ID' ELSE '' END AS reason FROM documents"""
+    r"""SELECT doc_id, CASE WHEN regexp_matches(q, '\d{6,}') THEN 'a run of six or more digits looks like an ID' WHEN regexp_matches(q, '(?i)\bpersonalnummer\b') THEN 'Personalnummer is staff data'
+      WHEN regexp_matches(q, '(?i)\bkv[-\s]?nr\b') THEN 'KV-Nr is an insurance number' WHEN regexp_matches(q, '(?i)\bversichertennummer\b') THEN 'insurance number'
+      WHEN regexp_matches(q, '(?i)\b[A-Za-zÄÖÜäöüß]+(?:stra(?:ss|ß)e|str\.)\s*\d+') THEN 'a street with a house number looks like an address'
+      WHEN regexp_matches(q, '(?i)\bgeb(?:urtsdatum)?\.?\s*\d{1,2}[./]\d{1,2}[./]\d{2,4}') THEN 'a date of birth' ELSE '' END AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 9 < 6 THEN """
+    + f"{[*PRIVATE]}[doc_id % 9 + 1] ELSE text END AS q FROM documents)"
 )
 def pii_guard(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.private_reason(F.col("text")).alias("reason"))
+    n = (F.col("doc_id") % 9).cast("int")
+    q = F.when(n < 6, F.get(F.array(*map(F.lit, PRIVATE)), n)).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", P.private_reason(q).alias("reason"))
 
 
 @query(WITH + "SELECT doc_id, root = 'facts' AND confidence = 'confirmed' AS confirmed FROM leafs")
