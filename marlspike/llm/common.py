@@ -11,23 +11,24 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed: ASCII white space, the only separators of words in these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch; texts may be long, so a batch holds few of them.
-BATCH_ROWS, BATCH_BYTES = 8000, "24m"
+BATCH_ROWS, BATCH_BYTES = 3000, "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let executors import this package and keep Arrow batches small; harmless when repeated."""
+    """Let executors import this package, keep Arrow batches small and stored tables in few files; harmless when repeated."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")  # partitions of the advised size, not many small ones
     return spark
 
 
@@ -63,13 +64,30 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], sc
         named = (dict(zip(b.schema.names, b.columns, strict=True)) for b in batches if b.num_rows)
         for out in f(named):
             yield pa.RecordBatch.from_arrays([as_arrow(out[x.name], x.type) for x in arrow], schema=arrow)
+            del out
+            release()
         release()
 
     return df.mapInArrow(run, schema)
 
 
+def merged(batches: Iterator[dict], size: int = 12 << 20) -> Iterator[dict]:
+    """Batches put together until they hold `size` bytes: the JVM sends small ones, some work is cheaper on larger ones."""
+    held: list[dict] = []
+    total = 0
+    for b in batches:
+        held.append(b)
+        total += sum(x.nbytes for x in b.values())
+        if total >= size:
+            yield {k: pa.concat_arrays([x[k] for x in held]) for k in b}
+            held, total = [], 0
+    if held:
+        yield {k: pa.concat_arrays([x[k] for x in held]) for k in held[0]}
+
+
 def release() -> None:
     """Give freed memory back to the system, as a worker outlives its task and may idle beside the next one's."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -88,7 +106,3 @@ def text_rows(docs: DataFrame, *more: str) -> DataFrame:
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z in lower case: bytes.split() and bytes.lower() know ASCII alone."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def long_hash(*cols: Column) -> Column:
-    return F.xxhash64(*cols)

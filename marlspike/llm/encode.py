@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 UNUSUAL = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
 LETTERED = r"^[a-z\x{e0}-\x{f6}\x{f8}-\x{24f}]+$"
 MARKED = r"^([a-z\x{e0}-\x{f6}\x{f8}-\x{24f}]+)[.,;:!?]$"
-#: Chunks that a worker keeps, about 160 MB; it starts afresh beyond that.
-KEPT_CHUNKS = 800_000
+#: Chunks that a worker keeps, about 50 MB, unless told otherwise; it starts afresh beyond that.
+KEPT_CHUNKS = 250_000
 #: Words that are encoded as one text.
 TOGETHER = 4000
 #: Token that ends each document.
@@ -31,7 +31,8 @@ class ChunkEncoder:
     tokens that end a word. Texts with special strings or unusual characters go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,7 +87,7 @@ class ChunkEncoder:
         """As whole(), of distinct plain lower-case chunks."""
         rest = pc.replace_substring_regex(chunks, MARKED, r"\1").dictionary_encode()
         names = rest.dictionary.to_pylist()
-        if len(self.place) > KEPT_CHUNKS:
+        if len(self.place) > self.kept:
             self.forget()
         at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int32, len(names))
         if len(missing := np.flatnonzero(at < 0)):
@@ -143,11 +144,11 @@ def ended(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return np.split(out, ends[:-1]) if len(ends) else []
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker and file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int = KEPT_CHUNKS) -> ChunkEncoder:
+    """One encoder for each worker, file and bound of kept chunks."""
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = ChunkEncoder(path, kept)
+    return _encoders[path, kept]

@@ -17,7 +17,7 @@ UNKNOWN = "und"
 #: Bounds of the labelled sample that the model is fitted on: labels, windows for each label, code points of a window.
 MAX_LABELS, WINDOWS, WINDOW = 200, 500, 400
 #: Words whose emissions a worker keeps, and words that one forward-backward pass holds.
-KEPT_WORDS, PASS_WORDS = 400_000, 400_000
+KEPT_WORDS, PASS_WORDS = 250_000, 300_000
 
 
 def shape_features(word: str) -> list[str]:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from marlspike.llm.common import map_batches, prepare, text_rows
+from marlspike.llm.common import map_batches, merged, prepare, text_rows
 from marlspike.llm.encode import END, ended, encoder
 
 #: Padding tokens that a cut is worth: at a document's end, at a sentence's end, anywhere else; and a sequence more.
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, with_ids: bool =
             out = {"doc_id": key, "start": start, "length": [*map(len, ids)], "ids_crc32": crc, "doc_tokens": total, "sequence_id": sequence, "offset": offset}
             return out | ({"ids": [x.tolist() for x in ids]} if with_ids else {})
 
-        for b in batches:
+        for b in merged(batches, 6 << 20):
             pieces = []
             for key, ids in zip(b["doc_id"].to_pylist(), ended(*encode.batch(b["text"])), strict=True):
                 pieces += packer.add(key, ids)

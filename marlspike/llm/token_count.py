@@ -16,7 +16,7 @@ PLAIN = regex.compile(r"[\x00-\x1b\x20-įı-ɏ‐-‧€]*")
 #: Fixed: the vocabulary's split pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks whose counts a worker keeps; it starts afresh beyond that.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 400_000
 LONGEST_KEPT = 48
 
 

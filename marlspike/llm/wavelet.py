@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import map_batches, materialize, prepare, scratch, text_rows
+from marlspike.llm.common import map_batches, materialize, merged, prepare, scratch, text_rows
 from marlspike.llm.encode import ended, encoder
 
 MAGIC = b"WVLTMTX1"
@@ -22,6 +22,8 @@ MAGIC = b"WVLTMTX1"
 BLOCK_BITS = 1 << 16
 #: Tokens of a shard file at least, when its partition has as many.
 SHARD_TOKENS = 1 << 20
+#: Chunks whose ids a worker keeps while it encodes, about 160 MB.
+KEPT_CHUNKS = 800_000
 
 
 def build(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> bytes:
@@ -171,7 +173,7 @@ def write_shards(docs: DataFrame, vocabulary: str, out: str, shard_tokens: int =
     rows = text_rows(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("tie")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary, KEPT_CHUNKS), TaskContext.get().partitionId()
         fs, folder = filesystem(out)
         keys: list[int | None] = []
         held: list[np.ndarray] = []
@@ -187,7 +189,7 @@ def write_shards(docs: DataFrame, vocabulary: str, out: str, shard_tokens: int =
             return {"part": [part], "shard": [shard], "file": [name], "n_tokens": [size]}
 
         fs.create_dir(folder, recursive=True)
-        for b in batches:
+        for b in merged(batches):
             for key, ids in zip(b["doc_id"].to_pylist(), ended(*encode.batch(b["text"])), strict=True):
                 keys.append(key)
                 held.append(ids)
