@@ -16,9 +16,13 @@ K1, B, RRF = 1.2, 0.75, 60
 OVERFETCH = 3
 
 
+#: A token is a maximal run of letters and digits; a term between these bounds is one.
+TOKEN, APART, UNTIL = r"[\p{L}\p{N}]+", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+
+
 def tokens(body: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(text(body)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text(body)), F.lit(TOKEN), F.lit(0))
 
 
 def terms_of(query: str) -> list[str]:
@@ -30,14 +34,14 @@ def terms_of(query: str) -> list[str]:
 def bm25(leafs: DataFrame, query: str, k: int | None = None) -> DataFrame:
     """id and score of leafs (id, text) that hold a term of the query; the best k by (score desc, id) if k is given.
 
-    One pass without a shuffle of texts: each row counts the few query terms in its own token array; only the sums over all rows (documents,
+    No shuffle of texts: each row counts the few query terms in its own text, by compiled patterns instead of an array of all tokens; only the sums over all rows (documents,
     mean length, documents with each term) are aggregated, to one row.
     """
     words = terms_of(query)
     if not words:
         return leafs.select("id", F.lit(0.0).alias("score")).where("false")
-    counted = leafs.select("id", tokens(F.col("text")).alias("t")).select(
-        "id", F.size("t").alias("len"), *[F.size(F.filter("t", _is(w))).alias(f"f{i}") for i, w in enumerate(words)]
+    counted = leafs.select("id", F.lower(text("text")).alias("t")).select(
+        "id", F.regexp_count("t", F.lit(TOKEN)).alias("len"), *[F.regexp_count("t", F.lit(f"{APART}{w}{UNTIL}")).alias(f"f{i}") for i, w in enumerate(words)]
     )
     sums = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(words))])
     scored = counted.where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(words))])).crossJoin(F.broadcast(sums))
@@ -45,10 +49,6 @@ def bm25(leafs: DataFrame, query: str, k: int | None = None) -> DataFrame:
     return best(scored.select("id", score.alias("score")), k)
 
 
-def _is(word: str):
-    return lambda x: x == word
-
-
 def _term(f: Column, df: Column) -> Column:
     idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
     return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
