@@ -234,6 +234,17 @@ def pii_guard(spark, d):
     return table(spark, d, "documents").select("doc_id", P.private_reason(q).alias("reason"))
 
 
+@query(
+    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\d{6,}') THEN 'a run of six or more digits looks like an ID' WHEN regexp_matches(text, '(?i)\bpersonalnummer\b') THEN 'Personalnummer is staff data'
+      WHEN regexp_matches(text, '(?i)\bkv[-\s]?nr\b') THEN 'KV-Nr is an insurance number' WHEN regexp_matches(text, '(?i)\bversichertennummer\b') THEN 'insurance number'
+      WHEN regexp_matches(text, '(?i)\b[A-Za-zÄÖÜäöüß]+(?:stra(?:ss|ß)e|str\.)\s*\d+') THEN 'a street with a house number looks like an address'
+      WHEN regexp_matches(text, '(?i)\bgeb(?:urtsdatum)?\.?\s*\d{1,2}[./]\d{1,2}[./]\d{2,4}') THEN 'a date of birth' ELSE '' END AS reason FROM documents"""
+)
+def pii_guard_all(spark, d):
+    """The guard on every document's own text."""
+    return table(spark, d, "documents").select("doc_id", P.private_reason(F.col("text")).alias("reason"))
+
+
 @query(WITH + "SELECT doc_id, root = 'facts' AND confidence = 'confirmed' AS confirmed FROM leafs")
 def confirmed_fact_flag(spark, d):
     return leafs(spark, d).select("doc_id", P.confirmed_fact(F.col("root"), F.col("confidence")).alias("confirmed"))
@@ -709,6 +720,14 @@ def store_upsert(spark, d):
     return S.upsert(put("doc_id % 3 = 0", "old"), put("doc_id % 2 = 0", "new")).select("id", "loc")
 
 
+@query("SELECT substr(sha256('s' || doc_id || chr(0) || text), 1, 24) AS id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'old' ELSE 'new' END AS loc FROM documents")
+def store_upsert_all(spark, d):
+    """Every document is stored: a third is there before, and all but the odd ones of it come (again)."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source"))
+    put = lambda where, loc: S.complete(rows.where(where).withColumn("loc", F.lit(loc)).drop("doc_id"), "2024-01-01T00:00:00Z")
+    return S.upsert(put("doc_id % 3 = 0", "old"), put("doc_id % 3 <> 0 OR doc_id % 2 = 0", "new")).select("id", "loc")
+
+
 @query("SELECT DISTINCT p_brand || ':' || p_type AS id, count(*) AS n FROM part GROUP BY ALL")
 def file_links(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("path"), F.col("p_brand").alias("repo"))
@@ -814,6 +833,12 @@ def should_escalate(spark, d):
     return E.should_escalate(leafs(spark, d).where("doc_id % 5 = 1"))
 
 
+@query(WITH + "SELECT NOT bool_or(root = 'facts' AND confidence = 'confirmed') AS escalate FROM leafs")
+def should_escalate_all(spark, d):
+    """Over all leafs, confirmed facts among them."""
+    return E.should_escalate(leafs(spark, d))
+
+
 # --- pairing --------------------------------------------------------------------------------------------------------------
 
 
@@ -838,6 +863,15 @@ def pair_theta_mention(spark, d):
     return n.select("n_name").join(F.broadcast(docs), met, "left_semi").distinct()
 
 
+@query("SELECT DISTINCT n_name FROM nation WHERE EXISTS (SELECT 1 FROM (SELECT 'x ' || n2.n_name || ', y' AS t FROM nation n2) WHERE regexp_matches(t, '(?i)(^|[^0-9A-Za-z_])' || n_name || '([^0-9A-Za-z_]|$)'))")
+def pair_theta_mention_all(spark, d):
+    """Mentions of all nations."""
+    n = table(spark, d, "nation")
+    docs = n.select(F.concat(F.lit("x "), "n_name", F.lit(", y")).alias("t"))
+    met = F.expr(r"t rlike concat('(?iu)(?<![0-9A-Za-z_])', n_name, '(?![0-9A-Za-z_])')")
+    return n.select("n_name").join(F.broadcast(docs), met, "left_semi").distinct()
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_mktsegment = 'BUILDING'")
 def pair_anti_missing(spark, d):
     c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("org"))
@@ -865,6 +899,17 @@ def token_overlap_match(spark, d):
     return J.word_pairs(a, b, "p_name", "label").select("p_partkey", "p_type").distinct()
 
 
+@query(
+    """WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), v AS (SELECT DISTINCT p_type, unnest(string_split(lower(p_type || ' ' || split_part(p_name, ' ', 1)), ' ')) AS w FROM part)
+    SELECT DISTINCT p_partkey, p_type FROM w JOIN v USING (w) WHERE length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 4"""
+)
+def token_overlap_match_all(spark, d):
+    """All parts with all labels; equal labels are one."""
+    p = table(spark, d, "part")
+    b = p.select("p_type", F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("label")).distinct()
+    return J.word_pairs(p.select("p_partkey", "p_name"), b, "p_name", "label").select("p_partkey", "p_type").distinct()
+
+
 @query(
     """SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'persons-create' WHEN lower(o_orderpriority) = lower(c_mktsegment) OR o_orderpriority = '1-URGENT' THEN 'skip' ELSE 'info-add' END AS action
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0"""
@@ -909,6 +954,30 @@ def frontmatter_map(spark, d):
     return marked(spark, d).select("path", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("type", "status", "owner")])
 
 
+def marked_all(spark, d) -> DataFrame:
+    """marked() for every document, with its whole text."""
+    head = F.concat(F.lit("---\ntype: note\nstatus: 'old'\nowner: "), F.col("source"), F.lit("\n---\n# Title "), F.col("doc_id").cast("string"), F.lit("\nlost\n## One\n\n"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("r").alias("repo"), F.concat(head, "text", F.lit("\n## Two\nend")).alias("content"))
+
+
+#: Texts may have headings of their own: the tables' have none, and tests hold sections() against brute force on texts that do.
+LINES_ALL = "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS b, source FROM documents"
+
+
+@query(
+    f"""SELECT doc_id::VARCHAR AS source, 'One' AS heading, 'Title ' || doc_id || chr(10) || chr(10) || '## One' || chr(10) || b AS text, 'note' AS type, 'old' AS status FROM ({LINES_ALL})
+    UNION ALL SELECT doc_id::VARCHAR, 'Two', '## Two' || chr(10) || 'end', 'note', 'old' FROM ({LINES_ALL})"""
+)
+def md_chunks_all(spark, d):
+    return sections(marked_all(spark, d)).select("source", "heading", "text", "type", "status")
+
+
+@query("SELECT doc_id::VARCHAR AS path, 'note' AS type, 'old' AS status, source AS owner FROM documents")
+def frontmatter_map_all(spark, d):
+    m = front_matter(F.col("content"))
+    return marked_all(spark, d).select("path", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("type", "status", "owner")])
+
+
 @query("SELECT o_orderkey, '## ' || o_orderpriority || chr(10) || '- when: ' || strftime(o_orderdate, '%Y-%m-%d') || ' 10:30 Nowhere' || chr(10) || '- where: a, b' AS markdown FROM orders")
 def calendar_events(spark, d):
     day = F.date_format("o_orderdate", "yyyyMMdd")
