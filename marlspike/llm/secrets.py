@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -31,10 +32,10 @@ KINDS = ("assign", "access", "hex")
 #: Weak parts: none is a secret by itself. Identifiers of accounts or keys, opaque values, and the places where both are used.
 IDENTIFIER = re.compile(
     rf"(?<![A-Za-z0-9])(?:{'|'.join(map(either, ('user', 'username', 'login', 'account', 'client_?id', 'access_?key_?id', 'key_?id', 'app_?id')))})"
-    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{4,64}+)"
+    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{4,}+)"
 )
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}+={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh)://[^\s\"'<>]{3,400}+")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"(?:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh)://[^\s\"'<>]{3,}+")
 
 
 class Part(NamedTuple):
@@ -71,11 +72,12 @@ def opaque(value: str, least: float) -> bool:
 
 def weak_parts(text: str, base: list[Part], least_entropy: float) -> tuple[list[Part], list[Part], list[Part]]:
     """Identifiers (strong access keys among them), opaque values and endpoints."""
-    taken = [(p.start, p.end) for p in base]
+    taken = [p.start for p in base]
+    furthest = [*accumulate((p.end for p in base), max)]
 
     def free(a: int, b: int) -> bool:
-        i = bisect_left(taken, (b,))
-        return all(e <= a for _, e in taken[max(0, i - 8) : i])
+        i = bisect_left(taken, b)
+        return i == 0 or furthest[i - 1] <= a
 
     ids = [p for p in base if p.kind == "access"]
     if ":" in text or "=" in text:
@@ -85,15 +87,21 @@ def weak_parts(text: str, base: list[Part], least_entropy: float) -> tuple[list[
     return sorted(ids, key=lambda p: p.start), values, places
 
 
-def near(part: Part, others: list[Part], scope: int, starts: list[int]) -> bool:
-    """Whether a part of others lies wholly within scope code points of part: an interval join by binary search."""
-    lo = bisect_left(starts, part.start - 1024 - scope)
-    for o in others[lo:]:
-        if o.start > part.end + scope:
-            return False
-        if o.end >= part.start - scope and (o.end <= part.start or o.start >= part.end):
-            return True
-    return False
+class Ends(NamedTuple):
+    """Where parts start and where they end, each in order."""
+
+    starts: list[int]
+    ends: list[int]
+
+    @classmethod
+    def of(cls, parts: list[Part]) -> Ends:
+        return cls(sorted(p.start for p in parts), sorted(p.end for p in parts))
+
+
+def near(part: Part, others: Ends, scope: int) -> bool:
+    """Whether one of others, of any length, ends within scope code points before part or starts within scope behind it."""
+    i, j = bisect_left(others.ends, part.start - scope), bisect_left(others.starts, part.end)
+    return (i < len(others.ends) and others.ends[i] <= part.start) or (j < len(others.starts) and others.starts[j] <= part.end + scope)
 
 
 def linked_spans(text: str, base: list[Part], scope: int = 200, least_entropy: float = 3.5) -> list[Part]:
@@ -105,12 +113,10 @@ def linked_spans(text: str, base: list[Part], scope: int = 200, least_entropy: f
     ids, values, places = weak_parts(text, base, least_entropy)
     if not (ids or places) or not (values or base):
         return []
-    at = lambda parts: [p.start for p in parts]
-    id_starts, place_starts = at(ids), at(places)
-    out = [Part("linked_secret", v.start, v.end) for v in values if near(v, ids, scope, id_starts) or near(v, places, scope, place_starts)]
-    secrets = sorted([*out, *(p for p in base if p.kind != "access")], key=lambda p: p.start)
-    starts = at(secrets)
-    out += [Part("linked_id", p.start, p.end) for p in ids if p.kind == "id" and near(p, secrets, scope, starts)]
+    by_id, by_place = Ends.of(ids), Ends.of(places)
+    out = [Part("linked_secret", v.start, v.end) for v in values if near(v, by_id, scope) or near(v, by_place, scope)]
+    secrets = Ends.of([*out, *(p for p in base if p.kind != "access")])
+    out += [Part("linked_id", p.start, p.end) for p in ids if p.kind == "id" and near(p, secrets, scope)]
     return sorted({*out})
 
 

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from marlspike.llm.secrets import all_spans, redact
 
 from .conftest import documents, texts
 
@@ -38,3 +39,17 @@ def test_the_near_copy_stage_takes_five_words_and_four_fifths(spark):
     stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     kept = {r["doc_id"] for r in stage(spark, docs, "").collect()}
     assert kept == {i for i, c in least.items() if i == c} and not kept & {3 * k + 1 for k in range(6)}
+
+
+def test_long_parts_are_linked_whole():
+    rng = random.Random(22)
+    drawn = lambda n: "aB3" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 3))
+    kinds = lambda text: [p.kind for p in all_spans(text)[1]]
+    jwt = f"token=eyJ{drawn(1500)}"
+    assert kinds(f"{jwt} client_id=alice99") == ["assign", "linked_id"] and kinds(f"{jwt} {'word ' * 60}client_id=alice99") == ["assign"]
+    assert kinds(f"client_id=alice99 session {drawn(150)}") == ["linked_id", "linked_secret"] and kinds(f"{drawn(3000)} at https://db.example.org/{'x' * 900}") == ["linked_secret"]
+    name = f"123456789012-{'k' * 32}.apps.googleusercontent.com"
+    assert redact(f"client_id={name} token=abcdefgh end") == "client_id=[SECRET] [SECRET] end"
+    assert kinds(f"https://db.example.org/{'x/' * 300}y {drawn(40)}") == ["linked_secret"]
+    inside = "token=" + "_".join(["0a" * 12] * 12) + "_user=alice99 "
+    assert kinds(inside)[0] == "assign" and "linked_id" not in kinds(inside)
