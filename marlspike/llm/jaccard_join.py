@@ -280,8 +280,9 @@ class Members:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def links(self, two: bool) -> Iterator[tuple[int, int]]:
-        """Links that join what isn't joined yet. two: only between side 0 and side 1, each of which is compared in itself elsewhere."""
+    def links(self, two: bool, every: bool = False) -> Iterator[tuple[int, int]]:
+        """Every link, or those that join what isn't joined yet. two: only between side 0 and side 1, each of which is compared in itself
+        elsewhere."""
         m = len(self.sets)
         for i in range(m - 1):
             j = np.arange(i + 1, m)
@@ -290,8 +291,10 @@ class Members:
             j = j[(100 * np.minimum(self.n[i], self.n[j]) >= self.percent * np.maximum(self.n[i], self.n[j])) & (self.sig[i] != self.sig[j])]
             differ = np.bitwise_count(self.parity[j] ^ self.parity[i]).sum(1, dtype=np.int64)
             for k in j[differ * (100 + self.percent) <= (100 - self.percent) * (self.n[j] + self.n[i])].tolist():
-                if (a := self.root(i)) != (b := self.root(k)) and linked(self.sets[i], self.sets[k], self.percent):
-                    self.up[a] = b
+                a, b = (i, k) if every else (self.root(i), self.root(k))
+                if a != b and linked(self.sets[i], self.sets[k], self.percent):
+                    if not every:
+                        self.up[a] = b
                     yield int(self.sig[i]), int(self.sig[k])
 
 
@@ -337,8 +340,9 @@ def blocks(live: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("keys", keys).select(*live.columns, "keys")
 
 
-def home_links(found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already."""
+def home_links(found: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already; every: all
+    links of the list."""
     by = ("home", "two", "low", "i", "j")
     dealt = found.select("home", "sig", "parity", "shingles", F.explode("keys").alias("k")).select("home", "k.*", "sig", "parity", "shingles")
     dealt = dealt.repartition(*by).sortWithinPartitions(*by)
@@ -350,7 +354,7 @@ def home_links(found: DataFrame, percent: int) -> DataFrame:
         def links() -> list[tuple[int, int]]:
             sig, side, parity, sets = zip(*group, strict=True)
             m = Members(np.array(sig), np.array(side), np.array(parity, np.int64).view(np.uint64), [np.frombuffer(s, np.uint64) for s in sets], percent)
-            return [*m.links(two=now[1] == 1 or now[3] != now[4])]
+            return [*m.links(now[1] == 1 or now[3] != now[4], every)]
 
         for b in batches:
             out: list[tuple[int, int]] = []
@@ -368,14 +372,15 @@ def home_links(found: DataFrame, percent: int) -> DataFrame:
     return materialize(map_batches(dealt, run, "a long, b long"), "jaccard-home-links")
 
 
-def other_links(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different home lists and, so far, different components.
+def other_links(found: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Links (a, b) between members of different home lists and, so far, different components; labels None: of any components.
 
     Pairs meet on a live prefix shingle; the list of their first common one owns them. Length, positional and suffix filters
     come before a pair is made, and each pair is verified once, on whole sets.
     """
     own = F.transform(F.slice("live", 1, OWN), lambda x: x["token"])
-    rows = found.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
+    known = found.withColumn("label", F.lit(None).cast("long")) if labels is None else found.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    rows = known.select(  # without labels each set is a component of its own
         "sig", "n", "home", "parity", own.alias("own"), F.coalesce("label", "sig").alias("label"), F.explode("live").alias("x")
     ).select("sig", "n", "home", "parity", "own", "label", "x.token", "x.pos")
     mixed = rows.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.min("label").alias("l"), F.max("label").alias("h"))
@@ -421,6 +426,42 @@ def other_links(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def compared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: the documents' index, the distinct sets (sig, rep: smallest doc_id, docs: how many), and the members that may link."""
+    prepare(docs.sparkSession)
+    index = indexed(docs, size, percent)
+    nodes = materialize(index.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "jaccard-nodes")
+    return index, nodes, members(docs, index, nodes, size, percent)
+
+
+def every_link(found: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between distinct sets; each candidate pair is verified once, in the home list of both or else where they meet."""
+    return home_links(found, percent, every=True).union(other_links(found, None, percent))
+
+
+def jaccard_links(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """The join itself: a row for each link between distinct sets of shingles, a_set < b_set (their hashes), a_doc, b_doc (the smallest doc_id
+    that has the set, null if none), a_docs, b_docs (documents that have it: a_docs * b_docs pairs of documents link).
+
+    Links, and what makes a document's set, are as in jaccard_join, which skips pairs that are joined already and so finds components with
+    fewer comparisons. A group of m different near copies has up to m * (m - 1) / 2 rows here.
+    """
+    _, nodes, found = compared(docs, size, percent)
+    links = every_link(found, percent).select(F.least("a", "b").alias("a_set"), F.greatest("a", "b").alias("b_set"))
+    one = lambda k: nodes.select(F.col("sig").alias(f"{k}_set"), F.col("rep").alias(f"{k}_doc"), F.col("docs").alias(f"{k}_docs"))
+    return links.join(one("a"), "a_set").join(one("b"), "b_set").select("a_set", "b_set", "a_doc", "b_doc", "a_docs", "b_docs")
+
+
+def link_counts(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """Per document doc_id, n_shingles, n_links: the other documents it links with, those of an equal set among them; 0 for empty sets."""
+    index, nodes, found = compared(docs, size, percent)
+    links = every_link(found, percent)
+    ends = links.union(links.select("b", "a")).toDF("sig", "other")
+    others = ends.join(nodes.select(F.col("sig").alias("other"), "docs"), "other").groupBy("sig").agg(F.sum("docs").alias("linked"))
+    counts = nodes.join(others, "sig", "left").select("sig", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return index.join(counts, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Per document doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
 
@@ -432,10 +473,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     pairs follow if they aren't joined by then. A null doc_id takes part and gets its component's smallest doc_id, if any; repeated
     rows are equal sets; other columns are ignored; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
-    index = indexed(docs, size, percent)
-    nodes = materialize(index.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-nodes")
-    found = members(docs, index, nodes, size, percent)
+    index, nodes, found = compared(docs, size, percent)
     near = home_links(found, percent)
     labels = components(near)
     links = near.union(other_links(found, labels, percent))

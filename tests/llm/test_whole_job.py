@@ -3,7 +3,10 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
+from marlspike.llm import jaccard_join as J
 from marlspike.llm.secrets import all_spans, redact
 
 from .conftest import documents, texts
@@ -53,3 +56,31 @@ def test_long_parts_are_linked_whole():
     assert kinds(f"https://db.example.org/{'x/' * 300}y {drawn(40)}") == ["linked_secret"]
     inside = "token=" + "_".join(["0a" * 12] * 12) + "_user=alice99 "
     assert kinds(inside)[0] == "assign" and "linked_id" not in kinds(inside)
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_the_join_returns_every_link(spark, monkeypatch, block):
+    """Groups of near copies that link among themselves, with passages that many texts share, exact copies and unnamed documents."""
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", block)
+    rng = random.Random(23)
+    passage, rows = [f"p{i}" for i in range(60)], [None, "", "one two"]
+    for k in range(8):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 90, 150]))] + passage * (k % 2)
+        for _ in range(rng.choice([3, 12, 25])):
+            rows.append(" ".join(edited(rng, base, rng.choice([0, 1, 1, 2]))))
+            base = edited(rng, base, 1) if rng.random() < 0.2 else base
+    docs = documents(spark, [(None if i % 17 == 5 else i, x, "en", "s") for i, x in enumerate(rows)])
+    named, at = [*enumerate(rows)], {}
+    for i, x in named:
+        at.setdefault(word_sets(x, 3), []).append(i)
+    linked = brute_links(named, 3, 90)
+    least = lambda i: min((k for k in at[word_sets(rows[i], 3)] if k % 17 != 5), default=None)
+    want = {frozenset((at[word_sets(rows[i], 3)][0], at[word_sets(rows[j], 3)][0])) for i, j in linked}
+    got = J.jaccard_links(docs).collect()
+    distinct = [x for x in want if len(x) == 2]
+    assert len({(r["a_set"], r["b_set"]) for r in got}) == len(got) == len(distinct) > 100 and all(r["a_set"] < r["b_set"] for r in got)
+    assert sum(r["a_docs"] * r["b_docs"] for r in got) == sum(word_sets(rows[i], 3) != word_sets(rows[j], 3) for i, j in linked)
+    ends = lambda pairs: sorted(map(sorted, ((x or -1, y or -1) for x, y in pairs)))
+    assert ends((r["a_doc"], r["b_doc"]) for r in got) == ends(map(least, x) for x in distinct)
+    n = [sum(i in x for x in linked) for i, _ in named]
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in J.link_counts(docs).collect()) == sorted((str(None if i % 17 == 5 else i), n[i]) for i, _ in named)
