@@ -48,16 +48,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source_key", "source_size", "target", "epochs", (F.floor("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Per document doc_id, size (words), source_size, target (its source's), taken (words the mix takes, repeats counted).
-
-    Each source is taken whole as often as its target allows; the rest comes from documents in the order of their exponential
-    keys -ln(u) / quality, u from doc_id, cut where the prefix sum of sizes reaches it, within the last document if need be. Prefix sums
-    are made in two levels, over key ranges of a source and inside a range, so no task holds a source. Null and empty texts have size 0;
-    a null source is a source of its own, last; a null doc_id draws like any other; documents that share a doc_id draw the same u and
-    tie by size; other columns are ignored. The same rows give the same mix.
-    """
-    prepare(docs.sparkSession)
+def drawn(docs: DataFrame, seed: str, *more: str) -> DataFrame:
+    """doc_id, source, source_key, size, key and its range, text_hash of each document, with further columns by name."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -65,31 +57,50 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source_key"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (-F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(quality(text), F.lit(1.0))).alias("key"),
+        F.xxhash64(text).alias("text_hash"),
+        *more,
     )
-    rows = materialize(rows.withColumn("range", F.least(F.lit(LAST_RANGE), F.floor(F.col("key") * RANGES)).cast("int")), "mix")
+    return rows.withColumn("range", F.least(F.lit(LAST_RANGE), F.floor(F.col("key") * RANGES)).cast("int"))
+
+
+def planned(rows: DataFrame) -> DataFrame:
+    """Stored rows of drawn() with source_size, target and taken, a row for each."""
     ranges = rows.groupBy("source_key", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
     ranges = materialize(ranges, "mix-ranges")
     sizes = ranges.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     plan = ranges.withColumn("earlier", F.coalesce(F.sum("range_size").over(earlier), zero)).drop("source").join(targets(sizes), "source_key")
-    within = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("earlier") + F.coalesce(F.sum("size").over(within), zero)
     extra = F.greatest(zero, F.least("size", F.col("rest") - before))
-    out = rows.drop("source").join(plan, ["source_key", "range"])
-    return out.withColumn("taken", F.col("epochs") * F.col("size") + extra).select("doc_id", "size", "source_size", "target", "taken")
+    return rows.drop("source").join(plan, ["source_key", "range"]).withColumn("taken", F.col("epochs") * F.col("size") + extra)
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """Per document doc_id, size (words), source_size, target (its source's), taken (words the mix takes, repeats counted).
+
+    Each source is taken whole as often as its target allows; the rest comes from documents in the order of their exponential
+    keys -ln(u) / quality, u from doc_id, cut where the prefix sum of sizes reaches it, within the last document if need be. Prefix sums
+    are made in two levels, over key ranges of a source and inside a range, so no task holds a source. Null and empty texts have size 0;
+    a null source is a source of its own, last; a null doc_id draws like any other; documents that share a doc_id draw the same u and
+    tie by size, then by their text's hash; other columns are ignored. The same rows give the same mix.
+    """
+    prepare(docs.sparkSession)
+    return planned(materialize(drawn(docs, seed), "mix")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: docs (doc_id, text, lang, source, n_chars) with each document as often as it is taken.
 
-    Whole repeats come as rows; a part of a document is its first words, joined by blanks. Rows that share doc_id and size get the
-    least of what is taken of them.
+    Whole repeats come as rows; a part of a document is its first words, joined by blanks. Texts are stored under a number for each row,
+    by which the plan finds them again: rows may share doc_id, size and text, or have no doc_id.
     """
-    plan = mix(docs, seed).groupBy("doc_id", "size").agg(F.min("taken").alias("taken")).where("taken > 0").withColumnsRenamed({"doc_id": "key", "size": "key_size"})
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = text_rows(docs, "lang", "source", "n_chars").withColumn("size", words)
-    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("size") == F.col("key_size")))
+    prepare(docs.sparkSession)
+    text = F.col("text").cast("string").alias("text")
+    rows = materialize(drawn(docs, seed, text, "lang").withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    plan = planned(rows.drop("text", "lang")).where("taken > 0").select("row", "taken")
+    taken = rows.select("row", "doc_id", "text", "lang", "source", "size").join(plan, "row")
     repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
     taken = taken.withColumn("repeat", repeats)
     part = F.col("taken") - (F.col("repeat") - 1) * F.col("size")

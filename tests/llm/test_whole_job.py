@@ -1,12 +1,14 @@
 """Cases in which the operators once did less than the whole job."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
 
 import corpus_pipeline
 from marlspike.llm import jaccard_join as J
+from marlspike.llm import mixing
 from marlspike.llm.secrets import all_spans, redact
 
 from .conftest import documents, texts
@@ -84,3 +86,20 @@ def test_the_join_returns_every_link(spark, monkeypatch, block):
     assert ends((r["a_doc"], r["b_doc"]) for r in got) == ends(map(least, x) for x in distinct)
     n = [sum(i in x for x in linked) for i, _ in named]
     assert sorted((str(r["doc_id"]), r["n_links"]) for r in J.link_counts(docs).collect()) == sorted((str(None if i % 17 == 5 else i), n[i]) for i, _ in named)
+
+
+def test_the_mix_takes_rows_not_keys(spark):
+    """Rows without doc_id, rows that share one, and equal rows, all of one size: each gets what its own row of the plan says."""
+    rng = random.Random(24)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(20))
+    rows = [(None, text(), "en", rng.choice("aaaaaab")) for _ in range(200)] + [(i // 4, text(), "de", rng.choice("ac")) for i in range(100)]
+    docs = documents(spark, rows + rows[:20] + rows[:20] + rows[-10:])
+    want, got = Counter(), Counter()
+    for r in mixing.planned(mixing.drawn(docs, "mix", "text").localCheckpoint()).collect():
+        want[r["doc_id"], r["source_key"][1:]] += r["taken"]
+    for r in mixing.mixed(docs).collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert got == +want
+    plan = {(r["source_size"], r["target"]) for r in mixing.mix(docs).collect()}
+    assert all(abs(sum(n for (_, s), n in got.items() if s == k) - t) < 1 for k, t in zip("abc", (next(t for z, t in plan if z == size) for size in (20 * docs.where(f"source = '{k}'").count() for k in "abc")), strict=True))
