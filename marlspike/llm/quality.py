@@ -75,12 +75,16 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("base_failed", failed).withColumn("uid", F.monotonically_increasing_id()), "quality")
 
 
+#: Documents of a host that have a line before it can be boilerplate, however small the host: two may be copies of one another.
+FEWEST = 3
+
+
 def quality_rules(docs: DataFrame, least_limit: int = 50, limit_share: float = 0.01, most_removed: float = 0.7) -> DataFrame:
     """Per document doc_id, the counts, base_failed, n_removed_words, kept.
 
     A line counts once for each document and host (source; null is a host of its own). A line is removed from a host's documents when
-    more than max(least_limit, limit_share of the host's documents) of them have it; lines are compared after lower-casing,
-    digits as 0 and white space as one blank. A document that loses more than most_removed of its words is depleted: kept is false,
+    more than least_limit of them have it, whatever the host's size, or more than limit_share of them, if these are FEWEST at least; lines
+    are compared after lower-casing, digits as 0 and white space as one blank. A document that loses more than most_removed of its words is depleted: kept is false,
     as it is where base_failed. Null and empty texts have no words and fail the base rules; repeated rows count as documents each;
     other columns are ignored. Hashes travel instead of lines and are counted before the shuffle.
     """
@@ -88,9 +92,9 @@ def quality_rules(docs: DataFrame, least_limit: int = 50, limit_share: float = 0
     rows = measured(docs)
     each = rows.select("uid", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("uid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     hosts = rows.groupBy(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")).agg(F.count("*").alias("docs"))
-    often = each.groupBy("host", "line").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") > least_limit)
-    limit = F.greatest(F.lit(float(least_limit)), F.col("docs") * limit_share)
-    above = materialize(often.join(hosts, "host").where(F.col("docs_with") > limit).select("host", "line"), "lines")
+    often = each.groupBy("host", "line").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") >= min(FEWEST, least_limit + 1))
+    many = (F.col("docs_with") > least_limit) | ((F.col("docs_with") >= FEWEST) & (F.col("docs_with") > F.col("docs") * limit_share))
+    above = materialize(often.join(hosts, "host").where(many).select("host", "line"), "lines")
     lost = each.join(above, ["host", "line"]).groupBy("uid").agg(F.sum("words").alias("n_removed_words"))
     removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     return (

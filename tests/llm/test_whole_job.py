@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from marlspike.llm import jaccard_join as J
 from marlspike.llm import mixing
+from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import all_spans, redact
 
 from .conftest import documents, texts
@@ -103,3 +104,13 @@ def test_the_mix_takes_rows_not_keys(spark):
     assert got == +want
     plan = {(r["source_size"], r["target"]) for r in mixing.mix(docs).collect()}
     assert all(abs(sum(n for (_, s), n in got.items() if s == k) - t) < 1 for k, t in zip("abc", (next(t for z, t in plan if z == size) for size in (20 * docs.where(f"source = '{k}'").count() for k in "abc")), strict=True))
+
+
+def test_hosts_of_any_size_lose_frequent_lines(spark):
+    """small: all 8 documents have a notice, 2 share another line; mid: 9 of 700; big: 60 of 7000, under 1 %."""
+    own = lambda k: "".join("abcdefghij"[int(c)] for c in str(k)) + " stands alone here"
+    rows = [("small", f"all rights are kept\n{own(i)}" + "\ntwo have this" * (i < 2)) for i in range(8)]
+    rows += [("mid", own(i) + "\nnine of many have it" * (i < 9)) for i in range(700)] + [("big", own(i) + "\nsixty of many" * (i < 60) + "\nthirty of many" * (60 <= i < 90)) for i in range(7000)]
+    docs = documents(spark, [(i, x, "en", h) for i, (h, x) in enumerate(rows)])
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules(docs).collect()}
+    assert got == {i: 4 if h == "small" else 5 if "nine" in x else 3 if "sixty" in x else 0 for i, (h, x) in enumerate(rows)}
