@@ -18,8 +18,9 @@ BASE = {
 }
 #: An octet up to 255, leading zeros allowed.
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A candidate of the extraction: a token with a digit, without marks around it, as phones and cards are by themselves.
-MENTION = rf"{BASE['phone']}|(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){{12,18}}+(?![0-9A-Za-z])|(?<!\S)(?=\S*[0-9])\S++"
+#: A mention: a token with a digit or an at sign, without marks around it, as phones and cards are by themselves. Every base span is in one. Other
+#: tokens are candidates where they stand in the context of a pattern with seeds enough.
+MENTION = rf"{BASE['phone']}|(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){{12,18}}+(?![0-9A-Za-z])|(?<!\S)(?=\S*[0-9@])\S++"
 MARKS = r"[^\p{L}\p{N}+]"
 #: Code points on either side of a mention that hold its context.
 CONTEXT = 64
@@ -90,13 +91,13 @@ def of_kind(spans: str, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Stored rows uid, doc_id, base (array<struct<kind, start, end>> by kind, then start), mentions (with their contexts)."""
+    """Stored rows uid, doc_id, base (array<struct<kind, start, end>> by kind, then start), mentions (with their contexts),
+    pieces (array<struct<text, start>>: what stands between the mentions)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     could = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "ip": F.lit(True), "card": F.lit(True)}
-    none = F.array().cast("array<string>")
     shown = F.when(F.col("text").rlike("[0-9@]"), F.col("text")).otherwise("")
-    rows = rows.select("doc_id", shown.alias("text"))
+    rows = rows.select("doc_id", shown.alias("text"), F.col("text").alias("whole"))
     for kind in KINDS:
         here = F.when(could[kind], F.col("text")).otherwise("")
         rows = rows.withColumn(kind, F.regexp_extract_all(here, F.lit(BASE[kind]), F.lit(0)))
@@ -104,7 +105,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         gaps = F.transform(F.split("text", BASE[kind], -1), F.length)
         rows = rows.withColumn(f"{kind}_gaps", F.when(F.size(kind) > 0, gaps))
-    rows = rows.withColumn("between", F.when(F.size("mention") > 0, F.split("text", MENTION, -1)).otherwise(none)).drop("text")
+    rows = rows.withColumn("between", F.when(F.size("mention") > 0, F.split("text", MENTION, -1)).otherwise(F.array("whole"))).drop("text", "whole")
     spans = []
     for kind in KINDS:
         spans.append(spans_of(kind, placed(F.col(kind), F.col(f"{kind}_gaps"))))
@@ -118,7 +119,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
             F.lower(F.substring(F.get("between", i + 1), 1, CONTEXT)).alias("right"),
         ),
     )
-    return materialize(rows.select("doc_id", F.concat(*spans).alias("base"), around.alias("mentions")).withColumn("uid", F.monotonically_increasing_id()), "pii")
+    ends = F.concat(F.array(F.lit(0)), F.transform("mentions", lambda m: m["start"] + F.length(m["value"])))
+    rows = rows.select("doc_id", F.concat(*spans).alias("base"), around.alias("mentions"), "between")
+    rows = rows.select("doc_id", "base", "mentions", F.zip_with("between", ends, lambda t, n: F.struct(t.alias("text"), n.alias("start"))).alias("pieces"))
+    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "pii")
 
 
 def mentions_of(rows: DataFrame) -> DataFrame:
@@ -140,14 +144,59 @@ def mentions_of(rows: DataFrame) -> DataFrame:
     return m.select("uid", "start", "end", kind.alias("kind"), F.xxhash64(F.lower("value")).alias("instance"), shape.alias("shape"), F.array(F.xxhash64(two), F.xxhash64(round_)).alias("patterns"))
 
 
-def bootstrap(edges: DataFrame, rounds: int, least_support: int, least_score: float) -> DataFrame:
-    """instance, kind, score of unseen instances.
+def pieces_of(rows: DataFrame) -> DataFrame:
+    """A row for each piece of text between mentions: uid, piece, text, start."""
+    return rows.select("uid", F.posexplode("pieces").alias("piece", "p")).select("uid", "piece", "p.text", "p.start")
+
+
+def trimmed(word: Column) -> Column:
+    return F.regexp_replace(word, rf"^{MARKS}+|{MARKS}+$", "")
+
+
+def plain_tokens(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Stored rows uid, piece, place, instance, pattern: the tokens between mentions (place: which of its piece's words) that stand in the context of one
+    of patterns (pattern), two words before or a word on either side as in mentions_of().
+
+    Tokens meet the patterns by a broadcast join: only those that match leave their task.
+    """
+    words = pieces_of(rows).select("uid", "piece", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("words"))
+
+    def each(w: Column, i: Column) -> Column:
+        one, two, after = F.get("words", i - 1), F.get("words", i - 2), F.get("words", i + 1)
+        room = F.lit(CONTEXT - 2) - F.length(one)
+        back1 = F.coalesce(F.lower(F.right(one, F.lit(CONTEXT - 1))), F.lit("^"))
+        back2 = F.coalesce(F.when(room > 0, F.lower(F.right(two, room))), F.lit("^"))
+        after = F.coalesce(F.lower(F.substring(after, 1, CONTEXT - 1)), F.lit(""))
+        by = F.array(F.xxhash64(F.concat_ws(" ", F.lit("<"), back2, back1)), F.xxhash64(F.concat_ws(" ", F.lit("|"), back1, F.lit("_"), after)))
+        return F.struct(i.alias("place"), w.alias("word"), by.alias("by"))
+
+    tokens = words.select("uid", "piece", F.explode(F.transform("words", each)).alias("t")).select("uid", "piece", "t.place", "t.word", F.explode("t.by").alias("pattern"))
+    value = trimmed(F.col("word"))
+    met = tokens.join(F.broadcast(patterns), "pattern").where(F.length(value) >= 4)
+    return materialize(met.select("uid", "piece", "place", F.xxhash64(F.lower(value)).alias("instance"), "pattern"), "plain-tokens")
+
+
+def plain_spans(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits (uid, piece, place, kind) as uid, kind, start, end."""
+    at = pieces_of(rows).join(hits.groupBy("uid", "piece").agg(F.collect_list(F.struct("place", "kind")).alias("hits")), ["uid", "piece"])
+    at = at.select("uid", "start", "hits", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("words"), F.transform(F.split("text", r"\S+", -1), F.length).alias("gaps"))
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + x)
+    size = F.transform("words", F.length)
+    found = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), F.get("words", h["place"]).alias("word"), (F.col("start") + total(F.col("gaps"), h["place"] + 1) + total(size, h["place"])).alias("at")))
+    found = at.select("uid", F.explode(found).alias("f")).select("uid", "f.*")
+    start = F.col("at") + F.length(F.regexp_extract("word", rf"^{MARKS}*", 0))
+    return found.select("uid", "kind", start.alias("start"), (start + F.length(trimmed(F.col("word")))).alias("end"))
+
+
+def bootstrap(edges: DataFrame, rounds: int, least_support: int, least_score: float) -> tuple[DataFrame, DataFrame]:
+    """instance, kind, score of unseen instances; pattern, kind, trust of the last round's patterns.
 
     edges: distinct (pattern, instance, shape, kind of a seed or null). Each round scores the patterns by their instances, then the
     instances by their patterns: a pattern's score for a kind is the share of its distinct instances that are of it, seeds counting 1
     and found instances their score, damped by its support; an instance's score is one less the product of its patterns' doubts.
     Patterns under least_score or with fewer than least_support seeds find nothing.
     """
+    trusted = None
     seeds = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     known, found = seeds, None
     for k in range(rounds):
@@ -163,7 +212,7 @@ def bootstrap(edges: DataFrame, rounds: int, least_support: int, least_score: fl
         best = F.max_by("kind", F.struct("score", "kind"))
         found = materialize(found.groupBy("instance").agg(best.alias("kind"), F.max("score").alias("score")), f"instances-{k}")
         known = seeds.unionByName(found)
-    return found
+    return found, trusted
 
 
 def joined(spans: Column) -> Column:
@@ -173,7 +222,9 @@ def joined(spans: Column) -> Column:
 def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_score: float = 0.7) -> DataFrame:
     """Per document doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
 
-    Base spans are seeds. Patterns are the two words before a mention, and the word on either side; mentions are tokens with a digit.
+    Base spans are seeds. Patterns are the two words before a mention, and the word on either side; mentions are tokens with a digit or
+    an at sign. Other tokens are candidates, and so count as instances, where they stand in the context of a pattern with least_support
+    seeds; they become spans only in the context of a trusted pattern of their kind.
     A pattern counts each distinct instance once, so copies of a text add no support. An unseen mention that high-confidence
     patterns give a kind becomes a span `context_<kind>` unless a base span overlaps it. Null and empty texts have no spans; a null
     doc_id stays; repeated rows are scanned each; other columns are ignored.
@@ -183,10 +234,17 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_sco
     mentions = mentions_of(rows)
     edges = mentions.select("instance", "kind", F.explode("patterns").alias("pattern"))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    found = bootstrap(edges, rounds, least_support, least_score)
+    seeded = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_support)
+    tokens = plain_tokens(rows, seeded.select("pattern").distinct())
+    more = tokens.select("pattern", "instance").distinct().withColumn("kind", F.lit(None).cast("string"))
+    edges = materialize(edges.unionByName(more).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "all-edges")
+    found, trusted = bootstrap(edges, rounds, least_support, least_score)
     unseen = mentions.where("kind is null").select("uid", "start", "end", "instance")
     span = F.struct(F.concat(F.lit("context_"), "kind").alias("kind"), "start", "end")
-    added = unseen.join(found.select("instance", "kind"), "instance").groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    plain = tokens.join(found.select("instance", "kind"), "instance").join(trusted.select("pattern", "kind"), ["pattern", "kind"], "left_semi")
+    plain = plain_spans(rows, plain.select("uid", "piece", "place", "kind").distinct())
+    spans = unseen.join(found.select("instance", "kind"), "instance").select("uid", "kind", "start", "end").unionByName(plain)
+    added = spans.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
     out = rows.join(added, "uid", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     # context_ kinds follow the base kinds they belong to none of, by kind as listed, then start
     later = F.concat(*[of_kind("added", f"context_{k}") for k in KINDS])

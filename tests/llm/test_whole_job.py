@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from marlspike.llm import jaccard_join as J
 from marlspike.llm import mixing
+from marlspike.llm.pii import find_pii
 from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import all_spans, redact
 
@@ -114,3 +115,16 @@ def test_hosts_of_any_size_lose_frequent_lines(spark):
     docs = documents(spark, [(i, x, "en", h) for i, (h, x) in enumerate(rows)])
     got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules(docs).collect()}
     assert got == {i: 4 if h == "small" else 5 if "nine" in x else 3 if "sixty" in x else 0 for i, (h, x) in enumerate(rows)}
+
+
+def test_identifiers_need_no_digit(spark):
+    """Emails without a digit are seeds; an obfuscated address and a handle in their context are found, at their code points."""
+    rng = random.Random(25)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [f"𝒳 {name()} please write to {name()}@example.org today {name()}" for _ in range(20)]
+    rows += ["do please  write to (jane[at]example[dot]org), today", "please write to @janedoe today", "they write poems like jane[at]example[dot]org today", "+49 30 5551234 then please write to jane.doe-home today"]
+    got = {r["doc_id"]: r for r in find_pii(documents(spark, [(i, x, "en", "s") for i, x in enumerate(rows)])).collect()}
+    at = lambda i, x: f"context_email:{rows[i].index(x)}:{rows[i].index(x) + len(x)}"
+    assert all(got[i]["n_email"] == 1 and got[i]["n_context"] == 0 for i in range(20))
+    assert got[20]["spans"] == at(20, "jane[at]example[dot]org") and got[21]["spans"] == at(21, "janedoe")
+    assert got[22]["spans"] == "" and got[23]["spans"] == f"phone:0:14,{at(23, 'jane.doe-home')}"
