@@ -31,7 +31,8 @@ GROUP = 64
 
 
 def placed(found: Column, gaps: Column) -> Column:
-    """array<struct<start, value>> of the matches found, start in code points from 0; gaps: sizes of the pieces between them.
+    """array<struct<start, value>> of the matches found, start in code points from 0; gaps: sizes of the pieces between them. Both must be columns of
+    the rows: an expression would be evaluated again for each match.
 
     Pieces come from split and matches from regexp_extract_all. Both scan alike, so the places are running sums, made in two levels.
     """
@@ -90,9 +91,39 @@ def of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
+def first_overlapping(start: Column, end: Column) -> Column:
+    """The first kind, as listed, of which a base span overlaps start..end, null if none: the <kind>_at spans of a kind are in order and apart, so the
+    last one that starts before end is found by halving."""
+
+    def one(kind: str) -> Column:
+        spans = F.col(f"{kind}_at")
+
+        def half(a: Column, _: Column) -> Column:
+            mid = F.shiftright(a["low"] + a["high"], 1)
+            before = F.get(spans, mid)["start"] < end
+            return F.struct(F.when(before, mid + 1).otherwise(a["low"]).alias("low"), F.when(before, a["high"]).otherwise(mid).alias("high"))
+
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+        after = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), half)["low"]
+        return F.when((F.size(spans) > 0) & (F.get(spans, after - 1)["end"] > start), F.lit(kind))
+
+    return F.coalesce(*map(one, KINDS))
+
+
+def in_context(m: Column) -> Column:
+    """The two contexts of a mention (left, right), hashed: the two words before it, and the word on either side."""
+    words = F.regexp_extract_all(m["left"], F.lit(r"[^\s]+"), F.lit(0))
+    back = lambda n: F.coalesce(F.try_element_at(words, F.lit(-n)), F.lit("^"))
+    after = F.regexp_extract(m["right"], r"^\s*(\S+)", 1)
+    return F.array(F.xxhash64(F.concat_ws(" ", F.lit("<"), back(2), back(1))), F.xxhash64(F.concat_ws(" ", F.lit("|"), back(1), F.lit("_"), after)))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Stored rows uid, doc_id, base (array<struct<kind, start, end>> by kind, then start), mentions (with their contexts),
-    pieces (array<struct<text, start>>: what stands between the mentions)."""
+    """Stored rows uid, doc_id, base (array<struct<kind, start, end>> by kind, then start), mentions (array<struct<start, end, kind, instance,
+    patterns>>, kind null if unseen), pieces (array<struct<text, start>>: what stands between the mentions).
+
+    Everything is made inside its row: work grows with a text's matches and the logarithm of its spans, and nothing is shuffled.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     could = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "ip": F.lit(True), "card": F.lit(True)}
@@ -106,42 +137,38 @@ def base_spans(docs: DataFrame) -> DataFrame:
         gaps = F.transform(F.split("text", BASE[kind], -1), F.length)
         rows = rows.withColumn(f"{kind}_gaps", F.when(F.size(kind) > 0, gaps))
     rows = rows.withColumn("between", F.when(F.size("mention") > 0, F.split("text", MENTION, -1)).otherwise(F.array("whole"))).drop("text", "whole")
-    spans = []
-    for kind in KINDS:
-        spans.append(spans_of(kind, placed(F.col(kind), F.col(f"{kind}_gaps"))))
-    at = placed(F.col("mention"), F.transform("between", F.length))
+    rows = rows.withColumn("mention_gaps", F.transform("between", F.length))
+    at = placed(F.col("mention"), F.col("mention_gaps"))
     around = F.transform(
         at,
         lambda x, i: F.struct(
-            x["start"].alias("start"),
-            x["value"].alias("value"),
+            (x["start"] + F.length(F.regexp_extract(x["value"], rf"^{MARKS}*", 0))).alias("start"),
+            trimmed(x["value"]).alias("value"),
             F.lower(F.substring(F.get("between", i), -CONTEXT, CONTEXT)).alias("left"),
             F.lower(F.substring(F.get("between", i + 1), 1, CONTEXT)).alias("right"),
         ),
     )
-    ends = F.concat(F.array(F.lit(0)), F.transform("mentions", lambda m: m["start"] + F.length(m["value"])))
-    rows = rows.select("doc_id", F.concat(*spans).alias("base"), around.alias("mentions"), "between")
-    rows = rows.select("doc_id", "base", "mentions", F.zip_with("between", ends, lambda t, n: F.struct(t.alias("text"), n.alias("start"))).alias("pieces"))
+    ends = F.concat(F.array(F.lit(0)), F.transform(at, lambda m: m["start"] + F.length(m["value"])))
+    spans = [spans_of(kind, placed(F.col(kind), F.col(f"{kind}_gaps"))).alias(f"{kind}_at") for kind in KINDS]
+    rows = rows.select("doc_id", *spans, F.filter(around, lambda m: F.length(m["value"]) >= 4).alias("around"), "between", ends.alias("ends"))
+    found = F.transform(
+        "around",
+        lambda m: F.struct(
+            m["start"].alias("start"),
+            (m["start"] + F.length(m["value"])).alias("end"),
+            first_overlapping(m["start"], m["start"] + F.length(m["value"])).alias("kind"),
+            F.xxhash64(F.lower(m["value"])).alias("instance"),
+            in_context(m).alias("patterns"),
+        ),
+    )
+    pieces = F.zip_with("between", "ends", lambda t, n: F.struct(t.alias("text"), n.alias("start")))
+    rows = rows.select("doc_id", F.concat(*[f"{kind}_at" for kind in KINDS]).alias("base"), found.alias("mentions"), pieces.alias("pieces"))
     return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "pii")
 
 
 def mentions_of(rows: DataFrame) -> DataFrame:
-    """A row for each mention: uid, start, end, value (trimmed), kind (null if unseen), patterns (two contexts)."""
-    m = rows.select("uid", "base", F.explode("mentions").alias("m")).select("uid", "base", "m.*")
-    lead = F.length(F.regexp_extract("value", rf"^{MARKS}*", 0))
-    value = F.regexp_replace("value", rf"^{MARKS}+|{MARKS}+$", "")
-    m = m.withColumn("start", F.col("start") + lead).withColumn("value", value).where(F.length("value") >= 4)
-    m = m.withColumn("end", F.col("start") + F.length("value"))
-    same = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    m = m.withColumn("over", same)
-    kind = F.get("over", F.lit(0))["kind"]
-    words = F.regexp_extract_all("left", F.lit(r"[^\s]+"), F.lit(0))
-    after = F.regexp_extract("right", r"^\s*(\S+)", 1)
-    back = lambda n: F.coalesce(F.try_element_at(words, F.lit(-n)), F.lit("^"))
-    two = F.concat_ws(" ", F.lit("<"), back(2), back(1))
-    round_ = F.concat_ws(" ", F.lit("|"), back(1), F.lit("_"), after)
-    shape = F.regexp_replace(F.regexp_replace(F.lower("value"), "[0-9]+", "0"), r"\p{L}+", "a")
-    return m.select("uid", "start", "end", kind.alias("kind"), F.xxhash64(F.lower("value")).alias("instance"), shape.alias("shape"), F.array(F.xxhash64(two), F.xxhash64(round_)).alias("patterns"))
+    """A row for each mention: uid, start, end, kind (null if unseen), instance (a hash), patterns (two contexts)."""
+    return rows.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
 
 
 def pieces_of(rows: DataFrame) -> DataFrame:
@@ -153,11 +180,16 @@ def trimmed(word: Column) -> Column:
     return F.regexp_replace(word, rf"^{MARKS}+|{MARKS}+$", "")
 
 
+#: Rows of a table that is sent to every task, at most.
+SENT_ROWS = 1_000_000
+
+
 def plain_tokens(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Stored rows uid, piece, place, instance, pattern: the tokens between mentions (place: which of its piece's words) that stand in the context of one
-    of patterns (pattern), two words before or a word on either side as in mentions_of().
+    of patterns (stored; pattern), two words before or a word on either side as in base_spans().
 
-    Tokens meet the patterns by a broadcast join: only those that match leave their task.
+    Up to SENT_ROWS patterns are sent to the tokens, so that only tokens that match leave their task; more than that are met by a join on the
+    pattern, whose hot ones adaptive execution splits. Both give the same rows.
     """
     words = pieces_of(rows).select("uid", "piece", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("words"))
 
@@ -172,7 +204,8 @@ def plain_tokens(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     tokens = words.select("uid", "piece", F.explode(F.transform("words", each)).alias("t")).select("uid", "piece", "t.place", "t.word", F.explode("t.by").alias("pattern"))
     value = trimmed(F.col("word"))
-    met = tokens.join(F.broadcast(patterns), "pattern").where(F.length(value) >= 4)
+    few = F.broadcast(patterns) if patterns.count() <= SENT_ROWS else patterns
+    met = tokens.join(few, "pattern").where(F.length(value) >= 4)
     return materialize(met.select("uid", "piece", "place", F.xxhash64(F.lower(value)).alias("instance"), "pattern"), "plain-tokens")
 
 
@@ -180,10 +213,9 @@ def plain_spans(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """hits (uid, piece, place, kind) as uid, kind, start, end."""
     at = pieces_of(rows).join(hits.groupBy("uid", "piece").agg(F.collect_list(F.struct("place", "kind")).alias("hits")), ["uid", "piece"])
     at = at.select("uid", "start", "hits", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("words"), F.transform(F.split("text", r"\S+", -1), F.length).alias("gaps"))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + x)
-    size = F.transform("words", F.length)
-    found = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), F.get("words", h["place"]).alias("word"), (F.col("start") + total(F.col("gaps"), h["place"] + 1) + total(size, h["place"])).alias("at")))
-    found = at.select("uid", F.explode(found).alias("f")).select("uid", "f.*")
+    at = at.select("uid", "start", "hits", placed(F.col("words"), F.col("gaps")).alias("words"))
+    found = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), F.get("words", h["place"]).alias("word")))
+    found = at.select("uid", "start", F.explode(found).alias("f")).select("uid", "f.kind", F.col("f.word.value").alias("word"), (F.col("start") + F.col("f.word.start")).alias("at"))
     start = F.col("at") + F.length(F.regexp_extract("word", rf"^{MARKS}*", 0))
     return found.select("uid", "kind", start.alias("start"), (start + F.length(trimmed(F.col("word")))).alias("end"))
 
@@ -191,7 +223,7 @@ def plain_spans(rows: DataFrame, hits: DataFrame) -> DataFrame:
 def bootstrap(edges: DataFrame, rounds: int, least_support: int, least_score: float) -> tuple[DataFrame, DataFrame]:
     """instance, kind, score of unseen instances; pattern, kind, trust of the last round's patterns.
 
-    edges: distinct (pattern, instance, shape, kind of a seed or null). Each round scores the patterns by their instances, then the
+    edges: distinct (pattern, instance, kind of a seed or null). Each round scores the patterns by their instances, then the
     instances by their patterns: a pattern's score for a kind is the share of its distinct instances that are of it, seeds counting 1
     and found instances their score, damped by its support; an instance's score is one less the product of its patterns' doubts.
     Patterns under least_score or with fewer than least_support seeds find nothing.
@@ -220,7 +252,7 @@ def joined(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_score: float = 0.7) -> DataFrame:
-    """Per document doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
+    """Per document doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context (spans that contexts added), n_spans (all).
 
     Base spans are seeds. Patterns are the two words before a mention, and the word on either side; mentions are tokens with a digit or
     an at sign. Other tokens are candidates, and so count as instances, where they stand in the context of a pattern with least_support
@@ -235,7 +267,7 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_sco
     edges = mentions.select("instance", "kind", F.explode("patterns").alias("pattern"))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     seeded = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_support)
-    tokens = plain_tokens(rows, seeded.select("pattern").distinct())
+    tokens = plain_tokens(rows, materialize(seeded.select("pattern").distinct(), "seeded"))
     more = tokens.select("pattern", "instance").distinct().withColumn("kind", F.lit(None).cast("string"))
     edges = materialize(edges.unionByName(more).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "all-edges")
     found, trusted = bootstrap(edges, rounds, least_support, least_score)
@@ -254,4 +286,5 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_sco
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.concat("base", later)).alias("spans"),
         F.size("added").cast("long").alias("n_context"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

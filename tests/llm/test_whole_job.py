@@ -128,3 +128,112 @@ def test_identifiers_need_no_digit(spark):
     assert all(got[i]["n_email"] == 1 and got[i]["n_context"] == 0 for i in range(20))
     assert got[20]["spans"] == at(20, "jane[at]example[dot]org") and got[21]["spans"] == at(21, "janedoe")
     assert got[22]["spans"] == "" and got[23]["spans"] == f"phone:0:14,{at(23, 'jane.doe-home')}"
+
+
+def brute_contexts(rows, rounds=2, least_support=5, least_score=0.7, context=64):
+    """Context spans of texts by plain loops: the mentions and tokens of each text with their two contexts, then rounds of scores over all of them."""
+    import math
+    import re
+    from collections import defaultdict
+
+    from .test_text_operators import BASE, brute_pii
+
+    mention = re.compile(rf"{BASE['phone']}|(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){{12,18}}(?![0-9A-Za-z])(?!\x20?[0-9])|(?<!\S)(?=\S*[0-9@])\S+")
+
+    def trim(a, b, text):
+        while a < b and not (text[a].isalnum() or text[a] == "+"):
+            a += 1
+        while a < b and not (text[b - 1].isalnum() or text[b - 1] == "+"):
+            b -= 1
+        return a, b
+
+    held = defaultdict(lambda: [None, set()])  # (pattern, instance): kind of a seed; places
+    spots = []  # text, start, end, instance, patterns, is a mention
+    for k, text in enumerate(rows):
+        base = brute_pii(text)
+        at = [m.span() for m in mention.finditer(text)]
+        cuts = [(0, 0), *at, (len(text), len(text))]
+        for n, (a, b) in enumerate(at, 1):
+            left, right = text[cuts[n - 1][1] : a][-context:].lower().split(), text[b : cuts[n + 1][0]][:context].lower().split()
+            a, b = trim(a, b, text)
+            if b - a >= 4:
+                over = [x[0] for x in base if x[1] < b and x[2] > a]
+                back = ["^", "^", *left][-2:]
+                by = (("<", *back), ("|", back[1], right[0] if right else ""))
+                spots.append((k, a, b, text[a:b].lower(), by, True, over[0] if over else None))
+        for n in range(1, len(cuts)):
+            words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[cuts[n - 1][1] : cuts[n][0]])]
+            word = lambda i, words=words, o=cuts[n - 1][1]: text[o + words[i][0] : o + words[i][1]].lower() if 0 <= i < len(words) else None
+            for i, (s, e) in enumerate(words):
+                a, b = trim(s + cuts[n - 1][1], e + cuts[n - 1][1], text)
+                if b - a >= 4:
+                    by = (("<", word(i - 2) or "^", word(i - 1) or "^"), ("|", word(i - 1) or "^", word(i + 1) or ""))
+                    spots.append((k, a, b, text[a:b].lower(), by, False, None))
+    for _, _, _, x, by, own, kind in spots:
+        for p in by if own else ():
+            held[p, x][0] = max(filter(None, (held[p, x][0], kind)), default=None)
+    seeds = Counter((p, e[0]) for (p, _), e in held.items() if e[0])
+    seeded = {p for (p, _), n in seeds.items() if n >= least_support}
+    for _, _, _, x, by, own, _ in spots:
+        for p in by:
+            if not own and p in seeded:
+                held[p, x]
+    edges = {key: e[0] for key, e in held.items()}
+    seed = {(x, kind) for (_, x), kind in edges.items() if kind}
+    known, found, trusted = {s: 1.0 for s in seed}, {}, {}
+    for _ in range(rounds):
+        size, mass, support = Counter(p for p, _ in edges), defaultdict(float), Counter()
+        for p, x in edges:
+            for kind in BASE:
+                if (x, kind) in known:
+                    mass[p, kind] += known[x, kind]
+                    support[p, kind] += known[x, kind] == 1.0
+        trusted = {(p, kind): mass[p, kind] / size[p] * (1 - 1 / (1 + n)) for (p, kind), n in support.items() if n >= least_support}
+        trusted = {key: t for key, t in trusted.items() if t >= least_score}
+        doubt = defaultdict(float)
+        for (p, x), kind in edges.items():
+            for k in BASE:
+                if kind is None and (p, k) in trusted:
+                    doubt[x, k] += math.log(1 - min(trusted[p, k], 0.999))
+        score = {key: 1 - math.exp(d) for key, d in doubt.items() if 1 - math.exp(d) >= least_score}
+        found = {}
+        for (x, k), s in score.items():
+            found[x] = max(found.get(x, (0, "")), (s, k))
+        known = {s: 1.0 for s in seed} | {(x, k): s for x, (s, k) in found.items()}
+    out = defaultdict(set)
+    for k, a, b, x, by, own, kind in spots:
+        if x in found and kind is None and (own or any((p, found[x][1]) in trusted for p in by)):
+            out[k].add((f"context_{found[x][1]}", a, b))
+    return {k: sorted(v, key=lambda s: ([*BASE].index(s[0][8:]), s[1])) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", [41, 42, 43])
+def test_context_spans_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lead = ["please write to", "mail me at", "call us under", "our server at", "paid with card", "the value of"]
+    kinds = [lambda: f"{name()}@ex{rng.randrange(9)}.org", lambda: f"{rng.randrange(256)}.{rng.randrange(256)}.1.{rng.randrange(256)}", lambda: f"+49 30 55{rng.randrange(10**5):05d}", lambda: "4111 1111 1111 1111"]
+    other = [lambda: f"{name()}(at)ex.org", lambda: f"{rng.randrange(900)}-{rng.randrange(900)}", lambda: f"@{name()}", name, lambda: f"({name()}),"]
+    rows = []
+    for _ in range(400):
+        words = [name() if rng.random() < 0.3 else rng.choice(["and", "today", "soon", "12", "a"]) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(lead))
+            value = kinds[(0, 0, 2, 1, 3, 1)[k]]() if rng.random() < 0.75 else rng.choice(other)()
+            at = rng.randint(0, len(words))
+            words[at:at] = [lead[k], value, rng.choice(["today", "please", "now."])]
+        rows.append(" ".join(words))
+    want = brute_contexts(rows)
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("context_")] for r in find_pii(documents(spark, [(i, x, "en", "s") for i, x in enumerate(rows)])).collect()}
+    assert {i: v for i, v in got.items() if v} == {i: [f"{k}:{a}:{b}" for k, a, b in v] for i, v in want.items()} and len(want) > 5
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    """10,000 addresses, 2,000 tokens found by their context: work grows with the text, not with its square."""
+    import time
+
+    text = " ".join(f"write to user{i}@mail{i % 97}.example.org today" for i in range(10_000)) + " " + " ".join(f"write to u{i}(at)example.org today" for i in range(2000))
+    find_pii(documents(spark, [(0, "a b", "en", "s")])).collect()
+    began = time.time()
+    r = find_pii(documents(spark, [(1, text, "en", "s")])).first()
+    assert r["n_email"] == 10_000 and r["n_context"] == 2000 and r["n_spans"] == 12_000 and time.time() - began < 60
