@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,16 +19,36 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Bounds of the labelled sample that the model is fitted on: labels, windows for each label, code points of a window.
 MAX_LABELS, WINDOWS, WINDOW = 200, 500, 400
-#: Words whose emissions a worker keeps, and words that one forward-backward pass holds.
-KEPT_WORDS, PASS_WORDS = 250_000, 300_000
+#: Words whose emissions a worker keeps, code points of them, and words that one forward-backward pass holds.
+KEPT_WORDS, KEPT_POINTS, PASS_WORDS = 250_000, 8_000_000, 300_000
+
+
+def combining() -> re.Pattern[str]:
+    """Marks that continue a word, as vowel signs do, by their Unicode category."""
+    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    ends = [k for k in range(len(marks)) if k + 1 == len(marks) or marks[k + 1] != marks[k] + 1]
+    starts = [0, *(k + 1 for k in ends[:-1])]
+    return re.compile("[" + "".join(f"{re.escape(chr(marks[a]))}-{re.escape(chr(marks[b]))}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
+MARKS = combining()
+MARKED = re.compile(rf"[^\W\d_](?:[^\W\d_]|{MARKS.pattern})*")
+
+
+def words_at(text: str) -> Iterator[re.Match[str]]:
+    """The words of a text, in lower case already: runs of letters and of the marks that follow one."""
+    return (LETTERS if text.isascii() or not MARKS.search(text) else MARKED).finditer(text)
+
+
+def words_in(text: str) -> list[str]:
+    return (LETTERS if text.isascii() or not MARKS.search(text) else MARKED).findall(text)
 
 
 def shape_features(word: str) -> list[str]:
     """Affixes up to three letters, and letter pairs and triples within word boundaries."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    n = len(w)
-    out = [f"p{w[:k]}" for k in range(1, min(3, n) + 1)] + [f"s{w[n - k :]}" for k in range(1, min(3, n) + 1)]
-    b = f"^{w}$"
+    n = len(word)
+    out = [f"p{word[:k]}" for k in range(1, min(3, n) + 1)] + [f"s{word[n - k :]}" for k in range(1, min(3, n) + 1)]
+    b = f"^{word}$"
     return out + [f"2{b[i : i + 2]}" for i in range(n + 1)] + [f"3{b[i : i + 3]}" for i in range(n)]
 
 
@@ -70,9 +93,10 @@ class Field:
                 self.weights += rate * grad / np.sqrt(squares)
                 self.trans += rate * t_grad / np.sqrt(t_squares)
 
-    def posteriors(self, texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-        """Mean label posterior of each text by forward-backward; texts hold row numbers of table (emissions)."""
+    def posteriors(self, texts: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Mean label posterior of each text by forward-backward, and that of each of its words; texts hold row numbers of table (emissions)."""
         out = np.zeros((len(texts), len(self.labels)))
+        single = [np.zeros((0, len(self.labels)), np.float32)] * len(texts)
         order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i]))
         while order:
             n = held = 0
@@ -80,8 +104,10 @@ class Field:
                 held += len(texts[order[n]])
                 n += 1
             part, order = order[:n], order[n:]
-            out[part] = forward_backward([texts[i] for i in part], table, self.trans)
-        return out
+            out[part], each = forward_backward([texts[i] for i in part], table, self.trans)
+            for i, m in zip(part, each, strict=True):
+                single[i] = m
+        return out, single
 
 
 def expected(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +130,9 @@ def expected(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return single, (pair / pair.sum((1, 2), keepdims=True)).sum(0)
 
 
-def forward_backward(texts: list[np.ndarray], table: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Mean marginals of texts, longest first. Step t handles word t of every text that has one, so that rows stay dense."""
+def forward_backward(texts: list[np.ndarray], table: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Mean marginals of texts, longest first, and the marginals of their words. Step t handles word t of every text that has one, so that rows stay
+    dense."""
     sizes = np.array([len(x) for x in texts])
     steps = int(sizes[0])
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # texts longer than t
@@ -126,11 +153,12 @@ def forward_backward(texts: list[np.ndarray], table: np.ndarray, trans: np.ndarr
     for t in range(steps - 1, -1, -1):
         s, n = starts[t], live[t]
         v = f[s : s + n] * back[:n]
-        total[:n] += v / v.sum(1, keepdims=True)
+        f[s : s + n] = v = v / v.sum(1, keepdims=True)  # the forward mass of a step isn't needed again
+        total[:n] += v
         if t:
             v = (x[s : s + n] * back[:n]) @ a.T
             back[:n] = v / v.sum(1, keepdims=True)
-    return total / sizes[:, None]
+    return total / sizes[:, None], [f[starts[: len(x)] + d] for d, x in enumerate(texts)]
 
 
 def mixed(windows: dict[int, list[list[str]]], rng: np.random.Generator, longest: int = 48) -> Iterator[tuple[list[str], list[int]]]:
@@ -174,14 +202,14 @@ def train(docs: DataFrame, windows: int = WINDOWS, max_labels: int = MAX_LABELS)
     labels = sorted(counts)
     by: dict[int, list[list[str]]] = defaultdict(list)
     for r in drawn.orderBy("u", "lang", "text").limit(2 * windows * len(labels)).collect():
-        if words := LETTERS.findall(r["text"].lower()):
+        if words := words_in(r["text"].lower()):
             by[labels.index(r["lang"])].append(words)
-    words_in = {k: Counter(w for x in v for w in x) for k, v in by.items()}
+    counted = {k: Counter(w for x in v for w in x) for k, v in by.items()}
     lexicon: dict[str, list[str]] = {}
-    total = Counter(w for c in words_in.values() for w in c.elements())
+    total = Counter(w for c in counted.values() for w in c.elements())
     for w, n in total.items():
         if n >= 3:
-            p, k = max((c[w] / n, -k) for k, c in words_in.items())
+            p, k = max((c[w] / n, -k) for k, c in counted.items())
             lexicon[w] = [f"L{-k}"] + [f"S{-k}"] * (p >= 0.9)
     seen = Counter(x for w in total for x in (*shape_features(w), *lexicon.get(w, ())))
     field = Field(labels, lexicon, {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= 2))})
@@ -189,8 +217,17 @@ def train(docs: DataFrame, windows: int = WINDOWS, max_labels: int = MAX_LABELS)
     return field
 
 
+class Read(NamedTuple):
+    """What a text reads as: its language and score, the label numbers of its words, and how often the label changes from word to word."""
+
+    lang: str
+    score: float
+    words: np.ndarray
+    switches: int
+
+
 class Reader:
-    """A worker's table of emissions by word, with a bounded number of words."""
+    """A worker's table of emissions by word, with a bounded number of words and of their code points."""
 
     def __init__(self, field: Field):
         self.field = field
@@ -198,40 +235,48 @@ class Reader:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.table, self.n = np.zeros((1 << 12, len(self.field.labels)), np.float32), 0
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.place) > KEPT_WORDS:
+        self.table, self.n, self.points = np.zeros((1 << 12, len(self.field.labels)), np.float32), 0, 0
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Rows of the table for the words of a text."""
+        words = words_in(text.lower()) if text else []
+        for w in {*words}.difference(self.place):
+            letters = any(map(str.isalpha, w))  # else digits of other kinds
+            if letters:
+                if self.n == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[self.n] = self.field.emission(w)
+                self.n += 1
+            self.place[w] = self.n - 1 if letters else -1
+            self.points += len(w)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return at[at >= 0]
+
+    def __call__(self, texts: list[str | None]) -> list[Read]:
+        if len(self.place) > KEPT_WORDS or self.points > KEPT_POINTS:
             self.forget()
-        ids = []
-        for x in texts:
-            words = LETTERS.findall(x.lower()) if x else []
-            for w in {*words}.difference(self.place):
-                letters = any(map(str.isalpha, w))  # else digits of other kinds
-                if letters:
-                    if self.n == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[self.n] = self.field.emission(w)
-                    self.n += 1
-                self.place[w] = self.n - 1 if letters else -1
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            ids.append(at[at >= 0])
+        ids, none = [self.numbers(x) for x in texts], np.zeros(0, np.int64)
         if not self.field.labels:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        mean = self.field.posteriors(ids, self.table[: self.n])
-        best = mean.argmax(1)
-        return (
-            [self.field.labels[k] if len(x) else UNKNOWN for k, x in zip(best, ids, strict=True)],
-            [float(min(1.0, m[k])) if len(x) else 0.0 for m, k, x in zip(mean, best, ids, strict=True)],
-        )
+            return [Read(UNKNOWN, 0.0, none, 0)] * len(texts)
+        mean, single = self.field.posteriors(ids, self.table[: self.n])
+        out = []
+        for m, words in zip(mean, single, strict=True):
+            if not len(words):
+                out.append(Read(UNKNOWN, 0.0, none, 0))
+                continue
+            best, labels = int(m.argmax()), words.argmax(1)
+            out.append(Read(self.field.labels[best], float(min(1.0, m[best])), labels, int((labels[1:] != labels[:-1]).sum())))
+        return out
 
 
 def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """Per document doc_id, held_out, lang_pred, score: the label with the largest mean posterior over all words of the text.
+    """Per document doc_id, held_out, lang_pred, score: the label with the largest mean posterior over all words of the text; n_switches: how often
+    the best label changes from one word to the next.
 
     field: a fitted model, else one is trained on docs (doc_id, text, lang). lang is read for training alone. Null texts and texts
     without a letter get `und` and 0; so does every text when no row is labelled. Ties go to the smaller label; a null doc_id counts
-    as not held out and isn't trained on; repeated rows are predicted each; other columns are ignored. One narrow pass.
+    as not held out and isn't trained on; repeated rows are predicted each; other columns are ignored. Words are taken whole, however
+    long. One narrow pass.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(field or train(docs))
@@ -239,14 +284,47 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         read = Reader(shared.value)
         for b in batches:
-            lang, score = read(b["text"].to_pylist())
-            yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": score}
+            found = read(b["text"].to_pylist())
+            yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [r.lang for r in found], "score": [r.score for r in found], "n_switches": [r.switches for r in found]}
 
-    return map_batches(text_rows(docs, held_out().alias("held_out")), run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(text_rows(docs, held_out().alias("held_out")), run, "doc_id long, held_out boolean, lang_pred string, score double, n_switches long")
+
+
+def label_words(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """Code-switched text taken apart: a row for each run of words of one label, doc_id, run (from 0), start, end (code points of the text, end exclusive),
+    lang, n_words.
+
+    Labels are each word's best posterior by forward-backward over the whole text. Null texts, texts without a letter and, where no row is
+    labelled, all texts have no rows; repeated rows are labelled each. Offsets are those of the text itself where lower-casing keeps its length, as
+    it does but for few letters (a capital I with a dot is two): such texts are read letter by letter in the case that they have.
+    """
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(field or train(docs))
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        read = Reader(shared.value)
+        for b in batches:
+            texts = [x and (low if len(low := x.lower()) == len(x) else "".join(c if len(c.lower()) > 1 else c.lower() for c in x)) for x in b["text"].to_pylist()]
+            out: list[tuple] = []
+            for key, text, found in zip(b["doc_id"].to_pylist(), texts, read(texts), strict=True):
+                if not len(found.words):
+                    continue
+                at = [m.span() for m in words_at(text) if any(map(str.isalpha, m[0]))]
+                firsts = np.flatnonzero(np.append(True, found.words[1:] != found.words[:-1])).tolist()
+                for k, (i, j) in enumerate(zip(firsts, [*firsts[1:], len(at)], strict=True)):
+                    out.append((key, k, at[i][0], at[j - 1][1], read.field.labels[found.words[i]], j - i))
+            if out:
+                yield dict(zip(("doc_id", "run", "start", "end", "lang", "n_words"), map(list, zip(*out, strict=True)), strict=True))
+
+    return map_batches(text_rows(docs), run, "doc_id long, run long, start long, end long, lang string, n_words long")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) without texts that have no language: `und`, or a best mean posterior under least."""
+    """docs (doc_id, text, lang, source, n_chars) without texts that have no language: no letter, or a best mean posterior under least.
+
+    Where no row is labelled nothing can be told of a text with a letter, and it stays. Null and empty texts go; rows without doc_id and
+    repeated rows are read each; an empty table stays empty.
+    """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(train(docs))
 
@@ -256,8 +334,12 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
         read = Reader(shared.value)
         for b in batches:
-            lang, score = read(b["text"].to_pylist())
-            kept = pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)])
-            yield {k: pc.filter(v, kept) for k, v in b.items()}
+            texts = b["text"].to_pylist()
+            if read.field.labels:
+                kept = [r.lang != UNKNOWN and r.score >= least for r in read(texts)]
+            else:
+                kept = [any(map(str.isalpha, x or "")) for x in texts]
+            mask = pa.array(kept, pa.bool_())
+            yield {k: pc.filter(v, mask) for k, v in b.items()}
 
     return map_batches(text_rows(docs, "lang", "source", "n_chars"), run, "doc_id long, text string, lang string, source string, n_chars long")

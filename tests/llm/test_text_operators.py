@@ -41,8 +41,27 @@ def test_switches_of_language_are_followed(labelled):
     field = L.train(labelled)
     assert field.labels == ["de", "en", "fr"] and (field.trans.diagonal() >= field.trans.max(0) - 1e-9).all()
     read = L.Reader(field)
-    langs, _ = read(["the and with house " * 5 + "le la avec", "le la avec maison " * 5 + "the"])
-    assert langs == ["en", "fr"]
+    found = read(["the and with house " * 5 + "le la avec", "le la avec maison " * 5 + "the"])
+    assert [r.lang for r in found] == ["en", "fr"] and all(r.switches for r in found)
+
+
+def test_words_are_labelled(spark, labelled, none):
+    """The runs of a code-switched text, at its own code points; words of any length and with combining marks are whole."""
+    field = L.train(labelled)
+    first, second = "The AND with house water", "le la avec maison étoile"
+    rows = [(1, f"𝒳1 {first}. {second}, {first}", "en", "s"), (2, None, "en", "s"), (3, "12 !", "en", "s"), (4, "İ " + second, "en", "s"), (1, second, "en", "s")]
+    got = [tuple(r) for r in L.label_words(documents(spark, rows), field).collect()]
+    text = rows[0][1]
+    runs = [r for r in got if r[0] == 1 and r[3] > len(second)]
+    assert [text[r[2] : r[3]] for r in runs][-2:] == [second, first] and {r[0] for r in got} == {1, 4} and sum(r[5] for r in got if r[0] == 4) == 6
+    assert L.label_words(none, field).count() == 0 and L.label_words(documents(spark, rows), L.Field([], {}, {})).count() == 0
+    assert L.words_in("हिन्दी भाषा a\u0301b 12 क") == ["हिन्दी", "भाषा", "a\u0301b", "क"]
+    assert len(L.shape_features("x" * 100 + "yq" + "x" * 100)) == 3 + 3 + 203 + 202 and "3xyq" in L.shape_features("x" * 100 + "yq" + "x" * 100)
+
+
+def test_unlabelled_corpora_stay_whole(spark, none):
+    docs = documents(spark, [(i, x, None, "s") for i, x in enumerate(["the house", "日本", "12", None, "", "the house"])])
+    assert sorted(r["doc_id"] for r in L.keep_identified(docs).collect()) == [0, 1, 5] and L.keep_identified(none).count() == 0
 
 
 def test_forward_backward_equals_brute_force():
@@ -53,14 +72,14 @@ def test_forward_backward_equals_brute_force():
     rng = np.random.default_rng(1)
     table, trans = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
     seqs = [np.array([0, 3, 2, 4]), np.array([1, 1]), np.array([2])]
-    got = L.forward_backward(seqs, table, trans)
-    for g, s in zip(got, seqs, strict=True):
+    got, each = L.forward_backward(seqs, table, trans)
+    for g, w, s in zip(got, each, seqs, strict=True):
         mass = np.zeros((len(s), 3))
         for path in itertools.product(range(3), repeat=len(s)):
             p = np.exp(sum(table[w, y] for w, y in zip(s, path, strict=True)) + sum(trans[a, b] for a, b in itertools.pairwise(path)))
             for t, y in enumerate(path):
                 mass[t, y] += p
-        assert np.allclose(g, (mass / mass.sum(1, keepdims=True)).mean(0))
+        assert np.allclose(g, (mass / mass.sum(1, keepdims=True)).mean(0)) and np.allclose(w, mass / mass.sum(1, keepdims=True))
 
 
 def test_odd_languages(odd, none):
