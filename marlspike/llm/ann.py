@@ -143,6 +143,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def best_rows(q_id: np.ndarray, q_x: np.ndarray, r_id: np.ndarray, r_x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the `top` rows of largest score, ties to the smaller id, without its own: places of queries and of rows, scores.
+
+    A matrix product, whose last bits depend on its blocks, picks what comes near the last place; the reported product of each pair orders them.
+    """
+    own = q_id[:, None] == r_id[None, :]
+    with np.errstate(invalid="ignore", over="ignore"):
+        rough = q_x @ r_x.T
+        k = min(top, rough.shape[1])
+        last = -np.partition(np.where(own, np.inf, -rough), k - 1, axis=1)[:, k - 1]
+        slack = 1e-9 * np.linalg.norm(q_x, axis=1) * np.linalg.norm(r_x, axis=1).max()
+        at, row = np.nonzero(~own & ~(rough < np.where(np.isfinite(last), last - slack, last)[:, None]))
+        exact = np.einsum("nd,nd->n", q_x[at], r_x[row])
+    order = np.lexsort((r_id[row], -exact, at))
+    at, row, exact = at[order], row[order], exact[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[place < top], row[place < top], exact[place < top]
+
+
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -151,8 +170,8 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
 
     Vectors null, zero, with null or non-finite components or a null vec_id take no part, nor do those whose length isn't the most
     common one (the longer on ties). Centroids are fitted on a sample of at most SAMPLE_NUMBERS numbers; every vector is indexed.
-    Lists longer than BLOCK_ROWS are scanned in blocks, queries of a list in blocks of BLOCK_QUERIES, so that neither a common vector
-    nor a common query fills a task. Scores are double inner products of the original vectors; ties go to the smaller vec_id. A
+    Lists longer than BLOCK_ROWS are scanned in blocks, queries of a list in blocks of BLOCK_QUERIES, and each pair of blocks is dealt by itself, so
+    that neither a common vector nor a common query fills a task. Scores are double inner products of the original vectors; ties go to the smaller vec_id. A
     vec_id that several rows share counts once, by its largest score, as a candidate; as a query each of its rows asks and the best
     answers are returned once. An empty table gives no rows; other columns are ignored.
     """
@@ -190,26 +209,28 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     index = materialize(map_batches(rows, place, schema), "lists")
     asked = materialize(map_batches(rows.where(F.col("vec_id") % every == 0), ask, schema), "probes")
 
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        counts = df.groupBy("list").count().select("list", F.ceil(F.col("count") / size).cast("int").alias("parts"))
-        dealt = df.join(F.broadcast(counts), "list")  # a row for each list: MOST_LISTS doubled at most
-        part = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.col("parts"))
-        return dealt.groupBy("list", part.alias(f"{name}_part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name))
+    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_parts"))
+
+    # every pair of a part of a list's rows and a part of its queries is dealt by itself, so that a hot list is shared among tasks
+    sizes = materialize(parts(index, BLOCK_ROWS, "rows").join(parts(asked, BLOCK_QUERIES, "queries"), "list"), "list-sizes")
+
+    def dealt(df: DataFrame, name: str, other: str) -> DataFrame:
+        """The vectors (name) of each part of each list, once for every part of the other side."""
+        part = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.col(f"{name}_parts")).cast("int")
+        held = df.join(F.broadcast(sizes), "list")  # a row for each list: MOST_LISTS doubled at most
+        held = held.groupBy("list", f"{other}_parts", part.alias(f"{name}_part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name))
+        return held.select("list", f"{name}_part", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(f"{other}_part"), name)
 
-    pairs = blocks(index, BLOCK_ROWS, "rows").join(blocks(asked, BLOCK_QUERIES, "queries"), "list").select("rows", "queries")
+    pairs = dealt(index, "rows", "queries").join(dealt(asked, "queries", "rows"), ["list", "rows_part", "queries_part"]).select("rows", "queries")
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for r, q in zip(b["rows"], b["queries"], strict=True):
                 r_id, r_x = unpack(r.values)
                 q_id, q_x = unpack(q.values)
-                score = q_x @ r_x.T
-                score[q_id[:, None] == r_id[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(r_id, score.shape), -score), axis=1)[:, :top]
-                found = np.take_along_axis(score, best, 1).ravel()
-                kept = np.isfinite(found)
-                exact = np.einsum("nd,nd->n", np.repeat(q_x, best.shape[1], axis=0)[kept], r_x[best.ravel()[kept]])
-                yield {"query_id": np.repeat(q_id, best.shape[1])[kept], "vec_id": r_id[best.ravel()][kept], "score": exact}
+                at, row, exact = best_rows(q_id, q_x, r_id, r_x, top)
+                yield {"query_id": q_id[at], "vec_id": r_id[row], "score": exact}
 
     def unpack(pairs) -> tuple[np.ndarray, np.ndarray]:
         return pairs.field("vec_id").to_numpy(), matrix(pairs.field("embedding"))

@@ -33,9 +33,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder serves a local master (tests), and a
+    cluster is refused, as its executors would not see one another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "marlspike-scratch")
         os.makedirs(found, exist_ok=True)
     return found.rstrip("/")
@@ -50,7 +53,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df once to the shared folder and read it back; lost executors then cost no recomputation."""
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark, label))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that materialize() stored, once all that was made of them is stored itself. Other tables stay until the folder is cleaned, as
+    a query's result is read after the query has returned."""
+    for df in stored:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:

@@ -198,3 +198,17 @@ def test_pipeline_stages(spark, odd, vocabulary, tmp_path):
     words = lambda df: sum(len(r["text"].split()) for r in df.collect())
     assert abs(words(fourth) - 1.5 * words(third)) <= 10
     assert last.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty() and ids(last) == ids(fourth)
+
+
+def test_blocks_are_ranked_by_the_reported_score():
+    rng = np.random.default_rng(12)
+    r_x = np.concatenate([rng.normal(size=(300, 6)), np.tile(rng.normal(size=(1, 6)), (60, 1))])
+    r_id, q_x = rng.permutation(360), np.concatenate([r_x[290:320], [[1e200] * 6]])
+    q_id = np.append(r_id[290:320], 999)
+    r_x[5] = 1e200  # its product with the last query overflows, and is the largest
+    for top in (1, 20, 500):
+        at, row, score = ann.best_rows(q_id, q_x, r_id, r_x, top)
+        for i in range(len(q_id)):
+            exact = np.einsum("nd,nd->n", np.repeat(q_x[i : i + 1], 360, 0), r_x)
+            want = sorted((-s, k) for s, k in zip(exact.tolist(), r_id.tolist(), strict=True) if k != q_id[i])[:top]
+            assert [(-s, k) for s, k in zip(score[at == i].tolist(), r_id[row[at == i]].tolist(), strict=True)] == want
