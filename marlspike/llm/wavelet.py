@@ -163,14 +163,15 @@ def filesystem(path: str):
 def write_shards(docs: DataFrame, vocabulary: str, out: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode whole texts in ascending doc_id order into shard files under out; the stored manifest has part, shard, file, n_tokens.
 
-    Rows are dealt into ranges of (doc_id, text hash), so that equal keys can't fill one range, and sorted within them; nulls come
-    first. A file is written under a name of its own and then moved to its final name, which depends on the range alone: a task that
+    Rows are dealt into ranges of (doc_id, text hash, place in the input), so that neither equal keys nor repeated rows can fill one range, and
+    sorted within them; nulls come first. A file is written under a name of its own and then moved to its final name, which depends on the range alone: a task that
     is repeated leaves the same file, and the manifest names only files of tasks that ended.
     """
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ("doc_id", "tie")
-    rows = text_rows(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("tie")
+    order = ("doc_id", "tie", "place")
+    rows = text_rows(docs).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("tie", "place")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         encode, part = encoder(vocabulary, KEPT_CHUNKS), TaskContext.get().partitionId()

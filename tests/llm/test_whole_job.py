@@ -237,3 +237,71 @@ def test_thousands_of_matches_in_one_text(spark):
     began = time.time()
     r = find_pii(documents(spark, [(1, text, "en", "s")])).first()
     assert r["n_email"] == 10_000 and r["n_context"] == 2000 and r["n_spans"] == 12_000 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_frequent_lines_equal_brute_force(spark, odd, none, monkeypatch, sent):
+    """Verdicts, removed words and the texts that stay, whether frequent lines are sent to the tasks or met by a salted join."""
+    import re
+
+    from marlspike.llm import quality
+
+    monkeypatch.setattr(quality, "SENT_LINES", sent)
+    rng = random.Random(31)
+    lines = [" ".join(rng.choice("alpha beta 12 Gamma delta 7 eps".split()) + str(rng.randrange(4)) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    rows = []
+    for i in range(260):
+        own = "\n".join(" ".join(f"w{rng.randrange(10**6):x}z" for _ in range(rng.randint(3, 20))) for _ in range(rng.randint(2, 8)))
+        often = [rng.choice(lines[: 4 + i % 9]) for _ in range(rng.choice([0, 1, 3, 30]))]
+        body = [*own.split("\n"), *often, *[x.upper().replace(" ", " \t") + "\r" for x in often[:1]], " "]
+        rng.shuffle(body)
+        rows.append((1000 + i, "\n".join(body), "en", rng.choice(["a", "b", "c", None])))
+    docs = odd.unionByName(documents(spark, rows))
+    held = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", x.lower())).strip()
+    split = lambda x: [y for y in (x or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
+    size, found = Counter(h for *_, h in held), Counter((h, y) for _, x, h in held for y in {*map(normal, split(x))})
+    gone = {k for k, n in found.items() if n > 20 or (n >= 3 and n > 0.1 * size[k[0]])}
+    want, stay = Counter(), Counter()
+    for i, x, h in held:
+        words = re.findall(r"[^\x20\x09-\x0D]+", x or "")
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        again = len({k + j for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for j in range(3)})
+        lost = sum(len(re.findall(r"[^\x20\x09-\x0D]+", y)) for y in split(x) if (h, normal(y)) in gone)
+        kept = len(words) >= 50 and 100 * again <= 50 * len(words) and lost <= 0.6 * len(words)
+        want[i, lost, kept] += 1
+        if kept:
+            stay[i, "\n".join(y for y in x.split("\n") if not (split(y) and (h, normal(y)) in gone)), h] += 1
+    limits = {"least_limit": 20, "limit_share": 0.1, "most_removed": 0.6}
+    assert Counter((r["doc_id"], r["n_removed_words"], r["kept"]) for r in quality.quality_rules(docs, **limits).collect()) == want
+    got = quality.without_frequent_lines(docs, **limits).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == stay and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert len({k for _, n, k in want if n}) == 2 and quality.without_frequent_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("scope", [0, 25, 200])
+def test_links_equal_brute_force(scope):
+    """Every pair of parts of a text: what is in scope of what, overlaps and nested spans among them."""
+    import re
+
+    from marlspike.llm import secrets as S
+
+    rng = random.Random(scope)
+    drawn = lambda n: "".join(rng.choice("abcdefgXYZ0123456789") for _ in range(n))
+    parts = [lambda: f"user: {drawn(5)}", lambda: f"client_id={drawn(30)}", lambda: "aB3" + drawn(25), lambda: f"https://h.example/{drawn(6)}", lambda: "AKIA" + "A1" * 9, lambda: f"token={drawn(8)}", lambda: "token=" + "_".join(["0a" * 12] * 10) + "aB3" + drawn(20), lambda: "word " * rng.randint(1, 30)]
+    seen = Counter()
+    for _ in range(400):
+        text = " ".join(rng.choice(parts)() for _ in range(rng.randint(1, 9)))
+        base = S.base_spans(text)
+        free = lambda a, b, base=base: not any(p.start < b and p.end > a for p in base)
+        close = lambda p, q: (p[0] - scope <= q[1] <= p[0]) or (p[1] <= q[0] <= p[1] + scope)
+        ids = [m.span(1) for m in S.IDENTIFIER.finditer(text) if free(*m.span(1))]
+        keys = [(p.start, p.end) for p in base if p.kind == "access"]
+        values = [m.span() for m in S.OPAQUE.finditer(text) if S.opaque(m[0], 3.5) and free(*m.span())]
+        places = [m.span() for m in re.finditer(S.ENDPOINT, text)]
+        secrets = [v for v in values if any(close(v, q) for q in [*ids, *keys, *places])]
+        named = [p for p in ids if any(close(p, q) for q in [*secrets, *((b.start, b.end) for b in base if b.kind != "access")])]
+        want = sorted([("linked_secret", *v) for v in secrets] + [("linked_id", *p) for p in named])
+        assert sorted(S.linked_spans(text, base, scope)) == want
+        seen.update(k for k, *_ in want)
+    assert min(seen["linked_secret"], seen["linked_id"]) > 20 or scope == 0
