@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import materialize
+from marlspike.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of edges (a, b: long), by large-star and small-star rounds.
 
-    Each round reattaches neighbours to the smallest one known; all steps are grouped minima, combined before the shuffle, and joins.
+    Each round reattaches neighbours to the smallest one known; all steps are grouped minima, combined before the shuffle, and joins in which one
+    side has a row for each node, so that adaptive execution can split the other where a node has very many neighbours. Tables of earlier rounds
+    are deleted.
     """
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
@@ -24,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
-        if after.count() == pairs.count() and after.exceptAll(pairs).isEmpty():
-            break
+        same = after.count() == pairs.count() and after.exceptAll(pairs).isEmpty()
+        discard(large, pairs)
         pairs = after
+        if same:
+            break
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import map_batches, materialize, prepare, text_rows, words_of
+from marlspike.llm.common import discard, map_batches, materialize, prepare, text_rows, words_of
 from marlspike.llm.components import components
 
 #: Cells of the frequency sketches of shingles and of words that order shingles (2 bytes each before compression, as broadcast), sent in CHUNKS pieces.
@@ -25,6 +25,8 @@ FILTER_BITS = 25
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 19
 #: Live prefix shingles that a member carries to tell which list owns a pair.
 OWN = 8
+#: Sets of more documents than HEAVY_DOCS and a HEAVY_SETS-th of all documents are sent to all tasks: HEAVY_SETS of them at most.
+HEAVY_DOCS, HEAVY_SETS = 500, 500_000
 WORDS_KEPT = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -248,6 +250,7 @@ def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int, perc
         F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("live"), F.max_by("token", F.struct("df", "token")).alias("home")
     )
     live = materialize(live, "jaccard-live")
+    discard(keyed, met)
     wanted = Filter(live.join(nodes, "sig").where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     rows = text_rows(docs).select("text", Filter.bit("doc_id").alias("bit"), F.isnull("doc_id").alias("unnamed"))
@@ -262,18 +265,22 @@ def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int, perc
                 yield {"sig": [g for g, _ in sets], "parity": [parities(s) for _, s in sets], "shingles": [s.tobytes() for _, s in sets]}
 
     sets = map_batches(rows, run, "sig long, parity array<long>, shingles binary")
-    out = materialize(blocks(live, percent).join(sets, "sig").dropDuplicates(["sig"]), "jaccard-members")
+    dealt, sizes = blocks(live, percent)
+    out = materialize(dealt.join(sets, "sig").dropDuplicates(["sig"]), "jaccard-members")
     shared.destroy()
+    discard(live, sizes)
     return out
 
 
 class Members:
     """Members of one list or of two of its blocks, and the links among them."""
 
-    def __init__(self, sig: np.ndarray, side: np.ndarray, parity: np.ndarray, sets: list[np.ndarray], percent: int):
+    def __init__(self, sig: np.ndarray, side: np.ndarray, parity: np.ndarray, sets: list[np.ndarray], percent: int, labels: tuple):
+        """labels: of what is joined already, those of one component are equal."""
         self.sig, self.side, self.parity, self.sets, self.percent = sig, side, parity, sets, percent
         self.n = np.array([*map(len, sets)], np.int64)
-        self.up = list(range(len(sets)))
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -308,8 +315,8 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def blocks(live: DataFrame, percent: int) -> DataFrame:
-    """live (sig, n, home, …) with keys: the pairs of blocks of its home list that a set belongs to; none where it would be alone.
+def blocks(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """live (sig, n, home, …) with keys, and the stored sizes of the ranges. Keys are the pairs of blocks of its home list that a set belongs to; none where it would be alone.
 
     Members are dealt by size range, as sets whose sizes are further apart can't link, and beyond a block's bounds by hash. A key
     names its two blocks (two: of neighbouring ranges, low: the lower range, i and j) and the side that the set is on.
@@ -317,8 +324,8 @@ def blocks(live: DataFrame, percent: int) -> DataFrame:
     rows = live.withColumn("range", size_range(percent))
     sizes = rows.groupBy("home", "range").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = materialize(sizes.select("home", "range", parts.alias("parts"), "members"), "jaccard-ranges")
-    near = lambda k, name: sizes.select("home", (F.col("range") + k).alias("range"), F.col("parts").alias(name))
+    stored = sizes = materialize(sizes.select("home", "range", parts.alias("parts"), "members"), "jaccard-ranges")
+    near = lambda k, name: stored.select("home", (F.col("range") + k).alias("range"), F.col("parts").alias(name))
     sizes = sizes.join(near(-1, "after"), ["home", "range"], "left").join(near(1, "before"), ["home", "range"], "left")
     sizes = sizes.select("home", "range", "parts", "after", "before", F.when(F.col("members") > 1, F.col("parts")).alias("inside"))
     rows = rows.join(sizes, ["home", "range"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
@@ -337,14 +344,39 @@ def blocks(live: DataFrame, percent: int) -> DataFrame:
         each("after", lambda k: key(1, r, own, k, F.lit(0))),
         each("before", lambda k: key(1, r - 1, k, own, F.lit(1))),
     )
-    return rows.withColumn("keys", keys).select(*live.columns, "keys")
+    return rows.withColumn("keys", keys).select(*live.columns, "keys"), stored
 
 
-def home_links(found: DataFrame, percent: int, every: bool = False) -> DataFrame:
-    """Links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already; every: all
-    links of the list."""
+#: The keys of the first round of home_links: each block in itself and with the next one of its range.
+FIRST = "k.two = 0 and k.j - k.i <= 1"
+
+
+def joined_links(found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the members of each home list, in two rounds.
+
+    The first compares each block of a list in itself and with the next one, which joins nearly all of a group of copies with work in proportion to
+    the list. The second compares the other pairs of blocks that still hold two components or more, without the pairs that are joined.
+    """
+    first = home_links(found, percent, FIRST)
+    labels = materialize(components(first), "jaccard-home-labels")
+    rest = found.select("home", "sig", F.explode("keys").alias("k")).where(f"not ({FIRST})").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     by = ("home", "two", "low", "i", "j")
-    dealt = found.select("home", "sig", "parity", "shingles", F.explode("keys").alias("k")).select("home", "k.*", "sig", "parity", "shingles")
+    rest = rest.select("home", "k.*", F.coalesce("label", "sig").alias("label")).groupBy(*by).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    open_ = materialize(rest.where("least <> most").select(*by), "jaccard-open-blocks")
+    second = home_links(found, percent, f"not ({FIRST})", labels, open_)
+    discard(labels, open_)
+    return first.union(second)
+
+
+def home_links(found: DataFrame, percent: int, keys: str = "true", labels: DataFrame | None = None, only: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """Stored links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already; every: all
+    links of the list. keys: a condition on the pairs of blocks to compare (k); only: those pairs themselves; labels (node, label): what is
+    joined so far."""
+    by = ("home", "two", "low", "i", "j")
+    dealt = found.select("home", "sig", "parity", "shingles", F.explode("keys").alias("k")).where(keys).select("home", "k.*", "sig", "parity", "shingles")
+    if only is not None:
+        dealt = dealt.join(only, [*by], "left_semi")
+    dealt = dealt.withColumn("label", F.col("sig")) if labels is None else dealt.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     dealt = dealt.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -352,14 +384,14 @@ def home_links(found: DataFrame, percent: int, every: bool = False) -> DataFrame
         now = None
 
         def links() -> list[tuple[int, int]]:
-            sig, side, parity, sets = zip(*group, strict=True)
-            m = Members(np.array(sig), np.array(side), np.array(parity, np.int64).view(np.uint64), [np.frombuffer(s, np.uint64) for s in sets], percent)
+            sig, side, parity, sets, label = zip(*group, strict=True)
+            m = Members(np.array(sig), np.array(side), np.array(parity, np.int64).view(np.uint64), [np.frombuffer(s, np.uint64) for s in sets], percent, label)
             return [*m.links(now[1] == 1 or now[3] != now[4], every)]
 
         for b in batches:
             out: list[tuple[int, int]] = []
             cols = {k: v.to_pylist() for k, v in b.items()}
-            for row in zip(*(cols[k] for k in by), cols["sig"], cols["side"], cols["parity"], cols["shingles"], strict=True):
+            for row in zip(*(cols[k] for k in by), cols["sig"], cols["side"], cols["parity"], cols["shingles"], cols["label"], strict=True):
                 if row[:5] != now:
                     out += links() if len(group) > 1 else []
                     group, now = [], row[:5]
@@ -423,9 +455,25 @@ def other_links(found: DataFrame, labels: DataFrame | None, percent: int) -> Dat
 
     out = materialize(map_batches(checked, run, "a long, b long"), "jaccard-other-links")
     shared.destroy()
+    discard(rows, pairs)
     return out
 
 
+def of_sets(index: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The rows of index with columns of sets (stored; sig, docs, …), null where the document's set is empty or isn't among them.
+
+    Sets of very many documents are sent to all tasks, so that copies of one text are never gathered; sets of fewer meet their documents by a join,
+    from which documents without a word are kept apart.
+    """
+    total = sets.agg(F.sum("docs")).first()[0] or 0
+    heavy = F.col("docs") > max(HEAVY_DOCS, total // HEAVY_SETS)
+    sent = sets.where(heavy).select("sig", F.lit(True).alias("sent"), *columns)
+    rows = index.select("doc_id", "n", "sig").join(F.broadcast(sent), "sig", "left")
+    apart = F.col("sig").isNull() | F.col("sent").isNotNull()
+    rest = rows.where(~apart).drop("sent", *columns).join(sets.where(~heavy).select("sig", *columns), "sig", "left")
+    return rows.where(apart).select("doc_id", "n", *columns).union(rest.select("doc_id", "n", *columns))
+
+
 def compared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored: the documents' index, the distinct sets (sig, rep: smallest doc_id, docs: how many), and the members that may link."""
     prepare(docs.sparkSession)
@@ -458,8 +506,8 @@ def link_counts(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     links = every_link(found, percent)
     ends = links.union(links.select("b", "a")).toDF("sig", "other")
     others = ends.join(nodes.select(F.col("sig").alias("other"), "docs"), "other").groupBy("sig").agg(F.sum("docs").alias("linked"))
-    counts = nodes.join(others, "sig", "left").select("sig", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return index.join(counts, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    counts = materialize(nodes.join(others, "sig", "left").select("sig", "docs", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-counts")
+    return of_sets(index, counts, "n_links").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -474,15 +522,16 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     rows are equal sets; other columns are ignored; an empty table gives no rows.
     """
     index, nodes, found = compared(docs, size, percent)
-    near = home_links(found, percent)
+    near = joined_links(found, percent)
     labels = components(near)
-    links = near.union(other_links(found, labels, percent))
-    labels = materialize(components(links), "jaccard-labels")
+    other = other_links(found, labels, percent)
+    labels = materialize(components(near.union(other)), "jaccard-labels")
+    discard(found, other)
     whole = labels.join(nodes, labels["node"] == nodes["sig"]).select("sig", "label", "rep")
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     grouped = whole.join(least, "label").select("sig", "component_id")
-    named = nodes.join(grouped, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
-    return index.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialize(nodes.join(grouped, "sig", "left").select("sig", "docs", F.coalesce("component_id", "rep").alias("component_id")), "jaccard-named")
+    return of_sets(index, named, "component_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:

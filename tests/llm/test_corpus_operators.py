@@ -44,8 +44,11 @@ def test_join_equals_brute_force_on_odd_rows(odd, none):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_join_equals_brute_force_on_chains_of_copies(spark, seed):
-    """Groups of copies that drift, so that links chain; passages that many texts share; sizes on both sides of the limit."""
+def test_join_equals_brute_force_on_chains_of_copies(spark, seed, monkeypatch):
+    """Groups of copies that drift, so that links chain; passages that many texts share; sizes on both sides of the limit; sets of many documents."""
+    from marlspike.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "HEAVY_DOCS", 1 if seed else 500)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(2000)]
     make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
