@@ -15,8 +15,10 @@ from marlspike.llm.encode import END, ended, encoder
 
 #: Padding tokens that a cut is worth: at a document's end, at a sentence's end, anywhere else; and a sequence more.
 AT_DOCUMENT, AT_SENTENCE, ELSEWHERE, SEQUENCE = 0, 4, 48, 1
-#: Tokens that are planned together, tokens between two sentence cuts at least, and between two cuts at most.
-BLOCK, CLOSE, FAR = 1 << 18, 12, 128
+#: Tokens that are planned together, and tokens between two cuts at most: sentences that are longer may be cut inside.
+BLOCK, FAR = 1 << 18, 128
+#: Tokens of the smallest sequence that is planned as unpadded for its power of two; smaller ones would save little padding for a whole sequence.
+LEAST_POWER = 64
 SENTENCE_ENDS = (".", "!", "?", "...", "。", "!!", "??", ".\"")
 
 
@@ -26,11 +28,8 @@ def candidates(sizes: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.
     sizes: tokens of each document of the block; sentence: whether each token ends a sentence.
     """
     total = int(sizes.sum())
-    ends = np.flatnonzero(sentence) + 1
-    if len(ends):  # the last sentence end of each stretch of CLOSE tokens
-        ends = ends[np.append(np.diff(ends // CLOSE) > 0, True)]
     cost = np.full(total + 1, -1, np.int32)
-    cost[ends] = AT_SENTENCE
+    cost[np.flatnonzero(sentence) + 1] = AT_SENTENCE
     cost[np.cumsum(sizes)] = AT_DOCUMENT
     cost[0] = AT_DOCUMENT
     at = np.flatnonzero(cost >= 0)
@@ -49,10 +48,10 @@ def plan(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     power of two isn't padded; those few transitions are looked up beforehand.
     """
     exact: dict[int, list[int]] = {}
-    power = 1
+    power = LEAST_POWER
     while power <= length:
         i = np.searchsorted(at, at - power)
-        for j in np.flatnonzero((at >= power) & (at[i] == at - power)).tolist() if power >= 64 else ():
+        for j in np.flatnonzero((at >= power) & (at[i] == at - power)).tolist():
             exact.setdefault(j, []).append(int(i[j]))
         power *= 2
     where, fee = at.tolist(), cost.tolist()
