@@ -25,7 +25,7 @@ FILTER_BITS = 25
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 19
 #: Live prefix shingles that a member carries to tell which list owns a pair.
 OWN = 8
-#: Sets of more documents than HEAVY_DOCS and a HEAVY_SETS-th of all documents are sent to all tasks: HEAVY_SETS of them at most.
+#: Sets of more documents than HEAVY_DOCS and a HEAVY_SETS-th of all documents are sent to all tasks, as are lists of so many rows: HEAVY_SETS of them at most.
 HEAVY_DOCS, HEAVY_SETS = 500, 500_000
 WORDS_KEPT = 200_000
 
@@ -238,19 +238,22 @@ def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int, perc
     the sets; those of other documents are left out by a filter of bounded size before anything is made of them.
     """
     postings = index.where("prefix is not null").select("sig", "n", F.explode("prefix").alias("x")).select("sig", "n", "x.pos", "x.token")
-    lists = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
+    lists = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("df")).where("low <> high")
+    lists = materialize(lists.select("token", "df"), "jaccard-tokens")
     # length filter: sets link only within a size range or between neighbouring ones, so a posting must meet another there
-    keyed = postings.join(lists, "token").withColumn("range", F.explode(F.array(size_range(percent), size_range(percent) + 1)))
+    keyed = met_by(postings, lists, ["token"], "df").withColumn("range", F.explode(F.array(size_range(percent), size_range(percent) + 1)))
     keyed = materialize(keyed, "jaccard-postings")
+    discard(lists)
     met = keyed.groupBy("token", "range").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("rows")).where("low <> high")
     met = materialize(met, "jaccard-lists")
     fit = fitting(met.where("rows = 2").select("low", "high").distinct(), index, percent)
-    lists = met.where("rows > 2").select("token", "range").union(met.where("rows = 2").join(fit, ["low", "high"]).select("token", "range"))
-    live = keyed.join(lists, ["token", "range"], "left_semi").groupBy("sig", "n").agg(
+    lists = met.where("rows > 2").select("token", "range", "rows").union(met.where("rows = 2").join(fit, ["low", "high"]).select("token", "range", "rows"))
+    lists = materialize(lists, "jaccard-open-lists")
+    live = met_by(keyed, lists, ["token", "range"], "rows").groupBy("sig", "n").agg(
         F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("live"), F.max_by("token", F.struct("df", "token")).alias("home")
     )
     live = materialize(live, "jaccard-live")
-    discard(keyed, met)
+    discard(keyed, met, lists)
     wanted = Filter(live.join(nodes, "sig").where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     rows = text_rows(docs).select("text", Filter.bit("doc_id").alias("bit"), F.isnull("doc_id").alias("unnamed"))
@@ -459,6 +462,16 @@ def other_links(found: DataFrame, labels: DataFrame | None, percent: int) -> Dat
     return out
 
 
+def met_by(rows: DataFrame, lists: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows joined with lists (stored; key, size: how many of rows each has), each key once. Very long lists are sent to all tasks, so that none is
+    gathered by the join; their number is bounded as their sizes add up to that of rows."""
+    total = lists.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) > max(HEAVY_DOCS, total // HEAVY_SETS)
+    both = rows.join(F.broadcast(lists.where(heavy).withColumn("sent", F.lit(True))), key, "left")
+    rest = both.where("sent is null").select(*rows.columns).join(lists.where(~heavy), key)
+    return both.where("sent").drop("sent").unionByName(rest)
+
+
 def of_sets(index: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """The rows of index with columns of sets (stored; sig, docs, …), null where the document's set is empty or isn't among them.
 

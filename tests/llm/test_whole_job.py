@@ -305,3 +305,13 @@ def test_links_equal_brute_force(scope):
         assert sorted(S.linked_spans(text, base, scope)) == want
         seen.update(k for k, *_ in want)
     assert min(seen["linked_secret"], seen["linked_id"]) > 20 or scope == 0
+
+
+def test_stages_of_empty_and_unlabelled_tables(spark, none):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select(*columns), "").count() == 0, name
+    docs = documents(spark, [(i, f"the {i} words of a text that nobody has labelled", None, None) for i in range(5)] * 2).select(*columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert {r["doc_id"] for r in docs.collect()} == {*range(5)}, name
