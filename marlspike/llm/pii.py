@@ -19,7 +19,7 @@ BASE = {
 #: An octet up to 255, leading zeros allowed.
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A mention: a token with a digit or an at sign, without marks around it, as phones and cards are by themselves. Every base span is in one. Other
-#: tokens are candidates where they stand in the context of a pattern with seeds enough.
+#: tokens are candidates where they stand in the context of a pattern that is trusted among mentions.
 MENTION = rf"{BASE['phone']}|(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){{12,18}}+(?![0-9A-Za-z])|(?<!\S)(?=\S*[0-9@])\S++"
 MARKS = r"[^\p{L}\p{N}+]"
 #: Code points on either side of a mention that hold its context.
@@ -255,8 +255,9 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_sco
     """Per document doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context (spans that contexts added), n_spans (all).
 
     Base spans are seeds. Patterns are the two words before a mention, and the word on either side; mentions are tokens with a digit or
-    an at sign. Other tokens are candidates, and so count as instances, where they stand in the context of a pattern with least_support
-    seeds; they become spans only in the context of a trusted pattern of their kind.
+    an at sign. Patterns are scored on the mentions first. Other tokens are candidates, and so count as instances, where they stand in the context of
+    a pattern that is trusted then; all is scored again with them, and they become spans only in the context of a pattern of their kind that is still
+    trusted. (Were each pattern with least_support seeds to bring its tokens, common contexts of a large corpus would bring most of its tokens.)
     A pattern counts each distinct instance once, so copies of a text add no support. An unseen mention that high-confidence
     patterns give a kind becomes a span `context_<kind>` unless a base span overlaps it. Null and empty texts have no spans; a null
     doc_id stays; repeated rows are scanned each; other columns are ignored.
@@ -266,8 +267,8 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_sco
     mentions = mentions_of(rows)
     edges = mentions.select("instance", "kind", F.explode("patterns").alias("pattern"))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    seeded = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_support)
-    tokens = plain_tokens(rows, materialize(seeded.select("pattern").distinct(), "seeded"))
+    _, first = bootstrap(edges, rounds, least_support, least_score)
+    tokens = plain_tokens(rows, materialize(first.select("pattern").distinct(), "first-patterns"))
     more = tokens.select("pattern", "instance").distinct().withColumn("kind", F.lit(None).cast("string"))
     edges = materialize(edges.unionByName(more).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "all-edges")
     found, trusted = bootstrap(edges, rounds, least_support, least_score)

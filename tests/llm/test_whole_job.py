@@ -172,34 +172,37 @@ def brute_contexts(rows, rounds=2, least_support=5, least_score=0.7, context=64)
     for _, _, _, x, by, own, kind in spots:
         for p in by if own else ():
             held[p, x][0] = max(filter(None, (held[p, x][0], kind)), default=None)
-    seeds = Counter((p, e[0]) for (p, _), e in held.items() if e[0])
-    seeded = {p for (p, _), n in seeds.items() if n >= least_support}
+
+    def scored(edges):
+        seed = {(x, kind) for (_, x), kind in edges.items() if kind}
+        known, found, trusted = {s: 1.0 for s in seed}, {}, {}
+        for _ in range(rounds):
+            size, mass, support = Counter(p for p, _ in edges), defaultdict(float), Counter()
+            for p, x in edges:
+                for kind in BASE:
+                    if (x, kind) in known:
+                        mass[p, kind] += known[x, kind]
+                        support[p, kind] += known[x, kind] == 1.0
+            trusted = {(p, kind): mass[p, kind] / size[p] * (1 - 1 / (1 + n)) for (p, kind), n in support.items() if n >= least_support}
+            trusted = {key: t for key, t in trusted.items() if t >= least_score}
+            doubt = defaultdict(float)
+            for (p, x), kind in edges.items():
+                for k in BASE:
+                    if kind is None and (p, k) in trusted:
+                        doubt[x, k] += math.log(1 - min(trusted[p, k], 0.999))
+            score = {key: 1 - math.exp(d) for key, d in doubt.items() if 1 - math.exp(d) >= least_score}
+            found = {}
+            for (x, k), s in score.items():
+                found[x] = max(found.get(x, (0, "")), (s, k))
+            known = {s: 1.0 for s in seed} | {(x, k): s for x, (s, k) in found.items()}
+        return found, trusted
+
+    first = {p for p, _ in scored({key: e[0] for key, e in held.items()})[1]}
     for _, _, _, x, by, own, _ in spots:
         for p in by:
-            if not own and p in seeded:
+            if not own and p in first:
                 held[p, x]
-    edges = {key: e[0] for key, e in held.items()}
-    seed = {(x, kind) for (_, x), kind in edges.items() if kind}
-    known, found, trusted = {s: 1.0 for s in seed}, {}, {}
-    for _ in range(rounds):
-        size, mass, support = Counter(p for p, _ in edges), defaultdict(float), Counter()
-        for p, x in edges:
-            for kind in BASE:
-                if (x, kind) in known:
-                    mass[p, kind] += known[x, kind]
-                    support[p, kind] += known[x, kind] == 1.0
-        trusted = {(p, kind): mass[p, kind] / size[p] * (1 - 1 / (1 + n)) for (p, kind), n in support.items() if n >= least_support}
-        trusted = {key: t for key, t in trusted.items() if t >= least_score}
-        doubt = defaultdict(float)
-        for (p, x), kind in edges.items():
-            for k in BASE:
-                if kind is None and (p, k) in trusted:
-                    doubt[x, k] += math.log(1 - min(trusted[p, k], 0.999))
-        score = {key: 1 - math.exp(d) for key, d in doubt.items() if 1 - math.exp(d) >= least_score}
-        found = {}
-        for (x, k), s in score.items():
-            found[x] = max(found.get(x, (0, "")), (s, k))
-        known = {s: 1.0 for s in seed} | {(x, k): s for x, (s, k) in found.items()}
+    found, trusted = scored({key: e[0] for key, e in held.items()})
     out = defaultdict(set)
     for k, a, b, x, by, own, kind in spots:
         if x in found and kind is None and (own or any((p, found[x][1]) in trusted for p in by)):
