@@ -176,3 +176,13 @@ def from_millis(value: Column) -> Column:
 def xml_leak(value: Column) -> Column:
     """A tool call that was written out as XML."""
     return F.lower(value).rlike(r"<(tool_call|function|invoke|parameter)[ =>]")
+
+
+def joined_words(words: Column) -> Column:
+    """The query of positional words (an array)."""
+    return F.trim(F.array_join(words, " "))
+
+
+def message_cap(n: Column, default: int = 100) -> Column:
+    """How many messages of a conversation are taken; none or 0 means the default."""
+    return F.coalesce(F.nullif(n, F.lit(0)), F.lit(default))

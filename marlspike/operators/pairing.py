@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.operators.chat import first_of
 
-#: Rows of the smaller side of a pairing on 'contains' that may be broadcast; beyond, labels meet through their words.
-MOST_BROADCAST = 100_000
+#: Code points of a needle's beginning by which it meets what may contain it.
+GRAM = 3
 
 
 def own_declarations(running: DataFrame, declared: DataFrame) -> DataFrame:
@@ -29,15 +31,16 @@ def words(label: Column) -> Column:
 
 
 def contains_any(left: DataFrame, right: DataFrame, needles: str, hay: str) -> DataFrame:
-    """Pairs of left and right where the lower-cased hay of right contains one of left's needles (an array), by a broadcast of the smaller side.
+    """Pairs of left and right where the lower-cased hay of right contains one of left's needles (an array), each once.
 
-    The side that is broadcast is checked first and refused beyond MOST_BROADCAST rows.
+    A needle's first GRAM code points meet all such pieces of the hay (shorter ones for shorter needles) in an equi-join, and what meets is verified:
+    sides of any size, without comparing all pairs.
     """
-    n = left.limit(MOST_BROADCAST + 1).count()
-    if n > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} rows of labels: pair them by word_pairs()")
-    met = F.exists(needles, lambda t: F.contains(F.lower(F.col(hay)), t))
-    return right.join(F.broadcast(left), met)
+    a = left.withColumn("_needle", F.explode(F.array_distinct(needles))).where("_needle <> ''").withColumn("_gram", F.substring("_needle", 1, GRAM))
+    low = F.lower(F.coalesce(hay, F.lit("")))
+    piece = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - k + 1)), lambda i: F.substr(low, i, F.lit(k)))
+    b = right.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[piece(k) for k in range(1, GRAM + 1)]))))
+    return a.join(b, "_gram").where(F.contains(F.lower(F.col(hay)), F.col("_needle"))).drop("_needle", "_gram").distinct()
 
 
 def label_matches(orgs: DataFrame, companies: DataFrame) -> DataFrame:
@@ -76,16 +79,18 @@ def contact_lookup(chats: DataFrame, contacts: DataFrame) -> DataFrame:
     """chats (chat_id, name) with a contact_id of contacts (contact_id, name, email), by falling priority.
 
     Equal names, a contact that contains the name, a name that contains the contact's first word, a mail address that contains the name's
-    first word; then the smaller contact_id. Contacts are checked against the broadcast bound.
+    first word; then the smaller contact_id. Each way is an equi-join of its own.
     """
-    n = contacts.limit(MOST_BROADCAST + 1).count()
-    if n > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} contacts: look them up by word_pairs()")
-    a, b = F.lower(F.trim("name")), F.lower(F.trim("c_name"))
     word = lambda x: F.element_at(F.split(x, r"\s+"), 1)
-    rank = F.when(a == b, 0).when(F.contains(b, a), 1).when(F.contains(a, word(b)), 2).when(F.contains(F.lower("c_email"), word(a)), 3)
-    c = contacts.select(F.col("contact_id"), F.col("name").alias("c_name"), F.col("email").alias("c_email"))
-    pairs = chats.where(a != "").join(F.broadcast(c.where(b != "")), rank.isNotNull()).withColumn("priority", rank)
+    a = chats.select("chat_id", "name", F.lower(F.trim("name")).alias("_a")).where("_a <> ''")
+    b = contacts.select("contact_id", F.lower(F.trim("name")).alias("_b"), F.col("email").alias("_email")).where("_b <> ''")
+    ways = [
+        a.join(b, F.col("_a") == F.col("_b")),
+        contains_any(a.withColumn("_n", F.array("_a")), b, "_n", "_b"),
+        contains_any(b.withColumn("_n", F.array(word(F.col("_b")))), a, "_n", "_a"),
+        contains_any(a.withColumn("_n", F.array(word(F.col("_a")))), b, "_n", "_email"),
+    ]
+    pairs = reduce(DataFrame.unionByName, [w.select("chat_id", "name", "contact_id", F.lit(k).alias("priority")) for k, w in enumerate(ways)])
     return first_of(pairs, ["chat_id"], "priority", "contact_id").select("chat_id", "name", "contact_id", "priority")
 
 

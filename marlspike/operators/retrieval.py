@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.predicates import active_at
@@ -97,36 +97,94 @@ def select_hits(hits: DataFrame, n: int = 0, root: str = "", repo: str = "", as_
     return hits.limit(n) if n > 0 else hits
 
 
-def hybrid(leafs: DataFrame, query: str, vector: list[float] | None, n: int = 20, **filters: str) -> DataFrame:
+def hybrid(leafs: DataFrame, query: str, vector: list[float] | None, n: int = 20, index: WordIndex | None = None, vectors: DataFrame | None = None, **filters: str) -> DataFrame:
     """Hits of leafs (id, text, root, confidence, source, valid_from, valid_to, embedding) with score, rrf and snippet.
 
+    Words are looked up in a stored index, or counted in the texts where there is none; vectors: (id, embedding) where they aren't the leafs' own.
     Both rankings are cut at OVERFETCH x n before they are fused, and filters apply to what is left, as they do in retrieval stores; the
     fused candidates are few, so the join back to the leafs is a broadcast of at most 2 x OVERFETCH x n rows.
     """
     cut = OVERFETCH * max(n, 1)
-    words = bm25(leafs, query, cut)
-    near = cosine(leafs.where("embedding is not null"), vector, cut) if vector else words.where("false")
+    words = index.search(query, cut) if index else bm25(leafs, query, cut)
+    vectors = vectors if vectors is not None or "embedding" not in leafs.columns else leafs.where("embedding is not null")
+    near = cosine(vectors, vector, cut) if vector and vectors is not None else words.where("false")
     hits = leafs.drop("embedding").join(F.broadcast(fuse(words, near)), "id")
     return select_hits(hits, n, **filters).withColumn("snippet", F.substring("text", 1, 280))
 
 
-def build_index(leafs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (term, id, tf, len), terms (term, df) and one row of totals (n, avg): what batched search joins instead of texts."""
-    t = leafs.select("id", tokens(F.col("text")).alias("t"))
-    sized = t.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    postings = sized.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
+#: Parts that the terms of an index are dealt into: a query reads those of its own terms.
+TERM_PARTS = 32
 
 
-def bm25_batch(leafs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) of the best k leafs for each of queries (qid, query): postings met by term, limited to the queries' terms."""
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    postings, _, totals = build_index(leafs)
-    postings = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    met = postings.join(asked, "term").join(terms, "term").crossJoin(F.broadcast(totals)).withColumn("score", _term(F.col("tf"), F.col("df")))
-    # sums in any order: without rounding, equal texts would differ in their last bits and not tie
-    return ranked(met.groupBy("qid", "id").agg(F.round(F.sum("score"), 9).alias("score")), "qid").where(F.col("rank") <= k)
+def term_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+
+
+def postings_of(leafs: DataFrame, *by: str) -> DataFrame:
+    """(by, term, id, tf, len) of leafs (by, id, text)."""
+    t = leafs.select(*by, "id", tokens(F.col("text")).alias("t"))
+    return t.select(*by, "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(*by, "term", "id", "len").agg(F.count("*").alias("tf"))
+
+
+def sums_of(leafs: DataFrame, *by: str) -> DataFrame:
+    """(by, n, tokens): leafs and their tokens, what idf and the mean length come from."""
+    return leafs.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
+
+
+def write_postings(leafs: DataFrame, path: str, *by: str) -> None:
+    """Postings of leafs under path, in folders of (by, term_part), sorted by term so that a query's terms skip most of a file."""
+    p = postings_of(leafs, *by).withColumn("term_part", term_part(F.col("term")))
+    p.repartition(*by, "term_part").sortWithinPartitions(*by, "term_part", "term", "id").write.partitionBy(*by, "term_part").parquet(path)
+
+
+class WordIndex:
+    """Stored postings (folders of term_part) with the number of leafs and of their tokens; loose: postings of leafs that aren't stored yet."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], n: int, tokens: int, id_type: str = "string", loose: DataFrame | None = None):
+        self.n, self.mean = n, tokens / n if n else 1.0
+        columns = ("term", "id", "tf", "len")
+        stored = spark.read.schema(f"term string, id {id_type}, len int, tf long, term_part int").parquet(*paths) if paths else None
+        loose = None if loose is None else loose.withColumn("term_part", term_part(F.col("term")))
+        both = [x.select(*columns, "term_part") for x in (stored, loose) if x is not None]
+        self.postings = reduce(DataFrame.unionByName, both) if both else spark.createDataFrame([], f"term string, id {id_type}, tf long, len int, term_part int")
+
+    def of_terms(self, words: list[str]) -> DataFrame:
+        """Postings of words: the parts that hold them, then the row groups that may."""
+        spark = self.postings.sparkSession
+        parts = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(term_part(F.col("term"))).distinct().collect()] if words else []
+        return self.postings.where(F.col("term_part").isin(parts) & F.col("term").isin(words)).drop("term_part")
+
+    def scored(self, met: DataFrame, *by: str) -> DataFrame:
+        """(by, id, score) of postings met by queries; documents with a term are counted from its postings."""
+        met = met.withColumn("n", F.lit(self.n)).withColumn("avg", F.lit(self.mean)).withColumn("score", _term(F.col("tf"), F.col("df")))
+        # sums in any order: without rounding, equal texts would differ in their last bits and not tie
+        return met.groupBy(*by, "id").agg(F.round(F.sum("score"), 9).alias("score"))
+
+    def search(self, query: str, k: int | None = None) -> DataFrame:
+        """id and score as bm25() has them, by the postings of the query's terms alone."""
+        p = self.of_terms(terms_of(query))
+        return best(self.scored(p.join(F.broadcast(p.groupBy("term").agg(F.count("*").alias("df"))), "term")), k)
+
+    def batch(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, id, score, rank) of the best k leafs for each of queries (qid, query): postings met by term, limited to the queries' terms."""
+        asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+        p = self.postings.drop("term_part").join(asked.select("term").distinct(), "term", "left_semi")
+        met = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term").join(asked, "term")
+        return ranked(self.scored(met, "qid"), "qid").where(F.col("rank") <= k)
+
+
+def index_of(leafs: DataFrame, path: str) -> WordIndex:
+    """The index of leafs (id, text) at path, written first where it isn't there; a write that fails leaves no sums, and so no index."""
+    from marlspike.session import hadoop
+
+    spark, sums = leafs.sparkSession, f"{path}/sums"
+    at, fs = hadoop(spark, f"{sums}/_SUCCESS")
+    if not fs.exists(at):
+        fs.delete(hadoop(spark, path)[0], True)
+        write_postings(leafs, f"{path}/postings")
+        sums_of(leafs).write.parquet(sums)
+    n, total = spark.read.parquet(sums).select("n", "tokens").first()
+    return WordIndex(spark, [f"{path}/postings"], n, total, leafs.schema["id"].dataType.simpleString())
 
 
 def hops(hits: DataFrame, edges: list[tuple[DataFrame, DataFrame, str]], depth: int) -> DataFrame:

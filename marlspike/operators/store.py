@@ -1,18 +1,22 @@
-"""The leaf store: immutable snapshots of Parquet tables with a pointer to the current one."""
+"""The leaf store: buckets of leafs in Parquet folders that never change, and numbered versions that name the folders."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import file_id, leaf_id, normal_day, or_else, text, text_hash
+from marlspike.operators.retrieval import WordIndex, postings_of, sums_of, write_postings
 from marlspike.schema import EDGES, LEAFS
+from marlspike.session import hadoop
 
 
-def complete(new: DataFrame, now: str) -> DataFrame:
-    """Rows of any of the store's columns as whole leafs: UTF-8 repaired, defaults set, days normalised, id and hash made."""
+def complete(new: DataFrame, now: str, *more: str) -> DataFrame:
+    """Rows of any of the store's columns as whole leafs: UTF-8 repaired, defaults set, days normalised, id and hash made; more: columns to keep."""
     for c in LEAFS.fieldNames():
         if c not in new.columns:
             new = new.withColumn(c, F.lit(None).cast(LEAFS[c].dataType))
@@ -21,19 +25,23 @@ def complete(new: DataFrame, now: str) -> DataFrame:
     out = new.select(
         leaf_id(source, body).alias("id"), body.alias("text"), source.alias("source"), text_hash(body).alias("sha256"),
         *[or_else(text(c), d).alias(c) for c, d in default.items()], or_else(text("observed_at"), now).alias("observed_at"),
-        normal_day(F.col("valid_from")).alias("valid_from"), normal_day(F.col("valid_to")).alias("valid_to"), F.col("embedding").cast("array<float>").alias("embedding"),
+        normal_day(F.col("valid_from")).alias("valid_from"), normal_day(F.col("valid_to")).alias("valid_to"), F.col("embedding").cast("array<float>").alias("embedding"), *more,
     )
-    return out.select(*LEAFS.fieldNames())
+    return out.select(*LEAFS.fieldNames(), *more)
 
 
 def invalid(new: DataFrame) -> DataFrame:
     return new.where((F.trim(text("text")) == "") | (F.trim(text("source")) == ""))
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old with the rows of new, by id: the last of new wins, and an embedding stays unless a new one is given."""
-    order = F.monotonically_increasing_id()
-    newest = new.withColumn("_seq", order).groupBy("id").agg(*[F.max_by(c, "_seq").alias(c) for c in new.columns if c not in ("id", "embedding")], F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("_seq"))).alias("embedding"))
+def upsert(old: DataFrame, new: DataFrame, seq: str = "") -> DataFrame:
+    """old with the rows of new, by id: the last of new wins, and an embedding stays unless a new one is given.
+
+    seq: a column of new that tells which row is last; without it rows are taken in the order of their partitions, as read from files.
+    """
+    order = F.col(seq) if seq else F.monotonically_increasing_id()
+    new = new.withColumn("_seq", order).drop(*([seq] if seq else []))
+    newest = new.groupBy("id").agg(*[F.max_by(c, "_seq").alias(c) for c in new.columns if c not in ("id", "embedding", "_seq")], F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("_seq"))).alias("embedding"))
     n = newest.select("id", *[F.col(c).alias(f"_{c}") for c in newest.columns if c != "id"], F.lit(True).alias("_new"))
     joined = old.join(n, "id", "full")
     pick = lambda c: F.coalesce(f"_{c}", c) if c == "embedding" else F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c))
@@ -66,43 +74,171 @@ def merge_edges(old: DataFrame, new: DataFrame, sources: DataFrame, targets: Dat
     return old.unionByName(there.select(*EDGES.fieldNames())).dropDuplicates()
 
 
-class Store:
-    """A folder with snapshot-<id> tables and a CURRENT file that names one; readers keep the snapshot that they opened."""
+#: Rows of a batch unless another size is asked for.
+BATCH = 64
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+class Conflict(Exception):
+    """Another writer made the next version first."""
 
-    def current(self) -> str | None:
-        p, fs = self._fs()
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString()).first()[0]
 
-    def read(self) -> DataFrame:
-        name = self.current()
-        return self.spark.createDataFrame([], LEAFS) if name is None else self.spark.read.schema(LEAFS).parquet(f"{self.path}/{name}")
-
-    def replace(self, leafs: DataFrame) -> str:
-        """Write a snapshot whole, then move the pointer: a run that fails leaves the store as it was."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        leafs.select(*LEAFS.fieldNames()).write.parquet(f"{self.path}/{name}")
-        p, fs = self._fs()
-        own = p.suffix(f".{name}")
+class Store:
+    """A folder with versions/<number>.json and the folders of leafs, postings and tables that they name.
+
+    The version of the highest number is the current one. It is written aside and renamed to its name, which fails if the name is taken: a reader
+    finds the old version or the new one, whole, and of two writers one starts again from the other's. Leafs are dealt into buckets by their id; a
+    batch rewrites the buckets that it touches and no others. Folders that no version names any more go with clean().
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def version(self) -> tuple[int, dict]:
+        """The current version's number and what it names; 0 and nothing for a new store."""
+        at, fs = hadoop(self.spark, f"{self.path}/versions")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = [int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()]
+        if not numbers:
+            return 0, {"of": self.buckets, "leafs": {}, "index": {}, "tables": {}}
+        return max(numbers), json.loads(self.spark.read.text(f"{self.path}/versions/{max(numbers):012d}.json", wholetext=True).first()[0])
+
+    def current(self) -> int:
+        return self.version()[0]
+
+    def _commit(self, number: int, names: dict) -> int:
+        own, fs = hadoop(self.spark, f"{self.path}/versions/.{uuid.uuid4().hex}")
         out = fs.create(own, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps(names, sort_keys=True).encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(own, p)
-        return name
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        to = hadoop(self.spark, f"{self.path}/versions/{number:012d}.json")[0]
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(own).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(fs.makeQualified(own), fs.makeQualified(to), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            fs.delete(own, False)
+            if fs.exists(to):
+                raise Conflict(f"version {number} was made by another writer") from e
+            raise
+        return number
+
+    def _change(self, change, attempts: int = 5) -> int:
+        """Make the next version of what change makes of the current one, again if another writer came first."""
+        for n in range(attempts):
+            number, names = self.version()
+            after = change(json.loads(json.dumps(names)))
+            try:
+                return self._commit(number + 1, after)
+            except Conflict:
+                if n + 1 == attempts:
+                    raise
+        return 0
+
+    def _bucket(self, of: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+
+    def _read(self, names: dict, buckets=None) -> DataFrame:
+        paths = [f"{self.path}/{p}" for k, p in names["leafs"].items() if buckets is None or int(k) in buckets]
+        return self.spark.read.schema(LEAFS).parquet(*paths) if paths else self.spark.createDataFrame([], LEAFS)
 
-    def add(self, new: DataFrame, now: str) -> str:
-        """Upsert a batch; a row without text or source rejects all of it."""
+    def read(self) -> DataFrame:
+        return self._read(self.version()[1])
+
+    def _write(self, leafs: DataFrame, names: dict, buckets) -> dict:
+        """names with buckets as leafs has them; a bucket that lost all its rows is no longer named."""
+        folder = f"leafs/{uuid.uuid4().hex}"
+        dealt = leafs.select(*LEAFS.fieldNames()).withColumn("bucket", self._bucket(names["of"]))
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        at, fs = hadoop(self.spark, f"{self.path}/{folder}")
+        written = {x.getPath().getName()[7:] for x in fs.listStatus(at) if x.getPath().getName().startswith("bucket=")}
+        for k in map(str, buckets):
+            names["index"].pop(k, None)
+            names["leafs"].pop(k, None)
+            if k in written:
+                names["leafs"][k] = f"{folder}/bucket={k}"
+        return names
+
+    def replace(self, leafs: DataFrame) -> int:
+        """All leafs anew; a run that fails makes no version and so leaves the store as it was."""
+        return self._change(lambda names: self._write(leafs, names, range(names["of"])))
+
+    def add(self, new: DataFrame, now: str, seq: str = "") -> int:
+        """Upsert a batch, of which the last row of an id wins by seq; a row without text or source rejects all of it. Returns the version."""
         if not invalid(new).isEmpty():
             raise ValueError("a leaf needs text and source")
-        return self.replace(upsert(self.read(), complete(new, now)))
+        done = complete(new, now, *([seq] if seq else [])).persist()  # read for its buckets and again for its rows
+        try:
+
+            def change(names: dict) -> dict:
+                touched = [r[0] for r in done.select(self._bucket(names["of"])).distinct().collect()]  # no more than there are buckets
+                return self._write(upsert(self._read(names, touched), done, seq), names, touched)
+
+            return self._change(change)
+        finally:
+            done.unpersist()
+
+    def index(self) -> int:
+        """Write the postings of buckets that have none; the others' stay. Returns the version."""
+
+        def change(names: dict) -> dict:
+            lack = [int(k) for k in names["leafs"] if k not in names["index"]]
+            if not lack:
+                return names
+            leafs = self._read(names, lack).select("id", "text").withColumn("bucket", self._bucket(names["of"]))
+            folder = f"postings/{uuid.uuid4().hex}"
+            write_postings(leafs, f"{self.path}/{folder}", "bucket")
+            for bucket, n, tokens in sums_of(leafs, "bucket").collect():  # a row for each bucket
+                names["index"][str(bucket)] = {"path": f"{folder}/bucket={bucket}", "n": n, "tokens": tokens}
+            return names
+
+        return self._change(change) if {*self.version()[1]["leafs"]} - {*self.version()[1]["index"]} else self.current()
+
+    def words(self) -> WordIndex:
+        """The index of the current version; buckets that aren't indexed yet are counted from their texts."""
+        names = self.version()[1]
+        there = [x for k, x in names["index"].items() if k in names["leafs"]]
+        lack = [int(k) for k in names["leafs"] if k not in names["index"]]
+        n, tokens, loose = sum(x["n"] for x in there), sum(x["tokens"] for x in there), None
+        if lack:
+            rest = self._read(names, lack).select("id", "text")
+            more = sums_of(rest).first()
+            n, tokens, loose = n + more["n"], tokens + more["tokens"], postings_of(rest)
+        fs = hadoop(self.spark, self.path)[1]
+        paths = [f"{self.path}/{x['path']}" for x in there]
+        return WordIndex(self.spark, [p for p in paths if fs.exists(hadoop(self.spark, p)[0])], n, tokens, loose=loose)
+
+    def put_table(self, name: str, rows: DataFrame) -> int:
+        """Store a table beside the leafs: files, commits, persons and their edges."""
+        folder = f"tables/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return self._change(lambda names: names | {"tables": names["tables"] | {name: folder}})
+
+    def table(self, name: str) -> DataFrame | None:
+        folder = self.version()[1]["tables"].get(name)
+        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
+
+    def clean(self, keep: int = 2) -> int:
+        """Delete versions but the last `keep`, and the folders that none of them names; readers of older versions must be done. Returns how many
+        folders went."""
+        at, fs = hadoop(self.spark, f"{self.path}/versions")
+        files = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".json"))
+        named = set()
+        for f in files[-keep:]:
+            names = json.loads(self.spark.read.text(f"{self.path}/versions/{f}", wholetext=True).first()[0])
+            named |= {*names["leafs"].values(), *(x["path"] for x in names["index"].values()), *names["tables"].values()}
+        for f in files[:-keep]:
+            fs.delete(hadoop(self.spark, f"{self.path}/versions/{f}")[0], False)
+        gone = 0
+        for kind in ("leafs", "postings", "tables"):
+            top = hadoop(self.spark, f"{self.path}/{kind}")[0]
+            for run in fs.listStatus(top) if fs.exists(top) else []:
+                folder = f"{kind}/{run.getPath().getName()}"
+                if not any(x == folder or x.startswith(f"{folder}/") for x in named):
+                    fs.delete(run.getPath(), True)
+                    gone += 1
+        return gone
+
+
+def batch_bounds(total: int, size: int) -> list[tuple[int, int]]:
+    """Start and end of each batch of size rows; a size below 1 means BATCH."""
+    return [(a, min(total, a + size)) for size in [size if size > 0 else BATCH] for a in range(0, total, size)]

@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.operators import aggregates, evidence, retrieval
-from marlspike.operators.store import Store
+from marlspike.operators.store import Store, complete
 
 #: Operations: method, path, parameters with their types, whether a tool of that name is listed.
 OPS = {
     "health": ("GET", "/health", {}, False),
-    "search": ("GET", "/search", {"q": "string", "limit": "integer", "root": "string", "repo": "string", "as_of": "string", "sort": "string"}, True),
+    "search": ("GET", "/search", {"q": "string", "limit": "integer", "root": "string", "repo": "string", "as_of": "string", "sort": "string", "hop": "integer"}, True),
     "get": ("GET", "/get", {"id": "string"}, True),
     "stats": ("GET", "/stats", {}, False),
     "audit": ("GET", "/audit", {}, True),
     "ingest": ("POST", "/ingest", {"leafs": "array"}, False),
 }
 LIMITS = (1, 100)
+#: Steps of a hop: the edge table, the table of the nodes that it leads to, their label.
+STEPS = (("leaf_file", "files", "File"), ("file_commit", "commits", "Commit"), ("commit_person", "persons", "Person"))
+SHOWN = ("id", "text", "root", "confidence", "source", "score", "snippet", "valid_from", "valid_to")
 
 
 def check(q: str, n: int, root: str = "", as_of: str = "", sort: str = "", hop: int = 0) -> None:
@@ -46,17 +49,37 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, embed: Callable[[str], list[float]] | None = None, lookup: Callable[[str], dict] | None = None):
         self.spark, self.store, self.embed, self.lookup = spark, Store(spark, path), embed, lookup
 
-    def search(self, q: str, limit: int = 10, root: str = "", repo: str = "", as_of: str = "", sort: str = "", web: bool = True) -> dict:
-        check(q, limit, root, as_of, sort)
+    def search(self, q: str, limit: int = 10, root: str = "", repo: str = "", as_of: str = "", sort: str = "", web: bool = True, hop: int = 0) -> dict:
+        """The best hits by words and vectors; words come from the store's index, which build_index() keeps up. hop: steps along stored edges."""
+        check(q, limit, root, as_of, sort, hop)
         try:
             vector = self.embed(q) if self.embed else None
         except Exception:  # noqa: BLE001  vectors are optional, words aren't
             vector = None
-        hits = retrieval.hybrid(self.store.read(), q, vector, limit, root=root, repo=repo, as_of=as_of, sort=sort)
-        rows = hits.select("id", "text", "root", "confidence", "source", "score", "snippet", "valid_from", "valid_to").collect()
-        found = self.spark.createDataFrame(rows, hits.select("id", "text", "root", "confidence", "source", "score", "snippet", "valid_from", "valid_to").schema)
+        hits = retrieval.hybrid(self.store.read(), q, vector, limit, self.store.words(), root=root, repo=repo, as_of=as_of, sort=sort).select(*SHOWN)
+        rows = hits.collect()  # limit rows
+        found = self.spark.createDataFrame(rows, hits.schema)
+        reached = self.hops(found, hop)
         second = evidence.deduce(found, (lambda: self.lookup(q)) if self.lookup else None, root, not web)
-        return {"query": q, "hits": [r.asDict() for r in rows], "second_source": second}
+        return {"query": q, "hits": [r.asDict() | ({"hops": reached.get(r["id"], [])} if hop else {}) for r in rows], "second_source": second}
+
+    def hops(self, hits: DataFrame, depth: int) -> dict[str, list[dict]]:
+        """id to what is reached within depth steps, by one batched join a step; steps whose tables aren't stored end the way."""
+        edges = []
+        for edge, nodes, label in STEPS[:depth]:
+            e, n = self.store.table(edge), self.store.table(nodes)
+            if e is None or n is None:
+                break
+            named = next(c for c in ("path", "subject", "name", "id") if c in n.columns)
+            edges.append((e, n.select("id", F.col(named).alias("name")), label))
+        if not edges:
+            return {}
+        done = retrieval.attach_hops(hits.select("id"), retrieval.hops(hits, edges, depth))
+        return {r["id"]: [h.asDict() for h in r["hops"]] for r in done.collect()}
+
+    def build_index(self) -> int:
+        """Postings of what isn't indexed yet; nothing is dropped."""
+        return self.store.index()
 
     def get(self, key: str) -> dict | None:
         row = self.store.read().drop("embedding").where(F.col("id") == key).first()
@@ -68,15 +91,18 @@ class Engine:
     def audit(self) -> list[dict]:
         return [r.asDict() for r in aggregates.audit_counts(self.store.read()).orderBy("root", "confidence").collect()]
 
-    def ingest(self, leafs: DataFrame | list[dict], now: str) -> str:
+    def ingest(self, leafs: DataFrame | list[dict], now: str) -> dict:
+        """The new version; for a list also its leafs' ids, in its order. Of two leafs with one id the later stays."""
         from marlspike.sources.corpus import LEAF_INPUT, leafs_of_json
 
         if not isinstance(leafs, DataFrame):
             if any(not str(x.get("text") or "").strip() or not str(x.get("source") or "").strip() for x in leafs):
                 raise ValueError("a leaf needs text and source")
-            rows = self.spark.createDataFrame([(json.dumps(leafs),)], "value string")
-            leafs = leafs_of_json(rows) if leafs else self.spark.createDataFrame([], LEAF_INPUT)
-        return self.store.add(leafs, now)
+            rows = self.spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(leafs)], "seq int, value string")
+            new = leafs_of_json(rows, more=("seq",)) if leafs else self.spark.createDataFrame([], LEAF_INPUT + ", seq int")
+            ids = [r["id"] for r in complete(new, now, "seq").orderBy("seq").select("id").collect()]
+            return {"version": self.store.add(new, now, "seq"), "ids": ids}
+        return {"version": self.store.add(leafs, now)}
 
     def call(self, name: str, arguments: dict) -> object:
         """A tool call by name; unlisted operations are served too."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,19 @@ SETTINGS = {
 def session(master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName("marlspike").config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one serves a local master where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        os.makedirs(found := os.path.join(tempfile.gettempdir(), "marlspike-scratch"), exist_ok=True)
+    return found.rstrip("/")
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The Hadoop path of a string, and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

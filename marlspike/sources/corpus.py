@@ -83,13 +83,13 @@ def message_day(json: Column) -> Column:
     return F.substring(F.coalesce(F.get_json_object(json, "$.receivedDate"), F.get_json_object(json, "$.receivedAt"), F.lit("")), 1, 10)
 
 
-def leafs_of_json(payload: DataFrame, key: str = "leafs", column: str = "value") -> DataFrame:
-    """Leaf inputs of JSON strings that are an object, a list, or {key: [...]}; rows without text or source are dropped."""
+def leafs_of_json(payload: DataFrame, key: str = "leafs", column: str = "value", more: tuple[str, ...] = ()) -> DataFrame:
+    """Leaf inputs of JSON strings that are an object, a list, or {key: [...]}; rows without text or source are dropped; more: columns to keep."""
     v = F.trim(F.col(column))
     listed = F.when(v.startswith("["), F.from_json(v, f"array<struct<{as_struct()}>>")).otherwise(
         F.coalesce(F.from_json(v, f"struct<{key}:array<struct<{as_struct()}>>>")[key], F.array(F.from_json(v, f"struct<{as_struct()}>")))
     )
-    return payload.select(F.explode(listed).alias("l")).select("l.*").where((F.trim(text("text")) != "") & (F.trim(text("source")) != ""))
+    return payload.select(F.explode(listed).alias("l"), *more).select("l.*", *more).where((F.trim(text("text")) != "") & (F.trim(text("source")) != ""))
 
 
 def as_struct() -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "folder string, id string, payload string"
 
@@ -40,21 +41,41 @@ class Pages(DataSourceReader):
         yield from rows_of(partition.path)
 
 
-class Delta(SimpleDataSourceStreamReader):
-    """The offset is the last page that was read; Spark stores it once the batch is committed."""
+def place(page: str) -> list:
+    """What orders the pages of a folder: numbers in a name count as numbers, so that page 10 follows page 9."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", os.path.basename(page)) if x]
+
+
+class Delta(DataSourceStreamReader):
+    """The offset is the last page of each folder, as a folder's pages come in order but folders don't; pages of a batch are read by tasks of their own.
+
+    Spark stores an offset once the batch before it is committed."""
 
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self) -> dict:
-        return {"page": ""}
+        return {}
+
+    def latestOffset(self) -> dict:
+        last: dict[str, str] = {}
+        for p in pages_of(self.path):
+            folder = os.path.relpath(os.path.dirname(p), self.path)
+            if folder not in last or place(p) > place(last[folder]):
+                last[folder] = os.path.basename(p)
+        return last
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out = []
+        for p in pages_of(self.path):
+            folder = os.path.relpath(os.path.dirname(p), self.path)
+            after = folder not in start or place(p) > place(start[folder])
+            if folder in end and after and place(p) <= place(end[folder]):
+                out.append(Page(p))
+        return out
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [p for p in pages_of(self.path) if p > start["page"]]
-        return iter([r for p in new for r in rows_of(p)]), {"page": new[-1] if new else start["page"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for p in pages_of(self.path) if start["page"] < p <= end["page"] for r in rows_of(p)])
+    def read(self, partition: Page) -> Iterator[tuple]:
+        yield from rows_of(partition.path)
 
 
 class Listing(DataSource):
@@ -70,5 +91,5 @@ class Listing(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return Pages(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return Delta(self.options["path"])

@@ -139,11 +139,13 @@ def delta_ids(pages: DataFrame) -> DataFrame:
 def delta_links(pages: DataFrame, taken: DataFrame) -> DataFrame:
     """folder and the link to go on from: the last page's new link only if every message of the folder was taken, else the old one.
 
-    taken: (folder, id) of messages that are stored. pages: folder, old_link, delta_link, value.
+    taken: (folder, id) of messages that are stored. pages: folder, page (its number; where there is none, pages are in the order of the table),
+    old_link, delta_link, value.
     """
     wanted = delta_ids(pages)
     open_ = wanted.join(taken, ["folder", "id"], "left_anti").select("folder").distinct().withColumn("_open", F.lit(True))
-    last = pages.groupBy("folder").agg(F.max("old_link").alias("old_link"), F.max("delta_link").alias("delta_link"))
+    pages = pages if "page" in pages.columns else pages.withColumn("page", F.monotonically_increasing_id())
+    last = pages.groupBy("folder").agg(F.max_by("old_link", F.when(F.col("old_link").isNotNull(), F.col("page"))).alias("old_link"), F.max_by("delta_link", "page").alias("delta_link"))
     return last.join(open_, "folder", "left").select("folder", F.when(F.col("_open") | F.col("delta_link").isNull(), F.col("old_link")).otherwise(F.col("delta_link")).alias("link"))
 
 

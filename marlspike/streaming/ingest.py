@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marlspike.operators.chat import first_of
 from marlspike.operators.store import Store
+from marlspike.session import hadoop, shared_dir
 
 EVERY = "30 seconds"
 
@@ -47,11 +49,17 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
     return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else timed.dropDuplicates([key])
 
 
-def drain(spark: SparkSession, df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is and return its result as a table (tests and small summaries)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what there is, into a table in the shared folder, and return that: appended rows, or the last complete result."""
+    out = f"{shared_dir(spark)}/marlspike-stream-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = q.format("parquet").start(f"{out}/rows")
+    else:
+        q = q.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows")).start()
     q.awaitTermination()
-    return spark.table(name)
+    path, fs = hadoop(spark, f"{out}/rows")
+    return spark.read.schema(df.schema).parquet(f"{out}/rows") if fs.exists(path) else spark.createDataFrame([], df.schema)
 
 
 def wave(steps: list[tuple[str, Callable[[], object] | None]], quiesce: Callable[[], None] = lambda: None) -> dict[str, str]:
