@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def stats(leafs: DataFrame) -> DataFrame:
-    """root, n, and the total as a row with root null."""
-    return leafs.rollup("root").agg(F.count("*").alias("n"))
+def stats(leafs: DataFrame, *by: str) -> DataFrame:
+    """root (or by), n, and the totals as rows with nulls."""
+    return leafs.rollup(*(by or ("root",))).agg(F.count("*").alias("n"))
 
 
 def audit_counts(leafs: DataFrame) -> DataFrame:

@@ -23,6 +23,23 @@ def running_and_declared(running: DataFrame, declared: DataFrame) -> DataFrame:
     return running.join(declared.select("name").distinct(), "name", "left_semi")
 
 
+def names_in_both(a: DataFrame, b: DataFrame, by: str = "name") -> DataFrame:
+    """Names of both sides, each once."""
+    return a.select(by).intersect(b.select(by))
+
+
+def mentions(hosts: DataFrame, docs: DataFrame) -> DataFrame:
+    """host and the first path of docs (path, text) that mention it as a whole word, case ignored, with ASCII bounds.
+
+    A host's first run of ASCII letters and digits meets the runs of a text in an equi-join, and what meets is verified.
+    """
+    runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[0-9a-z_]+"), F.lit(0))
+    h = hosts.select("host", F.get(runs(F.col("host")), F.lit(0)).alias("_run")).where("_run is not null").distinct()
+    d = docs.select("path", "text", F.explode(F.array_distinct(runs(F.col("text")))).alias("_run"))
+    whole = F.expr(r"text rlike concat('(?iu)(?<![0-9A-Za-z_])\\Q', host, '\\E(?![0-9A-Za-z_])')")
+    return h.join(d, "_run").where(whole).groupBy("host").agg(F.min("path").alias("path"))
+
+
 def words(label: Column) -> Column:
     """Words of at least four ASCII letters, in lower case, marks around them off."""
     bare = F.transform(F.split(F.trim(label), r"\s+"), lambda w: F.regexp_replace(w, r"""^[()/.,'"]+|[()/.,'"]+$""", ""))

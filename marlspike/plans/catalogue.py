@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +18,8 @@ from marlspike.operators import evidence as E
 from marlspike.operators import pairing as J
 from marlspike.operators import retrieval as R
 from marlspike.operators import store as S
+from marlspike.session import hadoop, shared_dir
+from marlspike.sources import corpus as K
 from marlspike.sources import mail as M
 from marlspike.sources import web as W
 from marlspike.streaming import ingest as I
@@ -170,12 +174,12 @@ def html_title(spark, d):
 
 @query(WITH + "SELECT doc_id, root FROM leafs WHERE root = 'facts'")
 def root_filter(spark, d):
-    return leafs(spark, d).where("root = 'facts'").select("doc_id", "root")
+    return R.select_hits(leafs(spark, d).withColumn("rrf", F.lit(0.0)), root="facts").select("doc_id", "root")
 
 
 @query(WITH + "SELECT doc_id, source FROM leafs WHERE contains(source, 'src1/')")
 def repo_contains_filter(spark, d):
-    return leafs(spark, d).where(F.contains("source", F.lit("src1/"))).select("doc_id", "source")
+    return R.select_hits(leafs(spark, d).withColumn("rrf", F.lit(0.0)), repo="src1/").select("doc_id", "source")
 
 
 PATHS = """CASE page_id % 8 WHEN 0 THEN url || '/node_modules/a.md' WHEN 1 THEN url || '/Keys/a.md' WHEN 2 THEN url || '/my.ENV' WHEN 3 THEN url || '/secrets.txt'
@@ -218,29 +222,14 @@ def asof_boundaries(spark, d):
     return intervals(spark, d).where("vf <> ''").select("o_orderkey", P.active_at(f, t, f).alias("at_start"), P.active_at(f, t, end).alias("at_end"), P.active_at(f, t, after).alias("after_end"), P.active_at(f, t, "").alias("no_day"))
 
 
-PRIVATE = ("Personalnummer of x", "the KV-Nr", "my Versichertennummer", "Hauptstraße 5", "geb. 1.2.1990", "kvnrx übermutter")
-
-
-@query(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(q, '\d{6,}') THEN 'a run of six or more digits looks like an ID' WHEN regexp_matches(q, '(?i)\bpersonalnummer\b') THEN 'Personalnummer is staff data'
-      WHEN regexp_matches(q, '(?i)\bkv[-\s]?nr\b') THEN 'KV-Nr is an insurance number' WHEN regexp_matches(q, '(?i)\bversichertennummer\b') THEN 'insurance number'
-      WHEN regexp_matches(q, '(?i)\b[A-Za-zÄÖÜäöüß]+(?:stra(?:ss|ß)e|str\.)\s*\d+') THEN 'a street with a house number looks like an address'
-      WHEN regexp_matches(q, '(?i)\bgeb(?:urtsdatum)?\.?\s*\d{1,2}[./]\d{1,2}[./]\d{2,4}') THEN 'a date of birth' ELSE '' END AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 9 < 6 THEN """
-    + f"{[*PRIVATE]}[doc_id % 9 + 1] ELSE text END AS q FROM documents)"
-)
-def pii_guard(spark, d):
-    n = (F.col("doc_id") % 9).cast("int")
-    q = F.when(n < 6, F.get(F.array(*map(F.lit, PRIVATE)), n)).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", P.private_reason(q).alias("reason"))
-
-
+#: The SQL spells the fixed patterns and reasons of predicates.PRIVATE.
 @query(
     r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\d{6,}') THEN 'a run of six or more digits looks like an ID' WHEN regexp_matches(text, '(?i)\bpersonalnummer\b') THEN 'Personalnummer is staff data'
       WHEN regexp_matches(text, '(?i)\bkv[-\s]?nr\b') THEN 'KV-Nr is an insurance number' WHEN regexp_matches(text, '(?i)\bversichertennummer\b') THEN 'insurance number'
       WHEN regexp_matches(text, '(?i)\b[A-Za-zÄÖÜäöüß]+(?:stra(?:ss|ß)e|str\.)\s*\d+') THEN 'a street with a house number looks like an address'
       WHEN regexp_matches(text, '(?i)\bgeb(?:urtsdatum)?\.?\s*\d{1,2}[./]\d{1,2}[./]\d{2,4}') THEN 'a date of birth' ELSE '' END AS reason FROM documents"""
 )
-def pii_guard_all(spark, d):
+def pii_guard(spark, d):
     """The guard on every document's own text."""
     return table(spark, d, "documents").select("doc_id", P.private_reason(F.col("text")).alias("reason"))
 
@@ -334,8 +323,26 @@ def query_vector(spark, d) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings").where(F.col("vec_id") == NEAR).first()["embedding"]]
 
 
+def word_index(spark, d) -> R.WordIndex:
+    """The stored index of documents, built where this session has none of the file as it is now: a store has its own, kept up by Store.index()."""
+    path, fs = hadoop(spark, f"{d}/documents.parquet")
+    state = fs.getFileStatus(path)
+    if state.isDirectory():
+        stamp = "-".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in fs.listStatus(path)))
+    else:
+        stamp = f"{state.getLen()}:{state.getModificationTime()}"
+    key = hashlib.sha256(f"{fs.makeQualified(path)}|{stamp}|{spark.sparkContext.applicationId}".encode()).hexdigest()[:24]
+    return R.index_of(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), f"{shared_dir(spark)}/marlspike-index-{key}")
+
+
 def word_hits(spark, d, k: int) -> DataFrame:
-    return R.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ASKED, k)
+    return word_index(spark, d).search(ASKED, k)
+
+
+@query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(score, 4) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT {TOP}")
+def bm25_scan(spark, d):
+    """The same without an index: each text is read once."""
+    return R.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ASKED, TOP).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 def vector_hits(spark, d, k: int) -> DataFrame:
@@ -374,9 +381,10 @@ HITS = "doc_id, round(score, 4) AS score, round(rrf, 6) AS rrf, source, substr(t
 
 def searched(spark, d, **filters) -> DataFrame:
     """Hybrid search over documents, vectors met by vec_id = doc_id."""
-    hits = leafs(spark, d).withColumn("leaf", F.col("id")).withColumn("id", F.col("doc_id")).join(F.broadcast(fused(spark, d)), "id")
-    top = R.select_hits(hits, TOP, **filters)
-    return top.select("doc_id", F.round("score", 4).alias("score"), F.round("rrf", 6).alias("rrf"), "source", X.clip(F.col("text")).alias("snippet"))
+    docs = leafs(spark, d).withColumn("id", F.col("doc_id"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    top = R.hybrid(docs, ASKED, query_vector(spark, d), TOP, word_index(spark, d), vectors, **filters)
+    return top.select("doc_id", F.round("score", 4).alias("score"), F.round("rrf", 6).alias("rrf"), "source", "snippet")
 
 
 @query(f"WITH {LEAFS}, {FUSED} SELECT {HITS} FROM fused JOIN leafs USING (doc_id) ORDER BY fused.rrf DESC, doc_id LIMIT {TOP}")
@@ -400,14 +408,14 @@ def hybrid_by_date(spark, d):
 
 
 def questions(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-ITEMS = r"SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(substr(text, 1, 80)), '[\p{L}\p{N}]+')) AS term FROM benchmark"
+ITEMS = r"SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark"
 
 
 def batch(spark, d) -> DataFrame:
-    return R.bm25_batch(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), questions(spark, d), 5)
+    return word_index(spark, d).batch(questions(spark, d), 5)
 
 
 @query(f"WITH {bm25_sql(ITEMS, by='qid')} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 4) AS score FROM scored QUALIFY rank <= 5")
@@ -417,12 +425,12 @@ def hybrid_batch(spark, d):
 
 @query(
     f"""WITH {bm25_sql(ITEMS, by='qid')}, top AS (SELECT qid, doc_id FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5),
-    hit AS (SELECT item_id, max(coalesce(contains(lower(d.text), lower(substr(b.text, 1, 40))), false)::INT) AS h FROM benchmark b LEFT JOIN top ON qid = item_id LEFT JOIN documents d USING (doc_id) GROUP BY item_id)
+    hit AS (SELECT item_id, max(coalesce(contains(lower(d.text), lower(b.text)), false)::INT) AS h FROM benchmark b LEFT JOIN top ON qid = item_id LEFT JOIN documents d USING (doc_id) GROUP BY item_id)
     SELECT count(*) AS n, round(avg(h), 3) AS recall, round(avg(h), 3) >= 0.95 AS pass FROM hit"""
 )
 def recall_at_5(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("fragment"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("fragment"))
     return A.recall_at(batch(spark, d).join(docs, "id").select("qid", "text"), asked)
 
 
@@ -496,7 +504,7 @@ def audit_by_confidence(spark, d):
 @query(WITH + ", l AS (SELECT root, quality FROM leafs JOIN labels USING (doc_id)) SELECT coalesce(root, 'all') AS root, coalesce(quality, -1) AS quality, count(*) AS n FROM l GROUP BY ROLLUP (root, quality)")
 def stats_rollup(spark, d):
     l = leafs(spark, d).join(table(spark, d, "labels"), "doc_id")  # noqa: E741
-    return l.rollup("root", "quality").agg(F.count("*").alias("n")).select(F.coalesce("root", F.lit("all")).alias("root"), F.coalesce("quality", F.lit(-1)).alias("quality"), "n")
+    return A.stats(l, "root", "quality").select(F.coalesce("root", F.lit("all")).alias("root"), F.coalesce("quality", F.lit(-1)).alias("quality"), "n")
 
 
 @query("SELECT event_type, count(value) AS n, min(value) AS min, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS max, round(avg(value), 6) AS avg FROM events GROUP BY event_type")
@@ -548,12 +556,12 @@ def gates(spark, d):
 
 @query("SELECT count(*) AS n FROM events WHERE props IS NOT NULL")
 def jsonl_count(spark, d):
-    return table(spark, d, "events").where(F.from_json("props", "map<string,int>").isNotNull()).agg(F.count("*").alias("n"))
+    return K.json_rows(table(spark, d, "events").select("props"), "k:int", "props").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
 def json_props_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return K.json_rows(table(spark, d, "events").select("event_id", "props"), "k:long", "props")
 
 
 SUBJECT = """CASE WHEN turn = 1 AND conv_id % 11 = 0 THEN 'feat!: ' || substr(text, 1, 20) WHEN turn = 2 AND conv_id % 3 = 0 THEN 'feat: x' WHEN conv_id % 13 = 0 THEN 'fix: Breaking-Change' ELSE 'fix: y' END"""
@@ -710,18 +718,8 @@ def resume_antijoin(spark, d):
     return S.missing(all_, all_.where("doc_id % 3 = 0")).select("doc_id", "id")
 
 
-@query(
-    """SELECT substr(sha256('s' || doc_id || chr(0) || text), 1, 24) AS id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS loc FROM documents WHERE doc_id % 3 = 0
-    UNION ALL SELECT substr(sha256('s' || doc_id || chr(0) || text), 1, 24), 'new' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0"""
-)
-def store_upsert(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source"))
-    put = lambda where, loc: S.complete(rows.where(where).withColumn("loc", F.lit(loc)).drop("doc_id"), "2024-01-01T00:00:00Z")
-    return S.upsert(put("doc_id % 3 = 0", "old"), put("doc_id % 2 = 0", "new")).select("id", "loc")
-
-
 @query("SELECT substr(sha256('s' || doc_id || chr(0) || text), 1, 24) AS id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'old' ELSE 'new' END AS loc FROM documents")
-def store_upsert_all(spark, d):
+def store_upsert(spark, d):
     """Every document is stored: a third is there before, and all but the odd ones of it come (again)."""
     rows = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source"))
     put = lambda where, loc: S.complete(rows.where(where).withColumn("loc", F.lit(loc)).drop("doc_id"), "2024-01-01T00:00:00Z")
@@ -749,18 +747,18 @@ def corpus_union(spark, d):
     a = leafs(spark, d).where("root = 'facts'").select("source")
     b = table(spark, d, "pages").select(F.col("url").alias("source"))
     c = table(spark, d, "conversations").select(F.concat_ws(":", F.lit("mail"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("source"))
-    return a.unionByName(b).unionByName(c)
+    return K.together(a, b, c)
 
 
 @query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def names_intersect(spark, d):
     a = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
-    return a.intersect(table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation")))
+    return J.names_in_both(a, table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation")), "nation")
 
 
 @query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
 def ids_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+    return S.missing(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").select(F.col("o_custkey").alias("id"))).distinct()
 
 
 # --- evidence -------------------------------------------------------------------------------------------------------------
@@ -828,13 +826,8 @@ def audit_store(spark, d):
     return E.audit_facts(fact_rows(spark, d)).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query(WITH + "SELECT NOT bool_or(root = 'facts' AND confidence = 'confirmed') AS escalate FROM leafs WHERE doc_id % 5 = 1")
-def should_escalate(spark, d):
-    return E.should_escalate(leafs(spark, d).where("doc_id % 5 = 1"))
-
-
 @query(WITH + "SELECT NOT bool_or(root = 'facts' AND confidence = 'confirmed') AS escalate FROM leafs")
-def should_escalate_all(spark, d):
+def should_escalate(spark, d):
     """Over all leafs, confirmed facts among them."""
     return E.should_escalate(leafs(spark, d))
 
@@ -855,21 +848,11 @@ def pair_semi(spark, d):
     return J.running_and_declared(a, table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("name"))).select("s_suppkey")
 
 
-@query("SELECT DISTINCT n_name FROM nation WHERE EXISTS (SELECT 1 FROM (SELECT 'x ' || n2.n_name || ', y' AS t FROM nation n2 WHERE n_nationkey % 2 = 0) WHERE regexp_matches(t, '(?i)(^|[^0-9A-Za-z_])' || n_name || '([^0-9A-Za-z_]|$)'))")
-def pair_theta_mention(spark, d):
-    n = table(spark, d, "nation")
-    docs = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("x "), "n_name", F.lit(", y")).alias("t"))
-    met = F.expr(r"t rlike concat('(?iu)(?<![0-9A-Za-z_])', n_name, '(?![0-9A-Za-z_])')")
-    return n.select("n_name").join(F.broadcast(docs), met, "left_semi").distinct()
-
-
 @query("SELECT DISTINCT n_name FROM nation WHERE EXISTS (SELECT 1 FROM (SELECT 'x ' || n2.n_name || ', y' AS t FROM nation n2) WHERE regexp_matches(t, '(?i)(^|[^0-9A-Za-z_])' || n_name || '([^0-9A-Za-z_]|$)'))")
-def pair_theta_mention_all(spark, d):
-    """Mentions of all nations."""
+def pair_theta_mention(spark, d):
     n = table(spark, d, "nation")
-    docs = n.select(F.concat(F.lit("x "), "n_name", F.lit(", y")).alias("t"))
-    met = F.expr(r"t rlike concat('(?iu)(?<![0-9A-Za-z_])', n_name, '(?![0-9A-Za-z_])')")
-    return n.select("n_name").join(F.broadcast(docs), met, "left_semi").distinct()
+    docs = n.select(F.col("n_name").alias("path"), F.concat(F.lit("x "), "n_name", F.lit(", y")).alias("text"))
+    return J.mentions(n.select(F.col("n_name").alias("host")), docs).select(F.col("host").alias("n_name"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_mktsegment = 'BUILDING'")
@@ -888,22 +871,11 @@ def fuzzy_label_match(spark, d):
     return J.label_matches(n.select(F.col("n_name").alias("org"), F.lit("").alias("label")), companies)
 
 
-@query(
-    """WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part WHERE p_size = 1), v AS (SELECT DISTINCT p_type, unnest(string_split(lower(p_type || ' ' || split_part(p_name, ' ', 1)), ' ')) AS w FROM part WHERE p_size = 2)
-    SELECT DISTINCT p_partkey, p_type FROM w JOIN v USING (w) WHERE length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 4"""
-)
-def token_overlap_match(spark, d):
-    p = table(spark, d, "part")
-    a = p.where("p_size = 1").select("p_partkey", "p_name")
-    b = p.where("p_size = 2").select("p_type", F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("label"))
-    return J.word_pairs(a, b, "p_name", "label").select("p_partkey", "p_type").distinct()
-
-
 @query(
     """WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), v AS (SELECT DISTINCT p_type, unnest(string_split(lower(p_type || ' ' || split_part(p_name, ' ', 1)), ' ')) AS w FROM part)
     SELECT DISTINCT p_partkey, p_type FROM w JOIN v USING (w) WHERE length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 4"""
 )
-def token_overlap_match_all(spark, d):
+def token_overlap_match(spark, d):
     """All parts with all labels; equal labels are one."""
     p = table(spark, d, "part")
     b = p.select("p_type", F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("label")).distinct()
@@ -933,11 +905,13 @@ def contact_reconcile(spark, d):
 
 
 def marked(spark, d) -> DataFrame:
+    """documents as markdown files: a front matter, a title, the whole text in a section, and another section."""
     head = F.concat(F.lit("---\ntype: note\nstatus: 'old'\nowner: "), F.col("source"), F.lit("\n---\n# Title "), F.col("doc_id").cast("string"), F.lit("\nlost\n## One\n\n"))
-    return table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("path"), F.lit("r").alias("repo"), F.concat(head, F.substring("text", 1, 60), F.lit("\n## Two\nend")).alias("content"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("r").alias("repo"), F.concat(head, "text", F.lit("\n## Two\nend")).alias("content"))
 
 
-LINES = "SELECT doc_id, array_to_string(list_filter(string_split(substr(text, 1, 60), chr(10)), lambda x: trim(x) <> ''), chr(10)) AS b, source FROM documents WHERE doc_id % 2 = 0"
+#: Texts may have headings of their own: the tables' have none, and tests hold sections() against brute force on texts that do.
+LINES = "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS b, source FROM documents"
 
 
 @query(
@@ -948,36 +922,12 @@ def md_chunks(spark, d):
     return sections(marked(spark, d)).select("source", "heading", "text", "type", "status")
 
 
-@query("SELECT doc_id::VARCHAR AS path, 'note' AS type, 'old' AS status, source AS owner FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id::VARCHAR AS path, 'note' AS type, 'old' AS status, source AS owner FROM documents")
 def frontmatter_map(spark, d):
     m = front_matter(F.col("content"))
     return marked(spark, d).select("path", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("type", "status", "owner")])
 
 
-def marked_all(spark, d) -> DataFrame:
-    """marked() for every document, with its whole text."""
-    head = F.concat(F.lit("---\ntype: note\nstatus: 'old'\nowner: "), F.col("source"), F.lit("\n---\n# Title "), F.col("doc_id").cast("string"), F.lit("\nlost\n## One\n\n"))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("r").alias("repo"), F.concat(head, "text", F.lit("\n## Two\nend")).alias("content"))
-
-
-#: Texts may have headings of their own: the tables' have none, and tests hold sections() against brute force on texts that do.
-LINES_ALL = "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS b, source FROM documents"
-
-
-@query(
-    f"""SELECT doc_id::VARCHAR AS source, 'One' AS heading, 'Title ' || doc_id || chr(10) || chr(10) || '## One' || chr(10) || b AS text, 'note' AS type, 'old' AS status FROM ({LINES_ALL})
-    UNION ALL SELECT doc_id::VARCHAR, 'Two', '## Two' || chr(10) || 'end', 'note', 'old' FROM ({LINES_ALL})"""
-)
-def md_chunks_all(spark, d):
-    return sections(marked_all(spark, d)).select("source", "heading", "text", "type", "status")
-
-
-@query("SELECT doc_id::VARCHAR AS path, 'note' AS type, 'old' AS status, source AS owner FROM documents")
-def frontmatter_map_all(spark, d):
-    m = front_matter(F.col("content"))
-    return marked_all(spark, d).select("path", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("type", "status", "owner")])
-
-
 @query("SELECT o_orderkey, '## ' || o_orderpriority || chr(10) || '- when: ' || strftime(o_orderdate, '%Y-%m-%d') || ' 10:30 Nowhere' || chr(10) || '- where: a, b' AS markdown FROM orders")
 def calendar_events(spark, d):
     day = F.date_format("o_orderdate", "yyyyMMdd")
@@ -995,25 +945,35 @@ def events(spark, d) -> DataFrame:
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY ALL")
 def stream_ingest_counts(spark, d):
-    out = I.drain(spark, I.windowed(events(spark, d)), "marlspike_windows")
+    out = I.drain(spark, I.windowed(events(spark, d)))
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 3).alias("value"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events")
 def stream_dedupe(spark, d):
     src = events(spark, d)
-    out = I.drain(spark, I.deduplicated(src.unionByName(src), "event_id"), "marlspike_dedupe", "append")
+    out = I.drain(spark, I.deduplicated(src.unionByName(src), "event_id"), "append")
     return out.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"))
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def stream_upsert_latest(spark, d):
-    out = I.drain(spark, events(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "marlspike_latest", "append")
+    out = I.drain(spark, events(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "append")
     return I.latest(out, "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
 
 
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE GROUP BY user_id")
 def session_counts(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"))
-
+    return I.sessions(table(spark, d, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query("SELECT 'documents/' || source AS source, count(DISTINCT sha256(text)) AS texts, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source")
+def stream_into_store(spark, d):
+    """documents as a stream of leafs into a store, twice: what comes again changes nothing."""
+    out = f"{shared_dir(spark)}/marlspike-store-{uuid.uuid4().hex}"
+    docs = I.stream(spark, d, spark.read.parquet(f"{d}/documents.parquet").schema, pathGlobFilter="documents.parquet*", recursiveFileLookup="true")
+    new = docs.select("text", F.concat(F.lit("documents/"), "source").alias("source"))
+    for run in range(2):
+        I.start(new, I.into_store(S.Store(spark, f"{out}/store"), lambda: "2024-01-01T00:00:00Z"), f"{out}/checkpoint-{run}", None).awaitTermination()
+    stored = S.Store(spark, f"{out}/store").read()
+    return stored.groupBy("source").agg(F.countDistinct("sha256").alias("texts"), F.sum(F.length("text")).alias("chars"))

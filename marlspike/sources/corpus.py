@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +104,26 @@ def facts_of_json(payload: DataFrame, column: str = "value") -> DataFrame:
     return f.withColumns({"root": F.lit("facts"), "confidence": or_else(text("confidence"), "confirmed"), "how": or_else(text("how"), "extract"), "type": or_else(text("type"), "fact")})
 
 
+#: Bytes of a JSON line that is read; longer ones are dropped as malformed.
+LINE_BYTES = 1 << 20
+
+
+def json_rows(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """lines with their JSON as columns of schema; blank, malformed and overlong lines are dropped."""
+    v = F.col(column)
+    read = F.from_json(v, f"struct<{schema}, _bad:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.where((F.trim(v) != "") & (F.octet_length(v) <= LINE_BYTES)).withColumn("_j", read)
+    return rows.where("_j is not null and _j._bad is null").select(*[c for c in lines.columns if c != column], "_j.*").drop("_bad")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; blank and malformed lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Rows of JSON lines, as json_rows() reads them."""
+    return json_rows(spark.read.text(path), ", ".join(":".join(x.split(" ", 1)) if ":" not in x else x for x in schema.split(", ")))
+
+
+def together(*corpora: DataFrame) -> DataFrame:
+    """All rows of corpora of the same columns, in any order of them; repeats stay."""
+    return reduce(DataFrame.unionByName, corpora)
 
 
 def chat_lines(spark: SparkSession, path: str) -> DataFrame:

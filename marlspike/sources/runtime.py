@@ -52,7 +52,7 @@ def facts(running: DataFrame, declared: DataFrame, hosts: DataFrame, docs: DataF
     Containers (name, dir) with their own declaration, running names that are declared anywhere, containers named as hosts, hosts that
     docs (path, text) mention. Hosts meet documents through their words, so documents aren't compared with every host.
     """
-    from marlspike.operators.pairing import own_declarations, running_and_declared
+    from marlspike.operators.pairing import mentions, own_declarations, running_and_declared
 
     row = lambda df, body, source, how: df.select(body.alias("text"), source.alias("source"), F.lit(how).alias("how"))
     own = own_declarations(running, declared)
@@ -61,7 +61,6 @@ def facts(running: DataFrame, declared: DataFrame, hosts: DataFrame, docs: DataF
     b = row(both, F.concat(F.lit("service "), "name", F.lit(" is declared and runs")), F.lit("runtime x compose"), "pair-names")
     named = running.select(F.col("name").alias("host")).distinct().join(hosts, "host")
     c = row(named, F.concat(F.lit("host "), "host", F.lit(" is a running service")), F.lit("runtime x ssh"), "pair-hosts")
-    words = docs.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[0-9a-z_]+(?:[.-][0-9a-z_]+)*"), F.lit(0)))).alias("word"))
-    mentioned = words.join(hosts.select("host", F.lower("host").alias("word")), "word").groupBy("host").agg(F.min("path").alias("path"))
+    mentioned = mentions(hosts, docs)
     d = row(mentioned, F.concat(F.lit("host "), "host", F.lit(" is documented")), F.concat(F.lit("ssh x "), "path"), "pair-docs")
     return a.unionByName(b).unionByName(c).unionByName(d).dropDuplicates(["text"])

@@ -49,6 +49,13 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
     return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else timed.dropDuplicates([key])
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """user_id, session (a window) and n: events of a user no further apart than gap."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
+    return timed.groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(F.count("*").alias("n"))
+
+
 def drain(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is, into a table in the shared folder, and return that: appended rows, or the last complete result."""
     out = f"{shared_dir(spark)}/marlspike-stream-{uuid.uuid4().hex}"
