@@ -64,7 +64,7 @@ def label_matches(orgs: DataFrame, companies: DataFrame) -> DataFrame:
     """orgs (org, label) with the first company (company) by name that contains the label's first word or one of its ' / ' parts."""
     label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("org"))
     first = F.lower(F.element_at(F.split(label, " "), 1))
-    needles = F.filter(F.concat(F.array(first), F.transform(F.split(F.lower("label"), " / "), F.trim)), lambda t: t != "")
+    needles = F.filter(F.concat(F.array(first), F.transform(F.split(F.lower("label"), " / "), lambda w: F.trim(w))), lambda t: t != "")
     pairs = contains_any(orgs.withColumn("needles", needles), companies, "needles", "company")
     return pairs.groupBy("org").agg(F.min("company").alias("company"))
 

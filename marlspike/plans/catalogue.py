@@ -977,3 +977,6 @@ def stream_into_store(spark, d):
         I.start(new, I.into_store(S.Store(spark, f"{out}/store"), lambda: "2024-01-01T00:00:00Z"), f"{out}/checkpoint-{run}", None).awaitTermination()
     stored = S.Store(spark, f"{out}/store").read()
     return stored.groupBy("source").agg(F.countDistinct("sha256").alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
+from marlspike.plans import further  # noqa: E402, F401  registers its queries here

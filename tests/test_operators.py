@@ -183,3 +183,67 @@ def test_tokens_and_parents(spark):
     assert [tuple(r) for r in J.token_matches(orgs, companies).collect()] == [("x", "megaquantumcorp")]
     projects = spark.createDataFrame([("p", "Other"), ("q", "")], "project string, parent string")
     assert [tuple(r) for r in J.project_matches(companies, projects).collect()] == [("other", "p")]
+
+
+def test_store_versions_buckets_and_index(spark, tmp_path, monkeypatch):
+    """A batch rewrites the buckets that it touches; a run that fails, or comes second, leaves a whole version; words come from stored postings."""
+    now, leafs = "2024-01-01T00:00:00Z", lambda rows: spark.createDataFrame(rows, "text string, source string, seq int")
+    store = S.Store(spark, str(tmp_path / "s"), 4)
+    assert store.read().isEmpty() and store.words().search("word", 3).isEmpty()
+    rows = [(f"common word{i % 5} text {i}", f"s{i}", i) for i in range(40)]
+    assert store.add(leafs(rows), now, "seq") == 1 and store.index() == 2 and store.index() == 2
+    names = store.version()[1]
+    assert len(names["leafs"]) == len(names["index"]) == 4
+    hits = lambda st, q: [tuple(r) for r in st.words().search(q, 50).orderBy(F.desc("score"), "id").collect()]
+    scan = lambda st, q: sorted(((r["id"], round(r["score"], 9)) for r in R.bm25(st.read(), q).collect()), key=lambda x: (-x[1], x[0]))
+    assert hits(store, "word3 text") == scan(store, "word3 text")[:50] and len(hits(store, "word3")) == 8
+    store.add(leafs([("common word3 text 3", "s3", 1), ("a new word3", "s99", 2)]), now, "seq")
+    after = store.version()[1]
+    changed = {k for k in after["leafs"] if after["leafs"][k] != names["leafs"][k]}
+    assert 0 < len(changed) < 4 and {*after["index"]} == {*after["leafs"]} - changed and store.read().count() == 41
+    assert hits(store, "word3 new") == scan(store, "word3 new") and len(hits(store, "word3")) == 9
+    # the last row of an id wins by seq, whatever the order of partitions
+    loc = spark.createDataFrame([("t", "s", "late", 9), ("t", "s", "early", 1)], "text string, source string, loc string, seq int").repartition(2, "loc")
+    store.add(loc, now, "seq")
+    assert store.read().where("text = 't'").first()["loc"] == "late"
+    # a failure before the version is named
+    before = store.current()
+    with monkeypatch.context() as m:
+        m.setattr(S.Store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            store.add(leafs([("lost", "s", 1)]), now)
+    assert store.current() == before and store.read().where("text = 'lost'").isEmpty()
+    # another writer comes first, once
+    other, commit = S.Store(spark, str(tmp_path / "s"), 4), S.Store._commit
+    calls = []
+
+    def late(self, number, named):
+        calls.append(number)
+        if len(calls) == 1:
+            other._change(lambda n: n | {"tables": n["tables"] | {"x": "tables/none"}})
+            calls.append(0)
+        return commit(self, number, named)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", late.__get__(store))
+        store.add(leafs([("second", "s", 1)]), now)
+    assert store.version()[1]["tables"] == {"x": "tables/none"} and store.read().where("text = 'second'").count() == 1 and calls[-1] == calls[0] + 1
+    rows_before, gone = sorted(map(str, store.read().collect())), store.clean(1)
+    assert gone > 0 and sorted(map(str, store.read().collect())) == rows_before and hits(store, "word3") == scan(store, "word3")
+    assert store.replace(store.read().limit(5)) and store.read().count() == 5
+
+
+def test_batch_bounds():
+    assert [S.batch_bounds(n, 64) for n in (0, 5, 100, 128, 130)] == [[], [(0, 5)], [(0, 64), (64, 100)], [(0, 64), (64, 128)], [(0, 64), (64, 128), (128, 130)]] and S.batch_bounds(10, 0) == [(0, 10)]
+
+
+def test_labels_are_trimmed_of_blanks_alone(spark):
+    orgs = spark.createDataFrame([("x", "q / alpha 01")], "org string, label string")
+    companies = spark.createDataFrame([("the alpha 01",), ("alpha",)], "company string")
+    assert [r["company"] for r in J.label_matches(orgs, companies).collect()] == ["the alpha 01"]
+
+
+def test_mentions(spark):
+    hosts = spark.createDataFrame([("web-1",), ("db.x",), ("a+b",), ("été",)], "host string")
+    docs = spark.createDataFrame([("p", "see WEB-1, db_x and (A+B)"), ("o", "web-1"), ("q", "xweb-1 web-12 adb.x")], "path string, text string")
+    assert sorted(map(tuple, J.mentions(hosts, docs).collect())) == [("a+b", "p"), ("web-1", "o")]

@@ -204,3 +204,72 @@ def test_sql_guard(spark):
             sql.query(spark, "jdbc:none", bad)
     with pytest.raises(ValueError):
         sql.sample(spark, "jdbc:none", "a; drop table b")
+
+
+def test_late_pages_of_earlier_folders_and_ten_pages(spark, tmp_path):
+    from marlspike.sources.listing import Listing
+
+    spark.dataSource.register(Listing)
+    page = lambda folder, n: write(tmp_path / f"p/{folder}/{n}.json", json.dumps({"folder": folder, "value": [{"id": f"{folder}{n}"}]}))
+    seen = []
+
+    def run():
+        q = spark.readStream.format("mail-listing").load(str(tmp_path / "p")).writeStream.foreachBatch(lambda b, _: seen.extend(sorted(r["id"] for r in b.collect())))
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    for n in range(1, 10):
+        page("b", n)
+    run()
+    page("b", 10)
+    page("a", 2)
+    run()
+    page("a", 3)
+    run()
+    assert seen == [f"b{n}" for n in range(1, 10)] + ["a2", "b10", "a3"]
+    schema = "folder string, page int, old_link string, delta_link string, value array<struct<id:string,removed:string>>"
+    pages = [("f", n, "old", f"L{n}", [(str(n), None)]) for n in range(1, 11)] + [("g", 1, "old", "L1", []), ("g", 2, None, None, [])]
+    links = mail.delta_links(spark.createDataFrame(pages, schema), spark.createDataFrame([("f", str(n)) for n in range(1, 11)], "folder string, id string"))
+    assert {r["folder"]: r["link"] for r in links.collect()} == {"f": "L10", "g": "old"}
+
+
+def test_contacts_of_a_folder(spark, tmp_path):
+    write(tmp_path / "c/a.csv", 'Name,E-mail 1 - Value\nAnn,a@x ::: b@x\n')
+    write(tmp_path / "c/sub/b.csv", 'Given Name,Phone 1 - Value\n"B, C",+10\nshort\n')
+    write(tmp_path / "c/d.vcf", "BEGIN:VCARD\r\nFN:Dee 10\r\nTEL:+10\r\nEND:VCARD\r\n")
+    from marlspike.sources import contacts
+
+    got = sorted((r["full_name"] or r["given"], r["emails"], r["phones"]) for r in contacts.load(spark, str(tmp_path / "c")).collect())
+    assert got == [("Ann", ["a@x", "b@x"], []), ("B, C", [], ["+10"]), ("Dee 10", [], ["+10"]), ("short", [], [])]
+
+
+def test_routes_and_hops(spark, tmp_path):
+    import threading
+    import urllib.request
+
+    from marlspike.operators import store as S
+    from marlspike.plans.http import handle, server
+
+    e = Engine(spark, str(tmp_path / "s"))
+    assert handle(e, "GET", "/health") == (200, {"status": "ok"}) and handle(e, "GET", "/nope")[0] == 404 and handle(e, "POST", "/search")[0] == 405
+    status, out = handle(e, "POST", "/ingest", json.dumps({"leafs": [{"text": "alpha beta", "source": "s1"}, {"text": "gamma", "source": "s2"}]}), "2024-01-01T00:00:00Z")
+    first, second = out["ids"]
+    assert status == 200 and handle(e, "POST", "/ingest", '[{"text": ""}]')[0] == 400 and handle(e, "GET", "/get?id=none")[0] == 404
+    files, edges = S.link_files(e.store.read().where(F.col("id") == first).select("id", F.lit("a.md").alias("path"), F.lit("r").alias("repo")))
+    for name, t in (("files", files), ("leaf_file", edges)):
+        e.store.put_table(name, t)
+    assert e.build_index() > 0
+    status, found = handle(e, "GET", "/search?q=alpha&limit=5&hop=3")
+    assert status == 200 and [h["id"] for h in found["hits"]] == [first] and [(h["label"], h["name"]) for h in found["hits"][0]["hops"]] == [("File", "a.md")]
+    assert handle(e, "GET", "/search?q=&limit=5")[0] == handle(e, "GET", "/search?q=a&hop=4")[0] == handle(e, "GET", "/search?q=a&limit=x")[0] == 400
+    assert handle(e, "GET", f"/get?id={second}")[1]["text"] == "gamma" and handle(e, "GET", "/stats")[1]["total"] == 2 and handle(e, "GET", "/audit")[0] == 200
+    assert handle(e, "GET", "/openapi.json")[1]["paths"]["/search"] and "result" in handle(e, "POST", "/mcp", '{"id": 1, "method": "tools/list"}')[1]
+    s = server(e, workers=2)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    try:
+        with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}/health", timeout=30) as r:
+            assert r.status == 200 and json.load(r) == {"status": "ok"}
+    finally:
+        s.shutdown()
+        s.server_close()
