@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from marlspike.llm import jaccard_join as J
 from marlspike.llm import mixing
+from marlspike.llm.common import materialize
 from marlspike.llm.pii import find_pii
 from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import all_spans, redact
@@ -97,7 +98,7 @@ def test_the_mix_takes_rows_not_keys(spark):
     rows = [(None, text(), "en", rng.choice("aaaaaab")) for _ in range(200)] + [(i // 4, text(), "de", rng.choice("ac")) for i in range(100)]
     docs = documents(spark, rows + rows[:20] + rows[:20] + rows[-10:])
     want, got = Counter(), Counter()
-    for r in mixing.planned(mixing.drawn(docs, "mix", "text").localCheckpoint()).collect():
+    for r in mixing.planned(materialize(mixing.drawn(docs, "mix", "text"), "drawn")).collect():
         want[r["doc_id"], r["source_key"][1:]] += r["taken"]
     for r in mixing.mixed(docs).collect():
         got[r["doc_id"], r["source"]] += len(r["text"].split())
