@@ -11,12 +11,12 @@ from marlspike.llm.common import discard, materialize
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of edges (a, b: long), by large-star and small-star rounds.
 
-    Each round reattaches neighbours to the smallest one known; all steps are grouped minima, combined before the shuffle, and joins in which one
-    side has a row for each node, so that adaptive execution can split the other where a node has very many neighbours. Tables of earlier rounds
-    are deleted.
+    Each round reattaches neighbours to the smallest one known, until all components are stars; all steps are grouped minima, combined before the
+    shuffle, and joins in which one side has a row for each node, so that adaptive execution can split the other where a node has very many
+    neighbours. Edges that are stars already take no round. Tables of earlier rounds are deleted.
     """
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    while not stars(pairs):
         # large star: every larger neighbour of a node goes to the smallest of the node and its neighbours
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -26,9 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
-        same = after.count() == pairs.count() and after.exceptAll(pairs).isEmpty()
         discard(large, pairs)
         pairs = after
-        if same:
-            break
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def stars(pairs: DataFrame) -> bool:
+    """Whether every node of pairs (a, b: b < a) with a smaller neighbour has that one alone, which has no smaller one: components are stars then."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    inner = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0")
+    return inner.agg(F.count("*")).first()[0] == 0

@@ -307,6 +307,17 @@ class Members:
                         self.up[a] = b
                     yield int(self.sig[i]), int(self.sig[k])
 
+    def joins(self, two: bool) -> list[tuple[int, int]]:
+        """What links() joins, as edges to the least of those that are joined: a member of each component that there was, not every member."""
+        apart = [i for i in range(len(self.sets)) if self.up[i] == i]
+        if not sum(1 for _ in self.links(two)):
+            return []
+        least: dict[int, int] = {}
+        for i in apart:
+            r = self.root(i)
+            least[r] = min(least.get(r, int(self.sig[i])), int(self.sig[i]))
+        return [(int(self.sig[i]), least[self.root(i)]) for i in apart if least[self.root(i)] != int(self.sig[i])]
+
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, of sorted sets."""
@@ -355,7 +366,7 @@ FIRST = "k.two = 0 and k.j - k.i <= 1"
 
 
 def joined_links(found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the members of each home list, in two rounds.
+    """Edges (a, b) that join the linked members of each home list, in two rounds.
 
     The first compares each block of a list in itself and with the next one, which joins nearly all of a group of copies with work in proportion to
     the list. The second compares the other pairs of blocks that still hold two components or more, without the pairs that are joined.
@@ -367,13 +378,13 @@ def joined_links(found: DataFrame, percent: int) -> DataFrame:
     rest = rest.select("home", "k.*", F.coalesce("label", "sig").alias("label")).groupBy(*by).agg(F.min("label").alias("least"), F.max("label").alias("most"))
     open_ = materialize(rest.where("least <> most").select(*by), "jaccard-open-blocks")
     second = home_links(found, percent, f"not ({FIRST})", labels, open_)
-    discard(labels, open_)
-    return first.union(second)
+    discard(first, open_)
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second)
 
 
 def home_links(found: DataFrame, percent: int, keys: str = "true", labels: DataFrame | None = None, only: DataFrame | None = None, every: bool = False) -> DataFrame:
-    """Stored links (a, b) that join the members of each home list, every pair of which is compared unless it is joined already; every: all
-    links of the list. keys: a condition on the pairs of blocks to compare (k); only: those pairs themselves; labels (node, label): what is
+    """Stored edges (a, b) that join the linked members of each home list, every pair of which is compared unless it is joined already; every: all
+    links of the list themselves. keys: a condition on the pairs of blocks to compare (k); only: those pairs themselves; labels (node, label): what is
     joined so far."""
     by = ("home", "two", "low", "i", "j")
     dealt = found.select("home", "sig", "parity", "shingles", F.explode("keys").alias("k")).where(keys).select("home", "k.*", "sig", "parity", "shingles")
@@ -389,7 +400,8 @@ def home_links(found: DataFrame, percent: int, keys: str = "true", labels: DataF
         def links() -> list[tuple[int, int]]:
             sig, side, parity, sets, label = zip(*group, strict=True)
             m = Members(np.array(sig), np.array(side), np.array(parity, np.int64).view(np.uint64), [np.frombuffer(s, np.uint64) for s in sets], percent, label)
-            return [*m.links(now[1] == 1 or now[3] != now[4], every)]
+            two = now[1] == 1 or now[3] != now[4]
+            return [*m.links(two, every)] if every else m.joins(two)
 
         for b in batches:
             out: list[tuple[int, int]] = []
@@ -535,11 +547,10 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     rows are equal sets; other columns are ignored; an empty table gives no rows.
     """
     index, nodes, found = compared(docs, size, percent)
-    near = joined_links(found, percent)
-    labels = components(near)
-    other = other_links(found, labels, percent)
-    labels = materialize(components(near.union(other)), "jaccard-labels")
-    discard(found, other)
+    near = materialize(components(joined_links(found, percent)), "jaccard-near")
+    other = other_links(found, near, percent)
+    labels = materialize(components(near.toDF("a", "b").union(other)), "jaccard-labels")
+    discard(found, near, other)
     whole = labels.join(nodes, labels["node"] == nodes["sig"]).select("sig", "label", "rep")
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     grouped = whole.join(least, "label").select("sig", "component_id")
