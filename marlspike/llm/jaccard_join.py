@@ -430,9 +430,10 @@ def other_links(found: DataFrame, labels: DataFrame | None, percent: int) -> Dat
     rows = known.select(  # without labels each set is a component of its own
         "sig", "n", "home", "parity", own.alias("own"), F.coalesce("label", "sig").alias("label"), F.explode("live").alias("x")
     ).select("sig", "n", "home", "parity", "own", "label", "x.token", "x.pos")
-    mixed = rows.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.min("label").alias("l"), F.max("label").alias("h"))
-    mixed = mixed.where("low <> high and l <> h").select("token")
-    rows = materialize(rows.join(mixed, "token"), "jaccard-mixed")
+    mixed = rows.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("rows"))
+    mixed = materialize(mixed.where("low <> high and l <> h").select("token", "rows"), "jaccard-mixed-lists")
+    rows = materialize(met_by(rows, mixed, ["token"], "rows").drop("rows"), "jaccard-mixed")
+    discard(mixed)
     a, b = rows.where("home <> token").alias("a"), rows.alias("b")
     total = F.col("a.n") + F.col("b.n")
     differ = sum((F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k])) for k in range(4)), F.lit(0))
