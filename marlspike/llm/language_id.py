@@ -93,10 +93,11 @@ class Field:
                 self.weights += rate * grad / np.sqrt(squares)
                 self.trans += rate * t_grad / np.sqrt(t_squares)
 
-    def posteriors(self, texts: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Mean label posterior of each text by forward-backward, and that of each of its words; texts hold row numbers of table (emissions)."""
-        out = np.zeros((len(texts), len(self.labels)))
-        single = [np.zeros((0, len(self.labels)), np.float32)] * len(texts)
+    def posteriors(self, texts: list[np.ndarray], table: np.ndarray, each: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Mean label posterior of each text by forward-backward, how often the best label changes from word to word, and, if each is asked for, the
+        best label of each word; texts hold row numbers of table (emissions)."""
+        out, switches = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
+        single = [np.zeros(0, np.int64)] * len(texts)
         order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i]))
         while order:
             n = held = 0
@@ -104,10 +105,17 @@ class Field:
                 held += len(texts[order[n]])
                 n += 1
             part, order = order[:n], order[n:]
-            out[part], each = forward_backward([texts[i] for i in part], table, self.trans)
-            for i, m in zip(part, each, strict=True):
-                single[i] = m
-        return out, single
+            out[part], words, live = marginals([texts[i] for i in part], table, self.trans)
+            best = words.argmax(1)
+            # word t of text d is row starts[t] + d, and its text's word before it live[t - 1] rows earlier
+            starts = np.concatenate([[0], np.cumsum(live)])
+            rows = np.arange(live[0], len(best))
+            change = best[rows] != best[rows - np.repeat(live[:-1], live[1:])]
+            switches[part] = np.bincount((rows - np.repeat(starts[1:-1], live[1:]))[change], minlength=n)
+            if each:
+                for d, i in enumerate(part):
+                    single[i] = best[starts[: len(texts[i])] + d]
+        return out, switches, single
 
 
 def expected(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +139,15 @@ def expected(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward_backward(texts: list[np.ndarray], table: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Mean marginals of texts, longest first, and the marginals of their words. Step t handles word t of every text that has one, so that rows stay
-    dense."""
+    """Mean marginals of texts, longest first, and the marginals of their words."""
+    mean, single, live = marginals(texts, table, trans)
+    starts = np.concatenate([[0], np.cumsum(live)])
+    return mean, [single[starts[: len(x)] + d] for d, x in enumerate(texts)]
+
+
+def marginals(texts: list[np.ndarray], table: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean marginals of texts, longest first; the marginals of each word, by steps; the texts that each step has. Step t handles word t of every
+    text that has one, so that rows stay dense."""
     sizes = np.array([len(x) for x in texts])
     steps = int(sizes[0])
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # texts longer than t
@@ -158,7 +173,7 @@ def forward_backward(texts: list[np.ndarray], table: np.ndarray, trans: np.ndarr
         if t:
             v = (x[s : s + n] * back[:n]) @ a.T
             back[:n] = v / v.sum(1, keepdims=True)
-    return total / sizes[:, None], [f[starts[: len(x)] + d] for d, x in enumerate(texts)]
+    return total / sizes[:, None], f, live
 
 
 def mixed(windows: dict[int, list[list[str]]], rng: np.random.Generator, longest: int = 48) -> Iterator[tuple[list[str], list[int]]]:
@@ -218,7 +233,7 @@ def train(docs: DataFrame, windows: int = WINDOWS, max_labels: int = MAX_LABELS)
 
 
 class Read(NamedTuple):
-    """What a text reads as: its language and score, the label numbers of its words, and how often the label changes from word to word."""
+    """What a text reads as: its language and score, the label numbers of its words (if asked for), and how often the label changes from word to word."""
 
     lang: str
     score: float
@@ -252,21 +267,16 @@ class Reader:
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         return at[at >= 0]
 
-    def __call__(self, texts: list[str | None]) -> list[Read]:
+    def __call__(self, texts: list[str | None], each: bool = False) -> list[Read]:
         if len(self.place) > KEPT_WORDS or self.points > KEPT_POINTS:
             self.forget()
         ids, none = [self.numbers(x) for x in texts], np.zeros(0, np.int64)
         if not self.field.labels:
             return [Read(UNKNOWN, 0.0, none, 0)] * len(texts)
-        mean, single = self.field.posteriors(ids, self.table[: self.n])
-        out = []
-        for m, words in zip(mean, single, strict=True):
-            if not len(words):
-                out.append(Read(UNKNOWN, 0.0, none, 0))
-                continue
-            best, labels = int(m.argmax()), words.argmax(1)
-            out.append(Read(self.field.labels[best], float(min(1.0, m[best])), labels, int((labels[1:] != labels[:-1]).sum())))
-        return out
+        mean, switches, single = self.field.posteriors(ids, self.table[: self.n], each)
+        best = mean.argmax(1)
+        read = zip(ids, best.tolist(), np.minimum(1.0, mean[np.arange(len(best)), best]).tolist(), single, switches.tolist(), strict=True)
+        return [Read(self.field.labels[k], score, words, n) if len(own) else Read(UNKNOWN, 0.0, none, 0) for own, k, score, words, n in read]
 
 
 def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -306,7 +316,7 @@ def label_words(docs: DataFrame, field: Field | None = None) -> DataFrame:
         for b in batches:
             texts = [x and (low if len(low := x.lower()) == len(x) else "".join(c if len(c.lower()) > 1 else c.lower() for c in x)) for x in b["text"].to_pylist()]
             out: list[tuple] = []
-            for key, text, found in zip(b["doc_id"].to_pylist(), texts, read(texts), strict=True):
+            for key, text, found in zip(b["doc_id"].to_pylist(), texts, read(texts, each=True), strict=True):
                 if not len(found.words):
                     continue
                 at = [m.span() for m in words_at(text) if any(map(str.isalpha, m[0]))]
