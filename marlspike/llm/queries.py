@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspike.llm.ann import search
+from marlspike.llm.conversations import repair
 from marlspike.llm.jaccard_join import jaccard_join
 from marlspike.llm.language_id import identify
 from marlspike.llm.mixing import SQL as MIX_SQL
@@ -15,6 +16,7 @@ from marlspike.llm.packing import pack
 from marlspike.llm.pii import find_pii
 from marlspike.llm.quality import quality_rules
 from marlspike.llm.secrets import scan_secrets
+from marlspike.llm.spelling import spelling_variants
 from marlspike.llm.token_count import count_tokens
 from marlspike.llm.wavelet import encode_and_read
 
@@ -69,8 +71,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pii, op4_packing, op5_mixing, op6_wavelet, op7_jaccard_join, op8_nearest_neighbours, op9_quality_rules, op10_secret_scans)}
+    found = (
+        op1_language_id, op2_token_counts, op3_pii, op4_packing, op5_mixing, op6_wavelet, op7_jaccard_join, op8_nearest_neighbours, op9_quality_rules, op10_secret_scans,
+        op11_conversation_repair, op13_spelling_variants,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
