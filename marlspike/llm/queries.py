@@ -10,6 +10,7 @@ from marlspike.llm.ann import search
 from marlspike.llm.conversations import repair
 from marlspike.llm.jaccard_join import jaccard_join
 from marlspike.llm.language_id import identify
+from marlspike.llm.minhash import near_duplicates
 from marlspike.llm.mixing import SQL as MIX_SQL
 from marlspike.llm.mixing import mix
 from marlspike.llm.packing import pack
@@ -75,6 +76,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
@@ -82,7 +87,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_token_counts, op3_pii, op4_packing, op5_mixing, op6_wavelet, op7_jaccard_join, op8_nearest_neighbours, op9_quality_rules, op10_secret_scans,
-        op11_conversation_repair, op13_spelling_variants,
+        op11_conversation_repair, op12_minhash_near_dedup, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
