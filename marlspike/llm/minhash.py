@@ -16,10 +16,12 @@ from marlspike.llm.jaccard_join import Filter, Shingler, linked, met_by, of_sets
 #: Bands of a sketch and samples of a band: two sets at a similarity of 0.8 share no band with a probability of 7e-10.
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch, and standard deviations from its expected difference within which a pair is verified.
-SKETCH_BITS, SIGMAS = 512, 6
+#: Bits of an odd sketch of the samples and of one of the whole set; standard deviations from the first one's expected difference that are allowed.
+SKETCH_BITS, WHOLE_BITS, SIGMAS = 512, 1024, 6
+#: Words of the first sketch, before those of the second.
+SAMPLED = SKETCH_BITS // 64
 #: Sets and shingles of a part of a list that one task compares.
-PART_SETS, PART_SHINGLES = 512, 1 << 20
+PART_SETS, PART_SHINGLES = 128, 1 << 20
 #: Shingles that are sampled at a time.
 AT_ONCE = 2048
 
@@ -54,8 +56,16 @@ class Sampler:
         XOR."""
         h = (v.astype(np.uint64) ^ (np.arange(1, SAMPLES + 1, dtype=np.uint64) * _C)) * _A
         h = (h ^ (h >> np.uint64(32))) * _B
-        at = (h >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-        return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+        return parity((h >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), SKETCH_BITS)
+
+    def sketch(self, s: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The odd sketch of the samples and that of the whole set, which differs in no more bits than two sets do in members."""
+        return np.concatenate([self.odd(v), parity((s >> np.uint64(8) & np.uint64(WHOLE_BITS - 1)).astype(np.int64), WHOLE_BITS)])
+
+
+def parity(at: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each of so many bits is flipped an odd number of times, as 64-bit words."""
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def similarity(differ: float) -> float:
@@ -87,7 +97,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 if sig is not None and sig not in seen:
                     seen.add(sig)
                     v = sampler.samples(s)
-                    bands, sketch = sampler.bands(v), sampler.odd(v)
+                    bands, sketch = sampler.bands(v), sampler.sketch(s, v)
                 for k, x in (("n", len(s)), ("sig", sig), ("bands", bands), ("sketch", sketch)):
                     out[k].append(x)
             yield out
@@ -141,7 +151,9 @@ def joins(sig: list[int], sketches: np.ndarray, sets: list[np.ndarray], percent:
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, len(sets))
         j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
-        for k in j[np.bitwise_count(sketches[j] ^ sketches[i]).sum(1, dtype=np.int64) <= most].tolist():
+        differ = np.bitwise_count(sketches[j] ^ sketches[i])
+        near = (differ[:, :SAMPLED].sum(1, dtype=np.int64) <= most) & ((100 + percent) * differ[:, SAMPLED:].sum(1, dtype=np.int64) <= (100 - percent) * (n[i] + n[j]))
+        for k in j[near].tolist():
             if (a := root(i)) != (b := root(k)) and linked(sets[i], sets[k], percent):
                 up[a] = b
                 yield sig[i], sig[k]
@@ -177,10 +189,11 @@ def home_links(found: DataFrame, percent: int) -> DataFrame:
 
 def may_link(percent: int) -> Column:
     """Whether sets a and b may link by their sizes and odd sketches, and weren't compared in their home list."""
-    differ = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    differ = lambda words: sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in words), F.lit(0))
+    sampled, whole = differ(range(SAMPLED)), differ(range(SAMPLED, SAMPLED + WHOLE_BITS // 64))
     sizes = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     apart = (F.col("a.home") != F.col("b.home")) | (F.col("a.part") != F.col("b.part"))
-    return (F.col("a.label") != F.col("b.label")) & apart & sizes & (differ <= most_differing(percent))
+    return (F.col("a.label") != F.col("b.label")) & apart & sizes & (sampled <= most_differing(percent)) & ((100 + percent) * whole <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -254,8 +267,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     Two documents link when 100 * intersection >= percent * union of their sets of `size`-word shingles (A-Z lower-cased; a shorter text is one shingle; null,
     empty and blank texts have none and link with nothing). Equal sets are one node, known by a 64-bit hash of the set. Sets that share one of BANDS bands
-    of MinHash samples are candidates; odd sketches of the samples end those far below the threshold, and the others are confirmed on whole sets. Sets are
-    compared in parts of the longest band list that each is in; then, band by band, those that aren't joined. A null doc_id takes part, gets its
+    of MinHash samples are candidates; odd sketches of the samples and of the sets end those below the threshold, and the others are confirmed on whole sets.
+    Sets are compared in parts of the longest band list that each is in; then, band by band, those that aren't joined. A null doc_id takes part, gets its
     component's smallest doc_id, if any, and is kept where there is none; repeated rows are equal sets; other columns are ignored; an empty table gives
     no rows.
     """
