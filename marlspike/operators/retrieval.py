@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from marlspike.functions.predicates import active_at
 from marlspike.functions.text import text
 
+if TYPE_CHECKING:
+    from marlspike.operators.segments import SegmentWords
+
 #: BM25 saturation and length weight, and the constant of reciprocal ranks.
 K1, B, RRF = 1.2, 0.75, 60
 #: Rows that each ranking passes on for one that is asked for.
@@ -97,7 +101,7 @@ def select_hits(hits: DataFrame, n: int = 0, root: str = "", repo: str = "", as_
     return hits.limit(n) if n > 0 else hits
 
 
-def hybrid(leafs: DataFrame, query: str, vector: list[float] | None, n: int = 20, index: WordIndex | None = None, vectors: DataFrame | None = None, **filters: str) -> DataFrame:
+def hybrid(leafs: DataFrame, query: str, vector: list[float] | None, n: int = 20, index: WordIndex | SegmentWords | None = None, vectors: DataFrame | None = None, **filters: str) -> DataFrame:
     """Hits of leafs (id, text, root, confidence, source, valid_from, valid_to, embedding) with score, rrf and snippet.
 
     Words are looked up in a stored index, or counted in the texts where there is none; vectors: (id, embedding) where they aren't the leafs' own.

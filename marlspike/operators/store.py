@@ -1,16 +1,19 @@
-"""The leaf store: buckets of leafs in Parquet folders that never change, and numbered versions that name the folders."""
+"""The leaf store: segments of leafs in Parquet folders that never change, and numbered versions that name the folders."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import file_id, leaf_id, normal_day, or_else, text, text_hash
-from marlspike.operators.retrieval import WordIndex, postings_of, sums_of, write_postings
+from marlspike.operators.retrieval import sums_of, tokens
+from marlspike.operators.segments import SHARE, SegmentWords, near_vectors, small, write_blocks, write_lists
 from marlspike.schema import EDGES, LEAFS
 from marlspike.session import hadoop
 
@@ -76,22 +79,93 @@ def merge_edges(old: DataFrame, new: DataFrame, sources: DataFrame, targets: Dat
 
 #: Rows of a batch unless another size is asked for.
 BATCH = 64
+DEAD = "segment string, id string, len int, terms array<string>"
 
 
 class Conflict(Exception):
     """Another writer made the next version first."""
 
 
+#: Rows of a file of leafs, and seconds that a folder which no version names is spared, as a run that is still at work may be about to name it.
+FILE_ROWS, SPARE = 1_000_000, 24 * 3600
+EMPTY = {"segments": [], "dead": [], "indexed": False, "tables": {}}
+
+
+class Snapshot:
+    """What one version of a store holds; later versions don't change it."""
+
+    def __init__(self, store: Store, names: dict):
+        self.store, self.spark, self.names = store, store.spark, names
+
+    def _at(self, path: str) -> str:
+        return f"{self.store.path}/{path}"
+
+    def dead(self) -> DataFrame | None:
+        """(segment, id, len, terms) of leafs that a later segment replaced or that were removed."""
+        paths = [self._at(x["path"]) for x in self.names["dead"]]
+        return self.spark.read.schema(DEAD).parquet(*paths) if paths else None
+
+    def dead_rows(self) -> int:
+        return sum(n for x in self.names["dead"] for n, _ in x["by"].values())
+
+    def placed(self, segments: list[dict] | None = None) -> DataFrame:
+        """Leafs with the segment that each is in: one scan of all segments, less the dead."""
+        paths = [self._at(x["path"]) for x in (self.names["segments"] if segments is None else segments)]
+        if not paths:
+            return self.spark.createDataFrame([], LEAFS).withColumn("segment", F.lit(""))
+        rows = self.spark.read.schema(LEAFS).parquet(*paths).withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"/leafs/([0-9a-f]{32})/[^/]*$", 1))
+        dead = self.dead()
+        return rows if dead is None else rows.join(small(dead.select("segment", "id"), self.dead_rows()), ["segment", "id"], "left_anti")
+
+    def read(self) -> DataFrame:
+        return self.placed().select(*LEAFS.fieldNames())
+
+    def words(self) -> SegmentWords:
+        """Word search over the segments' postings; texts of segments that aren't indexed are counted as they are."""
+        there = [x for x in self.names["segments"] if x.get("words")]
+        lack = [x for x in self.names["segments"] if not x.get("words")]
+        gone = {}
+        for d in self.names["dead"]:
+            for k, (n, size) in d["by"].items():
+                gone[k] = (gone.get(k, (0, 0))[0] + n, gone.get(k, (0, 0))[1] + size)
+        n, total, loose = sum(x["rows"] - gone.get(x["key"], (0, 0))[0] for x in there), sum(x["tokens"] - gone.get(x["key"], (0, 0))[1] for x in there), None
+        if lack:
+            loose = self.placed(lack).select("id", "text")
+            more = sums_of(loose).first()
+            n, total = n + more["n"], total + more["tokens"]
+        keys = {x["key"] for x in there}
+        dead = self.dead()
+        dead = None if dead is None else dead.where(F.col("segment").isin(sorted(keys)))
+        return SegmentWords(self.spark, [(x["key"], self._at(x["words"])) for x in there], dead, self.dead_rows(), n, total, loose)
+
+    def near(self, query: list[float], share: float = SHARE) -> DataFrame:
+        """(id, embedding) of leafs that may be nearest to the query: of each segment the lists beside it, and all of segments that have no lists."""
+        parts = [near_vectors(self.spark, self._at(x["vectors"]), query, share).withColumn("segment", F.lit(x["key"])) for x in self.names["segments"] if x.get("vectors")]
+        lack = [x for x in self.names["segments"] if not x.get("vectors")]
+        dead = self.dead()
+        if dead is not None:
+            parts = [p.join(small(dead.select("segment", "id"), self.dead_rows()), ["segment", "id"], "left_anti") for p in parts]
+        if lack:
+            parts.append(self.placed(lack).where("embedding is not null"))
+        parts = [p.select("id", "embedding") for p in parts]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "id string, embedding array<float>")
+
+    def table(self, name: str) -> DataFrame | None:
+        folder = self.names["tables"].get(name)
+        return self.spark.read.parquet(self._at(folder)) if folder else None
+
+
 class Store:
-    """A folder with versions/<number>.json and the folders of leafs, postings and tables that they name.
+    """A log of segments of leafs: a folder with versions/<number>.json and the folders of leafs, postings, vectors, tombstones and tables that they name.
 
     The version of the highest number is the current one. It is written aside and renamed to its name, which fails if the name is taken: a reader
-    finds the old version or the new one, whole, and of two writers one starts again from the other's. Leafs are dealt into buckets by their id; a
-    batch rewrites the buckets that it touches and no others. Folders that no version names any more go with clean().
+    finds the old version or the new one, whole, and of two writers one starts again from the other's. A batch writes a segment of its own rows and the
+    tombstones of those that it replaces, and nothing else; compact() merges segments. A segment's files are ranges of ids, so their number follows its
+    rows. Folders that no version names go with clean().
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def version(self) -> tuple[int, dict]:
         """The current version's number and what it names; 0 and nothing for a new store."""
@@ -99,12 +173,24 @@ class Store:
         names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
         numbers = [int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()]
         if not numbers:
-            return 0, {"of": self.buckets, "leafs": {}, "index": {}, "tables": {}}
+            return 0, json.loads(json.dumps(EMPTY))
         return max(numbers), json.loads(self.spark.read.text(f"{self.path}/versions/{max(numbers):012d}.json", wholetext=True).first()[0])
 
     def current(self) -> int:
         return self.version()[0]
 
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self, self.version()[1])
+
+    def read(self) -> DataFrame:
+        return self.snapshot().read()
+
+    def words(self) -> SegmentWords:
+        return self.snapshot().words()
+
+    def table(self, name: str) -> DataFrame | None:
+        return self.snapshot().table(name)
+
     def _commit(self, number: int, names: dict) -> int:
         own, fs = hadoop(self.spark, f"{self.path}/versions/.{uuid.uuid4().hex}")
         out = fs.create(own, True)
@@ -127,6 +213,8 @@ class Store:
         for n in range(attempts):
             number, names = self.version()
             after = change(json.loads(json.dumps(names)))
+            if after == names:
+                return number
             try:
                 return self._commit(number + 1, after)
             except Conflict:
@@ -134,78 +222,100 @@ class Store:
                     raise
         return 0
 
-    def _bucket(self, of: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
-
-    def _read(self, names: dict, buckets=None) -> DataFrame:
-        paths = [f"{self.path}/{p}" for k, p in names["leafs"].items() if buckets is None or int(k) in buckets]
-        return self.spark.read.schema(LEAFS).parquet(*paths) if paths else self.spark.createDataFrame([], LEAFS)
-
-    def read(self) -> DataFrame:
-        return self._read(self.version()[1])
-
-    def _write(self, leafs: DataFrame, names: dict, buckets) -> dict:
-        """names with buckets as leafs has them; a bucket that lost all its rows is no longer named."""
-        folder = f"leafs/{uuid.uuid4().hex}"
-        dealt = leafs.select(*LEAFS.fieldNames()).withColumn("bucket", self._bucket(names["of"]))
-        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
-        at, fs = hadoop(self.spark, f"{self.path}/{folder}")
-        written = {x.getPath().getName()[7:] for x in fs.listStatus(at) if x.getPath().getName().startswith("bucket=")}
-        for k in map(str, buckets):
-            names["index"].pop(k, None)
-            names["leafs"].pop(k, None)
-            if k in written:
-                names["leafs"][k] = f"{folder}/bucket={k}"
-        return names
+    def _segment(self, leafs: DataFrame, indexed: bool) -> dict | None:
+        """Write leafs as a segment, with its postings and vectors if the store is indexed; None for no rows."""
+        key = uuid.uuid4().hex
+        part = {"key": key, "path": f"leafs/{key}"}
+        rows = leafs.select(*LEAFS.fieldNames()).repartitionByRange("id").sortWithinPartitions("id")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path}/{part['path']}")
+        stored = self.spark.read.schema(LEAFS).parquet(f"{self.path}/{part['path']}")
+        sums = sums_of(stored).first()
+        part |= {"rows": sums["n"], "tokens": sums["tokens"]}
+        if not part["rows"]:
+            return None
+        return self._indexed(part, stored) if indexed else part
+
+    def _indexed(self, part: dict, stored: DataFrame) -> dict:
+        """part with postings and vectors of its rows; dead ones among them stay dead."""
+        if not part.get("words"):
+            path = f"words/{uuid.uuid4().hex}"
+            write_blocks(stored.select("id", "text"), f"{self.path}/{path}")
+            part = part | {"words": path}
+        if not part.get("vectors"):
+            path, vectors = f"vectors/{uuid.uuid4().hex}", stored.where("embedding is not null").select("id", "embedding")
+            write_lists(vectors, f"{self.path}/{path}", vectors.count())
+            part = part | {"vectors": path}
+        return part
+
+    def _tombstones(self, rows: DataFrame) -> dict | None:
+        """Write tombstones of rows (segment, id, text); None for none."""
+        path, words = f"dead/{uuid.uuid4().hex}", tokens(F.col("text"))
+        rows.select("segment", "id", F.size(words).alias("len"), F.array_distinct(words).alias("terms")).write.parquet(f"{self.path}/{path}")
+        stored = self.spark.read.schema(DEAD).parquet(f"{self.path}/{path}")
+        by = {r["segment"]: [r["n"], r["len"]] for r in stored.groupBy("segment").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect()}  # a row for each segment
+        return {"path": path, "by": by} if by else None
 
     def replace(self, leafs: DataFrame) -> int:
         """All leafs anew; a run that fails makes no version and so leaves the store as it was."""
-        return self._change(lambda names: self._write(leafs, names, range(names["of"])))
+
+        def change(names: dict) -> dict:
+            part = self._segment(leafs, names["indexed"])
+            return names | {"segments": [part] if part else [], "dead": []}
+
+        return self._change(change)
 
     def add(self, new: DataFrame, now: str, seq: str = "") -> int:
         """Upsert a batch, of which the last row of an id wins by seq; a row without text or source rejects all of it. Returns the version."""
+        return self.apply(new, None, now, seq)
+
+    def apply(self, new: DataFrame, gone: DataFrame | None, now: str, seq: str = "") -> int:
+        """Remove the leafs of gone (id) and upsert new, in one version; a leaf that is both stays as new has it."""
         if not invalid(new).isEmpty():
             raise ValueError("a leaf needs text and source")
-        done = complete(new, now, *([seq] if seq else [])).persist()  # read for its buckets and again for its rows
+        fresh = upsert(self.spark.createDataFrame([], LEAFS), complete(new, now, *([seq] if seq else [])), seq).persist()  # read for its ids and for its rows
         try:
+            rows = fresh.count()
+            ids = fresh.select("id") if gone is None else fresh.select("id").union(gone.select("id")).distinct()
+            many = rows if gone is None else ids.count()
 
             def change(names: dict) -> dict:
-                touched = [r[0] for r in done.select(self._bucket(names["of"])).distinct().collect()]  # no more than there are buckets
-                return self._write(upsert(self._read(names, touched), done, seq), names, touched)
+                old = Snapshot(self, names).placed().join(small(ids, many), "id", "left_semi").select("segment", "id", "text", "embedding")
+                dead = self._tombstones(old)
+                kept = fresh
+                if dead and many:
+                    known = old.where("embedding is not null").select("id", F.col("embedding").alias("known"))
+                    kept = fresh.join(known, "id", "left").withColumn("embedding", F.coalesce("embedding", "known")).drop("known")
+                part = self._segment(kept, names["indexed"]) if rows else None
+                return names | {"segments": names["segments"] + ([part] if part else []), "dead": names["dead"] + ([dead] if dead else [])}
 
             return self._change(change)
         finally:
-            done.unpersist()
+            fresh.unpersist()
 
     def index(self) -> int:
-        """Write the postings of buckets that have none; the others' stay. Returns the version."""
+        """Postings and vector lists for segments that have none; from then on each batch brings its own. Returns the version."""
 
         def change(names: dict) -> dict:
-            lack = [int(k) for k in names["leafs"] if k not in names["index"]]
-            if not lack:
-                return names
-            leafs = self._read(names, lack).select("id", "text").withColumn("bucket", self._bucket(names["of"]))
-            folder = f"postings/{uuid.uuid4().hex}"
-            write_postings(leafs, f"{self.path}/{folder}", "bucket")
-            for bucket, n, tokens in sums_of(leafs, "bucket").collect():  # a row for each bucket
-                names["index"][str(bucket)] = {"path": f"{folder}/bucket={bucket}", "n": n, "tokens": tokens}
-            return names
-
-        return self._change(change) if {*self.version()[1]["leafs"]} - {*self.version()[1]["index"]} else self.current()
+            stored = lambda x: self.spark.read.schema(LEAFS).parquet(f"{self.path}/{x['path']}")
+            return names | {"indexed": True, "segments": [self._indexed(x, stored(x)) for x in names["segments"]]}
 
-    def words(self) -> WordIndex:
-        """The index of the current version; buckets that aren't indexed yet are counted from their texts."""
         names = self.version()[1]
-        there = [x for k, x in names["index"].items() if k in names["leafs"]]
-        lack = [int(k) for k in names["leafs"] if k not in names["index"]]
-        n, tokens, loose = sum(x["n"] for x in there), sum(x["tokens"] for x in there), None
-        if lack:
-            rest = self._read(names, lack).select("id", "text")
-            more = sums_of(rest).first()
-            n, tokens, loose = n + more["n"], tokens + more["tokens"], postings_of(rest)
-        fs = hadoop(self.spark, self.path)[1]
-        paths = [f"{self.path}/{x['path']}" for x in there]
-        return WordIndex(self.spark, [p for p in paths if fs.exists(hadoop(self.spark, p)[0])], n, tokens, loose=loose)
+        done = names["indexed"] and all(x.get("words") and x.get("vectors") for x in names["segments"])
+        return self.current() if done else self._change(change)
+
+    def compact(self, largest: int | None = None) -> int:
+        """Merge the segments of at most `largest` rows (None: all) into one and drop their tombstones; what is live stays the same."""
+
+        def change(names: dict) -> dict:
+            merged = [x for x in names["segments"] if largest is None or x["rows"] <= largest]
+            if len(merged) < 2 and not any(x["key"] in d["by"] for x in merged for d in names["dead"]):
+                return names
+            part, keys = self._segment(Snapshot(self, names).placed(merged), names["indexed"]), {x["key"] for x in merged}
+            dead = [d | {"by": {k: v for k, v in d["by"].items() if k not in keys}} for d in names["dead"]]
+            rest = [x for x in names["segments"] if x["key"] not in keys]
+            return names | {"segments": rest + ([part] if part else []), "dead": [d for d in dead if d["by"]]}
+
+        return self._change(change)
 
     def put_table(self, name: str, rows: DataFrame) -> int:
         """Store a table beside the leafs: files, commits, persons and their edges."""
@@ -213,27 +323,27 @@ class Store:
         rows.write.parquet(f"{self.path}/{folder}")
         return self._change(lambda names: names | {"tables": names["tables"] | {name: folder}})
 
-    def table(self, name: str) -> DataFrame | None:
-        folder = self.version()[1]["tables"].get(name)
-        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
-
-    def clean(self, keep: int = 2) -> int:
-        """Delete versions but the last `keep`, and the folders that none of them names; readers of older versions must be done. Returns how many
-        folders went."""
+    def clean(self, keep: int = 2, spare: float = SPARE) -> int:
+        """Delete versions but the last `keep`, and the folders that none of them names and in which nothing was written for `spare` seconds: a run that has not
+        yet named its folders keeps them. Readers of older versions must be done. Returns how many folders went."""
         at, fs = hadoop(self.spark, f"{self.path}/versions")
         files = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".json"))
         named = set()
         for f in files[-keep:]:
             names = json.loads(self.spark.read.text(f"{self.path}/versions/{f}", wholetext=True).first()[0])
-            named |= {*names["leafs"].values(), *(x["path"] for x in names["index"].values()), *names["tables"].values()}
+            named |= {x[k] for x in names["segments"] for k in ("path", "words", "vectors") if x.get(k)} | {x["path"] for x in names["dead"]} | {*names["tables"].values()}
         for f in files[:-keep]:
             fs.delete(hadoop(self.spark, f"{self.path}/versions/{f}")[0], False)
-        gone = 0
-        for kind in ("leafs", "postings", "tables"):
+        gone, before = 0, (time.time() - spare) * 1000
+
+        def touched(status) -> int:
+            below = [x for x in fs.listStatus(status.getPath()) if x.isDirectory()] if status.isDirectory() else []
+            return max([status.getModificationTime(), *(touched(x) for x in below)])
+
+        for kind in ("leafs", "words", "vectors", "dead", "tables"):
             top = hadoop(self.spark, f"{self.path}/{kind}")[0]
             for run in fs.listStatus(top) if fs.exists(top) else []:
-                folder = f"{kind}/{run.getPath().getName()}"
-                if not any(x == folder or x.startswith(f"{folder}/") for x in named):
+                if f"{kind}/{run.getPath().getName()}" not in named and touched(run) <= before:
                     fs.delete(run.getPath(), True)
                     gone += 1
         return gone

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.operators import aggregates, evidence, retrieval
-from marlspike.operators.store import Store, complete
+from marlspike.operators.store import Snapshot, Store, complete
 
 #: Operations: method, path, parameters with their types, whether a tool of that name is listed.
 OPS = {
@@ -50,24 +50,26 @@ class Engine:
         self.spark, self.store, self.embed, self.lookup = spark, Store(spark, path), embed, lookup
 
     def search(self, q: str, limit: int = 10, root: str = "", repo: str = "", as_of: str = "", sort: str = "", web: bool = True, hop: int = 0) -> dict:
-        """The best hits by words and vectors; words come from the store's index, which build_index() keeps up. hop: steps along stored edges."""
+        """The best hits by words and vectors, all of one version; both come from the store's index once build_index() was called. hop: steps along stored edges."""
         check(q, limit, root, as_of, sort, hop)
         try:
             vector = self.embed(q) if self.embed else None
         except Exception:  # noqa: BLE001  vectors are optional, words aren't
             vector = None
-        hits = retrieval.hybrid(self.store.read(), q, vector, limit, self.store.words(), root=root, repo=repo, as_of=as_of, sort=sort).select(*SHOWN)
+        now = self.store.snapshot()
+        near = now.near(vector) if vector else None
+        hits = retrieval.hybrid(now.read(), q, vector, limit, now.words(), near, root=root, repo=repo, as_of=as_of, sort=sort).select(*SHOWN)
         rows = hits.collect()  # limit rows
         found = self.spark.createDataFrame(rows, hits.schema)
-        reached = self.hops(found, hop)
+        reached = self.hops(found, hop, now)
         second = evidence.deduce(found, (lambda: self.lookup(q)) if self.lookup else None, root, not web)
         return {"query": q, "hits": [r.asDict() | ({"hops": reached.get(r["id"], [])} if hop else {}) for r in rows], "second_source": second}
 
-    def hops(self, hits: DataFrame, depth: int) -> dict[str, list[dict]]:
+    def hops(self, hits: DataFrame, depth: int, now: Snapshot | None = None) -> dict[str, list[dict]]:
         """id to what is reached within depth steps, by one batched join a step; steps whose tables aren't stored end the way."""
-        edges = []
+        edges, now = [], now or self.store.snapshot()
         for edge, nodes, label in STEPS[:depth]:
-            e, n = self.store.table(edge), self.store.table(nodes)
+            e, n = now.table(edge), now.table(nodes)
             if e is None or n is None:
                 break
             named = next(c for c in ("path", "subject", "name", "id") if c in n.columns)
@@ -78,7 +80,7 @@ class Engine:
         return {r["id"]: [h.asDict() for h in r["hops"]] for r in done.collect()}
 
     def build_index(self) -> int:
-        """Postings of what isn't indexed yet; nothing is dropped."""
+        """Postings and vector lists of what has none yet; batches bring theirs from then on."""
         return self.store.index()
 
     def get(self, key: str) -> dict | None:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,36 +187,44 @@ def test_tokens_and_parents(spark):
     assert [tuple(r) for r in J.project_matches(companies, projects).collect()] == [("other", "p")]
 
 
-def test_store_versions_buckets_and_index(spark, tmp_path, monkeypatch):
-    """A batch rewrites the buckets that it touches; a run that fails, or comes second, leaves a whole version; words come from stored postings."""
-    now, leafs = "2024-01-01T00:00:00Z", lambda rows: spark.createDataFrame(rows, "text string, source string, seq int")
-    store = S.Store(spark, str(tmp_path / "s"), 4)
+NOW = "2024-01-01T00:00:00Z"
+
+
+def written(store):
+    """Folders by kind."""
+    from pathlib import Path
+
+    return {kind: {x.name for x in p.iterdir() if x.is_dir()} for kind in ("leafs", "words", "vectors", "dead", "tables") if (p := Path(store.path) / kind).exists()}
+
+
+def hits(store, q, k=50):
+    return [tuple(r) for r in store.words().search(q, k).orderBy(F.desc("score"), "id").collect()]
+
+
+def scanned(store, q, k=50):
+    return sorted(((r["id"], round(r["score"], 9)) for r in R.bm25(store.read(), q).collect()), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_store_versions_segments_and_index(spark, tmp_path, monkeypatch):
+    """A batch writes its own rows, tombstones and postings; a run that fails, or comes second, leaves a whole version; words come from stored postings."""
+    leafs = lambda rows: spark.createDataFrame(rows, "text string, source string, seq int")
+    store = S.Store(spark, str(tmp_path / "s"))
     assert store.read().isEmpty() and store.words().search("word", 3).isEmpty()
     rows = [(f"common word{i % 5} text {i}", f"s{i}", i) for i in range(40)]
-    assert store.add(leafs(rows), now, "seq") == 1 and store.index() == 2 and store.index() == 2
+    assert store.add(leafs(rows), NOW, "seq") == 1 and store.index() == 2 and store.index() == 2
     names = store.version()[1]
-    assert len(names["leafs"]) == len(names["index"]) == 4
-    hits = lambda st, q: [tuple(r) for r in st.words().search(q, 50).orderBy(F.desc("score"), "id").collect()]
-    scan = lambda st, q: sorted(((r["id"], round(r["score"], 9)) for r in R.bm25(st.read(), q).collect()), key=lambda x: (-x[1], x[0]))
-    assert hits(store, "word3 text") == scan(store, "word3 text")[:50] and len(hits(store, "word3")) == 8
-    store.add(leafs([("common word3 text 3", "s3", 1), ("a new word3", "s99", 2)]), now, "seq")
+    assert [x["rows"] for x in names["segments"]] == [40] and hits(store, "word3 text") == scanned(store, "word3 text") and len(hits(store, "word3")) == 8
+    store.add(leafs([("common word3 text 3", "s3", 1), ("a new word3", "s99", 2)]), NOW, "seq")
     after = store.version()[1]
-    changed = {k for k in after["leafs"] if after["leafs"][k] != names["leafs"][k]}
-    assert 0 < len(changed) < 4 and {*after["index"]} == {*after["leafs"]} - changed and store.read().count() == 41
-    assert hits(store, "word3 new") == scan(store, "word3 new") and len(hits(store, "word3")) == 9
+    assert after["segments"][0] == names["segments"][0] and after["segments"][1]["rows"] == 2 and after["segments"][1]["words"] and store.read().count() == 41
+    assert spark.read.parquet(f"{store.path}/{after['segments'][1]['path']}").count() == 2 and spark.read.parquet(f"{store.path}/{after['dead'][0]['path']}").count() == 1
+    assert hits(store, "word3 new") == scanned(store, "word3 new") and len(hits(store, "word3")) == 9
     # the last row of an id wins by seq, whatever the order of partitions
     loc = spark.createDataFrame([("t", "s", "late", 9), ("t", "s", "early", 1)], "text string, source string, loc string, seq int").repartition(2, "loc")
-    store.add(loc, now, "seq")
+    store.add(loc, NOW, "seq")
     assert store.read().where("text = 't'").first()["loc"] == "late"
-    # a failure before the version is named
-    before = store.current()
-    with monkeypatch.context() as m:
-        m.setattr(S.Store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
-        with pytest.raises(RuntimeError):
-            store.add(leafs([("lost", "s", 1)]), now)
-    assert store.current() == before and store.read().where("text = 'lost'").isEmpty()
     # another writer comes first, once
-    other, commit = S.Store(spark, str(tmp_path / "s"), 4), S.Store._commit
+    other, commit = S.Store(spark, str(tmp_path / "s")), S.Store._commit
     calls = []
 
     def late(self, number, named):
@@ -226,11 +236,107 @@ def test_store_versions_buckets_and_index(spark, tmp_path, monkeypatch):
 
     with monkeypatch.context() as m:
         m.setattr(store, "_commit", late.__get__(store))
-        store.add(leafs([("second", "s", 1)]), now)
+        store.add(leafs([("second", "s", 1)]), NOW)
     assert store.version()[1]["tables"] == {"x": "tables/none"} and store.read().where("text = 'second'").count() == 1 and calls[-1] == calls[0] + 1
-    rows_before, gone = sorted(map(str, store.read().collect())), store.clean(1)
-    assert gone > 0 and sorted(map(str, store.read().collect())) == rows_before and hits(store, "word3") == scan(store, "word3")
-    assert store.replace(store.read().limit(5)) and store.read().count() == 5
+    rows_before, gone = sorted(map(str, store.read().collect())), store.clean(1, 0)
+    assert gone > 0 and sorted(map(str, store.read().collect())) == rows_before and hits(store, "word3") == scanned(store, "word3")
+    assert store.compact() and len(store.version()[1]["segments"]) == 1 and not store.version()[1]["dead"]
+    assert sorted(map(str, store.read().collect())) == rows_before and hits(store, "word3 text") == scanned(store, "word3 text")
+    assert store.replace(store.read().limit(5)) and store.read().count() == 5 and len(hits(store, "text common")) == len(scanned(store, "text common"))
+
+
+@pytest.mark.parametrize("step", ["_tombstones", "_segment", "_indexed", "_commit"])
+def test_a_stop_between_steps_leaves_the_old_version(spark, tmp_path, monkeypatch, step):
+    leafs = lambda rows: spark.createDataFrame(rows, "text string, source string")
+    store = S.Store(spark, str(tmp_path / "s"))
+    store.add(leafs([(f"word {i}", "s") for i in range(9)]), NOW)
+    store.index()
+    before, rows, found = store.current(), sorted(map(str, store.read().collect())), hits(store, "word 3")
+    done = getattr(S.Store, step)
+
+    def stops(self, *a):
+        if step != "_commit":
+            done(self, *a)
+        raise RuntimeError("stopped")
+
+    for change in (lambda: store.add(leafs([("word 3", "s"), ("lost", "s")]), NOW), store.compact):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(S.Store, step, stops)
+            change()
+            raise RuntimeError("this way has no such step")
+        assert store.current() == before and sorted(map(str, store.read().collect())) == rows and hits(store, "word 3") == found
+    held = written(store)
+    store.add(leafs([("word 3", "s"), ("kept", "s")]), NOW)
+    assert store.read().count() == 10 and any(len(written(store)[k]) > len(held[k]) for k in held)
+
+
+def test_clean_spares_a_run_that_is_at_work(spark, tmp_path, monkeypatch):
+    leafs = lambda rows: spark.createDataFrame(rows, "text string, source string")
+    store, commit = S.Store(spark, str(tmp_path / "s")), S.Store._commit
+    store.add(leafs([(f"word {i}", "s") for i in range(9)]), NOW)
+    with monkeypatch.context() as m:
+        m.setattr(S.Store, "_commit", lambda self, *a: S.Store(spark, self.path).clean(1) or commit(self, *a))
+        store.add(leafs([("word 3", "s"), ("while cleaned", "s")]), NOW)
+    assert store.read().count() == 10 and store.read().where("text = 'while cleaned'").count() == 1
+
+
+def test_embeddings_stay_and_leafs_go(spark, tmp_path):
+    store, schema = S.Store(spark, str(tmp_path / "s")), "text string, source string, loc string, embedding array<float>"
+    store.add(spark.createDataFrame([("a", "s", "1", [1.0, 0.0]), ("b", "s", "1", None), ("c", "s", "1", [0.0, 1.0])], schema), NOW)
+    store.index()
+    store.add(spark.createDataFrame([("a", "s", "2", None), ("b", "s", "2", [1.0, 1.0])], schema), NOW)
+    got = {r["text"]: (r["loc"], r["embedding"]) for r in store.read().collect()}
+    assert got == {"a": ("2", [1.0, 0.0]), "b": ("2", [1.0, 1.0]), "c": ("1", [0.0, 1.0])}
+    assert {r["id"] for r in store.snapshot().near([1.0, 0.0]).collect()} == {r["id"] for r in store.read().collect()}
+    gone = store.read().where("text in ('a', 'c')").select("id")
+    before = store.current()
+    assert store.apply(spark.createDataFrame([("c", "s", "3", None), ("d", "s", "1", None)], schema), gone, NOW) == before + 1
+    got = {r["text"]: (r["loc"], r["embedding"]) for r in store.read().collect()}
+    assert got == {"b": ("2", [1.0, 1.0]), "c": ("3", [0.0, 1.0]), "d": ("1", None)} and hits(store, "a b c d") == scanned(store, "a b c d")
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path, monkeypatch):
+    from marlspike.operators import segments
+
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["common", "word", "other", "more", f"rare{rng.randrange(50)}"]) for _ in range(rng.choice([4, 20, 200, 700])))
+    store = S.Store(spark, str(tmp_path / "s"))
+    store.add(spark.createDataFrame([(text(), f"s{i}") for i in range(1500)], "text string, source string"), NOW)
+    store.index()
+    store.add(store.read().where("source like 's1%'").withColumn("source", F.concat("source", F.lit("x"))), NOW)
+    store.apply(spark.createDataFrame([("common common", "last")], "text string, source string"), store.read().where("source like 's2%'").select("id"), NOW)
+    monkeypatch.setattr(segments, "READ_ALL", 10**9)
+    for block in (1024, 16):
+        monkeypatch.setattr(segments, "BLOCK", block)
+        for q in ("common", "common rare7 word", "rare1 rare2"):
+            monkeypatch.setattr(segments, "READ_ALL", 0)
+            words = store.words()
+            got = [tuple(r) for r in words.search(q, 10).orderBy(F.desc("score"), "id").collect()]
+            assert got == scanned(store, q, 10)
+            read, there = (x.agg(F.sum("n")).first()[0] for x in (words.blocks_read, words.blocks.where(F.col("term").isin(R.terms_of(q)))))
+            assert read <= there and (read < there / 2 or q != "common")
+        store.compact()
+
+
+def test_near_vectors_read_a_part_and_find_the_nearest(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(40, 32))
+    vectors = middles[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 32))
+    rows = [(f"t{i}", "s", [*map(float, v)]) for i, v in enumerate(vectors)] + [("zero", "s", [0.0] * 32), ("short", "s", [1.0])]
+    store = S.Store(spark, str(tmp_path / "s"))
+    df = spark.createDataFrame(rows, "text string, source string, embedding array<float>")
+    store.add(df.where("text < 't2'"), NOW)
+    store.index()
+    store.add(df.where("text >= 't2' or text in ('zero', 'short')"), NOW)
+    found = asked = read = 0
+    for q in vectors[::300]:
+        near = store.snapshot().near([*map(float, q)])
+        best = lambda v: {r["id"] for r in R.cosine(v.where("size(embedding) = 32"), [*map(float, q)], 10).collect()}  # noqa: B023, E731
+        want, got, read = best(store.read()), best(near), read + near.count()
+        found, asked = found + len(want & got), asked + 10
+    assert found / asked >= 0.95 and read < 0.5 * 10 * 3002
 
 
 def test_batch_bounds():
