@@ -134,6 +134,14 @@ def source_sides(source: Column) -> tuple[Column, Column]:
     return F.trim(before), F.trim(rest)
 
 
+def quoted(value: Column) -> Column:
+    """In double quotes, with escapes of quotes, backslashes and control characters."""
+    out = F.replace(F.replace(text(value), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c, e in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(c), F.lit(e))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
 def shell_quote(value: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'"))
 
@@ -148,10 +156,11 @@ def shorten(value: Column, n: int) -> Column:
     return F.when(F.length(value) > n, F.concat(F.substring(value, 1, n), F.lit("…"))).otherwise(value)
 
 
-def display_name(full: Column, given: Column, family: Column, org: Column, emails: Column, phones: Column) -> Column:
+def display_name(full: Column, given: Column, family: Column, emails: Column, phones: Column) -> Column:
+    """The full name, else given and family name, else the first mail address or phone number."""
     both = F.concat_ws(" ", F.nullif(F.trim(text(given)), F.lit("")), F.nullif(F.trim(text(family)), F.lit("")))
-    options = [F.trim(text(full)), both, F.trim(text(org)), text(F.get(emails, F.lit(0))), text(F.get(phones, F.lit(0)))]
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in options], F.lit("unknown"))
+    options = [F.trim(text(full)), both, text(F.get(emails, F.lit(0))), text(F.get(phones, F.lit(0)))]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in options], F.lit("(unnamed)"))
 
 
 def padded(vector: Column, n: int) -> Column:

@@ -51,7 +51,7 @@ def people(spark, d):
 
 
 NAMED = """CASE WHEN c_custkey % 5 <> 0 THEN c_name WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'Ann Lee' WHEN c_custkey % 2 = 0 THEN 'Ann' WHEN c_custkey % 3 = 0 THEN 'Lee'
-  WHEN c_custkey % 7 = 0 THEN c_mktsegment WHEN c_custkey % 4 <> 0 THEN c_name || '@x' ELSE c_name || '+1' END"""
+  WHEN c_custkey % 4 <> 0 THEN c_name || '@x' WHEN c_custkey % 3 <> 0 THEN c_name || '+1' ELSE '(unnamed)' END"""
 
 
 @query(f"SELECT c_custkey, {NAMED} AS name FROM customer")
@@ -59,9 +59,9 @@ def display_names(spark, d):
     return people(spark, d).select("c_custkey", N.named().alias("name"))
 
 
-@query("SELECT c_custkey, c_custkey % 5 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 4 <> 0 AS known FROM customer")
+@query("SELECT c_custkey, c_custkey % 5 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 7 = 0 OR c_custkey % 4 <> 0 OR c_custkey % 3 <> 0 AS known FROM customer")
 def contact_identity(spark, d):
-    return people(spark, d).select("c_custkey", P.has_identity(F.col("full_name"), F.col("given"), lists=(F.col("emails"),)).alias("known"))
+    return people(spark, d).select("c_custkey", P.has_identity(*map(F.col, ("full_name", "given", "family", "org")), lists=(F.col("emails"), F.col("phones"))).alias("known"))
 
 
 @query(
@@ -73,9 +73,9 @@ def contact_counts(spark, d):
 
 
 @query(
-    f"""SELECT '# ' || n || CASE WHEN c_custkey % 7 = 0 THEN chr(10) || '- organisation: ' || c_mktsegment ELSE '' END
-    || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '- mail: ' || c_name || '@x' ELSE chr(10) || '- mail: ' || c_name || '@x, second@x' END
-    || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '- phone: ' || c_name || '+1' ELSE chr(10) || '- phone: ' || c_name || '+1, second+1' END AS text, 'contact:' || n AS source
+    f"""SELECT 'Contact: ' || n || CASE WHEN c_custkey % 7 = 0 THEN ' @ ' || c_mktsegment ELSE '' END
+    || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Emails: ' || c_name || '@x' ELSE chr(10) || 'Emails: ' || c_name || '@x, second@x' END
+    || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Phones: ' || c_name || '+1' ELSE chr(10) || 'Phones: ' || c_name || '+1, second+1' END AS text, 'contact:' || n AS source
     FROM (SELECT *, {NAMED} AS n FROM customer)"""
 )
 def contact_leafs(spark, d):
@@ -179,11 +179,18 @@ def ssh_scan(spark, d):
     return U.ssh_hosts(table(spark, d, "nation").select(content.alias("content")))
 
 
-@query("SELECT 'o' || n_nationkey AS org, n_name AS label, 'client' AS kind, '' AS period, CASE WHEN n_nationkey % 2 = 0 THEN 'https://x.org' ELSE '' END AS website FROM nation")
+@query(
+    """SELECT unnest(['o' || n_nationkey, 'twice']) AS org, unnest([n_name, '"second"']) AS label, unnest(['client', '']) AS kind, unnest(['', '2006–present']) AS period,
+    unnest([CASE WHEN n_nationkey % 2 = 0 THEN 'https://x.org' ELSE '' END, '']) AS website FROM nation"""
+)
 def org_block_scan(spark, d):
+    """Lists of organisations, one of them named twice, before each of the keys that may follow; without such a key there are none."""
     key = F.col("n_nationkey")
-    content = F.concat(F.lit("people:\n  a: 1\norgs:\n  o"), key.cast("string"), F.lit(":\n    label: '"), "n_name", F.lit("'\n    kind: client\n"), F.when(key % 2 == 0, "    website: https://x.org\n").otherwise(""), F.lit("notes:\n  o99:\n    label: no\n"))
-    return U.orgs(table(spark, d, "nation").select(content.alias("content")))
+    entry = F.concat(F.lit("orgs:\n- id: twice\n  label: first\n  kind: own\n- id: o"), key.cast("string"), F.lit("\n  label: "), "n_name", F.lit("\n  kind: client\n"), F.when(key % 2 == 0, "  website: https://x.org\n").otherwise(""))
+    content = F.concat(F.lit("people:\n- id: no\n"), entry, F.lit('- id: twice\n  label: "second"\n  period: 2006–present\n'), F.element_at(F.array(*map(F.lit, U.SIBLINGS.split("|"))), (key % 5 + 1).cast("int")), F.lit(":\n- id: o99\n  label: no\n"))
+    open_ = F.lit("orgs:\n- id: never\n  label: ended\n")
+    rows = table(spark, d, "nation").select(F.explode(F.array(content, open_)).alias("content"))
+    return U.orgs(rows)
 
 
 @query("SELECT n_nationkey AS project, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'Top' ELSE '' END AS parent FROM nation")
@@ -212,8 +219,8 @@ def commits(spark, d):
 
 
 @query(
-    """SELECT '# feat: ' || o_orderpriority || chr(10) || 'commit ' || s || ' by A' || o_custkey % 9 || ' <A@x>' || chr(10) || '- a.py' || chr(10) || '- f' || o_orderkey % 4 AS text, 'git:o/r@' || s AS source,
-    strftime(o_orderdate, '%Y-%m-%d') AS valid_from FROM (SELECT *, substr(o_orderkey || '-0123456789abcdef', 1, 12) AS s FROM orders) WHERE o_orderkey % 10 <> 0"""
+    """SELECT 'commit ' || substr(s, 1, 12) || ' in o/r — feat: ' || o_orderpriority || chr(10) || 'Author: A' || o_custkey % 9 || ' <A@x>' || chr(10) || 'Date: ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || chr(10)
+      || 'Changing: a.py, f' || o_orderkey % 4 AS text, 'o/r@' || s AS source, strftime(o_orderdate, '%Y-%m-%d') AS valid_from FROM (SELECT *, o_orderkey || '-0123456789abcdef' AS s FROM orders) WHERE o_orderkey % 10 <> 0"""
 )
 def commit_leafs(spark, d):
     return G.as_leafs(G.log(commits(spark, d))).select("text", "source", "valid_from")
@@ -255,13 +262,16 @@ def times_read(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, strftime(CASE o_orderkey % 3 WHEN 0 THEN DATE '2024-03-15' WHEN 1 THEN DATE '2024-03-14' ELSE
-      CASE WHEN make_date(2024, month(o_orderdate), least(day(o_orderdate), 28)) > DATE '2024-03-15' THEN make_date(2023, month(o_orderdate), least(day(o_orderdate), 28)) ELSE make_date(2024, month(o_orderdate), least(day(o_orderdate), 28)) END END, '%Y-%m-%d') || ' 15:07' AS at FROM orders"""
+    """SELECT o_orderkey, strftime(CASE o_orderkey % 9 WHEN 0 THEN DATE '2024-03-15' WHEN 1 THEN DATE '2024-03-14' WHEN 2 THEN DATE '2024-03-10' WHEN 3 THEN DATE '2024-03-03' WHEN 4 THEN DATE '2024-03-08' WHEN 5 THEN DATE '2024-03-14'
+      WHEN 6 THEN NULL ELSE CASE WHEN m > DATE '2024-03-15' THEN m - INTERVAL 1 YEAR ELSE m END END, '%Y-%m-%d') || CASE o_orderkey % 9 WHEN 7 THEN ' 09:05' ELSE ' 15:07' END AS at
+      FROM (SELECT *, make_date(2024, month(o_orderdate), least(day(o_orderdate), 28)) AS m FROM orders)"""
 )
 def clock_times(spark, d):
-    k = F.col("o_orderkey")
-    header = F.when(k % 3 == 0, "TODAY").when(k % 3 == 1, "Yesterday").otherwise(F.concat(F.upper(F.date_format("o_orderdate", "MMM")), F.lit(" "), F.least(F.dayofmonth("o_orderdate"), F.lit(28)).cast("string")))
-    at = L.clock_time(header, F.lit("3:07 PM"), F.lit("2024-03-15 12:00:00").cast("timestamp"))
+    """Seen on a Friday at noon: days, weeks, the same weekday with a later clock, another weekday, no header, months."""
+    k = F.col("o_orderkey") % 9
+    header = F.element_at(F.array(*map(F.lit, ("TODAY", "YESTERDAY", "THIS WEEK", "LAST WEEK", "FRIDAY", "THURSDAY", "some day"))), F.least(k + 1, F.lit(7)).cast("int"))
+    header = F.when(k < 7, header).otherwise(F.concat(F.upper(F.date_format("o_orderdate", "MMM")), F.lit(" "), F.least(F.dayofmonth("o_orderdate"), F.lit(28)).cast("string")))
+    at = L.clock_time(header, F.when(k == 7, "9:05 AM").otherwise("3:07 PM"), F.lit("2024-03-15 12:00:00").cast("timestamp"))
     return table(spark, d, "orders").select("o_orderkey", F.date_format(at, "yyyy-MM-dd HH:mm").alias("at"))
 
 
@@ -318,12 +328,14 @@ def small_scalars(spark, d):
 
 
 @query(
-    """SELECT conv_id, turn, '---' || chr(10) || 'subject: ' || role || ' ' || turn || chr(10) || 'from: "a: ' || role || '"' || chr(10) || 'date: 2024-01-02' || chr(10) || '---' || chr(10) || chr(10) || '# ' || role || ' ' || turn || chr(10) || chr(10) || coalesce(text, '') AS markdown
-    FROM conversations"""
+    """SELECT conv_id, turn, '---' || chr(10) || 'id: "<' || conv_id || '>"' || chr(10) || 'folder: "in\\\\box"' || chr(10) || 'source: "imap"' || chr(10) || 'subject: "' || CASE WHEN turn % 3 = 0 THEN '' ELSE '\\"' || role || '\\" ' || turn END || '"' || chr(10)
+      || 'from: "a: ' || role || '"' || chr(10) || 'to: "b@x"' || chr(10) || 'date: "2024-01-02"' || chr(10) || 'type: mail' || chr(10) || '---' || chr(10) || chr(10) || '# ' || CASE WHEN turn % 3 = 0 THEN '(no subject)' ELSE '"' || role || '" ' || turn END || chr(10) || chr(10)
+      || coalesce(text, '') || chr(10) AS markdown FROM conversations"""
 )
 def mail_markdown(spark, d):
-    subject = F.concat_ws(" ", "role", F.col("turn").cast("string"))
-    body = M.message_markdown(subject, F.concat(F.lit("a: "), "role"), F.lit("2024-01-02"), X.text(F.col("text")))
+    subject = F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit('"'), "role", F.lit('" '), F.col("turn").cast("string")))
+    key = F.concat(F.lit("<"), F.col("conv_id").cast("string"), F.lit(">"))
+    body = M.message_markdown(F.col("text"), id=key, folder=F.lit("in\\box"), source=F.lit("imap"), subject=subject, sender=F.concat(F.lit("a: "), "role"), to=F.lit("b@x"), date=F.lit("2024-01-02"))
     return table(spark, d, "conversations").select("conv_id", "turn", body.alias("markdown"))
 
 
@@ -377,11 +389,18 @@ def incoming_messages(spark, d):
     return L.incoming(m).select(F.col("conv_id").alias("chat_id"), "turn", "text")
 
 
-@query("SELECT n_nationkey::VARCHAR AS chat_id, unnest([1, 2]) AS seq, CASE unnest([1, 2]) WHEN 1 THEN 'MONDAY' ELSE 'TODAY' END AS day, '9:05 AM' AS clock, 'Ann' AS sender, CASE unnest([1, 2]) WHEN 1 THEN 'hello' || chr(10) || 'there ' || n_nationkey ELSE n_name END AS text FROM nation")
+@query(
+    """SELECT n_nationkey::VARCHAR AS chat_id, unnest([1, 2, 4]) AS seq, unnest(['MONDAY', 'TODAY', 'AUG 3']) AS day, unnest(['9:05 AM', '9:05 AM', '1:00 PM']) AS clock, unnest(['Ann', 'Ann', 'Bo']) AS sender,
+    unnest(['hello' || chr(10) || 'there ' || n_nationkey, n_name || chr(10) || 'still today', 'hi']) AS text FROM nation"""
+)
 def conversation_pages(spark, d):
+    """A day's header ends a message, the same one again doesn't; stray lines and headings with a time belong to none; the third message is empty."""
     key = F.col("n_nationkey").cast("string")
     mark = "Ann (she) sent the following messages at 9:05 AM\n"
-    body = F.concat(F.lit(f"MONDAY\n{mark}View Ann’s profile\nAnn (she) 9:05 AM\nhello\nthere "), key, F.lit(f"\nTODAY\n{mark}"), "n_name", F.lit("\n"))
+    body = F.concat(
+        F.lit(f"before\nMONDAY\n{mark}View Ann's profile\nAnn (she) (She/Her) 9:05 AM\nhello\nthere "), key, F.lit(f"\nTODAY\nstray\n{mark}"), "n_name",
+        F.lit("\nTODAY\n\nstill today\nAUG 3\nBo sent the following message at 8:00 AM\nBo 8:00 AM\nBo sent the following message at 1:00 PM\nhi\nSUNDAY\nstray\n"),
+    )
     return L.conversation(table(spark, d, "nation").select(key.alias("chat_id"), body.alias("body"))).select("chat_id", F.col("seq").cast("int").alias("seq"), "day", "clock", F.col("from").alias("sender"), "text")
 
 

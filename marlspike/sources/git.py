@@ -61,11 +61,12 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def as_leafs(rows: DataFrame) -> DataFrame:
-    """Info leafs: subject, author and day, and the files."""
+    """Info leafs: id, repository and subject, author, date and files; known by repository and whole id."""
     short = F.substring("id", 1, 12)
-    subject = first_line(F.col("message"))
-    lines = F.concat_ws("\n", F.concat(F.lit("# "), subject), F.concat(F.lit("commit "), short, F.lit(" by "), F.col("author"), F.lit(" <"), F.col("email"), F.lit(">")), F.array_join(F.transform("files", lambda f: F.concat(F.lit("- "), f)), "\n"))
+    head = F.concat(F.lit("commit "), short, F.lit(" in "), F.col("repo"), F.lit(" — "), first_line(F.col("message")))
+    files = F.when(F.coalesce(F.size("files"), F.lit(0)) > 0, F.concat(F.lit("Changing: "), F.array_join("files", ", ")))
+    lines = F.concat_ws("\n", head, F.concat(F.lit("Author: "), F.col("author"), F.lit(" <"), F.col("email"), F.lit(">")), F.concat(F.lit("Date: "), F.col("date")), files)
     return rows.select(
-        lines.alias("text"), F.concat(F.lit("git:"), "repo", F.lit("@"), short).alias("source"), F.col("id").alias("source_rev"),
+        lines.alias("text"), F.concat("repo", F.lit("@"), "id").alias("source"), F.col("id").alias("source_rev"),
         F.lit("info").alias("root"), F.lit("commit").alias("type"), F.lit("import-git").alias("how"), F.substring("date", 1, 10).alias("valid_from"),
     )

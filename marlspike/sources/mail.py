@@ -84,10 +84,18 @@ def messages(df: DataFrame, content: str = "content", key: str = "path") -> Data
     return df.select(F.col(key).cast("string").alias("k"), F.col(content).cast("binary").alias("c")).mapInPandas(parse, MESSAGE)
 
 
-def message_markdown(subject: Column, sender: Column, day: Column, body: Column) -> Column:
-    from marlspike.functions.text import yaml_scalar
+#: Fields of a message's front matter, in order, before its type.
+FRONT = ("id", "folder", "source", "subject", "from", "to", "date")
 
-    return F.concat(F.lit("---\nsubject: "), yaml_scalar(subject), F.lit("\nfrom: "), yaml_scalar(sender), F.lit("\ndate: "), day, F.lit("\n---\n\n# "), subject, F.lit("\n\n"), body)
+
+def message_markdown(body: Column, **fields: Column) -> Column:
+    """Front matter of FRONT (sender stands for from; missing ones are empty), a heading, the body."""
+    from marlspike.functions.text import quoted
+
+    of = lambda k: fields.get("sender" if k == "from" else k, F.lit(""))
+    front = F.concat_ws("\n", F.lit("---"), *[F.concat(F.lit(f"{k}: "), quoted(of(k))) for k in FRONT], F.lit("type: mail"), F.lit("---"))
+    title = F.coalesce(F.nullif(F.coalesce(of("subject"), F.lit("")), F.lit("")), F.lit("(no subject)"))
+    return F.concat(front, F.lit("\n\n# "), title, F.lit("\n\n"), F.coalesce(body, F.lit("")), F.lit("\n"))
 
 
 def unescape_ics(value: Column) -> Column:

@@ -24,12 +24,24 @@ def ssh_hosts(files: DataFrame) -> DataFrame:
     return hosts.where(~F.col("host").rlike(r"[*?!]") & (F.col("host") != "")).distinct().orderBy("host")
 
 
+#: Fixed: the keys that may follow a mesh's block of organisations.
+SIBLINGS = "clients|timeline|tech_weights|nodes|edges"
+
+
 def orgs(files: DataFrame) -> DataFrame:
-    """org, label, kind, period, website of the 'orgs:' block of YAML files (content); it ends at the next key of its level."""
-    block = F.regexp_extract("content", r"(?ms)^orgs:[ \t]*\n((?:[ \t#][^\n]*(?:\n|\z)|\n)*)", 1)
-    one = files.select(F.explode(F.regexp_extract_all(block, F.lit(r"(?m)^  ([^\s:#][^:\n]*:[^\n]*\n(?:    [^\n]*(?:\n|\z))*)"), F.lit(1))).alias("b"))
-    get = lambda k: F.regexp_replace(F.regexp_extract("b", rf"(?m)^\s+{k}:[ \t]*(.*)$", 1), r"""^["']|["']\s*$""", "")
-    return one.select(F.trim(F.regexp_extract("b", r"^([^:\n]+):", 1)).alias("org"), *[get(k).alias(k) for k in ("label", "kind", "period", "website")])
+    """org, label, kind, period, website of the list under 'orgs:' of YAML files (content), which ends at the next of its sibling keys.
+
+    An entry starts at '- id:'; of entries with one id the last counts, of a field's values the last; values stay as written, without a sibling no
+    block ends and there are no organisations.
+    """
+    block = F.regexp_extract("content", rf"(?ms)^orgs:\n(.*?)\n^(?:{SIBLINGS}):", 1)
+    entries = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- id:[ \t]*\S+[^\n]*(?:\n(?![ \t]*- id:[ \t]*\S)[^\n]*)*"), F.lit(0))
+    name = lambda e: F.regexp_extract(e, r"^[ \t]*- id:[ \t]*(\S+)", 1)
+    rows = files.select(entries.alias("all")).withColumn("names", F.transform("all", name))
+    last = F.filter("all", lambda e, i: ~F.array_contains(F.slice("names", i + 2, F.size("names")), name(e)))
+    get = lambda k: F.coalesce(F.try_element_at(F.regexp_extract_all("b", F.lit(rf"(?m)^[ \t]+{k}:[ \t]*(.*)$"), F.lit(1)), F.lit(-1)), F.lit(""))
+    one = rows.select(F.explode(last).alias("b"))
+    return one.select(name(F.col("b")).alias("org"), *[F.trim(get(k)).alias(k) for k in ("label", "kind", "period", "website")])
 
 
 def crm_graph(payload: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

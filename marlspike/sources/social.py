@@ -10,7 +10,7 @@ from marlspike.functions.text import clean_sender, text
 
 PAGE = "url string, sections map<string,string>, references map<string,array<struct<kind:string,url:string,text:string,context:string>>>"
 #: Fixed pattern of the line that opens a message.
-MARKER = r"^(.+?) sent the following messages? at (\d{1,2}:\d{2}\s*[AP]M)\s*$"
+MARKER, CLOCK = r"^(.+?) sent the following messages? at (.+)$", r"\d{1,2}:\d{2}\s*[AP]M"
 SERVICE_CHAT = "777000"
 
 
@@ -28,32 +28,38 @@ def inbox(pages: DataFrame) -> DataFrame:
 
 
 def conversation(pages: DataFrame) -> DataFrame:
-    """chat_id, seq, day, clock, from, text of pages (chat_id, body): a marker line opens a message, day headers carry forward."""
+    """chat_id, seq, day, clock, from, text of pages (chat_id, body): a marker line opens a message, a marker or another day's header ends it, and day
+    headers carry forward. Lines outside of messages, links to profiles and the sender's own heading with a time are dropped, as are messages that
+    have no other line."""
     rows = pages.select("chat_id", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     w = Window.partitionBy("chat_id").orderBy("pos")
-    is_day = day_header(F.col("line"))
-    marks = F.col("line").rlike(MARKER)
-    rows = rows.withColumn("day", F.last(F.when(is_day, F.col("line")), ignorenulls=True).over(w)).withColumn("seq", F.sum(marks.cast("int")).over(w)).where("seq > 0")
-    opened = F.first(F.when(marks, F.col("line")), ignorenulls=True).over(Window.partitionBy("chat_id", "seq").orderBy("pos"))
-    rows = rows.withColumn("mark", opened)
-    sender, clock = F.regexp_extract("mark", MARKER, 1), F.regexp_extract("mark", MARKER, 2)
-    noise = marks | is_day | F.col("line").rlike(r"^View .*profile") | (F.regexp_replace(F.col("line"), r"\s*\d{1,2}:\d{2}\s*[AP]M$", "") == sender)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~noise, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    return rows.groupBy("chat_id", "seq").agg(F.first("mark").alias("mark"), F.first("day", ignorenulls=True).alias("day"), body.alias("text")).select("chat_id", "seq", "day", clock.alias("clock"), clean_sender(sender).alias("from"), "text")
+    is_day, marks = day_header(F.col("line")), F.col("line").rlike(MARKER)
+    rows = rows.withColumn("day", F.last(F.when(is_day, F.col("line")), ignorenulls=True).over(w))
+    rows = rows.withColumn("turns", is_day & ~F.col("line").eqNullSafe(F.lag("day").over(w)))
+    rows = rows.withColumn("seq", F.sum(marks.cast("int")).over(w)).withColumn("piece", F.sum((marks | F.col("turns")).cast("int")).over(w))
+    rows = rows.withColumn("mark", F.first(F.when(marks, F.col("line")), ignorenulls=True).over(Window.partitionBy("chat_id", "piece").orderBy("pos")))
+    sender = F.trim(F.regexp_extract("mark", MARKER, 1))
+    profile = F.col("line").startswith("View ") & F.col("line").rlike("['’]s profile$")
+    kept = rows.where("mark is not null").where(~(marks | is_day | profile | (F.startswith("line", sender) & F.col("line").rlike(CLOCK))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    found = kept.groupBy("chat_id", "seq").agg(F.first("mark").alias("mark"), F.first("day").alias("day"), text.alias("text"))
+    return found.select("chat_id", "seq", "day", F.trim(F.regexp_extract("mark", MARKER, 2)).alias("clock"), clean_sender(sender).alias("from"), "text")
 
 
 def clock_time(day: Column, clock: Column, now: Column) -> Column:
-    """The timestamp of a weekday, relative or 'MON D' header and a clock, the last such day before now."""
+    """The timestamp of a weekday, relative or 'MON D' header and a clock: a weekday is the last one whose time isn't after now, a month's day the last that
+    isn't after today; 'THIS WEEK' and 'LAST WEEK' are their Sundays. null without such a header or clock."""
     today = F.to_date(now)
     names = ("SUNDAY", "MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY")
-    back = lambda i: F.pmod(F.dayofweek(today) - 1 - i, F.lit(7))
+    since_sunday = F.dayofweek(today) - 1
     date = F.when(F.upper(day) == "TODAY", today).when(F.upper(day) == "YESTERDAY", F.date_sub(today, 1))
+    date = date.when(F.upper(day) == "THIS WEEK", F.date_sub(today, since_sunday)).when(F.upper(day) == "LAST WEEK", F.date_sub(today, since_sunday + 7))
     for i, name in enumerate(names):
-        ago = back(i)
-        date = date.when(F.upper(day) == name, F.date_sub(today, F.when(ago == 0, F.lit(7)).otherwise(ago).cast("int")))
-    md = F.try_to_timestamp(F.concat(F.initcap(day), F.lit(" "), F.year(today).cast("string")), F.lit("MMM d yyyy")).cast("date")
+        date = date.when(F.upper(day) == name, F.date_sub(today, F.pmod(since_sunday - i, F.lit(7))))
+    md = F.try_to_timestamp(F.concat(F.initcap(F.regexp_replace(day, r"\s+", " ")), F.lit(" "), F.year(today).cast("string")), F.lit("MMM d yyyy")).cast("date")
     date = date.otherwise(F.when(md > today, F.add_months(md, -12)).otherwise(md))
-    return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), F.regexp_replace(clock, r"\s+", " ")), F.lit("yyyy-MM-dd h:mm a"))
+    at = F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), F.regexp_replace(clock, r"\s+", " ")), F.lit("yyyy-MM-dd h:mm a"))
+    return F.when(F.upper(day).isin(*names) & (at > now), at - F.expr("INTERVAL 7 DAYS")).otherwise(at)
 
 
 def incoming(messages: DataFrame) -> DataFrame:

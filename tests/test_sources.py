@@ -52,7 +52,7 @@ def test_contacts(spark, tmp_path):
     assert {*got} == {"Ann", "Bo", "Cy", "Di, X", "Ed"} and got["Ann"]["emails"] == ["a@x", "b@x"] and got["Cy"]["phones"] == ["555"] and got["Ed"]["emails"] == ["e@x"]
     assert contacts.mork_unquote("a\\)b$C3$A9") == "a)bé"
     assert contacts.dedupe(contacts.load(spark, str(tmp_path / "g.csv")).union(contacts.load(spark, str(tmp_path / "g.csv")))).count() == 2
-    assert "# Ann Lee" in contacts.as_leafs(contacts.load(spark, str(tmp_path / "g.csv"))).orderBy("source").first()["text"]
+    assert "Contact: Ann Lee" in contacts.as_leafs(contacts.load(spark, str(tmp_path / "g.csv"))).orderBy("source").first()["text"]
 
 
 EML = b"Message-ID: <m@x>\r\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\r\nFrom: a@x\r\nDate: Mon, 01 Jan 2024 23:30:00 -0200\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n--B\r\nContent-Type: text/plain\r\n\r\nhello\r\n--B\r\nContent-Type: text/csv\r\nContent-Disposition: attachment; filename=a.csv\r\n\r\n1,2\r\n--B--\r\n"
@@ -90,7 +90,7 @@ def test_git(spark, tmp_path):
     run("commit", "-qm", "feat: one\n\nbody")
     c = git.log(git.commits(spark, [str(tmp_path)]))
     row = c.first()
-    assert row["files"] == ["a.txt"] and git.as_leafs(c).first()["text"].startswith("# feat: one\ncommit ")
+    assert row["files"] == ["a.txt"] and git.as_leafs(c).first()["text"].endswith("\nChanging: a.txt") and " — feat: one\nAuthor: " in git.as_leafs(c).first()["text"] and git.as_leafs(c).first()["source"].endswith(row["id"])
     name = spark.range(1).select(git.repo_name(F.lit("git@h:o/r.git"), F.lit("/x/y")).alias("a"), git.repo_name(F.lit(""), F.lit("/x/y/")).alias("b")).first()
     assert (name["a"], name["b"]) == ("o/r", "y")
 
@@ -102,8 +102,10 @@ def test_social(spark):
     got = [tuple(r) for r in social.conversation(spark.createDataFrame([("c", body)], "chat_id string, body string")).select("day", "clock", "from", "text").orderBy("seq").collect()]
     assert got == [("MONDAY", "10:05 AM", "Ann", "hello\nyou"), ("AUG 3", "1:00 PM", "Bo", "hi")]
     now = F.lit("2024-08-07 12:00:00").cast("timestamp")  # a Wednesday
-    at = spark.range(1).select(*[social.clock_time(F.lit(d), F.lit("1:30 PM"), now).cast("string").alias(d) for d in ("TODAY", "MONDAY", "WEDNESDAY", "AUG 3", "DEC 1")]).first()
-    assert list(at) == ["2024-08-07 13:30:00", "2024-08-05 13:30:00", "2024-07-31 13:30:00", "2024-08-03 13:30:00", "2023-12-01 13:30:00"]
+    at = spark.range(1).select(*[social.clock_time(F.lit(d), F.lit("1:30 PM"), now).cast("string").alias(d) for d in ("TODAY", "MONDAY", "WEDNESDAY", "AUG 3", "DEC 1", "THIS WEEK", "LAST WEEK")]).first()
+    assert list(at) == ["2024-08-07 13:30:00", "2024-08-05 13:30:00", "2024-07-31 13:30:00", "2024-08-03 13:30:00", "2023-12-01 13:30:00", "2024-08-04 13:30:00", "2024-07-28 13:30:00"]
+    earlier = spark.range(1).select(social.clock_time(F.lit("WEDNESDAY"), F.lit("9:00 AM"), now).cast("string")).first()[0]
+    assert earlier == "2024-08-07 09:00:00"
 
 
 def test_web():
@@ -135,7 +137,7 @@ def test_runtime(spark):
     running = spark.createDataFrame([("web", "/d"), ("zz", "/q")], "name string, dir string")
     docs = spark.createDataFrame([("a.md", "the B host"), ("b.md", "bb")], "path string, text string")
     assert {r["how"] for r in runtime.facts(running, declared, hosts, docs).collect()} == {"pair-compose", "pair-names", "pair-hosts", "pair-docs"}
-    orgs = runtime.orgs(spark.createDataFrame([("orgs:\n  acme:\n    label: \"Acme\"\n    kind: client\n  b:\n    label: B\nother:\n  c:\n    label: C\n",)], "content string"))
+    orgs = runtime.orgs(spark.createDataFrame([("orgs:\n- id: acme\n  label: Acme\n  kind: client\n- id: b\n  label: B\ntimeline:\n- id: c\n  label: C\n",)], "content string"))
     assert {(r["org"], r["label"], r["kind"]) for r in orgs.collect()} == {("acme", "Acme", "client"), ("b", "B", "")}
 
 
