@@ -268,8 +268,8 @@ class Store:
         """Upsert a batch, of which the last row of an id wins by seq; a row without text or source rejects all of it. Returns the version."""
         return self.apply(new, None, now, seq)
 
-    def apply(self, new: DataFrame, gone: DataFrame | None, now: str, seq: str = "") -> int:
-        """Remove the leafs of gone (id) and upsert new, in one version; a leaf that is both stays as new has it."""
+    def apply(self, new: DataFrame, gone: DataFrame | None, now: str, seq: str = "", tables: dict[str, DataFrame] | None = None) -> int:
+        """Remove the leafs of gone (id), upsert new and store tables, in one version; a leaf that is both stays as new has it."""
         if not invalid(new).isEmpty():
             raise ValueError("a leaf needs text and source")
         fresh = upsert(self.spark.createDataFrame([], LEAFS), complete(new, now, *([seq] if seq else [])), seq).persist()  # read for its ids and for its rows
@@ -277,6 +277,7 @@ class Store:
             rows = fresh.count()
             ids = fresh.select("id") if gone is None else fresh.select("id").union(gone.select("id")).distinct()
             many = rows if gone is None else ids.count()
+            folders = {name: self._table(name, t) for name, t in (tables or {}).items()}
 
             def change(names: dict) -> dict:
                 old = Snapshot(self, names).placed().join(small(ids, many), "id", "left_semi").select("segment", "id", "text", "embedding")
@@ -286,7 +287,7 @@ class Store:
                     known = old.where("embedding is not null").select("id", F.col("embedding").alias("known"))
                     kept = fresh.join(known, "id", "left").withColumn("embedding", F.coalesce("embedding", "known")).drop("known")
                 part = self._segment(kept, names["indexed"]) if rows else None
-                return names | {"segments": names["segments"] + ([part] if part else []), "dead": names["dead"] + ([dead] if dead else [])}
+                return names | {"segments": names["segments"] + ([part] if part else []), "dead": names["dead"] + ([dead] if dead else []), "tables": names["tables"] | folders}
 
             return self._change(change)
         finally:
@@ -319,9 +320,13 @@ class Store:
 
     def put_table(self, name: str, rows: DataFrame) -> int:
         """Store a table beside the leafs: files, commits, persons and their edges."""
+        folder = self._table(name, rows)
+        return self._change(lambda names: names | {"tables": names["tables"] | {name: folder}})
+
+    def _table(self, name: str, rows: DataFrame) -> str:
         folder = f"tables/{name}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
-        return self._change(lambda names: names | {"tables": names["tables"] | {name: folder}})
+        return folder
 
     def clean(self, keep: int = 2, spare: float = SPARE) -> int:
         """Delete versions but the last `keep`, and the folders that none of them names and in which nothing was written for `spare` seconds: a run that has not

@@ -354,12 +354,48 @@ def bm25_topk(spark, d):
     return word_hits(spark, d, TOP).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+CUT = R.OVERFETCH * TOP
+
+
+def document_store(spark, d) -> S.Store:
+    """documents as a store: two batches before it is indexed and two after, of which the last one replaces leafs of the first and another is removed again."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    rows = docs.join(vectors, "doc_id", "left").select("text", F.col("doc_id").cast("string").alias("source"), "embedding", F.col("doc_id")).where(F.trim("text") != "")
+    store = S.Store(spark, f"{shared_dir(spark)}/marlspike-store-{uuid.uuid4().hex}")
+    k, now = F.col("doc_id") % 4, "2024-01-01T00:00:00Z"
+    store.add(rows.where(k == 0), now)
+    store.add(rows.where(k == 1), now)
+    store.index()
+    store.add(rows.where(k >= 2).union(rows.where(k == 2).withColumn("source", F.lit("gone"))), now)
+    store.apply(rows.where((k == 0) & (F.col("doc_id") % 8 == 0)).drop("embedding"), store.read().where("source = 'gone'").select("id"), now)
+    return store
+
+
+@query(f"WITH documents AS (SELECT * FROM documents WHERE trim(text) <> ''), {bm25_sql(TERMS)} SELECT doc_id, round(score, 4) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT {TOP}")
+def store_word_search(spark, d):
+    """Words through a store of several segments with tombstones: blocks of postings of the asked terms are read, no text is."""
+    now = document_store(spark, d).snapshot()
+    found = now.words().search(ASKED, CUT).join(now.read().select("id", F.col("source").cast("long").alias("doc_id")), "id")
+    return found.orderBy(F.desc("score"), "doc_id").limit(TOP).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT least(20, count(*)) AS asked, TRUE AS enough FROM embeddings JOIN documents ON doc_id = vec_id WHERE trim(text) <> ''")
+def store_vector_recall(spark, d):
+    """Of the nearest leafs by cosine, the share that a store's lists find for some twenty of its vectors: 95 % at least."""
+    now = document_store(spark, d).snapshot()
+    every = now.read().where("embedding is not null").select("id", "embedding").persist()
+    asked = [[float(x) for x in r["embedding"]] for r in every.orderBy("id").limit(20).collect()]
+    hit = sum(R.cosine(now.near(q), q, 10).join(R.cosine(every, q, 10), "id", "left_semi").count() for q in asked)
+    least = min(10, every.count()) * len(asked)
+    every.unpersist()
+    return spark.createDataFrame([(len(asked), hit >= 0.95 * least)], "asked long, enough boolean")
+
+
 @query(f"WITH {COSINE} SELECT doc_id AS vec_id, round(score, 4) AS score FROM cos ORDER BY cos.score DESC, doc_id LIMIT {TOP}")
 def cosine_topk(spark, d):
     return vector_hits(spark, d, TOP).select(F.col("id").alias("vec_id"), F.round("score", 4).alias("score"))
 
 
-CUT = R.OVERFETCH * TOP
 FUSED = f"""{bm25_sql(TERMS)}, {COSINE},
   wr AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored QUALIFY r <= {CUT}),
   vr AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM cos QUALIFY r <= {CUT}),

@@ -12,12 +12,20 @@ from pyspark.sql.streaming import StreamingQuery
 from marlspike.operators.chat import first_of
 from marlspike.operators.store import Store
 from marlspike.session import hadoop, shared_dir
+from marlspike.sources import corpus
 
 EVERY = "30 seconds"
 
 
-def stream(spark: SparkSession, path: str, schema, kind: str = "parquet", **options: str) -> DataFrame:
-    return spark.readStream.format(kind).schema(schema).options(**options).load(path)
+#: The column of a stream of files that orders its rows: by the time of their file, its name, the place of their block in it and, in a batch, their own.
+SEQ = "seq"
+
+
+def stream(spark: SparkSession, path: str, schema, kind: str = "parquet", ordered: bool = False, **options: str) -> DataFrame:
+    """Files below path as they come; ordered: with SEQ."""
+    rows = spark.readStream.format(kind).schema(schema).options(**options).load(path)
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    return rows.select("*", place.alias(SEQ)) if ordered else rows
 
 
 def start(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = EVERY) -> StreamingQuery:
@@ -27,8 +35,45 @@ def start(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 
 
 def into_store(store: Store, now: Callable[[], str]) -> Callable[[DataFrame, int], None]:
-    """Upserts by id: a batch that comes again changes nothing."""
-    return lambda batch, _: None if batch.isEmpty() else store.add(batch, now())
+    """Upserts by id: a batch that comes again changes nothing. Of rows with one id the last by SEQ stays, if the stream is ordered."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        if SEQ in batch.columns:
+            batch = batch.withColumn(SEQ, F.struct(SEQ, F.monotonically_increasing_id().alias("row")))
+        store.add(batch, now(), SEQ if SEQ in batch.columns else "")
+
+    return each
+
+
+#: The table of a store that names the files which its corpus leafs come from, and the mark of those leafs.
+STATE, HOW = "corpus", "corpus"
+
+
+def reindex(store: Store, path: str, now: str, repo: str = "") -> dict[str, int]:
+    """Bring a store's leafs of the corpus below path up to date, in one version: leafs of changed and removed files go, those of changed and new files
+    come. Files are told apart by the SHA-256 of their content, kept in the store beside the leafs; nothing is written where no file changed. Returns how
+    many files were added, changed and removed.
+    """
+    spark = store.spark
+    found = corpus.files(spark, path, ".md", ".markdown", ".yaml", ".yml").select("path", F.sha2("content", 256).alias("hash"), F.lit(repo).alias("repo"))
+    before = store.table(STATE)
+    before = spark.createDataFrame([], found.schema) if before is None else before
+    both = found.alias("f").join(before.where(F.col("repo") == repo).alias("b"), "path", "full").select("path", F.col("f.hash").alias("hash"), F.col("b.hash").alias("old"))
+    changes = both.where(~F.col("hash").eqNullSafe(F.col("old"))).persist()
+    try:
+        n = changes.agg(*[F.count_if(c).alias(k) for k, c in {"added": F.isnull("old"), "changed": F.col("hash").isNotNull() & F.col("old").isNotNull(), "removed": F.isnull("hash")}.items()]).first().asDict()
+        if not any(n.values()):
+            return n
+        new = corpus.corpus(spark, path, repo).join(changes.where("hash is not null").select(F.col("path").alias("source")), "source", "left_semi")
+        new = new.select("text", "source", "type", F.lit(HOW).alias("how"), F.lit(repo).alias("loc"))
+        old = store.read().where((F.col("how") == HOW) & (F.col("loc") == repo))
+        gone = old.join(changes.where("old is not null").select(F.col("path").alias("source")), "source", "left_semi").select("id")
+        store.apply(new.where(F.trim("text") != ""), gone, now, tables={STATE: before.where(F.col("repo") != repo).unionByName(found)})
+        return n
+    finally:
+        changes.unpersist()
 
 
 def latest(df: DataFrame, key: str, *order) -> DataFrame:

@@ -163,6 +163,41 @@ def test_stream_into_store(spark, tmp_path):
     assert store.read().count() == 2
 
 
+def test_a_stream_of_files_keeps_the_last_row_of_an_id(spark, tmp_path):
+    from marlspike.operators.store import Store
+
+    src, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([("t", "s", f"row {i}") for i in range(50)], "text string, source string, loc string").coalesce(1)
+    df.write.json(str(src))
+    ingest.start(ingest.stream(spark, str(src), df.schema, "json", ordered=True), ingest.into_store(store, lambda: "2024-01-01T00:00:00Z"), str(tmp_path / "cp"), None).awaitTermination()
+    assert [r["loc"] for r in store.read().collect()] == ["row 49"]
+
+
+def test_reindex_follows_edits_and_deletes(spark, tmp_path):
+    from marlspike.operators.store import Store
+
+    now, docs = "2024-01-01T00:00:00Z", tmp_path / "docs"
+    for name, body in {"a.md": "# A\n\n## One\nfirst\n\n## Two\nsecond\n", "b.md": "# B\nbody\n", "sub/c.yaml": "key: value\n"}.items():
+        write(docs / name, body)
+    store = Store(spark, str(tmp_path / "store"))
+    store.add(spark.createDataFrame([("by hand", "hand")], "text string, source string"), now)
+    assert ingest.reindex(store, str(docs), now) == {"added": 3, "changed": 0, "removed": 0}
+    store.index()
+    at = store.current()
+    assert not any(ingest.reindex(store, str(docs), now).values()) and store.current() == at
+    write(docs / "a.md", "# A\n\n## One\nfirst\n\n## Three\nthird\n")
+    write(docs / "d.md", "# D\nnew\n")
+    (docs / "b.md").unlink()
+    assert ingest.reindex(store, str(docs), now) == {"added": 1, "changed": 1, "removed": 1} and store.current() == at + 1
+    again = Store(spark, str(tmp_path / "again"))
+    again.add(spark.createDataFrame([("by hand", "hand")], "text string, source string"), now)
+    ingest.reindex(again, str(docs), now)
+    rows = lambda s: sorted(map(str, s.read().collect()))
+    assert rows(store) == rows(again) and any("third" in x for x in rows(store)) and not any("second" in x or "body" in x for x in rows(store))
+    found = lambda s: {(r["id"], r["score"]) for r in s.words().search("first third body new", 9).collect()}
+    assert found(store) == found(again)
+
+
 def test_listing_source_reads_and_streams_pages(spark, tmp_path):
     from marlspike.sources.listing import Listing
 
