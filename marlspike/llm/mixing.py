@@ -56,7 +56,7 @@ def drawn(docs: DataFrame, seed: str, *more: str) -> DataFrame:
         source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source_key"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (-F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(quality(text), F.lit(1.0))).alias("key"),
+        (-F.log(uniform(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary")))), seed)) / F.coalesce(quality(text), F.lit(1.0))).alias("key"),
         F.xxhash64(text).alias("text_hash"),
         *more,
     )
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Each source is taken whole as often as its target allows; the rest comes from documents in the order of their exponential
     keys -ln(u) / quality, u from doc_id, cut where the prefix sum of sizes reaches it, within the last document if need be. Prefix sums
     are made in two levels, over key ranges of a source and inside a range, so no task holds a source. Null and empty texts have size 0;
-    a null source is a source of its own, last; a null doc_id draws like any other; documents that share a doc_id draw the same u and
+    a null source is a source of its own, last; a document without doc_id draws u from its text; documents that share a doc_id draw the same u and
     tie by size, then by their text's hash; other columns are ignored. The same rows give the same mix.
     """
     prepare(docs.sparkSession)
@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)
+    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(text), 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)
       / coalesce(1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (length(text) - length(translate(text, '{SYMBOLS}', ''))) / greatest(length(text), 1)), 1.0::DOUBLE) AS k
   FROM documents
 ), s AS (
