@@ -65,17 +65,18 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """A stored row for each document: uid, doc_id, host, the counts, base_failed, line hashes and their words, and further columns by name."""
-    taken = text_rows(docs, F.col("source").cast("string").alias("host"), *[c for c in more if c != "text"])
+    """A stored row for each row of docs: uid, doc_id, doc (what tells documents apart: doc_id, or the text's hash where it is null), host, the counts, base_failed, line hashes and their words, and further columns by name."""
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).cast("string")))
+    taken = text_rows(docs, F.col("source").cast("string").alias("host"), doc.alias("doc"), *[c for c in more if c != "text"])
     kept = [(c, taken.schema[c].dataType.simpleString()) for c in more]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             rows = [measures(x or "") for x in b["text"].to_pylist()]
             cols = dict(zip(COUNTS, map(list, zip(*(r[:5] for r in rows), strict=True)), strict=True))
-            yield {"doc_id": b["doc_id"], "host": b["host"], **cols, "lines": [r[5] for r in rows], "line_words": [r[6] for r in rows], **{c: b[c] for c, _ in kept}}
+            yield {"doc_id": b["doc_id"], "host": b["host"], "doc": b["doc"], **cols, "lines": [r[5] for r in rows], "line_words": [r[6] for r in rows], **{c: b[c] for c, _ in kept}}
 
-    schema = f"doc_id long, host string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<long>, line_words array<long>" + "".join(f", `{c}` {t}" for c, t in kept)
+    schema = f"doc_id long, host string, doc string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<long>, line_words array<long>" + "".join(f", `{c}` {t}" for c, t in kept)
     rows = map_batches(taken, run, schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return materialize(rows.withColumn("base_failed", failed).withColumn("uid", F.monotonically_increasing_id()), "quality")
@@ -90,9 +91,9 @@ SENT_LINES, SALTS = 200_000, 32
 def losses(rows: DataFrame, least_limit: int, limit_share: float) -> DataFrame:
     """uid, n_removed_words, removed (hashes of the lines) of those of measured() rows that hold a frequent line."""
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
-    each = rows.select("uid", host, F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("uid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    hosts = rows.groupBy(host).agg(F.count("*").alias("docs"))
-    often = each.groupBy("host", "line").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") >= min(FEWEST, least_limit + 1))
+    each = rows.select("uid", host, "doc", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("uid", "host", "doc", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    hosts = rows.select(host, "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    often = each.select("host", "line", "doc").distinct().groupBy("host", "line").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") >= min(FEWEST, least_limit + 1))
     many = (F.col("docs_with") > least_limit) | ((F.col("docs_with") >= FEWEST) & (F.col("docs_with") > F.col("docs") * limit_share))
     above = materialize(often.join(hosts, "host").where(many).select("host", "line"), "lines")
     if above.count() <= SENT_LINES:
@@ -110,8 +111,9 @@ def quality_rules(docs: DataFrame, least_limit: int = 50, limit_share: float = 0
     more than least_limit of them have it, whatever the host's size, or more than limit_share of them, if these are FEWEST at least; lines
     are compared after lower-casing, digits as 0 and white space as one blank, by a 64-bit hash (two lines of one host are taken for one another with odds of
     their number squared in 2^65). A document that loses more than most_removed of its words is depleted: kept is false,
-    as it is where base_failed. Null and empty texts have no words and fail the base rules; repeated rows count as documents each;
-    other columns are ignored. Hashes travel instead of lines and are counted before the shuffle.
+    as it is where base_failed. Null and empty texts have no words and fail the base rules. Rows of one doc_id are one document of their host, as are
+    equal texts without doc_id; equal texts of different doc_ids are documents each, so a host's many copies of one text lose its lines; other columns
+    are ignored. Hashes travel instead of lines and are counted before the shuffle.
     """
     prepare(docs.sparkSession)
     rows = measured(docs)
