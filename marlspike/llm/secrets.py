@@ -25,7 +25,6 @@ def either(word: str) -> str:
 KEYS = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
 ASSIGN = re.compile(rf"({KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
-HEX = re.compile(r"[0-9a-f]++")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}+")
 KINDS = ("assign", "access", "hex")
 
@@ -36,6 +35,9 @@ IDENTIFIER = re.compile(
 )
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh)://[^\s\"'<>]{3,}+")
+#: Inside an endpoint: the user before a password, and runs that may be keys; words of a path are told from them as long runs of letters and digits.
+USER = re.compile(r"://([^\s/:@?#]+):[^\s/@]+@")
+RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+")
 
 
 class Part(NamedTuple):
@@ -71,7 +73,7 @@ def opaque(value: str, least: float) -> bool:
 
 
 def weak_parts(text: str, base: list[Part], least_entropy: float) -> tuple[list[Part], list[Part], list[Part]]:
-    """Identifiers (strong access keys among them), opaque values and endpoints."""
+    """Identifiers (strong access keys and users of endpoints among them), opaque values and endpoints."""
     taken = [p.start for p in base]
     furthest = [*accumulate((p.end for p in base), max)]
 
@@ -84,6 +86,7 @@ def weak_parts(text: str, base: list[Part], least_entropy: float) -> tuple[list[
         ids += [Part("id", *m.span(1)) for m in IDENTIFIER.finditer(text) if free(*m.span(1))]
     values = [Part("value", *m.span()) for m in OPAQUE.finditer(text) if opaque(m[0], least_entropy) and free(*m.span())]
     places = [Part("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    ids += [Part("id", *m.span(1)) for p in places for m in USER.finditer(text, p.start, p.end) if free(*m.span(1))]
     return sorted(ids, key=lambda p: p.start), values, places
 
 
@@ -107,19 +110,27 @@ def near(part: Part, others: Ends, scope: int) -> bool:
 def linked_spans(text: str, base: list[Part], scope: int = 200, least_entropy: float = 3.5) -> list[Part]:
     """Weak parts that complement one another within a scope.
 
-    A value is reported with an identifier in scope, or with an endpoint in scope; an identifier with a reported or base secret in
-    scope. An endpoint is evidence only. A value alone, an identifier alone and an endpoint alone stay unreported.
+    A value is reported with an identifier in scope, or with an endpoint in scope or around it: of an endpoint's own text, long runs of letters and
+    digits are values. An identifier is reported with a reported or base secret in scope. Parts that overlap otherwise are one thing and don't
+    complement one another. An endpoint is evidence only. A value alone, an identifier alone and an endpoint alone stay unreported.
     """
     ids, values, places = weak_parts(text, base, least_entropy)
-    if not (ids or places) or not (values or base):
+    if not places and (not ids or not (values or base)):
         return []
     by_id, by_place = Ends.of(ids), Ends.of(places)
     out = [Part("linked_secret", v.start, v.end) for v in values if near(v, by_id, scope) or near(v, by_place, scope)]
+    out += inside(text, base, places, least_entropy)
     secrets = Ends.of([*out, *(p for p in base if p.kind != "access")])
     out += [Part("linked_id", p.start, p.end) for p in ids if p.kind == "id" and near(p, secrets, scope)]
     return sorted({*out})
 
 
+def inside(text: str, base: list[Part], places: list[Part], least_entropy: float) -> list[Part]:
+    """The opaque runs of endpoints that no base span has a part of."""
+    runs = [m.span() for p in places for m in RUN.finditer(text, p.start, p.end) if opaque(m[0], least_entropy)]
+    return [Part("linked_secret", a, b) for a, b in runs if not any(p.start < b and p.end > a for p in base)] if runs else []
+
+
 def all_spans(text: str, scope: int = 200, least_entropy: float = 3.5) -> tuple[list[Part], list[Part]]:
     """Base spans, and base with linked spans, by start, then kind (base kinds first, as listed)."""
     base = base_spans(text)

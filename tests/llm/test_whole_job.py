@@ -293,6 +293,7 @@ def test_links_equal_brute_force(scope):
     rng = random.Random(scope)
     drawn = lambda n: "".join(rng.choice("abcdefgXYZ0123456789") for _ in range(n))
     parts = [lambda: f"user: {drawn(5)}", lambda: f"client_id={drawn(30)}", lambda: "aB3" + drawn(25), lambda: f"https://h.example/{drawn(6)}", lambda: "AKIA" + "A1" * 9, lambda: f"token={drawn(8)}", lambda: "token=" + "_".join(["0a" * 12] * 10) + "aB3" + drawn(20), lambda: "word " * rng.randint(1, 30)]
+    parts += [lambda: f"postgres://admin:aB3{drawn(18)}@db.example.org/x", lambda: f"https://h.example.org/services/T0A1b2C3{drawn(12)}", lambda: f"https://api.example.org/v1?sig=aB3{drawn(17)}&x=1", lambda: f"https://h.example/{drawn(5)}/My-Page-{drawn(3)}-of-2024", lambda: f"https://h.example/?token={drawn(20)}"]
     seen = Counter()
     for _ in range(400):
         text = " ".join(rng.choice(parts)() for _ in range(rng.randint(1, 9)))
@@ -303,7 +304,13 @@ def test_links_equal_brute_force(scope):
         keys = [(p.start, p.end) for p in base if p.kind == "access"]
         values = [m.span() for m in S.OPAQUE.finditer(text) if S.opaque(m[0], 3.5) and free(*m.span())]
         places = [m.span() for m in re.finditer(S.ENDPOINT, text)]
-        secrets = [v for v in values if any(close(v, q) for q in [*ids, *keys, *places])]
+        runs = [(a, b) for p, q in places for a in range(p, q) for b in range(a + 16, q + 1) if text[a:b].isascii() and text[a:b].isalnum() and not text[a - 1].isalnum() and (b == q or not text[b].isalnum())]
+        runs = [(a, b) for a, b in runs if S.opaque(text[a:b], 3.5) and free(a, b)]
+        for p, q in places:
+            head, found, _ = text[p:q].split("/")[2].partition("@")
+            if found and ":" in head and free(p + text[p:q].index(head), p + text[p:q].index(head) + head.index(":")):
+                ids.append((p + text[p:q].index(head), p + text[p:q].index(head) + head.index(":")))
+        secrets = sorted({*(v for v in values if any(close(v, q) for q in [*ids, *keys, *places])), *runs})
         named = [p for p in ids if any(close(p, q) for q in [*secrets, *((b.start, b.end) for b in base if b.kind != "access")])]
         want = sorted([("linked_secret", *v) for v in secrets] + [("linked_id", *p) for p in named])
         assert sorted(S.linked_spans(text, base, scope)) == want
@@ -311,6 +318,34 @@ def test_links_equal_brute_force(scope):
     assert min(seen["linked_secret"], seen["linked_id"]) > 20 or scope == 0
 
 
+def test_values_inside_endpoints_are_linked():
+    kinds = lambda text: [p.kind for p in all_spans(text)[1]]
+    assert redact("see postgres://admin:Abc123DefGhi456JklMno@db.example.org/x now") == "see postgres://[SECRET]:[SECRET]@db.example.org/x now"
+    assert redact("https://hooks.example.org/services/T0A1b2C3d4E5f6G7h8J9k0") == "https://hooks.example.org/services/[SECRET]"
+    assert redact("https://api.example.org/v1?sig=Abc123DefGhi456JklMno789 end") == "https://api.example.org/v1?sig=[SECRET] end"
+    assert kinds("https://www.example.org/2024/My-Long-Page-About-Things-2024.html") == [] and kinds("mail jane:x@y.org or https://h.example/a/b") == []
+
+
+def test_lines_are_counted_by_documents_not_rows(spark):
+    """A document that stands three times is one; texts without doc_id are told apart by their text."""
+    own = lambda i: "\n".join(f"line {chr(97 + i)} {chr(97 + k)} " + " ".join(f"w{chr(97 + i)}{chr(97 + k)}{chr(97 + j)}" for j in range(9)) for k in range(8))
+    rows = [(1, own(1), "en", "h")] * 3 + [(None, own(2), "en", "h")] * 5 + [(k, own(k), "en", "h") for k in (3, 4)]
+    got = quality_rules(documents(spark, rows)).collect()
+    assert all(r["kept"] and r["n_removed_words"] == 0 for r in got) and len(got) == 10
+    copies = [(k, own(5), "en", "h") for k in range(10, 13)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(documents(spark, rows + copies)).collect()}
+    assert not any(got[k] for k in range(10, 13)) and got[1] and got[3]
+
+
+def test_documents_without_id_draw_by_their_text(spark):
+    rows = documents(spark, [(None, f"text number {i}", "en", "s") for i in range(400)] + [(i, f"text number {i}", "en", "s") for i in range(400)])
+    drawn = mixing.drawn(rows, "mix")
+    assert drawn.where("doc_id is null").select("key").distinct().count() == 400
+    assert drawn.groupBy("source_key", "range").count().agg({"count": "max"}).first()[0] < 20
+    got = mixing.mix(rows).collect()
+    assert abs(sum(r["taken"] for r in got) - 1.5 * 3 * 800) <= 3
+
+
 def test_stages_of_empty_and_unlabelled_tables(spark, none):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for name, stage in corpus_pipeline.STAGES:
