@@ -18,6 +18,23 @@ HEADLINE = (
 )
 
 
+def store_rates(spark, d: str, n: int) -> dict[str, float]:
+    """Leafs a second that a new store takes, and is indexed by; both once, cold."""
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from marlspike.operators.store import Store
+
+    with tempfile.TemporaryDirectory() as at:
+        store, now = Store(spark, f"{at}/store"), "2024-01-01T00:00:00Z"
+        began = time.time()
+        store.add(spark.read.parquet(f"{d}/documents.parquet").where(F.trim("text") != "").select("text", F.col("doc_id").cast("string").alias("source")), now)
+        added = time.time()
+        store.index()
+        return {"store_leafs_per_second": round(n / (added - began)), "index_leafs_per_second": round(n / (time.time() - added))}
+
+
 def main() -> None:
     d, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", str(os.cpu_count())), int(os.environ.get("BENCH_RUNS", "3"))
     from marlspike.plans.catalogue import QUERIES
@@ -35,6 +52,7 @@ def main() -> None:
         took[name] = round(statistics.median(times[1:]), 3)
     leafs = spark.read.parquet(f"{d}/documents.parquet").count()
     extra = {"leafs_per_second": round(leafs / took["leaf_identity"]), "batch_ms_per_query": round(1000 * took["hybrid_batch"] / spark.read.parquet(f"{d}/benchmark.parquet").count(), 1)}
+    extra |= store_rates(spark, d, leafs)
     spark.stop()
     print(json.dumps({"metric": "headline queries, sum of warm medians", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": Path(d).name.removeprefix("sf"), **extra}))
 
