@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.operators.chat import first_of
+from marlspike.session import checkpointed
 
-#: Code points of a needle's beginning by which it meets what may contain it.
+#: Code points of the runs by which a needle meets what may contain it.
 GRAM = 3
 
 
@@ -47,17 +48,49 @@ def words(label: Column) -> Column:
     return F.array_distinct(F.transform(long, F.lower))
 
 
+def pieces(value: Column) -> Column:
+    """The distinct runs of 1 to GRAM code points of a text."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(value) - k + 1)), lambda i: F.substr(value, i, F.lit(k)))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, GRAM + 1)]))
+
+
+def containments(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Rows of needles (needle, …) and hays (hay, …) where hay contains needle; either side has each text once, empty and null ones match nothing.
+
+    The grams of a needle are its runs of GRAM code points, or a shorter needle itself. Grams are counted over the hays, and a needle meets them on its
+    rarest gram alone, in an equi-join; one with a gram that no hay has is left out before. What meets is verified.
+    """
+    a = needles.where("needle <> ''")
+    met = hays.where("hay <> ''").withColumn("_gram", F.explode(pieces(F.col("hay"))))
+    long = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("needle") - GRAM + 1)), lambda i: F.substr(F.col("needle"), i, F.lit(GRAM)))
+    grams = a.select("needle", F.explode(F.array_distinct(long)).alias("_gram"))
+    known = met.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = grams.join(known, "_gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    keyed = a.join(rarest.where("_r.n > 0").select("needle", F.col("_r._gram").alias("_gram")), "needle")
+    return keyed.join(met, "_gram").where(F.contains("hay", "needle")).drop("_gram")
+
+
+def least_containing(needles: DataFrame, hays: DataFrame, by: str) -> DataFrame:
+    """needle (each once) and the least value of hays' column by (hay, by) among the texts that contain it."""
+    least = hays.groupBy("hay").agg(F.min(by).alias(by))
+    return containments(needles.select("needle").distinct(), least).groupBy("needle").agg(F.min(by).alias(by))
+
+
+def least_contained(needles: DataFrame, hays: DataFrame, by: str) -> DataFrame:
+    """hay (each once) and the least value of needles' column by (needle, by) among the texts that it contains."""
+    least = needles.groupBy("needle").agg(F.min(by).alias(by))
+    return containments(least, hays.select("hay").distinct()).groupBy("hay").agg(F.min(by).alias(by))
+
+
 def contains_any(left: DataFrame, right: DataFrame, needles: str, hay: str) -> DataFrame:
     """Pairs of left and right where the lower-cased hay of right contains one of left's needles (an array), each once.
 
-    A needle's first GRAM code points meet all such pieces of the hay (shorter ones for shorter needles) in an equi-join, and what meets is verified:
-    sides of any size, without comparing all pairs.
+    Texts that are equal are compared once, see containments; rows are joined to what was found.
     """
-    a = left.withColumn("_needle", F.explode(F.array_distinct(needles))).where("_needle <> ''").withColumn("_gram", F.substring("_needle", 1, GRAM))
-    low = F.lower(F.coalesce(hay, F.lit("")))
-    piece = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - k + 1)), lambda i: F.substr(low, i, F.lit(k)))
-    b = right.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[piece(k) for k in range(1, GRAM + 1)]))))
-    return a.join(b, "_gram").where(F.contains(F.lower(F.col(hay)), F.col("_needle"))).drop("_needle", "_gram").distinct()
+    a = left.withColumn("needle", F.explode(F.array_distinct(needles)))
+    b = right.withColumn("hay", F.lower(hay))
+    found = containments(a.select("needle").distinct(), b.select("hay").distinct())
+    return a.join(found, "needle").join(b, "hay").drop("needle", "hay").distinct()
 
 
 def label_matches(orgs: DataFrame, companies: DataFrame) -> DataFrame:
@@ -65,8 +98,13 @@ def label_matches(orgs: DataFrame, companies: DataFrame) -> DataFrame:
     label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("org"))
     first = F.lower(F.element_at(F.split(label, " "), 1))
     needles = F.filter(F.concat(F.array(first), F.transform(F.split(F.lower("label"), " / "), lambda w: F.trim(w))), lambda t: t != "")
-    pairs = contains_any(orgs.withColumn("needles", needles), companies, "needles", "company")
-    return pairs.groupBy("org").agg(F.min("company").alias("company"))
+    return first_company(orgs.select("org", F.explode(F.array_distinct(needles)).alias("needle")), companies)
+
+
+def first_company(asked: DataFrame, companies: DataFrame) -> DataFrame:
+    """asked (org, needle) as org with the first company (company) by name that contains one of its needles."""
+    found = least_containing(asked, companies.select(F.lower("company").alias("hay"), "company"), "company")
+    return asked.join(found, "needle").groupBy("org").agg(F.min("company").alias("company"))
 
 
 def word_pairs(left: DataFrame, right: DataFrame, label: str, name: str) -> DataFrame:
@@ -78,8 +116,7 @@ def word_pairs(left: DataFrame, right: DataFrame, label: str, name: str) -> Data
 
 def token_matches(orgs: DataFrame, companies: DataFrame) -> DataFrame:
     """orgs (org, label) with the first company (company) by name that contains one of the label's significant words."""
-    pairs = contains_any(orgs.withColumn("needles", words(F.col("label"))), companies, "needles", "company")
-    return pairs.groupBy("org").agg(F.min("company").alias("company"))
+    return first_company(orgs.select("org", F.explode(words(F.col("label"))).alias("needle")), companies)
 
 
 def project_matches(companies: DataFrame, projects: DataFrame) -> DataFrame:
@@ -96,18 +133,33 @@ def contact_lookup(chats: DataFrame, contacts: DataFrame) -> DataFrame:
     """chats (chat_id, name) with a contact_id of contacts (contact_id, name, email), by falling priority.
 
     Equal names, a contact that contains the name, a name that contains the contact's first word, a mail address that contains the name's
-    first word; then the smaller contact_id. Each way is an equi-join of its own.
+    first word; then the smaller contact_id (contacts without one are never taken). The ways are tried in stages: each one sees only the names that
+    no earlier one matched, once each, and a name or address stands for the least contact that has it, so pairs of equal ones aren't made.
     """
     word = lambda x: F.element_at(F.split(x, r"\s+"), 1)
     a = chats.select("chat_id", "name", F.lower(F.trim("name")).alias("_a")).where("_a <> ''")
-    b = contacts.select("contact_id", F.lower(F.trim("name")).alias("_b"), F.col("email").alias("_email")).where("_b <> ''")
+    b = contacts.select("contact_id", F.lower(F.trim("name")).alias("_b"), F.lower("email").alias("_email")).where("_b <> '' and contact_id is not null")
+    named, mailed = b.select(F.col("_b").alias("hay"), "contact_id"), b.select(F.col("_email").alias("hay"), "contact_id")
+    first_words = b.select(word(F.col("_b")).alias("needle"), "contact_id")
+
+    def by_mail(open_: DataFrame) -> DataFrame:
+        asked = open_.select("_a", word(F.col("_a")).alias("needle"))
+        return asked.join(least_containing(asked, mailed, "contact_id"), "needle").select("_a", "contact_id")
+
     ways = [
-        a.join(b, F.col("_a") == F.col("_b")),
-        contains_any(a.withColumn("_n", F.array("_a")), b, "_n", "_b"),
-        contains_any(b.withColumn("_n", F.array(word(F.col("_b")))), a, "_n", "_a"),
-        contains_any(a.withColumn("_n", F.array(word(F.col("_a")))), b, "_n", "_email"),
+        lambda open_: open_.join(b.groupBy(F.col("_b").alias("_a")).agg(F.min("contact_id").alias("contact_id")), "_a"),
+        lambda open_: least_containing(open_.withColumnRenamed("_a", "needle"), named, "contact_id").withColumnRenamed("needle", "_a"),
+        lambda open_: least_contained(first_words, open_.withColumnRenamed("_a", "hay"), "contact_id").withColumnRenamed("hay", "_a"),
+        by_mail,
     ]
-    pairs = reduce(DataFrame.unionByName, [w.select("chat_id", "name", "contact_id", F.lit(k).alias("priority")) for k, w in enumerate(ways)])
+    open_, found = a.select("_a").distinct(), []
+    for k, way in enumerate(ways):
+        matched = way(open_).select("_a", "contact_id", F.lit(k).alias("priority"))
+        if k + 1 < len(ways):
+            state = checkpointed(open_.join(matched, "_a", "left"))
+            matched, open_ = state.where("priority is not null"), state.where("priority is null").select("_a")
+        found.append(matched)
+    pairs = a.join(reduce(DataFrame.unionByName, found), "_a")
     return first_of(pairs, ["chat_id"], "priority", "contact_id").select("chat_id", "name", "contact_id", "priority")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed and kept in the shared folder, its lineage cut."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def hadoop(spark: SparkSession, path: str):
     """The Hadoop path of a string, and its file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -353,3 +353,56 @@ def test_mentions(spark):
     hosts = spark.createDataFrame([("web-1",), ("db.x",), ("a+b",), ("été",)], "host string")
     docs = spark.createDataFrame([("p", "see WEB-1, db_x and (A+B)"), ("o", "web-1"), ("q", "xweb-1 web-12 adb.x")], "path string, text string")
     assert sorted(map(tuple, J.mentions(hosts, docs).collect())) == [("a+b", "p"), ("web-1", "o")]
+
+
+def test_containments_equal_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda most: "".join(rng.choice("aab c𝕏") for _ in range(rng.randint(0, most)))
+    needles, hays = [text(5) for _ in range(150)] + ["", None, "zzz"], [text(12) for _ in range(200)] + ["", None, "a", "ab"]
+    a = spark.createDataFrame([(x,) for x in {*needles}], "needle string")
+    b = spark.createDataFrame([(x,) for x in {*hays}], "hay string")
+    got = sorted((r["needle"], r["hay"]) for r in J.containments(a, b).collect())
+    assert got == sorted((n, h) for n in {*needles} for h in {*hays} if n and h and n in h) and len(got) > 1000
+    assert J.containments(a.limit(0), b).isEmpty() and J.containments(a, b.limit(0)).isEmpty()
+
+
+def test_needles_meet_on_their_rarest_gram(spark):
+    """A needle whose other grams all texts share meets the one text that has its rare gram, not all of them."""
+    hays = spark.createDataFrame([(f"common{k}",) for k in range(500)] + [("commonq1",)], "hay string")
+    needles = spark.createDataFrame([("commonq",), ("commonzz",)], "needle string")
+    found = J.containments(needles, hays)
+    assert [tuple(r) for r in found.collect()] == [("commonq", "commonq1")]
+    joined = [x for x in str(found._jdf.queryExecution().executedPlan()).splitlines() if "Join" in x]
+    assert not any("Cartesian" in x or "NestedLoop" in x for x in joined)
+
+
+def test_contact_lookup_equals_brute_force(spark):
+    rng = random.Random(6)
+    names = ["Ann", "ann lee", "Ann Lee", "Bo", "Bo  Xu", "Cy", "", None, "Leeds", "xu", " ann "]
+    chats = [(str(k), rng.choice(names)) for k in range(60)] + [("0", "Zed")]
+    contacts = [(rng.choice([*range(30), None]), rng.choice(["Ann", "Ann Lee", "Lee", "Bob Xu", "", None]), rng.choice(["bo@x", "CY@x", "", None])) for _ in range(12)]
+
+    def best(name):
+        n = (name or "").strip(" ").lower()
+        found = []
+        for i, c, mail in contacts if n else []:
+            c, mail = (c or "").strip(" ").lower(), (mail or "").lower()
+            if c and i is not None:
+                ways = [n == c, n in c, c.split()[0] in n, n.split()[0] in mail]
+                found += [(k, i) for k, w in enumerate(ways) if w]
+        return min(found, default=None)
+
+    want = {}
+    for chat, name in chats:
+        if best(name) and (chat not in want or best(name) < want[chat]):
+            want[chat] = best(name)
+    df = J.contact_lookup(spark.createDataFrame(chats, "chat_id string, name string"), spark.createDataFrame(contacts, "contact_id int, name string, email string"))
+    assert {r["chat_id"]: (r["priority"], r["contact_id"]) for r in df.collect()} == want and {k for k, _ in want.values()} >= {0, 2}
+
+
+def test_contact_lookup_of_equal_first_names(spark):
+    """3,000 chats and 3,000 contacts with one first name: nine million pairs that aren't made."""
+    n = spark.range(3000)
+    chats, contacts = n.select(F.col("id").alias("chat_id"), F.concat(F.lit("Ann C"), "id").alias("name")), n.select(F.col("id").alias("contact_id"), F.concat(F.lit("Ann P"), "id").alias("name"), F.concat(F.lit("ann"), "id", F.lit("@x")).alias("email"))
+    df = J.contact_lookup(chats, contacts)
+    assert df.groupBy("contact_id", "priority").count().collect() == [(0, 2, 3000)]
