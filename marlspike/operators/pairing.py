@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.operators.chat import first_of
-from marlspike.session import checkpointed
+from marlspike.session import written
 
 #: Code points of the runs by which a needle meets what may contain it.
 GRAM = 3
@@ -156,7 +156,7 @@ def contact_lookup(chats: DataFrame, contacts: DataFrame) -> DataFrame:
     for k, way in enumerate(ways):
         matched = way(open_).select("_a", "contact_id", F.lit(k).alias("priority"))
         if k + 1 < len(ways):
-            state = checkpointed(open_.join(matched, "_a", "left"))
+            state = written(open_.join(matched, "_a", "left"), "lookup")
             matched, open_ = state.where("priority is not null"), state.where("priority is null").select("_a")
         found.append(matched)
     pairs = a.join(reduce(DataFrame.unionByName, found), "_a")

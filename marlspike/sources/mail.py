@@ -26,12 +26,31 @@ def is_separator(line: Column) -> Column:
 
 
 def split_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, message: a running count of separator lines numbers the messages of a file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    n = F.sum(is_separator(F.col("line")).cast("int")).over(Window.partitionBy("file").orderBy("pos"))
-    rows = whole.withColumn("n", n).where("n > 0").where(~is_separator(F.col("line")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.regexp_replace(x["line"], "^>(>*From )", "$1"))
-    return rows.groupBy("file", "n").agg(F.array_join(lines, "\n").alias("message"))
+    """file, n, message: a running count of separator lines numbers the messages of a file; what stands before the first one belongs to none.
+
+    Files are read by byte ranges, so a mailbox of any size is many tasks' work. Separators are counted in two levels: those of the ranges before, then
+    those of the range so far. A message may cross ranges. Lines end with LF or CRLF; the last message of a file ends as the file does (of a compressed
+    file, whose length is another, without a line end).
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+    lines = raw.select(F.rtrim("value", F.lit("\r")).alias("line"), F.octet_length("value").alias("bytes"), at.alias("at")).select("line", "bytes", "at.*")
+    ranges = lines.groupBy("file", "block", "size").agg(F.count_if(is_separator(F.col("line"))).alias("seps"), F.sum(F.col("bytes").cast("long") + 1).alias("read"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    # each line counts one byte for its end; a byte order mark of three isn't part of a line
+    placed = ranges.select(
+        "file", "block", F.coalesce(F.sum("seps").over(before), F.lit(0)).alias("base"),
+        ((F.max("block").over(whole) == F.col("block")) & (F.col("size") - F.sum("read").over(whole)).isin(0, 3)).alias("ends"),
+    )
+    # rows of a range are read in order by one task
+    own = F.sum(is_separator(F.col("line")).cast("long")).over(Window.partitionBy("file", "block").orderBy("seq"))
+    numbered = lines.select("file", "block", "line", F.monotonically_increasing_id().alias("seq")).withColumn("own", own)
+    rows = numbered.join(placed, ["file", "block"]).withColumn("n", (F.col("base") + F.col("own")).cast("long")).where("n > 0")
+    text_of = F.transform(F.array_sort(F.collect_list(F.when(~is_separator(F.col("line")), F.struct("block", "seq", "line")))), lambda x: F.regexp_replace(x["line"], "^>(>*From )", "$1"))
+    found = rows.groupBy("file", "n").agg(text_of.alias("lines"), F.max_by("ends", F.struct("block", "seq")).alias("ends"))
+    last = F.col("ends") & (F.col("n") == F.max("n").over(whole)) & (F.size("lines") > 0)
+    return found.select("file", "n", F.concat(F.array_join("lines", "\n"), F.when(last, "\n").otherwise("")).alias("message"))
 
 
 def parts_of(message: email.message.Message, depth: int = 0) -> Iterator[email.message.Message]:

@@ -1,4 +1,5 @@
 import json
+import re
 import subprocess
 
 from pyspark.sql import functions as F
@@ -69,6 +70,41 @@ def test_mbox(spark, tmp_path):
     assert got == ["Subject: 1\n\nFrom here on\nFrom me", "Subject: 2\n"]
 
 
+def test_mbox_is_read_by_byte_ranges(spark, tmp_path):
+    """Messages cut by ranges of some 200 bytes equal the ones of a plain scan: lone and doubled separators, CRLF, quoted lines, both ends of a file."""
+    bodies = ["", "x", ">From me\n>>From you", "line " * 30 + "\nFrom here on", "a\r\nb\n\n", "ü€𝕏 " * 20, "\n\n"] * 9
+    texts = {"a": "junk\nmore\n", "b": "", "c": "", "d": "\ufeffnote\n"}
+    for k in texts:
+        texts[k] += "".join(f"From a{i}@x Mon Jan 1 2024\nSubject: {k}{i}\n\n{x}\n" for i, x in enumerate(bodies))
+    texts["b"] = texts["b"].rstrip("\n") + "\nlast"
+    texts["e"], texts["f"] = "no separator\n", ""
+    for k, t in texts.items():
+        (tmp_path / f"{k}.mbox").write_bytes(t.encode())
+
+    def plain(t):
+        out = []
+        for line in t.split("\n"):
+            line = line.rstrip("\r")
+            if re.match(mail.SEPARATOR, line):
+                out.append([])
+            elif out:
+                out[-1].append(re.sub("^>(>*From )", r"\1", line))
+        return ["\n".join(x) for x in out]
+
+    want = {(k, i + 1): m for k, t in texts.items() for i, m in enumerate(plain(t))}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in ("200", "3000", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {(r["file"].rsplit("/", 1)[1][0], r["n"]): r["message"] for r in mail.split_mbox(spark, str(tmp_path)).collect()}
+            assert got == want
+            if size == "200":
+                assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_calendar(spark):
     ics = "BEGIN:VCALENDAR\r\nMETHOD:REPLY\r\nBEGIN:VEVENT\r\nSUMMARY:Talk\r\nDTSTART;TZID=W. Europe:20240102T103000\r\nDTEND;VALUE=DATE:20240103\r\nATTENDEE;PARTSTAT=ACCEPTED:mailto:a@x\r\nEND:VEVENT\r\nEND:VCALENDAR"
     got = spark.range(1).select(mail.calendar_markdown(F.lit(ics)).alias("a"), mail.calendar_markdown(F.lit("plain\n\n\n\ntext")).alias("b")).first()
