@@ -2,10 +2,11 @@ import json
 import re
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlspike.plans.engine import Engine, dispatch, openapi, tools
-from marlspike.sources import contacts, corpus, git, mail, runtime, social, web
+from marlspike.sources import contacts, corpus, git, mail, outbox, runtime, social, web
 from marlspike.streaming import ingest
 
 
@@ -346,3 +347,69 @@ def test_routes_and_hops(spark, tmp_path):
     finally:
         s.shutdown()
         s.server_close()
+
+
+def test_named_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/1.md", "one"), ("a/2.md", "zwei ü"), ("a/1.md", "other"), ("b c/+3.md", ""), (None, "x"), ("../up.md", "x"), ("/abs.md", "x"), ("a//4.md", "x"), ("a/5.md", None)], "name string, content string")
+    at = tmp_path / "out"
+    assert outbox.save_files(rows, str(at), dry=True) == {"ok": 3, "skip": 0, "fail": 5} and not (at / "a").exists()
+    assert outbox.save_files(rows, str(at)) == {"ok": 3, "skip": 0, "fail": 5}
+    files = lambda: {str(p.relative_to(at)): p.read_text() for p in at.rglob("*") if p.is_file() and "_reports" not in p.parts}
+    assert files() == {"a/1.md": "one", "a/2.md": "zwei ü", "b c/+3.md": ""} and not (tmp_path / "up.md").exists()
+    more = spark.createDataFrame([("a/1.md", bytearray(b"new")), ("a/6.md", bytearray(b"\x00\xff"))], "name string, content binary")
+    assert outbox.save_files(more, str(at)) == {"ok": 1, "skip": 1, "fail": 0} and (at / "a/6.md").read_bytes() == b"\x00\xff"
+    assert outbox.save_files(more.limit(1), str(at), force=True)["ok"] == 1 and (at / "a/1.md").read_text() == "new"
+    assert outbox.save_files(more.limit(0), str(at)) == {"ok": 0, "skip": 0, "fail": 0}
+
+
+def test_a_task_that_fails_leaves_whole_files(spark, tmp_path):
+    """The run stops within a task: what is there is whole, no run is reported, and the next one goes on from it."""
+    at = str(tmp_path)
+    good = [(f"{k}.md", f"text {k}") for k in range(5)]
+    df = spark.createDataFrame(good, "name string, content string").coalesce(1)
+    broken = df.unionByName(spark.range(1).select(F.lit("z.md").alias("name"), F.raise_error(F.lit("lost")).cast("string").alias("content"))).coalesce(1)
+    spark.dataSource.register(outbox.NamedFiles)
+    with pytest.raises(Exception):  # noqa: B017
+        broken.write.format("named-files").option("run", "r1").mode("append").save(f"file://{at}")
+    assert all(p.read_text() == f"text {p.stem}" for p in tmp_path.glob("*.md")) and not (tmp_path / "_reports").exists()
+    left = len([*tmp_path.glob("*.md")])
+    assert outbox.save_files(df, at) == {"ok": 5 - left, "skip": left, "fail": 0}
+
+
+def test_stored_messages_become_markdown(spark, tmp_path):
+    def message(where, **fields):
+        write(tmp_path / where / "message.json", json.dumps(fields))
+
+    message("in box/m+1", id="<1>", folder="in", source="imap", subject='a "b"', to="b@x", date="2024-01-02T23:30:00-02:00", receivedAt="2024-01-01T00:00:00Z", textBody=" hi \n", **{"from": "a@x"},
+            attachments=[{"fileName": "t.txt", "storedName": "01-t.txt", "contentType": "text/plain"}, {"fileName": "none.txt"}, {"fileName": "c.ics", "contentType": "text/calendar"}, {"contentType": "x/y"}])
+    write(tmp_path / "in box/m+1/attachments/01-t.txt", "attached")
+    write(tmp_path / "in box/m+1/attachments/c.ics", "BEGIN:VCALENDAR\nEND:VCALENDAR")
+    message("m2", id="2", htmlBody="<p>x &amp; y</p>", date="0001-01-01T00:00:00Z", receivedAt="2024-03-01T00:00:00Z")
+    message("m3", id="3")
+    write(tmp_path / "m3/message.md", "kept")
+    write(tmp_path / "bad/message.json", '{"id": ')
+    write(tmp_path / "list/message.json", "[1]")
+    assert outbox.convert_messages(spark, str(tmp_path), dry=True) == {"ok": 2, "skip": 1, "fail": 2} and not (tmp_path / "m2/message.md").exists()
+    assert outbox.convert_messages(spark, str(tmp_path)) == {"ok": 2, "skip": 1, "fail": 2}
+    first = (tmp_path / "in box/m+1/message.md").read_text()
+    assert first == '---\nid: "<1>"\nfolder: "in"\nsource: "imap"\nsubject: "a \\"b\\""\nfrom: "a@x"\nto: "b@x"\ndate: "2024-01-03"\ntype: mail\n---\n\n# a "b"\n\nhi\n'
+    second = (tmp_path / "m2/message.md").read_text()
+    assert "date: \"2024-03-01\"" in second and second.endswith("# (no subject)\n\nx & y\n")
+    assert (tmp_path / "in box/m+1/attachments/t.txt.md").read_text() == "attached" and not (tmp_path / "in box/m+1/attachments/c.ics.md").exists()
+    assert (tmp_path / "m3/message.md").read_text() == "kept"
+    assert outbox.convert_messages(spark, str(tmp_path)) == {"ok": 0, "skip": 3, "fail": 2}
+    assert outbox.convert_messages(spark, str(tmp_path), force=True) == {"ok": 3, "skip": 0, "fail": 2} and (tmp_path / "m3/message.md").read_text().startswith("---")
+
+
+def test_attachment_text(spark):
+    ics = b"BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART;TZID=X:20240102T1000\r\nSUMMARY:Long \r\n talk\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nLOCATION:Here\r\nEND:VEVENT\r\nEND:VCALENDAR"
+    html_mail = b"Content-Type: text/html\n\n<b>bold</b><br>x"
+    rows = [
+        ("a.txt", "text/plain", "gr\u00fc\u00df".encode("latin-1"), "gr\u00fc\u00df"), ("a.html", "text/html", b"<p>x</p><script>y</script>", "x"), ("a.json", "application/json", b"{}", "```\n{}\n```"),
+        ("a.ics", "text/calendar", ics, "- when: 20240102T1000\n- what: Long talk\n- where: Here"), ("m.eml", "application/octet-stream", EML, "hello"), ("h.eml", "application/octet-stream", html_mail, "bold\nx"),
+        ("e.eml", "application/octet-stream", b"", ""), ("p.png", "image/png", b"123", "\n<!-- image skipped -->\n"), ("d.doc", "application/msword", b"1234", "<!-- attachment: d.doc (4 bytes) -->"),
+        ("x.pdf", "application/pdf", b"1", "<!-- attachment: x.pdf (1 bytes) -->"), ("n.txt", "text/plain", None, "<!-- attachment: n.txt (unknown size) -->"), (None, None, b"", "<!-- attachment:  (0 bytes) -->"),
+    ]
+    df = spark.createDataFrame([(k, *r[:2], None if r[2] is None else bytearray(r[2])) for k, r in enumerate(rows)], "k int, name string, media string, content binary")
+    got = df.select("k", outbox.attachment_markdown(F.col("name"), F.col("media"), F.col("content")).alias("t")).orderBy("k").collect()
+    assert [r["t"] for r in got] == [r[3] for r in rows]
