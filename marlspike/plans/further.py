@@ -5,6 +5,8 @@ Inputs that no table holds (contacts, pages, configuration files) are made from
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marlspike.functions import predicates as P
@@ -14,10 +16,12 @@ from marlspike.operators import evidence as E
 from marlspike.operators import pairing as J
 from marlspike.operators import reports as T
 from marlspike.plans.catalogue import query, table
+from marlspike.session import shared_dir
 from marlspike.sources import contacts as N
 from marlspike.sources import corpus as K
 from marlspike.sources import git as G
 from marlspike.sources import mail as M
+from marlspike.sources import outbox as B
 from marlspike.sources import runtime as U
 from marlspike.sources import social as L
 from marlspike.sources import web as W
@@ -339,6 +343,72 @@ def mail_markdown(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", body.alias("markdown"))
 
 
+LETTERS = "trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g'))"
+
+
+@query(f"SELECT 'Subject: ' || conv_id || '.' || turn AS subject, sha256({LETTERS} || chr(10) || 'From here on' || chr(10) || 'end') AS body FROM conversations")
+def mbox_messages(spark, d):
+    """Mailboxes written from the conversations, split again: a quoted line, and one that only looks like a separator at first."""
+    head = F.concat(F.lit("From a@x Mon Jan 1 10:00:00 2024\r\nSubject: "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit("\r\n\r\n"))
+    body = F.concat(F.trim(F.regexp_replace(X.text(F.col("text")), "[^a-z]+", " ")), F.lit("\n>From here on\nend"))
+    place = f"{shared_dir(spark)}/mbox-{uuid.uuid4().hex}"
+    table(spark, d, "conversations").select(F.concat(head, body).alias("value")).write.text(place)
+    got = F.rtrim(F.col("message"), F.lit("\n"))
+    return M.split_mbox(spark, place).select(F.substring_index(got, "\n", 1).alias("subject"), F.sha2(F.regexp_replace(got, r"^[^\n]*\n\n", ""), 256).alias("body"))
+
+
+@query(
+    """SELECT 'n' || s_nationkey || '/s' || s_suppkey || '.md' AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'old ' ELSE 'new ' END || s_name AS content,
+      (SELECT count(*) FROM supplier WHERE s_suppkey % 2 <> 0) AS ok, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS skip, 1::BIGINT AS fail FROM supplier"""
+)
+def named_files(spark, d):
+    """Files of half of the suppliers, then of all and of an unusable name: those that are there stay."""
+    place = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".md"))
+    rows = lambda word: table(spark, d, "supplier").select(name.alias("name"), F.concat(F.lit(word), "s_name").alias("content"), "s_suppkey")
+    B.save_files(rows("old ").where("s_suppkey % 2 = 0"), place)
+    counts = B.save_files(rows("new ").select("name", "content").union(spark.range(1).select(F.lit("../up"), F.lit("x"))), place)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(place, wholetext=True)
+    return files.select(F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("name"), F.col("value").alias("content"), *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+
+
+@query(
+    """SELECT 's' || s_suppkey AS dir, '---' || chr(10) || 'id: "' || s_suppkey || '"' || chr(10) || 'folder: "in"' || chr(10) || 'source: "imap"' || chr(10) || 'subject: "' || s_name || '"' || chr(10) || 'from: ""' || chr(10)
+      || 'to: ""' || chr(10) || 'date: "2024-01-03"' || chr(10) || 'type: mail' || chr(10) || '---' || chr(10) || chr(10) || '# ' || s_name || chr(10) || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN 'plain' ELSE 'a & b' END || chr(10) AS markdown,
+      'nation ' || s_nationkey AS attached, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 0) AS ok, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS fail FROM supplier WHERE s_suppkey % 7 <> 0"""
+)
+def stored_messages(spark, d):
+    """message.json of every supplier with an attachment, some of them broken, turned into message.md and the attachment's text."""
+    place, key = f"{shared_dir(spark)}/mail-{uuid.uuid4().hex}", F.col("s_suppkey").cast("string")
+    fields = F.to_json(F.struct(
+        key.alias("id"), F.lit("in").alias("folder"), F.lit("imap").alias("source"), F.col("s_name").alias("subject"), F.lit("2024-01-02T23:30:00-02:00").alias("date"),
+        F.when(F.col("s_suppkey") % 2 == 0, " plain ").alias("textBody"), F.lit("<p>a &amp; b</p>").alias("htmlBody"),
+        F.array(F.struct(F.lit("a.txt").alias("fileName"), F.lit("01.txt").alias("storedName"), F.lit("text/plain").alias("contentType"))).alias("attachments"),
+    ))
+    s, dir_ = table(spark, d, "supplier"), F.concat(F.lit("s"), key)
+    parts = F.array(F.struct(F.concat(dir_, F.lit("/message.json")).alias("name"), F.when(F.col("s_suppkey") % 7 == 0, "{").otherwise(fields).alias("content")), F.struct(F.concat(dir_, F.lit("/attachments/01.txt")), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))))
+    B.save_files(s.select(F.inline(parts)), place)
+    counts = B.convert_messages(spark, place)
+    at = lambda names, value: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(place, wholetext=True).select(F.regexp_extract("_metadata.file_path", "/(s[0-9]+)/(?:attachments/)?[^/]+$", 1).alias("dir"), F.col("value").alias(value))
+    return at("message.md", "markdown").join(at("a.txt.md", "attached"), "dir").select("*", F.lit(counts["ok"]).cast("long").alias("ok"), F.lit(counts["fail"]).cast("long").alias("fail"))
+
+
+@query(
+    f"""SELECT doc_id, sha256(CASE WHEN text IS NULL THEN '<!-- attachment: f' || doc_id || (CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.json' WHEN 2 THEN '.bin' ELSE '.eml' END) || ' (unknown size) -->'
+      WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '```' || chr(10) || text || chr(10) || '```'
+      WHEN doc_id % 4 = 2 THEN '<!-- attachment: f' || doc_id || '.bin (' || strlen(text) || ' bytes) -->' ELSE {LETTERS} END) AS shown FROM documents"""
+)
+def attachment_texts(spark, d):
+    """Every document as an attachment: plain text, a structured one, one that is only described, a message."""
+    k = F.col("doc_id") % 4
+    pick = lambda *of: F.when(k == 0, of[0]).when(k == 1, of[1]).when(k == 2, of[2]).otherwise(of[3])
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), pick(".txt", ".json", ".bin", ".eml"))
+    media = pick("text/plain", "application/json", "application/octet-stream", "application/octet-stream")
+    mail = F.concat(F.lit("Subject: x\r\nContent-Type: text/plain\r\n\r\n"), F.trim(F.regexp_replace("text", "[^a-z]+", " ")))
+    content = F.encode(F.when(k == 3, mail).otherwise(F.col("text")), "UTF-8")
+    return table(spark, d, "documents").select("doc_id", F.sha2(B.attachment_markdown(name, media, content), 256).alias("shown"))
+
+
 @query("SELECT '<' || conv_id || '.' || turn || '>' AS id, role AS subject, '2024-01-02' AS day, sha256(trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g'))) AS body, 'a.bin' AS attachment FROM conversations")
 def mime_messages(spark, d):
     """Raw messages of two parts, with an offset that moves the day."""
