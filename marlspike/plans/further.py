@@ -386,7 +386,7 @@ def stored_messages(spark, d):
         F.array(F.struct(F.lit("a.txt").alias("fileName"), F.lit("01.txt").alias("storedName"), F.lit("text/plain").alias("contentType"))).alias("attachments"),
     ))
     s, dir_ = table(spark, d, "supplier"), F.concat(F.lit("s"), key)
-    parts = F.array(F.struct(F.concat(dir_, F.lit("/message.json")).alias("name"), F.when(F.col("s_suppkey") % 7 == 0, "{").otherwise(fields).alias("content")), F.struct(F.concat(dir_, F.lit("/attachments/01.txt")), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))))
+    parts = F.array(F.struct(F.concat(dir_, F.lit("/message.json")).alias("name"), F.when(F.col("s_suppkey") % 7 == 0, "{").otherwise(fields).alias("content")), F.struct(F.concat(dir_, F.lit("/attachments/01.txt")).alias("name"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("content")))
     B.save_files(s.select(F.inline(parts)), place)
     counts = B.convert_messages(spark, place)
     at = lambda names, value: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(place, wholetext=True).select(F.regexp_extract("_metadata.file_path", "/(s[0-9]+)/(?:attachments/)?[^/]+$", 1).alias("dir"), F.col("value").alias(value))
