@@ -17,13 +17,19 @@ DEAL = r"(?iu)(?:deal|opportunity)\s*[:/]\s*([^\n]+)"
 SKILL = r"(?iu)(?:works?|worked|working)\s+(?:at|on|with)\s+[A-Z][A-Za-z0-9_\s]+"
 
 
-def every(body: Column, pattern: str, kind: str) -> Column:
-    return F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("fact_type"), v.alias("value")))
+FACTS = "array<struct<fact_type:string,value:string>>"
+
+
+def every(body: Column, pattern: str, kind: str, mark: str = "") -> Column:
+    """All matches of pattern; a text without mark, which every match holds, isn't searched."""
+    found = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("fact_type"), v.alias("value")))
+    return F.when(F.contains(body, F.lit(mark)), found).otherwise(F.array().cast(FACTS)) if mark else found
 
 
 def one(body: Column, pattern: str, group: int, kind: str) -> Column:
-    value = F.trim(F.regexp_extract(body, pattern, group))
-    return F.when(body.rlike(pattern), F.array(F.struct(F.lit(kind).alias("fact_type"), value.alias("value")))).otherwise(F.array().cast("array<struct<fact_type:string,value:string>>"))
+    """The first match of pattern, none if there is none: a group of these patterns isn't empty, so one search tells both."""
+    found = F.filter(F.array(F.regexp_extract(body, pattern, group)), lambda v: v != "")
+    return F.transform(found, lambda v: F.struct(F.lit(kind).alias("fact_type"), F.trim(v).alias("value")))
 
 
 def facts_in(body: Column) -> Column:
@@ -31,8 +37,8 @@ def facts_in(body: Column) -> Column:
     change = lambda a, f: F.transform(a, lambda x: F.struct(x["fact_type"].alias("fact_type"), f(x["value"]).alias("value")))
     phones = change(every(body, PHONE, "phone"), lambda v: F.regexp_replace(F.trim(v), r"^[()\-\t ]+|[()\-\t ]+$", ""))
     phones = F.filter(phones, lambda x: valid_phone(x["value"]))
-    emails = change(every(body, EMAIL, "email"), F.lower)
-    profiles = change(every(body, PROFILE, "linkedin"), lambda v: F.concat(F.lit("https://"), v))
+    emails = change(every(body, EMAIL, "email", "@"), F.lower)
+    profiles = change(every(body, PROFILE, "linkedin", "linkedin.com/in/"), lambda v: F.concat(F.lit("https://"), v))
     return F.concat(phones, emails, profiles, one(body, PROJECT, 1, "project"), one(body, DEAL, 1, "deal"), one(body, SKILL, 0, "skill"))
 
 
