@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from marlspike.llm import ann, mixing
+from marlspike.llm import components as C
 from marlspike.llm.components import components
 from marlspike.llm.jaccard_join import jaccard_join, keep_one
 
@@ -90,9 +91,11 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(k for k, c in comp.items() if k == c) and len([r for r in kept if r["doc_id"] is None]) == len(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [3, 500])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(C, "HEAVY_ROWS", heavy)
     rng = random.Random(5)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(70)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000 + i % 3, 2100 + i) for i in range(90)] + [(2003, 2102), (2100, 2101)]
     up = {x: x for e in edges for x in e}
 
     def root(i):
