@@ -22,6 +22,7 @@ from marlspike.session import hadoop, shared_dir
 from marlspike.sources import corpus as K
 from marlspike.sources import mail as M
 from marlspike.sources import web as W
+from marlspike.streaming import folders as D
 from marlspike.streaming import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -998,6 +999,24 @@ def stream_upsert_latest(spark, d):
     return I.latest(out, "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
 
 
+@query(
+    """WITH e AS (SELECT 'u' || user_id % 10 AS folder, event_id, event_id // 200 AS p FROM events), k AS (SELECT *, dense_rank() OVER (PARTITION BY folder ORDER BY p) AS page FROM e)
+    SELECT folder, page, row_number() OVER (PARTITION BY folder ORDER BY event_id) AS seq, event_id::VARCHAR AS id, CASE WHEN page = 1 THEN '' ELSE p::VARCHAR END AS link FROM k WHERE event_id % 7 <> 0"""
+)
+def folder_listing(spark, d):
+    """events as pages of ten folders, written twice and in no order, listed as a stream with a place for each folder."""
+    out = f"{shared_dir(spark)}/marlspike-folders-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("folder"), F.expr("event_id div 200").alias("p"), "event_id")
+    value = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: F.struct(x.cast("string").alias("id"), (x % 7 == 0).alias("removed")))
+    order = Window.partitionBy("folder").orderBy("p")
+    link = lambda p: F.coalesce(p.cast("string"), F.lit(""))
+    pages = e.groupBy("folder", "p").agg(value.alias("value")).select(
+        "folder", F.when(F.row_number().over(order) == 1, "").otherwise(link(F.col("p"))).alias("link"), link(F.lead("p").over(order)).alias("next"), F.when(F.lead("p").over(order).isNull(), "end").alias("delta"), "value"
+    )
+    pages.union(pages).repartition(6, F.rand(1)).write.json(f"{out}/pages")
+    return I.drain(spark, D.listed(D.pages(spark, f"{out}/pages", 3)), "append").where("id is not null")
+
+
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE GROUP BY user_id")
 def session_counts(spark, d):
     return I.sessions(table(spark, d, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"))
