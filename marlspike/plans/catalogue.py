@@ -1014,7 +1014,8 @@ def folder_listing(spark, d):
         "folder", F.when(F.row_number().over(order) == 1, "").otherwise(link(F.col("p"))).alias("link"), link(F.lead("p").over(order)).alias("next"), F.when(F.lead("p").over(order).isNull(), "end").alias("delta"), "value"
     )
     pages.union(pages).repartition(6, F.rand(1)).write.json(f"{out}/pages")
-    return I.drain(spark, D.listed(D.pages(spark, f"{out}/pages", 3)), "append").where("id is not null")
+    with D.states(spark, 10):
+        return I.drain(spark, D.listed(D.pages(spark, f"{out}/pages", 3)), "append").where("id is not null")
 
 
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE GROUP BY user_id")

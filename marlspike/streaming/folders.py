@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,21 @@ class Walk(StatefulProcessor):
             yield pd.DataFrame(out, columns=["folder", "page", "seq", "id", "link"])
 
 
+@contextmanager
+def states(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Settings with which a query of listed() is started, undone at the end; partitions: of the folders' states, no more than there are folders."""
+    given = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    given |= {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}
+    before = {k: spark.conf.get(k, None) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def pages(spark: SparkSession, path: str, files: int = FILES) -> DataFrame:
     """Page files (PAGES as JSON) below path as they come, so many in a batch."""
     return spark.readStream.schema(PAGES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).json(path)
@@ -84,9 +100,8 @@ def listed(found: DataFrame, limit: int = 0, remembered: int = REMEMBERED) -> Da
     Pages may come in any order and more than once. A page that isn't taken whole keeps its folder's place, so that a limit loses no id: the rest comes in
     later batches, by timers. Spark runs batches for timers without end, so a query with a limit is stopped by its owner; without one, availableNow ends. A null
     folder is the folder ""; pages without a link are a folder's first; messages without an id, and null values, are passed over; a page without messages moves
-    the place. Other columns are ignored. Folders' states lie in RocksDB, so that waiting pages aren't held in memory.
+    the place. Other columns are ignored. Folders' states need RocksDB, so that waiting pages aren't held in memory: start the query inside states().
     """
-    found.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     live = F.filter("value", lambda m: ~F.coalesce(m["removed"], F.lit(False)) & (F.coalesce(m["id"], F.lit("")) != ""))
     ids = F.coalesce(F.transform(live, lambda m: m["id"]), F.array().cast("array<string>"))
     whole = found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("folder", "link", "next", "delta")], ids.alias("ids"))

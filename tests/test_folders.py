@@ -14,10 +14,11 @@ def run(spark, tmp_path, limit=0, files=64, until=None):
     """Rows listed so far by a query that goes on from its checkpoint."""
     out = str(tmp_path / "out")
     q = L.listed(L.pages(spark, str(tmp_path / "pages"), files), limit).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+    with L.states(spark, 2):
+        q = (q.trigger(availableNow=True) if until is None else q).start(out)
     if until is None:
-        q.trigger(availableNow=True).start(out).awaitTermination()
+        q.awaitTermination()
     else:
-        q = q.start(out)
         for _ in range(60):
             there = spark.read.schema(L.LISTED).parquet(out).collect() if (tmp_path / "out/_spark_metadata/0").exists() else []
             if there and until(sorted(there, key=lambda r: (r["folder"], r["page"], r["id"] is None, r["seq"]))):
