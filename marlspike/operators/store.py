@@ -7,11 +7,11 @@ import time
 import uuid
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import file_id, leaf_id, normal_day, or_else, text, text_hash
+from marlspike.lease import Lost, create
 from marlspike.operators.retrieval import sums_of, tokens
 from marlspike.operators.segments import SHARE, SegmentWords, near_vectors, small, write_blocks, write_lists
 from marlspike.schema import EDGES, LEAFS
@@ -158,14 +158,16 @@ class Snapshot:
 class Store:
     """A log of segments of leafs: a folder with versions/<number>.json and the folders of leafs, postings, vectors, tombstones and tables that they name.
 
+    fence: the number of the writer's lease, if it holds one (lease.Lease); once a later holder has written, it is refused (Lost).
+
     The version of the highest number is the current one. It is written aside and renamed to its name, which fails if the name is taken: a reader
     finds the old version or the new one, whole, and of two writers one starts again from the other's. A batch writes a segment of its own rows and the
     tombstones of those that it replaces, and nothing else; compact() merges segments. A segment's files are ranges of ids, so their number follows its
     rows. Folders that no version names go with clean().
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, fence: int | None = None):
+        self.spark, self.path, self.fence = spark, path.rstrip("/"), fence
 
     def version(self) -> tuple[int, dict]:
         """The current version's number and what it names; 0 and nothing for a new store."""
@@ -192,29 +194,20 @@ class Store:
         return self.snapshot().table(name)
 
     def _commit(self, number: int, names: dict) -> int:
-        own, fs = hadoop(self.spark, f"{self.path}/versions/.{uuid.uuid4().hex}")
-        out = fs.create(own, True)
-        out.write(bytearray(json.dumps(names, sort_keys=True).encode()))
-        out.close()
-        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        to = hadoop(self.spark, f"{self.path}/versions/{number:012d}.json")[0]
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(own).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            files.rename(fs.makeQualified(own), fs.makeQualified(to), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Py4JJavaError as e:
-            fs.delete(own, False)
-            if fs.exists(to):
-                raise Conflict(f"version {number} was made by another writer") from e
-            raise
+        if not create(self.spark, f"{self.path}/versions/{number:012d}.json", names):
+            raise Conflict(f"version {number} was made by another writer")
         return number
 
     def _change(self, change, attempts: int = 5) -> int:
         """Make the next version of what change makes of the current one, again if another writer came first."""
         for n in range(attempts):
             number, names = self.version()
+            if self.fence is not None and names.get("fence", 0) > self.fence:
+                raise Lost(f"a later holder of the lease has written version {number}")
             after = change(json.loads(json.dumps(names)))
             if after == names:
                 return number
+            after |= {} if self.fence is None else {"fence": self.fence}
             try:
                 return self._commit(number + 1, after)
             except Conflict:

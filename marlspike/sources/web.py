@@ -6,7 +6,8 @@ import hashlib
 import json
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,31 +48,53 @@ def key_of(query: str, parameters: dict) -> str:
     return hashlib.sha256(" ".join(query.lower().split()).encode() + b"\0" + json.dumps(parameters, sort_keys=True).encode()).hexdigest()
 
 
+class OwnTurns:
+    """Calls of one process, interval seconds apart."""
+
+    def __init__(self):
+        self.last = float("-inf")
+
+    @contextmanager
+    def __call__(self, interval: float, clock: Callable[[], float], sleep: Callable[[float], None]) -> Iterator[float]:
+        if (wait := interval - (clock() - self.last)) > 0:
+            sleep(wait)
+        self.last = clock()
+        yield self.last
+
+
 class Lookup:
-    """refused, then cached, then fetched, throttled or skipped: privacy comes before the cache, the cache before the network."""
+    """refused, then cached, then fetched, throttled or skipped: privacy comes before the cache, the cache before the network.
+
+    cache and turns are those of this process, unless shared ones are given (lease.Answers, lease.Turns). A call that gets no turn is skipped, one that
+    fails is throttled; neither is kept.
+    """
 
-    def __init__(self, fetch: Callable[[str], dict], private: Callable[[str], str], clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, fetch: Callable[[str], dict], private: Callable[[str], str], clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep, cache=None, turns=None):
         self.fetch, self.private, self.clock, self.sleep = fetch, private, clock, sleep
-        self.cache: dict[str, tuple[float, dict]] = {}
-        self.last = float("-inf")
+        self.cache = {} if cache is None else cache
+        self.turns = OwnTurns() if turns is None else turns
 
     def __call__(self, query: str, parameters: dict | None = None, allowed: bool = True) -> dict:
         if why := self.private(query):
             return {"status": "refused", "note": why, "cached": False, "results": []}
         key, now = key_of(query, parameters or {}), self.clock()
-        if key in self.cache and now - self.cache[key][0] <= TTL:
-            return self.cache[key][1] | {"cached": True}
+        if (kept := self.cache.get(key)) and now - kept[0] <= TTL:
+            return kept[1] | {"cached": True}
         if not allowed:
             return {"status": "skipped", "note": "web search is off", "cached": False, "results": []}
-        if (wait := INTERVAL - (now - self.last)) > 0:
-            self.sleep(wait)
-        self.last = self.clock()
-        payload = self.fetch(query)
+        try:
+            with self.turns(INTERVAL, self.clock, self.sleep) as at:
+                try:
+                    payload = self.fetch(query)
+                except OSError as e:
+                    return {"status": "throttled", "note": f"request failed: {e}", "cached": False, "results": []}
+        except TimeoutError as e:
+            return {"status": "skipped", "note": f"no turn: {e}", "cached": False, "results": []}
         results = payload.get("results") or []
         note = "" if results else "; ".join(": ".join(e) for e in payload.get("unresponsive_engines") or [])
         out = {"status": "ok" if results else "throttled", "note": note, "cached": False, "results": results}
         if results:
-            self.cache[key] = (self.last, out)
+            self.cache[key] = (at, out)
         return out
 
 
