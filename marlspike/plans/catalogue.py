@@ -18,6 +18,7 @@ from marlspike.operators import evidence as E
 from marlspike.operators import pairing as J
 from marlspike.operators import retrieval as R
 from marlspike.operators import store as S
+from marlspike.plans.ordered import ordered_map
 from marlspike.session import hadoop, shared_dir
 from marlspike.sources import corpus as K
 from marlspike.sources import mail as M
@@ -1035,4 +1036,14 @@ def stream_into_store(spark, d):
     return stored.groupBy("source").agg(F.countDistinct("sha256").alias("texts"), F.sum(F.length("text")).alias("chars"))
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, {k} AS place, count(*) AS n FROM {t}" for k, t in enumerate(TABLES)))
+def counts_in_order(spark, d):
+    """Rows of each table, counted a few tables at a time."""
+    counts = ordered_map(spark, lambda t: table(spark, d, t).count(), TABLES)
+    return spark.createDataFrame([(t, k, n) for k, (t, n) in enumerate(zip(TABLES, counts, strict=True))], "name string, place int, n long")
+
+
 from marlspike.plans import further  # noqa: E402, F401  registers its queries here
