@@ -32,14 +32,17 @@ def ordered_map[A, B](spark: SparkSession, run: Callable[[A], B], items: Iterabl
             if stop.is_set():
                 raise Cancelled(tag)
             return run(item)
-        except BaseException:
-            stop.set()  # no item starts after a failure
+        except BaseException as e:
+            if not stop.is_set():
+                failed.append(e)
+                stop.set()  # no item starts after a failure
             raise
         finally:
             context.removeJobTag(tag)
 
     context = spark.sparkContext  # a session's own tags can only be interrupted by the thread that set them
     left, queue, done, seen = iter(items), [], 0, set()
+    failed: list[BaseException] = []
     pool = ThreadPoolExecutor(max(1, workers))
     try:
         more = True
@@ -52,9 +55,9 @@ def ordered_map[A, B](spark: SparkSession, run: Callable[[A], B], items: Iterabl
             ended, _ = wait([f for f in queue if f not in seen], 0.05, FIRST_COMPLETED)
             if cancel is not None and cancel.is_set():
                 raise Cancelled(tag)
+            if failed:
+                raise failed[0]
             for f in ended:
-                if (why := f.exception()) is not None:
-                    raise why
                 seen.add(f)
                 done += 1
                 if progress:
