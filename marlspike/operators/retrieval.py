@@ -5,11 +5,16 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.predicates import active_at
 from marlspike.functions.text import text
+from marlspike.operators.blocks import block_rows, block_schema, small
+from marlspike.session import hadoop, written
 
 if TYPE_CHECKING:
     from marlspike.operators.segments import SegmentWords
@@ -116,14 +121,6 @@ def hybrid(leafs: DataFrame, query: str, vector: list[float] | None, n: int = 20
     return select_hits(hits, n, **filters).withColumn("snippet", F.substring("text", 1, 280))
 
 
-#: Parts that the terms of an index are dealt into: a query reads those of its own terms.
-TERM_PARTS = 32
-
-
-def term_part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
-
-
 def postings_of(leafs: DataFrame, *by: str) -> DataFrame:
     """(by, term, id, tf, len) of leafs (by, id, text)."""
     t = leafs.select(*by, "id", tokens(F.col("text")).alias("t"))
@@ -135,57 +132,70 @@ def sums_of(leafs: DataFrame, *by: str) -> DataFrame:
     return leafs.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
 
 
-def write_postings(leafs: DataFrame, path: str, *by: str) -> None:
-    """Postings of leafs under path, in folders of (by, term_part), sorted by term so that a query's terms skip most of a file."""
-    p = postings_of(leafs, *by).withColumn("term_part", term_part(F.col("term")))
-    p.repartition(*by, "term_part").sortWithinPartitions(*by, "term_part", "term", "id").write.partitionBy(*by, "term_part").parquet(path)
+#: Queries that meet the blocks of an index at once.
+TOGETHER = 128
 
 
 class WordIndex:
-    """Stored postings (folders of term_part) with the number of leafs and of their tokens; loose: postings of leafs that aren't stored yet."""
-
-    def __init__(self, spark: SparkSession, paths: list[str], n: int, tokens: int, id_type: str = "string", loose: DataFrame | None = None):
-        self.n, self.mean = n, tokens / n if n else 1.0
-        columns = ("term", "id", "tf", "len")
-        stored = spark.read.schema(f"term string, id {id_type}, len int, tf long, term_part int").parquet(*paths) if paths else None
-        loose = None if loose is None else loose.withColumn("term_part", term_part(F.col("term")))
-        both = [x.select(*columns, "term_part") for x in (stored, loose) if x is not None]
-        self.postings = reduce(DataFrame.unionByName, both) if both else spark.createDataFrame([], f"term string, id {id_type}, tf long, len int, term_part int")
-
-    def of_terms(self, words: list[str]) -> DataFrame:
-        """Postings of words: the parts that hold them, then the row groups that may."""
-        spark = self.postings.sparkSession
-        parts = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(term_part(F.col("term"))).distinct().collect()] if words else []
-        return self.postings.where(F.col("term_part").isin(parts) & F.col("term").isin(words)).drop("term_part")
-
-    def scored(self, met: DataFrame, *by: str) -> DataFrame:
-        """(by, id, score) of postings met by queries; documents with a term are counted from its postings."""
-        met = met.withColumn("n", F.lit(self.n)).withColumn("avg", F.lit(self.mean)).withColumn("score", _term(F.col("tf"), F.col("df")))
-        # sums in any order: without rounding, equal texts would differ in their last bits and not tie
-        return met.groupBy(*by, "id").agg(F.round(F.sum("score"), 9).alias("score"))
+    """Stored blocks of postings (blocks.block_rows) with the number of leafs and of their tokens."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], n: int, tokens: int, id_type: str = "string"):
+        self.n, self.mean, self.id_type = n, tokens / n if n else 1.0, id_type
+        self.blocks = spark.read.schema(block_schema(id_type)).parquet(*paths) if paths else spark.createDataFrame([], block_schema(id_type))
 
     def search(self, query: str, k: int | None = None) -> DataFrame:
         """id and score as bm25() has them, by the postings of the query's terms alone."""
-        p = self.of_terms(terms_of(query))
-        return best(self.scored(p.join(F.broadcast(p.groupBy("term").agg(F.count("*").alias("df"))), "term")), k)
+        asked = self.blocks.where(F.col("term").isin(terms_of(query)))
+        p = asked.join(F.broadcast(asked.groupBy("term").agg(F.sum("n").alias("df"))), "term").select("df", F.inline("postings"))
+        met = p.withColumn("n", F.lit(self.n)).withColumn("avg", F.lit(self.mean)).withColumn("score", _term(F.col("tf"), F.col("df")))
+        # sums in any order: without rounding, equal texts would differ in their last bits and not tie
+        return best(met.groupBy("id").agg(F.round(F.sum("score"), 9).alias("score")), k)
 
     def batch(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, id, score, rank) of the best k leafs for each of queries (qid, query): postings met by term, limited to the queries' terms."""
-        asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-        p = self.postings.drop("term_part").join(asked.select("term").distinct(), "term", "left_semi")
-        met = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term").join(asked, "term")
-        return ranked(self.scored(met, "qid"), "qid").where(F.col("rank") <= k)
+        """(qid, id, score, rank) of the best k leafs for each of queries (qid, query).
+
+        Queries meet the index in sets of some TOGETHER: of a block and a set, the scores of all leafs for all queries are one product of matrices, of which the
+        best k of each query are kept. So no row is made for a posting and a query, and what is shuffled grows with the postings of the terms asked.
+        """
+        sets = -(-queries.count() // TOGETHER) or 1
+        asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"), F.pmod(F.xxhash64("qid"), F.lit(sets)).alias("set"))
+        df = self.blocks.select("term", "n").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+        weight = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1)
+        terms = written(asked.groupBy("set", "term").agg(F.collect_list("qid").alias("qids")).join(df, "term").select("set", "term", "qids", weight.alias("weight")), "asked")
+        met = self.blocks.select("term", "block", "postings").join(small(terms, terms.count()), "term")
+        qid, mean = queries.schema["qid"].dataType.simpleString(), self.mean
+
+        def score(met: pa.Table) -> pa.Table:
+            lists, asked, weight = met.column("postings").combine_chunks(), met.column("qids").combine_chunks(), met.column("weight").to_numpy()
+            ids, tf, size = lists.flatten().flatten()
+            leafs, qids = ids.dictionary_encode(), asked.flatten().dictionary_encode()
+            term, f = np.repeat(np.arange(len(met)), pc.list_value_length(lists).to_numpy()), tf.to_numpy().astype(np.float64)
+            held = np.zeros((len(leafs.dictionary), len(met)))
+            held[leafs.indices.to_numpy(), term] = weight[term] * f / (f + K1 * (1 - B + B * size.to_numpy() / mean))
+            wanted = np.zeros((len(met), len(qids.dictionary)))
+            wanted[np.repeat(np.arange(len(met)), pc.list_value_length(asked).to_numpy()), qids.indices.to_numpy()] = 1
+            scores = np.round(held @ wanted, 9)
+            order = np.empty(len(held), np.int64)
+            order[pc.sort_indices(leafs.dictionary).to_numpy()] = np.arange(len(held))
+            some, least = min(k, len(held)), np.partition(scores, -min(k, len(held)), axis=0)[-min(k, len(held))]
+            found = []
+            for q in range(scores.shape[1]):
+                at = np.flatnonzero((scores[:, q] >= least[q]) & (scores[:, q] > 0))
+                found.append(at[np.lexsort((order[at], -scores[at, q]))[:some]])
+            leaf, query = np.concatenate(found), np.repeat(np.arange(len(found)), [*map(len, found)])
+            return pa.table({"qid": qids.dictionary.take(pa.array(query)), "id": leafs.dictionary.take(pa.array(leaf)), "score": pa.array(scores[leaf, query])})
+
+        scored = met.groupBy("set", "block").applyInArrow(score, f"qid {qid}, id {self.id_type}, score double")
+        return ranked(scored, "qid").where(F.col("rank") <= k)
 
 
 def index_of(leafs: DataFrame, path: str) -> WordIndex:
     """The index of leafs (id, text) at path, written first where it isn't there; a write that fails leaves no sums, and so no index."""
-    from marlspike.session import hadoop
-
     spark, sums = leafs.sparkSession, f"{path}/sums"
     at, fs = hadoop(spark, f"{sums}/_SUCCESS")
     if not fs.exists(at):
         fs.delete(hadoop(spark, path)[0], True)
-        write_postings(leafs, f"{path}/postings")
+        block_rows(leafs.select("id", tokens(F.col("text")).alias("t"))).write.parquet(f"{path}/postings")
         sums_of(leafs).write.parquet(sums)
     n, total = spark.read.parquet(sums).select("n", "tokens").first()
     return WordIndex(spark, [f"{path}/postings"], n, total, leafs.schema["id"].dataType.simpleString())

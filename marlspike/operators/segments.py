@@ -11,40 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.operators.blocks import BLOCK, block_rows, block_schema, small
 from marlspike.operators.retrieval import K1, B, best, postings_of, terms_of, tokens
 
-#: Leafs of a block: postings of a term and block are one row, and blocks hold leafs of like length.
-BLOCK = 1024
 #: Postings of the asked terms up to which they are all read; beyond, blocks that can't reach the best k are skipped.
 READ_ALL = 200_000
-#: Rows that are sent to all tasks at most.
-SENT = 100_000
-BLOCKS = "term string, block long, n long, most long, least int, postings array<struct<id:string,tf:bigint,len:int>>"
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be sent to all tasks if its number of rows, which is known, is bounded."""
-    return F.broadcast(df) if rows <= SENT else df
-
-
-def length_class(size: Column) -> Column:
-    return F.floor(4 * F.log2(size + F.lit(1.0))).cast("long")
+BLOCKS = block_schema()
 
 
 def write_blocks(leafs: DataFrame, path: str) -> None:
-    """Postings of leafs (id, text) in rows of (term, block) with the block's highest frequency and least length, sorted by term.
-
-    A block is some BLOCK leafs of one class of length, chosen by hash, the same for all terms: no row grows with a term's frequency, no task holds a
-    term, and the bounds of several terms add up block by block.
-    """
-    sized = leafs.select("id", "text", length_class(F.size(tokens(F.col("text")))).alias("class"))
-    parts = {r["class"]: math.ceil(r["count"] / BLOCK) for r in sized.groupBy("class").count().collect()}  # some 4 rows for each doubling of length
-    of = F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, v)]) if parts else F.create_map(F.lit(0).cast("long"), F.lit(1))
-    block = lambda size: length_class(size) * (1 << 40) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(of, length_class(size)), F.lit(1)).cast("long"))
-    posting = F.struct("id", "tf", "len")
-    rows = postings_of(leafs.select("id", "text")).withColumn("block", block(F.col("len")))
-    rows = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.collect_list(posting).alias("postings"))
-    rows.repartitionByRange("term").sortWithinPartitions("term", "block").write.parquet(path)
+    """Postings of leafs (id, text) in rows of (term, block)."""
+    block_rows(leafs.select("id", tokens(F.col("text")).alias("t")), BLOCK).write.parquet(path)
 
 
 class SegmentWords:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.text import file_id, leaf_id, normal_day, or_else, text, text_hash
 from marlspike.lease import Lost, create
+from marlspike.operators.blocks import small
 from marlspike.operators.retrieval import sums_of, tokens
-from marlspike.operators.segments import SHARE, SegmentWords, near_vectors, small, write_blocks, write_lists
+from marlspike.operators.segments import SHARE, SegmentWords, near_vectors, write_blocks, write_lists
 from marlspike.schema import EDGES, LEAFS
 from marlspike.session import hadoop
 
