@@ -86,13 +86,39 @@ class SegmentWords:
 MOST_LISTS, SAMPLE, ROUNDS, SHARE, AT_LEAST = 1024, 64, 8, 0.25, 8
 
 
+LISTS = "list int, direction array<double>, needed int"
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def centroids_of(vectors: DataFrame, n: int) -> np.ndarray:
-    """Directions of the lists, by k-means over a sample of SAMPLE vectors for each list, drawn by hash of the id; n: vectors. None for no list."""
+#: Vectors of the sample that are searched for, how many of the nearest, and the share of these that lists must hold between them.
+PROBES, NEAREST, ENOUGH = 400, 10, 0.99
+
+
+def lists_needed(m: np.ndarray, c: np.ndarray) -> int:
+    """How many of the lists nearest to a query hold ENOUGH of its NEAREST others, over PROBES vectors of the sample m: vectors without clusters need nearly all.
+
+    The sample is thinner than the whole, so its nearest lie farther away and in more lists: the number errs to the safe side.
+    """
+    if len(m) < 2 or not len(c):
+        return len(c)
+    asked = np.random.default_rng(1).permutation(len(m))[:PROBES]
+    at, k, ranks = (m @ c.T).argmax(1), min(NEAREST, len(m) - 1), []
+    for some in np.array_split(asked, math.ceil(len(asked) / 50)):
+        dots = m[some] @ m.T
+        dots[np.arange(len(some)), some] = -np.inf
+        near = np.argpartition(-dots, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(m[some] @ c.T), axis=1), axis=1)
+        ranks.append(np.take_along_axis(place, at[near], 1).ravel())
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[math.ceil(ENOUGH * len(ranks)) - 1]) + 1
+
+
+def centroids_of(vectors: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Directions of the lists, by k-means over a sample of SAMPLE vectors for each list, drawn by hash of the id, and how many of them a search needs; n: vectors."""
     lists = min(MOST_LISTS, math.isqrt(max(n, 1)))
     size = SAMPLE * lists
     sample = vectors if n <= size else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil((1 << 20) * 1.1 * size / n))
@@ -105,12 +131,12 @@ def centroids_of(vectors: DataFrame, n: int) -> np.ndarray:
     for _ in range(ROUNDS):
         at = (m @ c.T).argmax(1) if len(c) else np.zeros(0, int)
         c = unit(np.array([m[at == i].mean(0) if (at == i).any() else c[i] for i in range(len(c))]).reshape(-1, m.shape[1]))
-    return c
+    return c, lists_needed(m, c)
 
 
 def write_lists(vectors: DataFrame, path: str, n: int) -> None:
     """vectors (id, embedding) sorted by list, and the lists' directions beside them; vectors without a direction are in list -1."""
-    spark, c = vectors.sparkSession, centroids_of(vectors, n)
+    spark, (c, needed) = vectors.sparkSession, centroids_of(vectors, n)
     shared = spark.sparkContext.broadcast(c)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,12 +151,13 @@ def write_lists(vectors: DataFrame, path: str, n: int) -> None:
 
     rows = vectors.select("id", "embedding").mapInPandas(assign, "id string, embedding array<float>, list int")
     rows.repartitionByRange("list", F.xxhash64("id")).sortWithinPartitions("list").write.parquet(f"{path}/vectors")
-    spark.createDataFrame([(i, [*map(float, x)]) for i, x in enumerate(c)], "list int, direction array<double>").coalesce(1).write.parquet(f"{path}/lists")
+    spark.createDataFrame([(i, [*map(float, x)], needed) for i, x in enumerate(c)], LISTS).coalesce(1).write.parquet(f"{path}/lists")
 
 
 def near_vectors(spark: SparkSession, path: str, query: list[float], share: float = SHARE) -> DataFrame:
-    """(id, embedding) of the lists nearest to the query, and of those without a direction: the share of the lists, AT_LEAST of them at least."""
-    lists = spark.read.schema("list int, direction array<double>").parquet(f"{path}/lists").collect()  # MOST_LISTS at most
+    """(id, embedding) of the lists nearest to the query, and of those without a direction: the share of the lists, AT_LEAST of them at least, and as many as
+    were measured to be needed when they were made (null where an older store didn't measure)."""
+    lists = spark.read.schema(LISTS).parquet(f"{path}/lists").collect()  # MOST_LISTS at most
     dots = {r["list"]: sum(a * b for a, b in zip(r["direction"], query, strict=False)) for r in lists}
-    chosen = sorted(dots, key=lambda i: -dots[i])[: max(AT_LEAST, math.ceil(share * len(dots)))]
+    chosen = sorted(dots, key=lambda i: -dots[i])[: max([AT_LEAST, math.ceil(share * len(dots)), *(r["needed"] or len(dots) for r in lists)])]
     return spark.read.schema("id string, embedding array<float>, list int").parquet(f"{path}/vectors").where(F.col("list").isin([-1, *chosen])).drop("list")

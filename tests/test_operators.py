@@ -339,6 +339,20 @@ def test_near_vectors_read_a_part_and_find_the_nearest(spark, tmp_path):
     assert found / asked >= 0.95 and read < 0.5 * 10 * 3002
 
 
+def test_near_vectors_are_found_without_clusters(spark, tmp_path):
+    import numpy as np
+
+    vectors = np.random.default_rng(7).normal(size=(1200, 32))
+    store = S.Store(spark, str(tmp_path / "s"))
+    store.add(spark.createDataFrame([(f"t{i}", "s", [*map(float, v)]) for i, v in enumerate(vectors)], "text string, source string, embedding array<float>"), NOW)
+    store.index()
+    now, found = store.snapshot(), 0
+    for q in vectors[::100] + 0.1:
+        best = lambda v: {r["id"] for r in R.cosine(v, [*map(float, q)], 10).collect()}  # noqa: B023, E731
+        found += len(best(now.read()) & best(now.near([*map(float, q)])))
+    assert found >= 0.95 * 120
+
+
 def test_batch_bounds():
     assert [S.batch_bounds(n, 64) for n in (0, 5, 100, 128, 130)] == [[], [(0, 5)], [(0, 64), (64, 100)], [(0, 64), (64, 128)], [(0, 64), (64, 128), (128, 130)]] and S.batch_bounds(10, 0) == [(0, 10)]
 
