@@ -153,10 +153,10 @@ def frequencies(docs: DataFrame, size: int) -> Frequencies:
 
 
 def indexed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Stored rows doc_id, n, sig, bins (spread()), prefix (array<struct<pos, token>>): of the first n - least_share + 1 shingles, rarest first, those that
-    more than one document may have.
+    """Stored rows doc_id, n, sig, bins (spread()), prefix (array<struct<pos, token>>): the first n - least_share + 1 shingles, rarest first.
 
-    bins and prefix are null where the same task has sent the same set before; sig is null for empty sets.
+    None is left out by its count: a fixed number of cells is shared by ever more shingles, so such a cut works on small inputs alone. bins and prefix
+    are null where the same task has sent the same set before; sig is null for empty sets.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size).packed())
 
@@ -173,8 +173,7 @@ def indexed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     bins = spread(s)
                     rarity = (bound.astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
                     first = np.argsort(rarity, kind="stable")[: len(s) - least_share(len(s), percent) + 1]
-                    pos = np.flatnonzero(bound[first] > 1)
-                    token = s[first[pos]].view(np.int64)
+                    pos, token = np.arange(len(first)), s[first].view(np.int64)
                 out["n"].append(len(s))
                 out["sig"].append(sig)
                 out["bins"].append(bins)
@@ -230,6 +229,18 @@ def fitting(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     return both.where((100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (small + large))).select("low", "high")
 
 
+def shared_postings(index: DataFrame) -> DataFrame:
+    """sig, n, pos, token of the prefix shingles that different sets have, with df: the rows of the shingle.
+
+    Most shingles are one set's alone, so postings are made and shuffled once: rows sorted by shingle in their partition are told how many there are of
+    theirs, and only those that stay are stored. Rows of a very frequent shingle are spilled, not held.
+    """
+    postings = index.where("prefix is not null").select("sig", "n", F.explode("prefix").alias("x")).select("sig", "n", "x.pos", "x.token")
+    of_token = Window.partitionBy("token")
+    counted = postings.select("*", F.min("sig").over(of_token).alias("low"), F.max("sig").over(of_token).alias("high"), F.count("*").over(of_token).alias("df"))
+    return counted.where("low <> high").drop("low", "high")
+
+
 def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Stored rows of the sets that share a prefix shingle with another of fitting size: sig, n, live (array<struct<pos, token>> in order),
     home, keys, parity, shingles.
@@ -237,13 +248,9 @@ def members(docs: DataFrame, index: DataFrame, nodes: DataFrame, size: int, perc
     home is the longest of the posting lists that a set is in, keys the blocks of it that the set belongs to. Texts are read again for
     the sets; those of other documents are left out by a filter of bounded size before anything is made of them.
     """
-    postings = index.where("prefix is not null").select("sig", "n", F.explode("prefix").alias("x")).select("sig", "n", "x.pos", "x.token")
-    lists = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("df")).where("low <> high")
-    lists = materialize(lists.select("token", "df"), "jaccard-tokens")
     # length filter: sets link only within a size range or between neighbouring ones, so a posting must meet another there
-    keyed = met_by(postings, lists, ["token"], "df").withColumn("range", F.explode(F.array(size_range(percent), size_range(percent) + 1)))
+    keyed = shared_postings(index).withColumn("range", F.explode(F.array(size_range(percent), size_range(percent) + 1)))
     keyed = materialize(keyed, "jaccard-postings")
-    discard(lists)
     met = keyed.groupBy("token", "range").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("rows")).where("low <> high")
     met = materialize(met, "jaccard-lists")
     fit = fitting(met.where("rows = 2").select("low", "high").distinct(), index, percent)

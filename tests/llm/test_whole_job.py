@@ -91,6 +91,17 @@ def test_the_join_returns_every_link(spark, monkeypatch, block):
     assert sorted((str(r["doc_id"]), r["n_links"]) for r in J.link_counts(docs).collect()) == sorted((str(None if i % 17 == 5 else i), n[i]) for i, _ in named)
 
 
+def test_postings_of_the_join_grow_as_its_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(100)), "en", "s") for i in range(40)]
+    index = J.indexed(documents(spark, rows), 3, 90)
+    assert {(r["n"], len(r["prefix"])) for r in index.collect()} == {(98, 98 - 89 + 1)}  # not as many as their counts' cells are shared
+    copy = materialize(index.union(index.where("doc_id < 2").selectExpr("doc_id", "n", "sig + 1", "bins", "prefix")), "test-index")
+    found = J.shared_postings(copy)
+    assert {(r["pos"], r["df"]) for r in found.collect()} == {(k, 2) for k in range(10)} and found.count() == 40
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
 def test_the_mix_takes_rows_not_keys(spark):
     """Rows without doc_id, rows that share one, and equal rows, all of one size: each gets what its own row of the plan says."""
     rng = random.Random(24)
