@@ -7,16 +7,19 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from marlspike.functions.predicates import route
 from marlspike.functions.text import body_markdown, decode_bytes, html_text, text, trimmed
-from marlspike.session import hadoop
+from marlspike.session import hadoop, written
 from marlspike.sources.mail import message_markdown, parse_message
 
 #: A stored message as the raw sink leaves it.
@@ -165,19 +168,74 @@ def attachment_markdown(name: Column, media: Column, content: Column) -> Column:
     return F.when(content.isNull(), described).otherwise(F.coalesce(shown, described))
 
 
-def below(root: str) -> Column:
-    """The path of a file relative to root, of its _metadata."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.substr(path, F.locate(f"{root}/", path) + len(root) + 1)
+#: Bytes of contents that go back to Spark at once.
+READ_BYTES = 8 << 20
 
 
-def stored_messages(spark: SparkSession, root: str) -> DataFrame:
-    """dir (relative to root) and the message of every message.json below root; one that isn't a message has nulls but for broken."""
+def walked(spark: SparkSession, root: str) -> DataFrame:
+    """Stored rows path (relative to root) and length of the files below root, but for hidden ones (names that begin with a dot or an underscore).
+
+    Tasks list folders, a level at a time, so the driver gets no names; a folder's own entries are listed by one task.
+    """
     at, fs = hadoop(spark, root)
-    base = fs.makeQualified(at).toUri().getPath().rstrip("/")
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "message.json").text(root, wholetext=True)
+    uri = fs.makeQualified(at).toString()
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = arrow_fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                found = fs.get_file_info(arrow_fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                found = [x for x in found if x.base_name[:1] not in (".", "_") and x.type in (arrow_fs.FileType.File, arrow_fs.FileType.Directory)]
+                for i in range(0, len(found), 4096):
+                    some = found[i : i + 4096]
+                    yield pa.RecordBatch.from_pydict(
+                        {"path": [posixpath.join(folder, x.base_name) for x in some], "length": [x.size or 0 for x in some], "folder": [x.type == arrow_fs.FileType.Directory for x in some]},
+                        schema=pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())]),
+                    )
+
+    levels, folders = [], spark.createDataFrame([("",)], "path string")
+    while not levels or not folders.isEmpty():
+        level = written(spread(folders).mapInArrow(entries, "path string, length long, folder boolean"), "listing")
+        levels.append(level.where(~F.col("folder")).select("path", "length"))
+        folders = level.where("folder").select("path")
+    return reduce(DataFrame.union, levels)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows by path over all cores, as tables of names are small and so few partitions."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "path")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """Rows of files (path, …) with the content of each (binary), read by tasks."""
+    at, fs = hadoop(files.sparkSession, root)
+    uri = fs.makeQualified(at).toString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = arrow_fs.FileSystem.from_uri(uri)
+        for b in batches:
+            held, size, first = [], 0, 0
+            for k, path in enumerate(b.column("path").to_pylist()):
+                with fs.open_input_stream(f"{base}/{path}") as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= READ_BYTES or k + 1 == len(b):
+                    part = b.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], [*b.schema.names, "content"])
+                    held, size, first = [], 0, k + 1
+
+    return spread(files).mapInArrow(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
+
+
+def named(files: DataFrame, name: str) -> DataFrame:
+    return files.where(F.substring_index("path", "/", -1) == name)
+
+
+def stored_messages(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """dir (relative to root) and the message of every message.json below root; one that isn't a message has nulls but for broken. files: walked(), if known."""
+    raw = contents(named(walked(spark, root) if files is None else files, "message.json").select("path"), root).withColumn("value", F.col("content").cast("string"))
     body = F.from_json("value", STORED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    rows = raw.select(F.regexp_replace(below(base), "/?message[.]json$", "").alias("dir"), body.alias("m"), "value")
+    rows = raw.select(F.regexp_replace("path", "/?message[.]json$", "").alias("dir"), body.alias("m"), "value")
     return rows.select("dir", "m.*", (F.col("m.broken").isNotNull() | F.col("m").isNull() | ~trimmed("value").startswith("{")).alias("failed")).drop("broken")
 
 
@@ -194,7 +252,8 @@ def convert_messages(spark: SparkSession, root: str, force: bool = False, dry: b
     run that ends between the two does them again. An attachment is looked for under its stored name, else its own; one without either, without a file or
     without text gives none.
     """
-    rows = stored_messages(spark, root)
+    files = walked(spark, root)
+    rows = stored_messages(spark, root, files)
     markdown = message_markdown(
         body_markdown(F.col("textBody"), F.col("htmlBody")), id=F.col("id"), folder=F.col("folder"), source=F.col("source"), subject=F.col("subject"),
         sender=F.col("from"), to=F.col("to"), date=message_day(F.col("date"), F.col("receivedAt")),
@@ -203,28 +262,20 @@ def convert_messages(spark: SparkSession, root: str, force: bool = False, dry: b
     if not dry:
         todo = rows.where("not failed")
         if not force:
-            todo = todo.join(present_messages(spark, root), "dir", "left_anti")
-        save_files(attachment_files(spark, root, todo), root, force=True)
+            todo = todo.join(present_messages(files), "dir", "left_anti")
+        save_files(attachment_files(files, root, todo), root, force=True)
     return save_files(rows.select(name.alias("name"), F.when(~F.col("failed"), markdown).alias("content")), root, force, dry)
 
 
-def listed(spark: SparkSession, root: str, names: str) -> DataFrame:
-    """path (relative to root), length and content of the files below root whose names match; contents are only read where they are used."""
-    at, fs = hadoop(spark, root)
-    base = fs.makeQualified(at).toUri().getPath().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
-    return files.select(below(base).alias("path"), "length", "content")
-
-
-def present_messages(spark: SparkSession, root: str) -> DataFrame:
-    return listed(spark, root, "message.md").where("length > 0").select(F.regexp_replace("path", "/?message[.]md$", "").alias("dir"))
+def present_messages(files: DataFrame) -> DataFrame:
+    return named(files, "message.md").where("length > 0").select(F.regexp_replace("path", "/?message[.]md$", "").alias("dir"))
 
 
-def attachment_files(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+def attachment_files(files: DataFrame, root: str, rows: DataFrame) -> DataFrame:
     """name and content of the texts of attachments of rows (dir, attachments) that lie below root."""
     asked = rows.select("dir", F.explode("attachments").alias("a")).select("dir", F.nullif(text("a.fileName"), F.lit("")).alias("own"), F.nullif(text("a.storedName"), F.lit("")).alias("stored"), F.col("a.contentType").alias("media"))
     at = lambda file: F.concat_ws("/", F.nullif("dir", F.lit("")), F.lit("attachments"), file)
     asked = asked.withColumn("file", F.coalesce("stored", "own")).where("file is not null")
-    met = asked.withColumn("path", at(F.col("file"))).join(listed(spark, root, "*").where(F.col("path").rlike("(^|/)attachments/")), "path")
+    met = contents(asked.withColumn("path", at(F.col("file"))).join(files.where(F.col("path").rlike("(^|/)attachments/")).select("path"), "path"), root)
     made = met.select(F.concat(at(F.coalesce("own", "stored")), F.lit(".md")).alias("name"), attachment_markdown(F.col("file"), F.col("media"), F.col("content")).alias("content"))
     return made.where("content <> ''")

@@ -401,6 +401,18 @@ def test_stored_messages_become_markdown(spark, tmp_path):
     assert outbox.convert_messages(spark, str(tmp_path), force=True) == {"ok": 3, "skip": 0, "fail": 2} and (tmp_path / "m3/message.md").read_text().startswith("---")
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    for name, content in (("a/b c/+1.txt", "one"), ("a/2.txt", ""), ("3.txt", "three"), ("a/_hidden.txt", "x"), (".d/4.txt", "x"), ("_reports/5.txt", "x")):
+        write(tmp_path / name, content)
+    (tmp_path / "empty").mkdir()
+    monkeypatch.setattr(outbox, "READ_BYTES", 1)
+    files = outbox.walked(spark, str(tmp_path))
+    assert sorted(map(tuple, files.collect())) == [("3.txt", 5), ("a/2.txt", 0), ("a/b c/+1.txt", 3)]
+    got = outbox.contents(files, str(tmp_path))
+    assert {r["path"]: bytes(r["content"]) for r in got.collect()} == {"a/b c/+1.txt": b"one", "a/2.txt": b"", "3.txt": b"three"}
+    assert not any(str(tmp_path) in x for x in got.inputFiles() + outbox.stored_messages(spark, str(tmp_path)).inputFiles())  # no index of the files themselves on the driver
+
+
 def test_attachment_text(spark):
     ics = b"BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART;TZID=X:20240102T1000\r\nSUMMARY:Long \r\n talk\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nLOCATION:Here\r\nEND:VEVENT\r\nEND:VCALENDAR"
     html_mail = b"Content-Type: text/html\n\n<b>bold</b><br>x"
