@@ -196,7 +196,8 @@ def index_of(leafs: DataFrame, path: str) -> WordIndex:
     if not fs.exists(at):
         fs.delete(hadoop(spark, path)[0], True)
         block_rows(leafs.select("id", tokens(F.col("text")).alias("t"))).write.parquet(f"{path}/postings")
-        sums_of(leafs).write.parquet(sums)
+        held = spark.read.schema("total long").parquet(f"{path}/postings").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"))
+        leafs.agg(F.count("*").alias("n")).crossJoin(held).write.parquet(sums)
     n, total = spark.read.parquet(sums).select("n", "tokens").first()
     return WordIndex(spark, [f"{path}/postings"], n, total, leafs.schema["id"].dataType.simpleString())
 

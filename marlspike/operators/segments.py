@@ -19,9 +19,10 @@ READ_ALL = 200_000
 BLOCKS = block_schema()
 
 
-def write_blocks(leafs: DataFrame, path: str) -> None:
-    """Postings of leafs (id, text) in rows of (term, block)."""
+def write_blocks(leafs: DataFrame, path: str) -> int:
+    """Postings of leafs (id, text) in rows of (term, block); returns how many tokens they hold."""
     block_rows(leafs.select("id", tokens(F.col("text")).alias("t")), BLOCK).write.parquet(path)
+    return leafs.sparkSession.read.schema("total long").parquet(path).agg(F.sum("total")).first()[0] or 0
 
 
 class SegmentWords:

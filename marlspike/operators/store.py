@@ -38,14 +38,19 @@ def invalid(new: DataFrame) -> DataFrame:
     return new.where((F.trim(text("text")) == "") | (F.trim(text("source")) == ""))
 
 
+def last_of(new: DataFrame, seq: str = "") -> DataFrame:
+    """Of each id the last row, with the last embedding that is given; seq: as upsert() has it."""
+    order = F.col(seq) if seq else F.monotonically_increasing_id()
+    new = new.withColumn("_seq", order).drop(*([seq] if seq else []))
+    return new.groupBy("id").agg(*[F.max_by(c, "_seq").alias(c) for c in new.columns if c not in ("id", "embedding", "_seq")], F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("_seq"))).alias("embedding"))
+
+
 def upsert(old: DataFrame, new: DataFrame, seq: str = "") -> DataFrame:
     """old with the rows of new, by id: the last of new wins, and an embedding stays unless a new one is given.
 
     seq: a column of new that tells which row is last; without it rows are taken in the order of their partitions, as read from files.
     """
-    order = F.col(seq) if seq else F.monotonically_increasing_id()
-    new = new.withColumn("_seq", order).drop(*([seq] if seq else []))
-    newest = new.groupBy("id").agg(*[F.max_by(c, "_seq").alias(c) for c in new.columns if c not in ("id", "embedding", "_seq")], F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("_seq"))).alias("embedding"))
+    newest = last_of(new, seq)
     n = newest.select("id", *[F.col(c).alias(f"_{c}") for c in newest.columns if c != "id"], F.lit(True).alias("_new"))
     joined = old.join(n, "id", "full")
     pick = lambda c: F.coalesce(f"_{c}", c) if c == "embedding" else F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c))
@@ -109,13 +114,13 @@ class Snapshot:
     def dead_rows(self) -> int:
         return sum(n for x in self.names["dead"] for n, _ in x["by"].values())
 
-    def placed(self, segments: list[dict] | None = None) -> DataFrame:
-        """Leafs with the segment that each is in: one scan of all segments, less the dead."""
+    def placed(self, segments: list[dict] | None = None, every: bool = False) -> DataFrame:
+        """Leafs with the segment that each is in: one scan of all segments, less the dead unless every is asked for."""
         paths = [self._at(x["path"]) for x in (self.names["segments"] if segments is None else segments)]
         if not paths:
             return self.spark.createDataFrame([], LEAFS).withColumn("segment", F.lit(""))
         rows = self.spark.read.schema(LEAFS).parquet(*paths).withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"/leafs/([0-9a-f]{32})/[^/]*$", 1))
-        dead = self.dead()
+        dead = None if every else self.dead()
         return rows if dead is None else rows.join(small(dead.select("segment", "id"), self.dead_rows()), ["segment", "id"], "left_anti")
 
     def read(self) -> DataFrame:
@@ -163,8 +168,8 @@ class Store:
 
     The version of the highest number is the current one. It is written aside and renamed to its name, which fails if the name is taken: a reader
     finds the old version or the new one, whole, and of two writers one starts again from the other's. A batch writes a segment of its own rows and the
-    tombstones of those that it replaces, and nothing else; compact() merges segments. A segment's files are ranges of ids, so their number follows its
-    rows. Folders that no version names go with clean().
+    tombstones of those that it replaces, and nothing else; compact() merges segments. A segment's rows are dealt by id, so its files follow their
+    bytes. Folders that no version names go with clean().
     """
 
     def __init__(self, spark: SparkSession, path: str, fence: int | None = None):
@@ -216,15 +221,23 @@ class Store:
                     raise
         return 0
 
+    def _leafs(self, part: dict) -> DataFrame:
+        """All rows of a segment."""
+        return self.spark.read.schema(LEAFS).parquet(f"{self.path}/{part['path']}")
+
+    def _drop(self, part: dict) -> None:
+        """Delete the leafs of a segment that no version names."""
+        at, fs = hadoop(self.spark, f"{self.path}/{part['path']}")
+        fs.delete(at, True)
+
     def _segment(self, leafs: DataFrame, indexed: bool) -> dict | None:
         """Write leafs as a segment, with its postings and vectors if the store is indexed; None for no rows."""
         key = uuid.uuid4().hex
         part = {"key": key, "path": f"leafs/{key}"}
-        rows = leafs.select(*LEAFS.fieldNames()).repartitionByRange("id").sortWithinPartitions("id")
+        rows = leafs.select(*LEAFS.fieldNames()).repartition("id").sortWithinPartitions("id")  # no second shuffle of what is dealt and sorted by id
         rows.write.option("maxRecordsPerFile", FILE_ROWS).option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path}/{part['path']}")
-        stored = self.spark.read.schema(LEAFS).parquet(f"{self.path}/{part['path']}")
-        sums = sums_of(stored).first()
-        part |= {"rows": sums["n"], "tokens": sums["tokens"]}
+        stored = self._leafs(part)
+        part |= {"rows": stored.count()}
         if not part["rows"]:
             return None
         return self._indexed(part, stored) if indexed else part
@@ -233,8 +246,7 @@ class Store:
         """part with postings and vectors of its rows; dead ones among them stay dead."""
         if not part.get("words"):
             path = f"words/{uuid.uuid4().hex}"
-            write_blocks(stored.select("id", "text"), f"{self.path}/{path}")
-            part = part | {"words": path}
+            part = part | {"words": path, "tokens": write_blocks(stored.select("id", "text"), f"{self.path}/{path}")}
         if not part.get("vectors"):
             path, vectors = f"vectors/{uuid.uuid4().hex}", stored.where("embedding is not null").select("id", "embedding")
             write_lists(vectors, f"{self.path}/{path}", vectors.count())
@@ -264,35 +276,43 @@ class Store:
 
     def apply(self, new: DataFrame, gone: DataFrame | None, now: str, seq: str = "", tables: dict[str, DataFrame] | None = None) -> int:
         """Remove the leafs of gone (id), upsert new and store tables, in one version; a leaf that is both stays as new has it."""
-        if not invalid(new).isEmpty():
+        staged = self._segment(last_of(complete(new, now, *([seq] if seq else [])), seq), False)  # read again for its ids
+        if staged and not invalid(self._leafs(staged)).isEmpty():
+            self._drop(staged)
             raise ValueError("a leaf needs text and source")
-        fresh = upsert(self.spark.createDataFrame([], LEAFS), complete(new, now, *([seq] if seq else [])), seq).persist()  # read for its ids and for its rows
-        try:
-            rows = fresh.count()
-            ids = fresh.select("id") if gone is None else fresh.select("id").union(gone.select("id")).distinct()
-            many = rows if gone is None else ids.count()
-            folders = {name: self._table(name, t) for name, t in (tables or {}).items()}
-
-            def change(names: dict) -> dict:
-                old = Snapshot(self, names).placed().join(small(ids, many), "id", "left_semi").select("segment", "id", "text", "embedding")
-                dead = self._tombstones(old)
-                kept = fresh
-                if dead and many:
-                    known = old.where("embedding is not null").select("id", F.col("embedding").alias("known"))
-                    kept = fresh.join(known, "id", "left").withColumn("embedding", F.coalesce("embedding", "known")).drop("known")
-                part = self._segment(kept, names["indexed"]) if rows else None
-                return names | {"segments": names["segments"] + ([part] if part else []), "dead": names["dead"] + ([dead] if dead else []), "tables": names["tables"] | folders}
-
-            return self._change(change)
-        finally:
-            fresh.unpersist()
+        ids = self._leafs(staged).select("id") if staged else self.spark.createDataFrame([], "id string")
+        ids = ids if gone is None else ids.union(gone.select("id")).distinct()
+        many = ids.count() if gone is not None else staged["rows"] if staged else 0
+        folders = {name: self._table(name, t) for name, t in (tables or {}).items()}
+
+        def change(names: dict) -> dict:
+            now, part, dead = Snapshot(self, names), staged, None
+            met = now.placed().select("segment", "id").join(small(ids, many), "id", "left_semi").persist()  # ids alone: most batches replace little
+            try:
+                by = {r["segment"]: r["count"] for r in met.groupBy("segment").count().collect()} if many and names["segments"] else {}  # a row for each segment
+                if by:
+                    old = now.placed([x for x in names["segments"] if x["key"] in by], every=True).join(small(met, sum(by.values())), ["segment", "id"], "left_semi")
+                    dead = self._tombstones(old.select("segment", "id", "text"))
+                if by and staged:
+                    stored, known = self._leafs(staged), old.where("embedding is not null").select("id", F.col("embedding").alias("known"))
+                    if not stored.where("embedding is null").select("id").join(known, "id", "left_semi").isEmpty():
+                        part = self._segment(stored.join(known, "id", "left").withColumn("embedding", F.coalesce("embedding", "known")).drop("known"), False)
+            finally:
+                met.unpersist()
+            if part and names["indexed"]:
+                part = self._indexed(part, self._leafs(part))
+            return names | {"segments": names["segments"] + ([part] if part else []), "dead": names["dead"] + ([dead] if dead else []), "tables": names["tables"] | folders}
+
+        done = self._change(change)
+        if staged and all(x["key"] != staged["key"] for x in self.version()[1]["segments"]):
+            self._drop(staged)  # it was written again with the embeddings of the leafs before
+        return done
 
     def index(self) -> int:
         """Postings and vector lists for segments that have none; from then on each batch brings its own. Returns the version."""
 
         def change(names: dict) -> dict:
-            stored = lambda x: self.spark.read.schema(LEAFS).parquet(f"{self.path}/{x['path']}")
-            return names | {"indexed": True, "segments": [self._indexed(x, stored(x)) for x in names["segments"]]}
+            return names | {"indexed": True, "segments": [self._indexed(x, self._leafs(x)) for x in names["segments"]]}
 
         names = self.version()[1]
         done = names["indexed"] and all(x.get("words") and x.get("vectors") for x in names["segments"])

@@ -52,3 +52,26 @@ def test_no_posting_is_shuffled_to_make_an_index_and_none_meets_each_query(spark
     assert index.blocks.count() == 2
     found = index.batch(spark.createDataFrame([(q, "all some") for q in range(100)], "qid int, query string"), 2)
     assert found.count() == 200 and "FlatMapGroupsInArrow" in plan(found) and "Generate inline" not in plan(found)
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    """A batch is computed for its segment alone: its check, its ids and what it replaces come from what was written, and token counts from postings."""
+    from marlspike.operators.store import Store
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    store, now = Store(spark, str(tmp_path / "s")), "2024-01-01T00:00:00Z"
+    new = spark.createDataFrame([(f"all word{i}", f"s{i}") for i in range(40)], "text string, source string")
+    store.add(new, now)
+    store.index()
+    store.add(new.where("source >= 's2'").withColumn("text", F.udf(seen, "string").asNondeterministic()("text")), now)
+    assert read.value == new.where("source >= 's2'").count()
+    names = store.version()[1]
+    assert [(x["rows"], x["tokens"]) for x in names["segments"]] == [(40, 80), (read.value, 2 * read.value)] and store.read().count() == 40
+    with pytest.raises(ValueError, match="text and source"):
+        store.add(spark.createDataFrame([("", "s"), ("v", "s")], "text string, source string"), now)
+    assert sorted(x.name for x in (tmp_path / "s/leafs").iterdir()) == sorted(x["key"] for x in names["segments"])
