@@ -16,6 +16,9 @@ PAGES = "folder string, link string, next string, delta string, value array<stru
 LISTED = "folder string, page long, seq long, id string, link string"
 #: Files of pages in a batch, and milliseconds for which a page that was taken is remembered under a limit, so that it is known when it comes again.
 FILES, REMEMBERED = 64, 30 * 24 * 3600 * 1000
+#: Ids and pages that a folder's task holds before it asks the states, and rows that it gives back at once.
+HELD, ROWS = 1_000_000, 10_000
+COLUMNS = ["folder", "page", "seq", "id", "link"]
 
 
 class Walk(StatefulProcessor):
@@ -35,19 +38,32 @@ class Walk(StatefulProcessor):
         self.done = handle.getMapState("done", "link string", "seq long", self.remembered if self.limit else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        link = self.stands()[0]
+        start, taken, held, size = self.stands()[0], set(), {}, 0
+        new = not (self.place.exists() or self.waiting.exists() or self.done.exists())
         for pages in rows:
             for p in pages.itertuples(index=False):
-                if p.link == link or not self.done.containsKey((p.link,)):
-                    self.waiting.updateValue((p.link,), (p.next, p.delta, list(p.ids)))
-        yield from self.take(key[0])
+                if p.link not in taken:
+                    size += len(p.ids) + 1
+                    held[p.link] = p.next, p.delta, p.ids
+            if size >= HELD:
+                yield from self.take(key[0], held, start, taken, new)
+                self.keep(held, start, new)
+                held, size, new = {}, 0, False
+        yield from self.take(key[0], held, start, taken, new)
+        self.keep(held, start, new)
         self.again(timerValues)
 
+    def keep(self, held: dict, start: str, new: bool) -> None:
+        """Pages wait that weren't taken before; new: a folder without states."""
+        for link, (after, delta, ids) in held.items():
+            if new or link == start or not self.done.containsKey((link,)):
+                self.waiting.updateValue((link,), (after, delta, list(ids)))
+
     def stands(self) -> tuple:
         return self.place.get() if self.place.exists() else ("", 1, 0, 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.take(key[0])
+        yield from self.take(key[0], {}, "", set(), False)
         self.again(timerValues)
 
     def again(self, timers) -> None:
@@ -55,23 +71,37 @@ class Walk(StatefulProcessor):
         if self.limit and self.waiting.containsKey((self.stands()[0],)):
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + 1)
 
-    def take(self, folder: str) -> Iterator[pd.DataFrame]:
-        link, page, taken, seq = self.stands()
-        room = self.limit or None
-        while (room is None or room > 0) and self.waiting.containsKey((link,)):
-            after, delta, ids = self.waiting.getValue((link,))
-            now = ids[taken:] if room is None else ids[taken : taken + room]
-            room = None if room is None else room - len(now)
-            out = [(folder, page, seq + k, x, link) for k, x in enumerate(now, 1)]
-            taken, seq = taken + len(now), seq + len(now)
-            if taken == len(ids):
-                self.waiting.removeKey((link,))
+    def take(self, folder: str, held: dict, start: str, taken: set, new: bool) -> Iterator[pd.DataFrame]:
+        """Rows of the pages from the folder's place on, out of those held (what is taken whole goes) and those that wait; each question to a state costs far more than a page."""
+        (link, page, some, seq), left, out = self.stands(), self.limit or None, []
+        while left is None or left > 0:
+            found = held.get(link)
+            if found is not None and not new and link != start and self.done.containsKey((link,)):
+                found = None
+            if found is None:
+                found = None if new else self.waiting.getValue((link,))
+                if found is None:
+                    break
+            after, delta, ids = found
+            now = ids[some:] if left is None else ids[some : some + left]
+            left = None if left is None else left - len(now)
+            out += [(folder, page, seq + k, x, link) for k, x in enumerate(now, 1)]
+            some, seq = some + len(now), seq + len(now)
+            if some == len(ids):
+                held.pop(link, None)
+                taken.add(link)
+                if not new:
+                    self.waiting.removeKey((link,))
                 self.done.updateValue((link,), (seq,))
-                link, taken = after or delta or link, 0
+                link, some = after or delta or link, 0
                 out.append((folder, page, seq, None, link))
                 page += 1
-            self.place.update((link, page, taken, seq))
-            yield pd.DataFrame(out, columns=["folder", "page", "seq", "id", "link"])
+            if len(out) >= ROWS:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out = []
+        self.place.update((link, page, some, seq))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
 
 
 @contextmanager

@@ -66,3 +66,66 @@ def test_a_limit_keeps_the_place_until_a_page_is_taken_whole(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     assert run(spark, tmp_path)[0].count() == 0
+
+
+class Held:
+    """A state, of a value or a map, that counts what it is asked."""
+
+    asked = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def ask(self, name, *a):
+        Held.asked += 1
+        return getattr(self.held, name)(*a)
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.ask("get", "")
+
+    def update(self, value):
+        self.ask("__setitem__", "", value)
+
+    def containsKey(self, k):
+        return self.ask("__contains__", k)
+
+    def getValue(self, k):
+        return self.ask("get", k)
+
+    def updateValue(self, k, value):
+        self.ask("__setitem__", k, value)
+
+    def removeKey(self, k):
+        self.ask("pop", k, None)
+
+
+def test_states_are_asked_a_few_times_a_page_whatever_is_held(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    def walked(batches, held):
+        monkeypatch.setattr(L, "HELD", held, raising=False)
+        walk, Held.asked, out = L.Walk(0, 0), 0, []
+        walk.place, walk.waiting, walk.done = Held(), Held(), Held()
+        for pages in batches:
+            chunks = [pd.DataFrame(pages[i : i + 50], columns=["link", "next", "delta", "ids"]) for i in range(0, len(pages), 50)]
+            out += [tuple(r) for x in walk.handleInputRows(("f",), iter(chunks), None) for r in x.itertuples(index=False)]
+        assert not walk.waiting.held
+        return out, Held.asked
+
+    links = ["", *map(str, range(1, 300))]
+    pages = [(x, links[i + 1] if i < 299 else "", "end" if i == 299 else "", [f"{i}a", f"{i}b"]) for i, x in enumerate(links)]
+    random.Random(2).shuffle(pages)
+    batches = [pages[:150] + pages[20:70], pages[100:] + pages[:30]]
+    want = [(f"{i}a", f"{i}b") for i in range(300)]
+    for held in (10**6, 100, 1):
+        out, asked = walked(batches, held)
+        got = [r[3] for r in out if r[3] is not None]
+        assert got == [x for two in want for x in two] and [r[1] for r in out if r[3] is None] == [*range(1, 301)] and out[-1][4] == "end"
+        assert held < 10**6 or asked < 4 * 300
+    # a link that leads back to a page that was taken ends the walk, as the same page isn't taken twice; a page that leads nowhere is taken once a batch
+    assert [r[3] for r in walked([[("", "1", "", ["a"]), ("1", "", "", ["b"])], [("", "1", "", ["a"]), ("1", "", "", ["c"]), ("1", "", "", ["d"])]], 1)[0] if r[3]] in (["a", "b", "c"], ["a", "b", "d"])
