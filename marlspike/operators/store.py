@@ -7,7 +7,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import file_id, leaf_id, normal_day, or_else, text, text_hash
@@ -34,8 +34,13 @@ def complete(new: DataFrame, now: str, *more: str) -> DataFrame:
     return out.select(*LEAFS.fieldNames(), *more)
 
 
+def lacking() -> Column:
+    """Rows that can't be leafs, as they have no text or no source."""
+    return (F.trim(text("text")) == "") | (F.trim(text("source")) == "")
+
+
 def invalid(new: DataFrame) -> DataFrame:
-    return new.where((F.trim(text("text")) == "") | (F.trim(text("source")) == ""))
+    return new.where(lacking())
 
 
 def last_of(new: DataFrame, seq: str = "") -> DataFrame:
@@ -97,6 +102,12 @@ FILE_ROWS, SPARE = 1_000_000, 24 * 3600
 EMPTY = {"segments": [], "dead": [], "indexed": False, "tables": {}}
 
 
+def without(names: dict, keys: set[str]) -> dict:
+    """What a version names, less the segments of these keys and their tombstones."""
+    dead = [d | {"by": {k: v for k, v in d["by"].items() if k not in keys}} for d in names["dead"]]
+    return names | {"segments": [x for x in names["segments"] if x["key"] not in keys], "dead": [d for d in dead if d["by"]]}
+
+
 class Snapshot:
     """What one version of a store holds; later versions don't change it."""
 
@@ -126,14 +137,19 @@ class Snapshot:
     def read(self) -> DataFrame:
         return self.placed().select(*LEAFS.fieldNames())
 
+    def gone(self) -> dict[str, tuple[int, int]]:
+        """Dead leafs of each segment that has some, and their tokens."""
+        out: dict[str, tuple[int, int]] = {}
+        for d in self.names["dead"]:
+            for k, (n, size) in d["by"].items():
+                out[k] = (out.get(k, (0, 0))[0] + n, out.get(k, (0, 0))[1] + size)
+        return out
+
     def words(self) -> SegmentWords:
         """Word search over the segments' postings; texts of segments that aren't indexed are counted as they are."""
         there = [x for x in self.names["segments"] if x.get("words")]
         lack = [x for x in self.names["segments"] if not x.get("words")]
-        gone = {}
-        for d in self.names["dead"]:
-            for k, (n, size) in d["by"].items():
-                gone[k] = (gone.get(k, (0, 0))[0] + n, gone.get(k, (0, 0))[1] + size)
+        gone = self.gone()
         n, total, loose = sum(x["rows"] - gone.get(x["key"], (0, 0))[0] for x in there), sum(x["tokens"] - gone.get(x["key"], (0, 0))[1] for x in there), None
         if lack:
             loose = self.placed(lack).select("id", "text")
@@ -168,8 +184,8 @@ class Store:
 
     The version of the highest number is the current one. It is written aside and renamed to its name, which fails if the name is taken: a reader
     finds the old version or the new one, whole, and of two writers one starts again from the other's. A batch writes a segment of its own rows and the
-    tombstones of those that it replaces, and nothing else; compact() merges segments. A segment's rows are dealt by id, so its files follow their
-    bytes. Folders that no version names go with clean().
+    tombstones of those that it replaces, and nothing else; a segment of which no leaf is left isn't named any more, and compact() merges segments. A
+    segment's rows are dealt by id, so its files follow their bytes. Folders that no version names go with clean().
     """
 
     def __init__(self, spark: SparkSession, path: str, fence: int | None = None):
@@ -235,7 +251,7 @@ class Store:
         key = uuid.uuid4().hex
         part = {"key": key, "path": f"leafs/{key}"}
         rows = leafs.select(*LEAFS.fieldNames()).repartition("id").sortWithinPartitions("id")  # no second shuffle of what is dealt and sorted by id
-        rows.write.option("maxRecordsPerFile", FILE_ROWS).option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path}/{part['path']}")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.path}/{part['path']}")
         stored = self._leafs(part)
         part |= {"rows": stored.count()}
         if not part["rows"]:
@@ -290,17 +306,24 @@ class Store:
             met = now.placed().select("segment", "id").join(small(ids, many), "id", "left_semi").persist()  # ids alone: most batches replace little
             try:
                 by = {r["segment"]: r["count"] for r in met.groupBy("segment").count().collect()} if many and names["segments"] else {}  # a row for each segment
-                if by:
-                    old = now.placed([x for x in names["segments"] if x["key"] in by], every=True).join(small(met, sum(by.values())), ["segment", "id"], "left_semi")
-                    dead = self._tombstones(old.select("segment", "id", "text"))
+                were = now.gone()
+                empty = {x["key"] for x in names["segments"] if x["key"] in by and by[x["key"]] + were.get(x["key"], (0, 0))[0] == x["rows"]}
+
+                def replaced(keys: set[str]) -> DataFrame:
+                    there = [x for x in names["segments"] if x["key"] in keys]
+                    return now.placed(there, every=True).join(small(met, sum(by.values())), ["segment", "id"], "left_semi")
+
+                if by.keys() - empty:  # nothing is left of the other ones, so that no text of theirs is read
+                    dead = self._tombstones(replaced(by.keys() - empty).select("segment", "id", "text"))
                 if by and staged:
-                    stored, known = self._leafs(staged), old.where("embedding is not null").select("id", F.col("embedding").alias("known"))
+                    stored, known = self._leafs(staged), replaced({*by}).where("embedding is not null").select("id", F.col("embedding").alias("known"))
                     if not stored.where("embedding is null").select("id").join(known, "id", "left_semi").isEmpty():
                         part = self._segment(stored.join(known, "id", "left").withColumn("embedding", F.coalesce("embedding", "known")).drop("known"), False)
             finally:
                 met.unpersist()
             if part and names["indexed"]:
                 part = self._indexed(part, self._leafs(part))
+            names = without(names, empty)
             return names | {"segments": names["segments"] + ([part] if part else []), "dead": names["dead"] + ([dead] if dead else []), "tables": names["tables"] | folders}
 
         done = self._change(change)
@@ -326,9 +349,8 @@ class Store:
             if len(merged) < 2 and not any(x["key"] in d["by"] for x in merged for d in names["dead"]):
                 return names
             part, keys = self._segment(Snapshot(self, names).placed(merged), names["indexed"]), {x["key"] for x in merged}
-            dead = [d | {"by": {k: v for k, v in d["by"].items() if k not in keys}} for d in names["dead"]]
-            rest = [x for x in names["segments"] if x["key"] not in keys]
-            return names | {"segments": rest + ([part] if part else []), "dead": [d for d in dead if d["by"]]}
+            rest = without(names, keys)
+            return rest | {"segments": rest["segments"] + ([part] if part else [])}
 
         return self._change(change)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marlspike.operators.chat import first_of
-from marlspike.operators.store import Store
+from marlspike.operators.store import Store, lacking
 from marlspike.session import hadoop, shared_dir
 from marlspike.sources import corpus
 
@@ -34,12 +34,18 @@ def start(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def into_store(store: Store, now: Callable[[], str]) -> Callable[[DataFrame, int], None]:
-    """Upserts by id: a batch that comes again changes nothing. Of rows with one id the last by SEQ stays, if the stream is ordered."""
+def into_store(store: Store, now: Callable[[], str], aside: str = "") -> Callable[[DataFrame, int], None]:
+    """Upserts by id: a batch that comes again changes nothing. Of rows with one id the last by SEQ stays, if the stream is ordered.
 
-    def each(batch: DataFrame, _: int) -> None:
+    aside: a folder, of this stream's checkpoint alone, for rows without text or source (set_aside()); unless it is given, such a row ends the stream.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
         if batch.isEmpty():
             return
+        if aside:
+            batch.where(lacking()).write.mode("overwrite").parquet(f"{aside}/batch={n}")  # the same rows, if the batch comes again
+            batch = batch.where(~lacking())
         if SEQ in batch.columns:
             batch = batch.withColumn(SEQ, F.struct(SEQ, F.monotonically_increasing_id().alias("row")))
         store.add(batch, now(), SEQ if SEQ in batch.columns else "")
@@ -47,6 +53,12 @@ def into_store(store: Store, now: Callable[[], str]) -> Callable[[DataFrame, int
     return each
 
 
+def set_aside(spark: SparkSession, aside: str, schema) -> DataFrame:
+    """Rows that into_store() kept out of its store."""
+    path, fs = hadoop(spark, aside)
+    return spark.read.schema(schema).parquet(aside).select(*schema.fieldNames()) if fs.exists(path) else spark.createDataFrame([], schema)
+
+
 #: The table of a store that names the files which its corpus leafs come from, and the mark of those leafs.
 STATE, HOW = "corpus", "corpus"
 

@@ -245,6 +245,25 @@ def test_store_versions_segments_and_index(spark, tmp_path, monkeypatch):
     assert store.replace(store.read().limit(5)) and store.read().count() == 5 and len(hits(store, "text common")) == len(scanned(store, "text common"))
 
 
+def test_a_batch_that_comes_again_leaves_no_tombstones_and_no_second_copy(spark, tmp_path):
+    leafs = lambda *ks: spark.createDataFrame([(f"common word{k}", f"s{k}", [float(k)]) for k in ks], "text string, source string, embedding array<float>")
+    store = S.Store(spark, str(tmp_path / "s"))
+    store.add(leafs(*range(6)), NOW)
+    store.add(leafs(*range(6, 9)), NOW)
+    store.index()
+    at = lambda: [x["rows"] for x in store.version()[1]["segments"]]
+    before = sorted(map(str, store.read().collect()))
+    store.add(leafs(*range(6)).drop("embedding"), NOW)  # embeddings stay
+    assert at() == [3, 6] and not store.version()[1]["dead"] and not written(store).get("dead") and sorted(map(str, store.read().collect())) == before
+    store.add(leafs(0, 1, 6), NOW)  # parts of two segments, then the rest of one of them
+    assert at() == [3, 6, 3] and store.snapshot().dead_rows() == 3 and sorted(map(str, store.read().collect())) == before
+    store.add(leafs(7, 8), NOW)
+    assert at() == [6, 3, 2] and store.snapshot().dead_rows() == 2 and sorted(map(str, store.read().collect())) == before
+    assert hits(store, "common word7") == scanned(store, "common word7") and len(hits(store, "common")) == 9
+    store.apply(leafs(), store.read().select("id"), NOW)
+    assert at() == [] and store.read().isEmpty() and not hits(store, "common")
+
+
 @pytest.mark.parametrize("step", ["_tombstones", "_segment", "_indexed", "_commit"])
 def test_a_stop_between_steps_leaves_the_old_version(spark, tmp_path, monkeypatch, step):
     leafs = lambda rows: spark.createDataFrame(rows, "text string, source string")
